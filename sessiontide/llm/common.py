@@ -58,3 +58,15 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
 def held_out(id_col: str = "doc_id"):
     """True for the rows that no model may learn from."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled documents, picked by a hash of the id; only the picked ids are broadcast."""
+    picked = (
+        labels.filter(F.col(label).isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+        .limit(rows)
+    )
+    return id_text(docs).join(F.broadcast(picked), "doc_id")

@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, op9_chat_format
+from .langid import op4_language_id
+from .packing import op2_packing
+from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_chat_format": op9_chat_format, "op10_secret_scan": op10_secret_scan}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_packing": op2_packing,
+        "op4_language_id": op4_language_id,
+        "op6_quality_rules": op6_quality_rules,
+        "op9_chat_format": op9_chat_format,
+        "op10_secret_scan": op10_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
