@@ -111,7 +111,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     key = (F.xxhash64("doc_id", F.lit(4)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * number[F.col("lang")]
     start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - PASSAGE // 2, F.lit(1))) + 1
     rows = known.select("doc_id", "lang", key.alias("key"), F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"))
-    picked = rows.orderBy("key", "doc_id", "passage").limit(per_language * len(counts)).collect()
+    # the key is even from 0 to the language's count: below the number wanted there are about so many
+    picked = rows.filter(F.col("key") < per_language).collect()
+    picked = sorted(picked, key=lambda r: (r["key"], r["lang"], r["passage"]))[: 2 * per_language * len(counts)]
     languages = sorted(counts)
     rng = np.random.default_rng(7)
     windows, target = [], []

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, op9_chat_format
+from .decontam import op3_decontamination
 from .langid import op4_language_id
+from .lines import op5_line_dedup
+from .neardup import op8_near_duplicates
 from .packing import op2_packing
 from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
+from .substrings import op7_substring_dedup
 from .toxicity import op1_toxicity
 
 
@@ -18,8 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,
         "op10_secret_scan": op10_secret_scan,
     }
