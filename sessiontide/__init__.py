@@ -1,0 +1 @@
+"""Analytics of assistant-session telemetry on Spark."""
