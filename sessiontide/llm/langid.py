@@ -23,7 +23,7 @@ from .common import held_out, id_text, slices, table
 
 #: Passages of `PASSAGE` characters per language that training may see, and the most languages there may be.
 PER_LANGUAGE, PASSAGE, MOST_LANGUAGES = 1500, 600, 400
-WIDTH, FILTERS, WIDTHS = 192, 8, (2, 3, 4)
+WIDTH, FILTERS, WIDTHS, STEPS = 192, 8, (2, 3, 4), 1000
 PLACES = WIDTH - max(WIDTHS) + 1
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -37,12 +37,12 @@ class ByteNet:
         self.dense = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32)
         self.offset = np.zeros(len(languages), np.float32)
 
-    def train(self, windows: np.ndarray, target: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
+    def train(self, windows: np.ndarray, target: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the cross entropy. A pooled value passes its gradient to the bytes under its greatest response alone."""
         rng = np.random.default_rng(seed)
         values = [*self.filters, self.bias, self.dense, self.offset]
         mean, square, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
                 x, y = windows[order[at : at + batch]], target[order[at : at + batch]]
