@@ -30,7 +30,7 @@ def number(variant: str, path: str) -> Column:
 
 def clamp(x: Column) -> Column:
     """At least 0; NaN and infinities are no numbers."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(x, F.lit(0.0)))
 
 
 def reported(variant: str, name: str) -> Column:

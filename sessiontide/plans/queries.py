@@ -36,12 +36,12 @@ def union_sql(source: str, keys: str, name: str = "u") -> str:
 
 def sweep_sql(layers: dict[str, str], keys: str, keep: str, name: str = "w") -> str:
     points = " UNION ALL ".join(
-        f'SELECT {keys}, {point} AS at, {", ".join(f"{sign if other == layer else 0} AS {other}" for other in layers)} FROM ({source}) WHERE "end" > start'
+        f'SELECT {keys}, {point} AS pt, {", ".join(f"{sign if other == layer else 0} AS {other}" for other in layers)} FROM ({source}) WHERE "end" > start'
         for layer, source in layers.items()
         for point, sign in (("start", 1), ('"end"', -1))
     )
-    return f"""{name}p AS ({points}), {name}s AS (SELECT {keys}, at, {", ".join(f"sum({x}) AS {x}" for x in layers)} FROM {name}p GROUP BY {keys}, at),
-{name}g AS (SELECT {keys}, at AS start, lead(at) OVER (PARTITION BY {keys} ORDER BY at) AS "end", {", ".join(f"sum({x}) OVER (PARTITION BY {keys} ORDER BY at) AS {x}" for x in layers)} FROM {name}s),
+    return f"""{name}p AS ({points}), {name}s AS (SELECT {keys}, pt, {", ".join(f"sum({x}) AS {x}" for x in layers)} FROM {name}p GROUP BY {keys}, pt),
+{name}g AS (SELECT {keys}, pt AS start, lead(pt) OVER (PARTITION BY {keys} ORDER BY pt) AS "end", {", ".join(f"sum({x}) OVER (PARTITION BY {keys} ORDER BY pt) AS {x}" for x in layers)} FROM {name}s),
 {name}k AS (SELECT {keys}, start, "end" FROM {name}g WHERE "end" IS NOT NULL AND {keep}), {union_sql(f"{name}k", keys, name)}"""
 
 
@@ -213,9 +213,9 @@ def open_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {P.FACTS}, a AS (SELECT *, state IN ('busy', 'retry') AS active, coalesce(lag(state IN ('busy', 'retry')) OVER (PARTITION BY session_id ORDER BY ts, seq), false) AS was FROM facts),
 e AS (SELECT *, sum(CASE WHEN active AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS epoch FROM a)
-SELECT session_id, epoch::BIGINT AS epoch, min(ts) AS start, max(CASE WHEN NOT active THEN ts END) AS "end" FROM e WHERE epoch > 0 AND (active OR was) GROUP BY session_id, epoch""")
+SELECT session_id, epoch::BIGINT AS epoch, min(ts) AS start, coalesce(max(CASE WHEN NOT active THEN ts END), min(ts)) AS "end", max(CASE WHEN NOT active THEN ts END) IS NULL AS is_open FROM e WHERE epoch > 0 AND (active OR was) GROUP BY session_id, epoch""")
 def run_epochs(spark: SparkSession, d: str) -> DataFrame:
-    return activity.run_epochs(P.facts(spark, d))
+    return activity.run_epochs(P.facts(spark, d)).select("session_id", "epoch", "start", F.coalesce("end", "start").alias("end"), F.col("end").isNull().alias("is_open"))
 
 
 @query(f"""WITH {P.SPANS}, b AS (SELECT DISTINCT session_id, 0::BIGINT AS start, 100::BIGINT AS "end" FROM spans),
