@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_text, slices, table, written
 
 SIZE, WINDOWS, MIN_PIECE, END_ID, FAN_IN = 4096, 64, 8, 2, 16
-#: Words that a task remembers the ids of.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers the ids of, over all its tasks.
+REMEMBERED = 600_000
 
 
 class Tokens:
@@ -76,6 +77,11 @@ class Tokens:
         return got
 
 
+@lru_cache(1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
+
+
 class Packer:
     """Open sequences as lists of (doc_id, start, ids, doc_tokens), with the tokens they still take."""
 
@@ -165,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, window
         import public_tokenizers
 
         part = TaskContext.get().partitionId()
-        tokens, packer, n = Tokens(tokenizer or public_tokenizers.path("word_bpe_49k.json")), Packer(size, windows, min_piece), part << 32
+        tokens, packer, n = tokens_of(tokenizer or public_tokenizers.path("word_bpe_49k.json")), Packer(size, windows, min_piece), part << 32
         doc_kind = pa.int64()
         for batch in slices(batches, 2 << 20):
             doc_kind = batch.schema.field(0).type
