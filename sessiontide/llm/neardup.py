@@ -7,11 +7,10 @@ coordinate with the probability of their weighted Jaccard similarity. Weights ar
 makes that the Jaccard similarity of the sets of runs; `weighting="count"` weighs a run by its occurrences.
 
 Documents that agree in a band share a bucket. Copies of one word sequence are represented by the least id before that.
-In each bucket the member of least hash is compared with the others by the exact similarity; while a bucket still holds
-members of several components, further members are compared with those of other components: all of them in a
-small bucket, sixteen times as many per round in a large one. So nearly equal members are never paired with one
-another, and no pair in a bucket that could join two components is left out. At similarity 0.8 a pair misses all
-buckets with a probability of 3e-6.
+In each bucket the member of least hash is compared with the others by the exact similarity. Members that this leaves in
+different components are then compared with all of their bucket, in blocks, by the members that hold each element: no pair
+is a row, and only links come out. So no link between two texts of a bucket is lost, and large groups of nearly equal
+texts are mostly done with after the first step. At similarity 0.8 a pair misses all buckets with a probability of 3e-6.
 
 A null or empty text is in a class of its own, as is a row with a null id (its class is null). Rows that repeat an id
 share a class.
@@ -25,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, table, written
 from .components import components
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 32, 5, 0.8
-#: A bucket up to this size has all its pairs across components compared in one round.
-SMALL_BUCKET, MORE_CENTRES = 32, 16
+#: Elements of a bucket's members that make a block.
+BLOCK = 1 << 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -176,6 +175,82 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def linked(sets: list[np.ndarray], roots: list, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of members that are similar enough and join two components; those that only join what is joined are left out.
+
+    Counts what a member shares with all others at once, by lists of the members that hold each element.
+    """
+    number: dict = {}
+    up = [number.setdefault(r, k) for k, r in enumerate(roots)]
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    member = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(codes.max() + 2))
+    holders, counts, ends = member[order], np.diff(starts), np.cumsum(sizes)
+    out = []
+    for m in range(1, len(sets)):
+        own = codes[ends[m] - sizes[m] : ends[m]]
+        n = counts[own]
+        places = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(holders[places], minlength=len(sets))[:m]
+        for k in np.flatnonzero(both >= threshold * (sizes[m] + sizes[:m] - both)):
+            x, y = top(m), top(int(k))
+            if x != y:
+                up[x] = y
+                out.append((m, int(k)))
+    return out
+
+
+def _across(rest: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components yet, all of them compared.
+
+    A bucket is cut into blocks of about `BLOCK` elements by a hash of the member, and each pair of blocks is one group of
+    rows, so that a task holds two blocks however large the bucket; only links come out.
+    """
+    placed = rest.join(roots, rest["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    held = written(placed.join(several, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "elements"), "rep"), "rest")
+    blocks = held.groupBy("bucket").agg(F.ceil(F.sum(F.size("elements")) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
+    cut = held.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = cut.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", F.xxhash64("root").alias("root"), "elements")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, roots_, held_ = None, [], [], []
+        kind_ = None
+
+        def found() -> pa.RecordBatch:
+            pairs = linked(held_, roots_, threshold) if len(set(roots_)) > 1 else []
+            ends = [sorted((reps[m], reps[k])) for m, k in pairs]
+            return pa.RecordBatch.from_arrays([pa.array([e[n] for e in ends], kind_) for n in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            kind_ = batch.schema.field(1).type
+            flat, cuts = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
+            cuts = cuts - cuts[0] if len(cuts) else cuts
+            for n, (k, rep, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if k != key and reps:
+                    yield found()
+                    reps, roots_, held_ = [], [], []
+                key = k
+                reps.append(rep)
+                roots_.append(root)
+                held_.append(flat[cuts[n] : cuts[n + 1]])
+        if reps:
+            yield found()
+
+    return keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """(doc_id, class_id): one row per document; class_id is the least id of the documents linked to it, itself included."""
     signed = written(signatures(docs, weighting), "signed")
@@ -192,24 +267,9 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str
 
     links = written(_similar(members.filter("rep <> centre").select(*ends("rep", "centre")).distinct(), sets, threshold), "similar")
     roots = written(components(links), "roots")
-    rest, centres = members.filter("rep <> centre").select("bucket", "rep"), 1
-    while True:
-        # what is left of the buckets, with components; a bucket of one component needs no more
-        rest = rest.join(roots, rest["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        several = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket", "n")
-        rest = written(rest.join(several, "bucket"), "rest")
-        if rest.isEmpty():
-            break
-        centres *= MORE_CENTRES
-        ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")))
-        chosen = ranked.filter((F.col("n") <= SMALL_BUCKET) | (F.col("k") <= centres)).select("bucket", F.col("rep").alias("centre"), F.col("root").alias("own"), F.col("k").alias("ck"))
-        # a pair once: with a later member
-        pairs = ranked.join(chosen, "bucket").filter("k > ck and root <> own").select(*ends("rep", "centre")).distinct()
-        links = written(links.unionByName(_similar(pairs, sets, threshold)), "similar")
-        roots = written(components(links), "roots")
-        rest = ranked.filter((F.col("n") > SMALL_BUCKET) & (F.col("k") > centres)).select("bucket", "rep")
-        if rest.isEmpty():
-            break
+    rest = members.filter("rep <> centre").select("bucket", "rep")
+    links = links.unionByName(_across(rest, roots, sets, threshold))
+    roots = components(links)
     named = copies.join(roots, copies["rep"] == roots["id"], "left").select("copy_key", F.coalesce("root", "rep").alias("class_id"))
     own = signed.select("doc_id", "copy_key").join(named, "copy_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     without = id_text(docs).filter("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"))
