@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import id_text, slices, table, written
 
 LENGTH, GRAM = 100, 24
+#: Text whose equal contexts are combined before they are dealt.
+COMBINED = 32 << 20
 #: Bytes that one index takes up, and the most different contexts of an anchor that may be in one.
-INDEX_BYTES, MOST_CONTEXTS = 4 << 20, 20_000
+INDEX_BYTES, MOST_CONTEXTS = 256 << 10, 20_000
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,17 +43,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     n, span = len(data), length - gram + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, size, factor = data.astype(np.uint64) * A + C, 1, B
+    h, size, factor = data.astype(np.uint64) * A + C, 1, int(B)
     done, total, parts = None, 0, gram
     while True:  # hashes of runs of 1, 2, 4 ... bytes, joined to one of `gram`
         if parts & 1:
-            done = h if done is None else done[: n - total - size + 1] * factor + h[total : total + n - total - size + 1]
+            done = h if done is None else done[: n - total - size + 1] * np.uint64(factor) + h[total : total + n - total - size + 1]
             total += size
         parts >>= 1
         if not parts:
             break
-        h = h[: len(h) - size] * factor + h[size:]
-        size, factor = size * 2, factor * factor
+        h = h[: len(h) - size] * np.uint64(factor) + h[size:]
+        size, factor = size * 2, factor * factor % (1 << 64)
     h = done
     h ^= h >> np.uint64(31)
     h *= A
@@ -90,12 +92,13 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         key[: n - k] += symbols[k:]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # how equal ones stand makes no difference below `depth`
         key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        if known >= depth or rank.max() == n - 1:
+        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        if known >= depth or new[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
         later = np.zeros(n, np.int64)
         later[: n - known] = rank[known:] + 1
         key = rank * (n + 1) + later
@@ -112,7 +115,7 @@ def shared_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     n = len(symbols)
     order = suffix_order(symbols, length + 1)
     bwt = symbols[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")  # counts, as there are few symbols
     forward = np.empty(n, np.int64)  # where the suffix one symbol longer stands
     forward[by_symbol] = np.arange(n)
     following = np.full(n, n)  # the next place with the same symbol, and the one before
@@ -168,53 +171,82 @@ def repeats(contexts: list[bytes], place: np.ndarray, length: int = LENGTH) -> l
 
 
 def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
-    """(anchor, context, doc_id, at, more): hashes of anchor and context, the first start and how many follow."""
+    """(anchor, context, doc_id, at, more, again): hashes of anchor and context, the first start and how many follow.
+
+    `again`: an earlier one of equal contexts is among the same `COMBINED` bytes of text, so this one is a repeat at once
+    and needs no company; a context that a third of all rows holds goes on once for each such piece of text.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def combined() -> pa.RecordBatch:
+            anchor, context, at, more = (np.concatenate([h[k] for h in held]) for k in range(4))
+            docs = pa.concat_arrays([h[4] for h in held])
+            rank = np.unique(docs.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            both = context ^ (anchor * A)
+            order = np.lexsort((at, rank, both))
+            again = np.zeros(len(at), bool)
+            again[order[1:]] = both[order[1:]] == both[order[:-1]]
+            columns = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), docs, pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(again)]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "at", "more", "again"])
+
         for batch in slices(batches, 1 << 20):
             text = batch.column(1)
             data = b"".join(t.encode() for t in text.to_pylist())
             ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64)
             first, last, anchor = anchors(np.frombuffer(data, np.uint8), ends)
             row = np.searchsorted(ends, first, "right")
-            context = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
-            at = first - np.concatenate([[0], ends[:-1]])[row]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.array(context, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array((last - first).astype(np.int32))], ["anchor", "context", "doc_id", "at", "more"])
+            context = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64)
+            held.append((anchor, context, first - np.concatenate([[0], ends[:-1]])[row], last - first, batch.column(0).take(pa.array(row))))
+            size += len(data)
+            if size >= COMBINED:
+                yield combined()
+                held, size = [], 0
+        if held:
+            yield combined()
 
-    return docs.mapInArrow(emit, f"anchor bigint, context bigint, doc_id {kind}, at int, more int")
+    return docs.mapInArrow(emit, f"anchor bigint, context bigint, doc_id {kind}, at int, more int, again boolean")
 
 
 def _read_groups(rows: DataFrame, kind: str) -> DataFrame:
     """Equal contexts and their anchors, read in order: `again` is true for all but the first of equal contexts; the first
     ones come out if their anchor has several. Rows are held no longer than until the next different context."""
+    names = ["anchor", "context", "doc_id", "at", "more", "again"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first of the last context, while nothing else of its anchor has come
         seen = (None, None)
-        for batch in batches:
+        for whole in batches:
+            known = whole.column(5)
+            yield whole.filter(known)
+            batch = whole.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
             anchor, context = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             same = np.concatenate([[seen[0] == anchor[0]], anchor[1:] == anchor[:-1]])
             equal = same & np.concatenate([[seen[1] == context[0]], context[1:] == context[:-1]])
-            fresh = ~equal
-            # another context of the same anchor, before or after
-            heads = np.flatnonzero(fresh)
+            # the first of each context, and whether its anchor has another one before or after
+            heads = np.flatnonzero(~equal)
             joins = same[heads]
             several = joins.copy()
             several[:-1] |= joins[1:]
-            if held is not None and len(heads) and joins[0]:
-                yield held
-            held = None if len(heads) else held
+            if held is not None and len(heads):
+                if joins[0]:
+                    yield held
+                held = None
             out = equal.copy()
             out[heads[several]] = True
             if len(heads) and not several[-1]:
-                held = pa.RecordBatch.from_arrays([*(batch.column(k).slice(int(heads[-1]), 1) for k in range(5)), pa.array([False])], ["anchor", "context", "doc_id", "at", "more", "again"])
+                held = batch.slice(int(heads[-1]), 1)
             seen = (anchor[-1], context[-1])
             keep = pa.array(out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(5)), pa.array(equal[out])], ["anchor", "context", "doc_id", "at", "more", "again"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(5)), pa.array(equal[out])], names)
 
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "at")
+    # what is a repeat already may go anywhere
+    place = F.when(F.col("again"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
+    dealt = rows.repartition(place).sortWithinPartitions("again", "anchor", "context", "doc_id", "at")
     return dealt.mapInArrow(read, f"anchor bigint, context bigint, doc_id {kind}, at int, more int, again boolean")
 
 
