@@ -43,10 +43,41 @@ def fold(records: list[dict]) -> dict | None:
     return held
 
 
-def contributions(records: DataFrame) -> DataFrame:
-    """The effective record of each message. Comparing updates is not transitive, so a message's few records are folded in
-    order of arrival; they come sorted from one shuffle, and a task holds one message at a time."""
-    names = records.columns
+def completeness(r: dict) -> int:
+    """Weight of the fields that a record has."""
+    weights = {"completed": 2, "first_token": 2, "start": 1, "ttft": 3, "model": 1, "agent": 1}
+    samples = len(r.get("samples") or ())
+    return sum(w for c, w in weights.items() if r.get(c) is not None) + (2 + min(samples, 8) if samples else 0)
+
+
+def fold_history(records: list[dict]) -> dict | None:
+    """The history's record of a message after its upserts in order of arrival.
+
+    A record with a live update must go beyond the held one's, and never lets a provisional one replace an exact one; one
+    without it yields to a held update of the same quality. Otherwise quality, completeness, freshness and arrival decide.
+    The winner keeps the agent and the place of admission that it lacks.
+    """
+    held: dict | None = None
+    for r in records:
+        if held is None:
+            held = r
+            continue
+        exact, was = (x["quality"] in (None, "exact") for x in (r, held))
+        if r["update"]:
+            wins = is_newer(r["update"], held["update"]) and (exact or not was)
+        elif held["update"] and exact == was:
+            wins = False
+        else:
+            fresh = lambda x: max((x[c] for c in ("start", "first_token", "completed") if x.get(c) is not None), default=0)
+            wins = (exact, completeness(r), fresh(r)) >= (was, completeness(held), fresh(held))
+        if wins:
+            held = r | {"agent": r["agent"] if r["agent"] is not None else held["agent"], "pos": held["pos"]}
+    return held
+
+
+def by_message(records: DataFrame, fold_) -> DataFrame:
+    """A fold of each message's few records in order of arrival. They come sorted from one shuffle, and a task holds one
+    message at a time; comparing updates is not transitive, so no window can do it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[dict] = []
@@ -55,15 +86,25 @@ def contributions(records: DataFrame) -> DataFrame:
             schema, out = batch.schema, []
             for r in batch.to_pylist():
                 if own and own[-1]["message_id"] != r["message_id"]:
-                    out.append(fold(own))
+                    out.append(fold_(own))
                     own = []
                 own.append(r)
             yield pa.RecordBatch.from_pylist([r for r in out if r], schema=schema)
-        if own and (last := fold(own)):
+        if own and (last := fold_(own)):
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
     dealt = records.filter("message_id is not null").repartition("message_id").sortWithinPartitions("message_id", "pos")
-    return dealt.mapInArrow(run, records.schema).select(*names)
+    return dealt.mapInArrow(run, records.schema)
+
+
+def contributions(records: DataFrame) -> DataFrame:
+    """The effective record of each message."""
+    return by_message(records, fold)
+
+
+def history(records: DataFrame) -> DataFrame:
+    """The history after all upserts."""
+    return by_message(records, fold_history)
 
 
 def ledger_union(copies: DataFrame, baselines: DataFrame, measures: list[str]) -> DataFrame:
