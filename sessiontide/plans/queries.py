@@ -354,3 +354,77 @@ def scope_merge(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("state") == "failed", "magic-message").when(F.col("state") == "completed", PENDING).otherwise(USER)
     evidence = P.facts(spark, d).select("session_id", "pos", kind.alias("scope"), F.array("state").alias("reasons"), F.lit(None).cast("long").alias("parent"))
     return scope.merged(evidence).select("session_id", "scope")
+
+
+# --- clocks, latencies, freezing
+
+CUTOFF = 1704300000000
+
+
+@query(f"""WITH {P.FACTS}, x AS (SELECT *, '' AS execution, false AS latch FROM facts WHERE instance_id <> 0 OR ts <= {CUTOFF}), {ROWS.rpartition("active AS")[0]}
+active AS (SELECT session_id, ts AS start, coalesce(next, CASE WHEN instance_id = 0 THEN {CUTOFF} END) AS "end" FROM rows WHERE state IN ('busy', 'retry') AND coalesce(next, CASE WHEN instance_id = 0 THEN {CUTOFF} END) > ts), {union_sql('active', 'session_id')}
+SELECT session_id, count(*)::BIGINT AS n, sum("end" - start)::BIGINT AS length FROM u GROUP BY session_id""")
+def cutoff_time(spark: SparkSession, d: str) -> DataFrame:
+    """Active time until a cutoff that one trusted instance may be extended to."""
+    facts = P.facts(spark, d)
+    ends = activity.boundaries(facts, facts.filter("instance_id = 0").select("instance_id").distinct(), float(CUTOFF))
+    return measured(intervals.union(activity.lifecycle_intervals(facts, ends), ["session_id"]))
+
+
+@query(f"""WITH {P.RESPONSES}, {P.PREFERRED}, last AS (SELECT message_id FROM preferred ORDER BY message_id DESC LIMIT 1000)
+SELECT CASE WHEN quality = 'exact' AND message_id NOT IN (SELECT message_id FROM last) THEN 'settled' ELSE 'open' END AS status, count(*)::BIGINT AS n, sum(output)::BIGINT AS output FROM preferred GROUP BY 1""")
+def ledger_freeze(spark: SparkSession, d: str) -> DataFrame:
+    """Contributions that left the history's window are settled; the sums stay."""
+    rows = precedence.preferred(P.responses(spark, d)).withColumn("pos", F.col("message_id"))
+    return ledger.frozen(rows, precedence.newest(rows, 1000)).groupBy("status").agg(F.count("*").alias("n"), F.sum("output").alias("output"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS message_id, 1000.0::DOUBLE AS start, CASE WHEN o_orderkey % 3 = 0 THEN 1000.0 + o_orderkey % 50 - 10 END AS first_response, CASE WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 40 - 5)::DOUBLE END AS ttft, 1000.0 + o_orderkey % 60 - 8 AS first_token FROM orders)
+SELECT message_id, greatest(0.0, CASE WHEN first_response >= start THEN first_response - start WHEN ttft IS NOT NULL THEN ttft ELSE first_token - start END)::DOUBLE AS delay FROM r""")
+def first_response_delay(spark: SparkSession, d: str) -> DataFrame:
+    """Milliseconds to the first response by the best evidence there is."""
+    key = F.col("o_orderkey")
+    rows = P.table(spark, d, "orders").select(
+        key.alias("message_id"), F.lit(1000.0).alias("start"), F.when(key % 3 == 0, 1000.0 + key % 50 - 10).alias("first_response"), F.when(key % 3 == 1, (key % 40 - 5).cast("double")).alias("ttft"), (1000.0 + key % 60 - 8).alias("first_token"),
+    )
+    return rows.select("message_id", metrics.first_token_delay().alias("delay"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS message_id, count(*)::BIGINT AS observations, sum(l_quantity)::DOUBLE AS total_units, min(l_quantity)::DOUBLE AS first_batch, (sum(l_partkey) % 3000)::DOUBLE AS span_ms, sum(l_suppkey)::DOUBLE AS usage FROM lineitem GROUP BY 1)
+SELECT message_id, round(usage * ((total_units - first_batch) / total_units) * 1000 / span_ms, 6) AS rate FROM e WHERE observations >= 2 AND first_batch < total_units AND first_batch > 0 AND span_ms >= 1000""")
+def observed_generation_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Rates that stored evidence proves; no clock is declared, so spans under a second prove nothing."""
+    rows = P.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("message_id")).agg(
+        F.count("*").alias("observations"), F.sum("l_quantity").alias("total_units"), F.min("l_quantity").alias("first_batch"), (F.sum("l_partkey") % 3000).cast("double").alias("span_ms"), F.sum("l_suppkey").cast("double").alias("usage"),
+    )
+    rows = rows.withColumns({"version": F.lit(3), "complete": F.lit(True), "monotonic": F.lit(True), "clock_trusted": F.lit(False), "clock_resolution_ms": F.lit(None).cast("double")})
+    return rows.filter(metrics.qualified_evidence()).select("message_id", F.round(metrics.observed_rate(), 6).alias("rate"))
+
+
+@query(f"""WITH {P.FACTS}, f AS (SELECT session_id, arg_max(CASE WHEN event_id % 4 = 0 THEN -1 ELSE event_id % 10 END, (ts, event_id)) AS parent FROM facts WHERE state = 'retry' GROUP BY 1),
+c AS (SELECT DISTINCT user_id AS session_id, 7::BIGINT AS parent FROM events WHERE user_id % 6 = 0), p AS (SELECT DISTINCT user_id AS session_id, 9::BIGINT AS parent FROM events)
+SELECT p.session_id, coalesce(CAST(CASE WHEN c.session_id IS NOT NULL THEN c.parent WHEN f.session_id IS NOT NULL THEN nullif(f.parent, -1) ELSE p.parent END AS VARCHAR), 'none') AS parent FROM p LEFT JOIN c USING (session_id) LEFT JOIN f USING (session_id)""")
+def parent_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Given links first, then the last parent fact, which may clear the link, then what evidence names."""
+    facts = P.facts(spark, d).filter("state = 'retry'").withColumn("kind", F.lit("parent")).withColumn("parent_id", F.when(F.col("seq") % 4 != 0, F.col("seq") % 10))
+    users = P.table(spark, d, "events").select(F.col("user_id").alias("child")).distinct()
+    context = users.filter("child % 6 = 0").withColumn("parent", F.lit(7).cast("long"))
+    proof = users.withColumn("parent", F.lit(9).cast("long"))
+    return activity.resolved_parents(facts, context, proof).select(F.col("child").alias("session_id"), F.coalesce(F.col("parent").cast("string"), F.lit("none")).alias("parent"))
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY 1")
+def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of several sources that overlap, each payload once."""
+    rows = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_linenumber").cast("long").alias("pos"))
+    return precedence.distinct_facts(rows.unionByName(rows.filter("l_partkey % 3 = 0"))).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P.RESPONSES} SELECT message_id, session_id, output FROM responses QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY pos DESC) = 1")
+def retired_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The newest copy of each message: optimistic ones stand until the ledger has the same or a later revision."""
+    rows = P.responses(spark, d).withColumn("revision", F.col("pos"))
+    known = rows.filter("pos = 0")
+    ahead = precedence.best(ledger.retired(rows.filter("pos > 0"), known), ["message_id"], F.col("revision").desc())
+    stand = known.join(ahead.select("message_id"), "message_id", "left_anti")
+    return ahead.select("message_id", "session_id", "output").unionByName(stand.select("message_id", "session_id", "output"))
