@@ -30,14 +30,14 @@ from .common import held_out, id_text, labelled_sample, slices, table
 SAMPLE_ROWS, LEXICON = 16000, 20000
 #: The letters of the model, and the letters that a symbol may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
-RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
+RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
 SEPARATORS = set(".-_*'~^/\\,:; ")
 SIZE = len(LETTERS) + 1
 CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 #: Channel costs in nats: a symbol for a letter, a run of three or more, a doubled letter meant once, a dropped sign, a symbol that is nothing.
 SYMBOL, HELD, DOUBLED, DROPPED, LOST = 0.7, 0.5, 3.0, 0.3, 4.0
 EDGE = ".,;:!?\"'()[]{}<>*#%&$@|-_~^/\\`=+"
-SUSPICIOUS = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|(.)\1\1|\w[.\-_*'~^/]\w[.\-_*'~^/]\w")
+SUSPICIOUS = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|(.)\1(?:\1|(.)\2)|\w[.\-_*'~^/]\w[.\-_*'~^/]\w")
 PIECES = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
 SHOWN = 5  # strongest words of a text that the model sees
@@ -218,17 +218,24 @@ def evidence(text: pa.Array, reader: Reader) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
-    """Newton's method with a ridge; the last weight is the constant."""
+    """Newton's method with a ridge; the last weight is the constant. Evidence may not speak against toxicity: columns
+    whose weight would be negative are left out, the most negative first."""
+    used = np.append(np.ones(x.shape[1], bool), True)
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + decay * np.eye(x.shape[1])
-        step = np.linalg.solve(hess, x.T @ (p - y) + decay * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    while True:
+        own, w = x[:, used], np.zeros(int(used.sum()))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            hess = (own * (p * (1 - p))[:, None]).T @ own + decay * np.eye(len(w))
+            step = np.linalg.solve(hess, own.T @ (p - y) + decay * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        full = np.zeros(len(used))
+        full[used] = w
+        if full[:-1].min() >= 0:
+            return full
+        used[int(full[:-1].argmin())] = False
 
 
 def heaviest(lexicon: dict[str, float]):
