@@ -44,26 +44,23 @@ def closure(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def roots(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, root): the last ancestor; in or below a cycle, the cycle's least member.
 
-    Jumps double each round, so after log2(n) rounds every id has jumped past any tail into its root or cycle; the
-    least id met on as many jumps more is the cycle's least member.
+    Jumps double each round and carry the least id met. After log2(n) rounds every jump ends in a root or in a cycle, and
+    the least id met from there on is the cycle's least member, or the root itself. Without cycles it ends as soon as
+    all jumps stand at roots.
     """
     known = edges(links)
     all_ = nodes(known, *([ids] if ids is not None else []))
     start = all_.join(known, all_["id"] == known["child"], "left").select("id", F.coalesce("parent", "id").alias("to"))
-    jump, total = cut(start), all_.count()
-    least = start.select("id", "to", F.col("to").alias("least"))
-    reach = 1
-    while reach < max(total, 1):  # to: 2^k steps ahead
-        jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")))
-        reach *= 2
-        if jump.join(start.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").filter("next <> to").isEmpty():
-            return jump.select("id", F.col("to").alias("root"))  # no cycles: everything stands at a root
-    least, reach = cut(least.select("id", "to", F.least("id", "least").alias("least"))), 1
-    while reach < max(total, 1):
-        ahead = least.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("least").alias("other"))
-        least = cut(least.join(ahead, "to").select("id", F.col("beyond").alias("to"), F.least("least", "other").alias("least")))
-        reach *= 2
-    return jump.join(least.select(F.col("id").alias("to"), "least"), "to").select("id", F.col("least").alias("root"))
+    jumps, reach = cut(start.withColumn("least", F.least("id", "to"))), 1
+    total = jumps.count()
+    while reach < total:
+        ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("least").alias("other"))
+        step = jumps.join(ahead, "to").select("id", F.col("beyond").alias("to"), F.least("least", "other").alias("least"), (F.col("beyond") != F.col("to")).alias("moved"))
+        step = cut(step)
+        jumps, reach = step.drop("moved"), reach * 2
+        if step.filter("moved").isEmpty():
+            break
+    return jumps.select("id", "to").join(jumps.select(F.col("id").alias("to"), F.col("least").alias("root")), "to").select("id", "root")
 
 
 def excluded(links: DataFrame, evidence: DataFrame) -> DataFrame:
