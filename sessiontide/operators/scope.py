@@ -11,10 +11,10 @@ from . import forest
 STRENGTH = {PENDING: 0, USER: 1, EXCLUDED_ITEM: 2, EXCLUDED_SESSION: 3}
 
 
-def session_class(agents: list[str], prefixes: list[str], titles: list[str], flag: str) -> Column:
-    """Scope of a session from its metadata (hidden flag and role), agent and title; the lists are configuration."""
+def session_class(agents: list[str], prefixes: list[str], titles: list[str], flag: str, roles: list[str]) -> Column:
+    """Scope of a session from its metadata (hidden flag, with no role or one of `roles`), agent and title; the lists are configuration."""
     role = F.coalesce(F.col("role"), F.lit(""))
-    hidden = (F.coalesce(F.col("flag"), F.lit("")) == flag) & ((role == "") | role.isin("historian", "dreamer", "dreamer-curate"))
+    hidden = (F.coalesce(F.col("flag"), F.lit("")) == flag) & ((role == "") | role.isin(*roles))
     title = F.coalesce(F.col("title"), F.lit(""))
     begins = F.lit(False)
     for p in prefixes:

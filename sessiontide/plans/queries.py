@@ -347,11 +347,11 @@ def overlay_terms(spark: SparkSession, d: str) -> DataFrame:
     return ledger.overlay(totals, first, precedence.preferred(rows), ["output"])
 
 
-@query(f"""WITH {P.FACTS}, e AS (SELECT session_id, seq AS pos, CASE state WHEN 'failed' THEN 'magic-message' WHEN 'completed' THEN 'pending' ELSE 'user' END AS scope FROM facts),
-m AS (SELECT session_id, max(CASE WHEN scope = 'magic-message' THEN 1 ELSE 0 END) AS hit, max(CASE WHEN scope = 'user' THEN 1 ELSE 0 END) AS named, min(pos) AS first FROM e GROUP BY session_id)
-SELECT session_id, CASE WHEN hit = 1 THEN 'magic-message' WHEN named = 1 THEN 'user' ELSE 'pending' END AS scope FROM m""")
+@query(f"""WITH {P.FACTS}, e AS (SELECT session_id, seq AS pos, CASE state WHEN 'failed' THEN 'excluded_item' WHEN 'completed' THEN 'pending' ELSE 'user' END AS scope FROM facts),
+m AS (SELECT session_id, max(CASE WHEN scope = 'excluded_item' THEN 1 ELSE 0 END) AS hit, max(CASE WHEN scope = 'user' THEN 1 ELSE 0 END) AS named, min(pos) AS first FROM e GROUP BY session_id)
+SELECT session_id, CASE WHEN hit = 1 THEN 'excluded_item' WHEN named = 1 THEN 'user' ELSE 'pending' END AS scope FROM m""")
 def scope_merge(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("state") == "failed", "magic-message").when(F.col("state") == "completed", PENDING).otherwise(USER)
+    kind = F.when(F.col("state") == "failed", "excluded_item").when(F.col("state") == "completed", PENDING).otherwise(USER)
     evidence = P.facts(spark, d).select("session_id", "pos", kind.alias("scope"), F.array("state").alias("reasons"), F.lit(None).cast("long").alias("parent"))
     return scope.merged(evidence).select("session_id", "scope")
 

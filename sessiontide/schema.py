@@ -13,4 +13,4 @@ TERMINAL = ("completed", "failed", "aborted", "cancelled", "stopped")
 STATES = (*ACTIVE, "idle", *TERMINAL)
 
 #: Scopes of evidence, weakest first.
-PENDING, USER, EXCLUDED_ITEM, EXCLUDED_SESSION = "pending", "user", "magic-message", "magic-session"
+PENDING, USER, EXCLUDED_ITEM, EXCLUDED_SESSION = "pending", "user", "excluded_item", "excluded_session"

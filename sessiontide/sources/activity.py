@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import precedence
 from ..schema import STATES
-from .history import filled, lines, parsed, text_at
+from .history import filled, lines, parsed, scope_at, text_at
 
 
 def facts(rows: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def facts(rows: DataFrame) -> DataFrame:
         kind.alias("kind"), text_at("eventID").alias("event_id"), filled(text_at("sessionID")).alias("session_id"), F.coalesce(filled(text_at("instanceID")), F.lit("default")).alias("instance_id"), text_at("executionID").alias("execution_id"),
         ts.alias("ts"), F.coalesce(tokens.number("v", "observedAt"), ts).alias("observed_at"), whole("seq").alias("seq"), whole("sourceSequence").alias("source_sequence"), F.when(state.isin(*STATES), state).alias("state"),
         tokens.number("v", "instanceEndedAt").alias("ended_at"), tokens.number("v", "lastObservedAt").alias("last_observed"), filled(text_at("parentSessionID")).alias("parent_id"),
-        text_at("workID").alias("work_id"), text_at("source").alias("source"), text_at("phase").alias("phase"), text_at("stepID").alias("step_id"), text_at("classification").alias("classification"), text_at("scope.sourceScope").alias("scope"), "pos",
+        text_at("workID").alias("work_id"), text_at("source").alias("source"), text_at("phase").alias("phase"), text_at("stepID").alias("step_id"), text_at("classification").alias("classification"), scope_at("scope.sourceScope").alias("scope"), "pos",
     )
     known = (F.col("kind") == "parent") | ((F.col("kind") == "lifecycle") & F.col("state").isNotNull())
     work = F.col("kind").isin("work", "execution-scope") & F.col("execution_id").isNotNull()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators import precedence
+from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION, PENDING, USER
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -37,6 +38,12 @@ def filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def scope_at(path: str) -> Column:
+    """The scope of stored evidence; whatever the prefix, a session's exclusion and a message's end in what they exclude."""
+    said = text_at(path)
+    return F.when(said.endswith("-session"), EXCLUDED_SESSION).when(said.endswith("-message"), EXCLUDED_ITEM).when(said.isin(USER, PENDING), said)
+
+
 TIMES = {"start": "start", "first_token": "firstToken", "first_response": "firstResponse", "first_content": "firstContent", "completed": "completed", "ttft": "ttft", "duration": "duration"}
 
 
@@ -50,7 +57,7 @@ def responses(rows: DataFrame) -> DataFrame:
         filled(text_at("messageID")).alias("message_id"), filled(text_at("sessionID")).alias("session_id"), filled(text_at("parentSessionID")).alias("parent_id"), text_at("model").alias("model"), text_at("agent").alias("agent"),
         F.when(quality.isin("exact", "provisional"), quality).alias("quality"), usage.alias("tokens"), F.coalesce(tokens.clamp(tokens.number("v", "cost")), F.lit(0.0)).alias("cost"),
         *(tokens.number("v", f"time.{p}").alias(c) for c, p in TIMES.items()), F.coalesce(flag_at("time.startMissing"), F.lit(False)).alias("start_missing"),
-        F.expr("coalesce(try_variant_get(v, '$.samples', 'array<variant>'), array())").alias("samples"), tokens.number("v", "update.revision").alias("revision"), text_at("scope.sourceScope").alias("scope"), "pos",
+        F.expr("coalesce(try_variant_get(v, '$.samples', 'array<variant>'), array())").alias("samples"), tokens.number("v", "update.revision").alias("revision"), scope_at("scope.sourceScope").alias("scope"), "pos",
     )
     return out.filter("message_id is not null and session_id is not null").select("*", *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write"))).drop("tokens")
 
@@ -65,6 +72,6 @@ def write(records: DataFrame, path: str) -> None:
     body = F.struct(
         F.lit(1).alias("version"), F.col("message_id").alias("messageID"), F.col("session_id").alias("sessionID"), F.col("parent_id").alias("parentSessionID"), "model", "agent", "quality",
         F.struct("input", "output", "reasoning", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite")).alias("tokens"), "cost",
-        F.struct(*(F.col(c).alias(p) for c, p in TIMES.items()), F.col("start_missing").alias("startMissing")).alias("time"), F.struct("revision").alias("update"), F.struct(F.col("scope").alias("sourceScope")).alias("scope"),
+        F.struct(*(F.col(c).alias(p) for c, p in TIMES.items()), F.col("start_missing").alias("startMissing")).alias("time"), F.struct("revision").alias("update"), F.struct(F.regexp_replace(F.regexp_replace("scope", "^excluded_item$", "excluded-message"), "^excluded_session$", "excluded-session").alias("sourceScope")).alias("scope"),
     )
     precedence.runtime_preferred(records).select(F.to_json(body).alias("value")).write.mode("overwrite").text(path)

@@ -98,12 +98,12 @@ def test_forest(spark):
 
 
 def test_scope(spark):
-    rows = [("u", 1, "user", "p"), ("u", 2, "magic-session", None), ("u", 3, "user", "q"), ("v", 1, "user", None), ("v", 2, "pending", None), ("w", 1, "pending", None)]
+    rows = [("u", 1, "user", "p"), ("u", 2, "excluded_session", None), ("u", 3, "user", "q"), ("v", 1, "user", None), ("v", 2, "pending", None), ("w", 1, "pending", None)]
     evidence = spark.createDataFrame([(s, k, sc, [sc], p) for s, k, sc, p in rows], "session_id string, pos long, scope string, reasons array<string>, parent string")
     got = {r["session_id"]: (r["scope"], r["reasons"], r["parent"]) for r in scope.merged(evidence).collect()}
-    assert got == {"u": (EXCLUDED_SESSION, ["user", "magic-session"], "q"), "v": ("user", ["user", "pending"], None), "w": ("pending", ["pending"], None)}
-    meta = spark.createDataFrame([("hid", "historian", None, None), ("hid", "other", None, None), (None, None, "keeper", None), (None, None, None, "Maintain: x"), (None, None, "build", None), (None, None, None, None)], "flag string, role string, agent string, title string")
-    assert [r["c"] for r in meta.select(scope.session_class(["keeper"], ["Maintain:"], [], "hid").alias("c")).collect()] == ["magic-session", "pending", "magic-session", "magic-session", "user", "pending"]
+    assert got == {"u": (EXCLUDED_SESSION, ["user", "excluded_session"], "q"), "v": ("user", ["user", "pending"], None), "w": ("pending", ["pending"], None)}
+    meta = spark.createDataFrame([("hid", "archivist", None, None), ("hid", "other", None, None), (None, None, "keeper", None), (None, None, None, "Maintain: x"), (None, None, "build", None), (None, None, None, None)], "flag string, role string, agent string, title string")
+    assert [r["c"] for r in meta.select(scope.session_class(["keeper"], ["Maintain:"], [], "hid", ["archivist"]).alias("c")).collect()] == ["excluded_session", "pending", "excluded_session", "excluded_session", "user", "pending"]
     explicit = links(spark, [("a", None)])
     proof = links(spark, [("a", "m"), ("b", "m")])
     assert {tuple(r) for r in scope.parents(explicit, proof).collect()} == {("a", None), ("b", "m")}
