@@ -71,3 +71,23 @@ def test_interval_stream(spark, tmp_path):
     query = jobs.interval_stream(activity.stream(spark, str(tmp_path / "in"), 100)).writeStream.format("memory").queryName("spans").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["start"], r["end"]) for r in spark.table("spans").collect()) == [(1.0, 7.0), (9.0, 12.0)]
+
+
+def test_history_store(spark, tmp_path):
+    from sessiontide.sources import store
+
+    update = "struct<instance:string,sequence:double,received_at:double,revision:double,fingerprint:string,seen:array<string>>"
+    schema = f"message_id string, session_id string, pos long, quality string, input double, output double, reasoning double, cache_read double, cache_write double, cost double, agent string, start double, first_token double, completed double, ttft double, model string, scope string, update {update}"
+
+    def batch(*items):
+        return spark.createDataFrame([(m, "s", k, q, 1.0, out, 0.0, 0.0, 0.0, 0.5, None, 1.0, None, 2.0, None, None, None, None) for k, (m, q, out) in enumerate(items)], schema)
+
+    path = store.paths(f"file://{tmp_path}")["history"]
+    store.upsert(batch(("a", "provisional", 9.0), ("b", "exact", 2.0)), path, 2)
+    store.upsert(batch(("a", "exact", 3.0), ("c", "exact", 4.0)), path, 2, batch(("a", None, 0.0)))
+    got = {r["message_id"]: r["output"] for r in spark.read.parquet(path).collect()}
+    assert got == {"a": 3.0, "b": 2.0, "c": 4.0}
+    store.rebuild_totals(f"{path}-totals", spark.read.parquet(path))
+    assert spark.read.parquet(f"{path}-totals").first()["output"] == 9.0
+    aside = store.quarantine(spark, f"{path}-totals")
+    assert store.exists(spark, aside) and not store.exists(spark, f"{path}-totals")
