@@ -12,13 +12,14 @@ import corpus_pipeline
 from sessiontide.llm import components, decontam, lines, neardup, packing, substrings
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("partitions", [5, 20])
+def test_packing_round_trip(spark, partitions):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(k, t) for k, t in [(r[0], r[1]) for r in odd_rows() if r[0]] if k != 7] + [(20, "It's <|endoftext|> ÀÉ́ don't x ¼ ﬁ"), (21, prose(9000, 3))]
-    source = docs(spark, rows).repartition(5)
+    source = docs(spark, rows).repartition(partitions)
     pieces = packing.pack(source, size=256, windows=4).collect()
     by_doc, by_seq = {}, {}
     for p in pieces:
