@@ -95,12 +95,12 @@ def latest_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {P.RESPONSES}, r AS (SELECT session_id, output, (completed - start)::DOUBLE AS took FROM responses WHERE pos > 0), s AS (SELECT *, CASE WHEN took > 0 THEN output * 1000 / took END AS speed FROM r)
-SELECT session_id, count(*)::BIGINT AS calls, round(avg(speed), 4) AS avg_speed, round(max(speed), 4) AS max_speed, round(min(speed), 4) AS min_speed, 0.0::DOUBLE AS avg_delay, 0.0::DOUBLE AS max_delay, 0.0::DOUBLE AS min_delay,
-  round(avg(took), 4) AS avg_duration, round(max(took), 4) AS max_duration, round(min(took), 4) AS min_duration FROM s GROUP BY session_id""")
+SELECT session_id, count(*)::BIGINT AS calls, floor(avg(speed) * 10000)::BIGINT AS avg_speed, floor(max(speed) * 10000)::BIGINT AS max_speed, floor(min(speed) * 10000)::BIGINT AS min_speed, 0::BIGINT AS avg_delay, 0::BIGINT AS max_delay, 0::BIGINT AS min_delay,
+  floor(avg(took) * 10000)::BIGINT AS avg_duration, floor(max(took) * 10000)::BIGINT AS max_duration, floor(min(took) * 10000)::BIGINT AS min_duration FROM s GROUP BY session_id""")
 def response_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = P.responses(spark, d).filter("pos > 0").withColumns({c: F.lit(None).cast("double") for c in ("first_response", "ttft", "first_token", "duration")})
-    out = metrics.response_stats(rows)
-    return out.select("session_id", "calls", *(F.round(c, 4).alias(c) for c in out.columns[2:]))
+    out = metrics.response_stats(rows)  # in ten-thousandths: the engines round halves differently
+    return out.select("session_id", "calls", *(F.floor(F.col(c) * 10000).cast("long").alias(c) for c in out.columns[2:]))
 
 
 @query(f"""WITH {P.RESPONSES}, r AS (SELECT session_id, output AS tokens, completed - start AS ms, quality <> 'exact' AS estimated FROM responses WHERE completed > start)
