@@ -1,9 +1,8 @@
 """Line deduplication by pairwise alignment.
 
-The owner of a line is the earliest document that holds it. Of every eight successive lines that a document shares with
-earlier ones, the one in fewest documents names the owner to compare with; rarity is relative, so a group of thousands
-of copies is compared with its first document, pair by pair, and no two of its members with one another. A document
-and an owner are aligned by patience diff: lines that occur once in both, in the longest increasing order, are anchors,
+The owner of a line is the earliest document that holds it. A document is compared with the owner of every line that it
+shares with earlier ones, so a group of thousands of copies is compared with its first document, pair by pair, and no two
+of its members with one another; there are never more pairs than shared lines. A document and an owner are aligned by patience diff: lines that occur once in both, in the longest increasing order, are anchors,
 between which the search goes on. Aligned blocks of at least `MIN_WORDS` words are deleted from the later document.
 The earliest copy of every line stays, as no earlier document can hold it.
 
@@ -20,13 +19,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import id_text, slices, table, written
 
-CHOICE, MIN_WORDS = 8, 8
+MIN_WORDS = 8
 COUNTS = ("__lines", "__lines_removed")
 
 
@@ -101,11 +100,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): the places of the lines that go, for documents that lose any."""
     lines = written(line_table(docs), "lines")
     kind = lines.schema["doc_id"].dataType.simpleString()
-    own = lines.select("doc_id", F.posexplode("lines").alias("pos", "line")).filter("line <> 0")
-    held = own.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").drop("last")
-    shared = own.join(held, "line").filter("owner < doc_id")
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, CHOICE - 1)
-    pairs = written(shared.select("doc_id", F.min(F.struct("n", "owner")).over(ahead).getField("owner").alias("owner")).distinct(), "pairs")
+    own = lines.select("doc_id", F.explode("lines").alias("line")).filter("line <> 0")
+    held = own.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").drop("last")
+    pairs = written(own.join(held, "line").filter("owner < doc_id").select("doc_id", "owner").distinct(), "pairs")
     of = lines.groupBy("doc_id").agg(F.first("lines").alias("lines"), F.first("words").alias("words"))  # once, if rows repeat an id
     met = pairs.join(of, "doc_id").join(of.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs")), "owner").select("doc_id", "lines", "words", "theirs")
 

@@ -104,6 +104,15 @@ def test_repeated_blocks_go_from_later_documents(spark):
     assert lines.without_lines(empty, lines.removed_lines(empty)).count() == 0
 
 
+def test_every_shared_line_names_its_owner(spark):
+    hot, rare = prose(9, 1), [prose(9, 10 + k) for k in range(8)]
+    rows = [(1, hot)] + [(2 + k, f"{prose(9, 100 + k)}\n{r}") for k, r in enumerate(rare)] + [(20 + k, f"{prose(9, 200 + k)}\n{hot}") for k in range(30)]
+    rows += [(60, "\n".join([hot, prose(9, 300), *(f"{r}\n{prose(9, 310 + k)}" for k, r in enumerate(rare))]))]
+    source = docs(spark, rows)
+    got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(source).collect()}
+    assert got == {20 + k: [1] for k in range(30)} | {60: [0, 2, 4, 6, 8, 10, 12, 14, 16]}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
