@@ -3,7 +3,9 @@
 The owner of a line is the earliest document that holds it. A document is compared with the owner of every line that it
 shares with earlier ones, so a group of thousands of copies is compared with its first document, pair by pair, and no two
 of its members with one another; there are never more pairs than shared lines. A document and an owner are aligned by patience diff: lines that occur once in both, in the longest increasing order, are anchors,
-between which the search goes on. Aligned blocks of at least `MIN_WORDS` words are deleted from the later document.
+between which the search goes on. Aligned blocks of at least `MIN_WORDS` words are deleted from the later document. If
+shared lines are left, a suffix automaton of the owner finds all other blocks as long: those without an anchor, out of
+order, or standing several times in either document. So every line of that many words that an earlier document holds goes.
 The earliest copy of every line stays, as no earlier document can hold it.
 
 Lines are compared without the white space around them; blank lines belong to no block and stay. Null texts stay null,
@@ -16,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -82,10 +85,60 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int) -> set[int]:
+    """Places of `a` in blocks of enough words that stand anywhere in `b`, in time linear in both: the automaton of `b`
+    gives the longest block that ends at each place, which holds all shorter ones that end there."""
+    in_a, in_b = set(a), set(b)
+    b = [x if x in in_a else 0 for x in b]  # no line of `a` is 0
+    steps, link, size = [{}], [-1], [0]
+    last = 0
+    for k, x in enumerate(b):
+        if k and not x and not b[k - 1]:
+            continue
+        new = len(steps)
+        steps.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and x not in steps[p]:
+            steps[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][x]
+            if size[q] == size[p] + 1:
+                link[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                size.append(size[p] + 1)
+                link.append(link[q])
+                link[q] = link[new] = copy
+                while p >= 0 and steps[p].get(x) == q:
+                    steps[p][x] = copy
+                    p = link[p]
+        last = new
+    upto = [0, *accumulate(words)]
+    at = held = done = 0
+    out = set()
+    for k, x in enumerate(a):
+        if x not in in_b:
+            at = held = 0
+            continue
+        while x not in steps[at]:
+            at = link[at]
+            held = size[at]
+        at, held = steps[at][x], held + 1
+        if upto[k + 1] - upto[k + 1 - held] >= min_words:
+            out.update(range(max(done, k + 1 - held), k + 1))
+            done = k + 1
+    return out
+
+
 def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Places of the later document's lines in aligned blocks of enough words."""
+    """Places of the later document's lines in blocks of enough words that the earlier one holds."""
     mine, theirs = [k for k, h in enumerate(later) if h], [h for h in earlier if h]
-    pairs = patience([later[k] for k in mine], theirs)
+    own, held = [later[k] for k in mine], set(theirs)
+    pairs = patience(own, theirs)
     out, block = [], []
     for k, (x, y) in enumerate(pairs):
         block.append(mine[x])
@@ -93,6 +146,9 @@ def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_w
             if sum(words[p] for p in block) >= min_words:
                 out += block
             block = []
+    gone = set(out)
+    if any(h in held for h, p in zip(own, mine, strict=True) if p not in gone):
+        return sorted(mine[x] for x in common_blocks(own, [words[p] for p in mine], theirs, min_words))
     return out
 
 

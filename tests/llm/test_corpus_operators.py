@@ -113,6 +113,45 @@ def test_every_shared_line_names_its_owner(spark):
     assert got == {20 + k: [1] for k in range(30)} | {60: [0, 2, 4, 6, 8, 10, 12, 14, 16]}
 
 
+def plain_blocks(later, words, earlier, min_words):
+    """Every pair of places: lines in runs of enough words that stand in both."""
+    mine, theirs = [k for k, h in enumerate(later) if h], [h for h in earlier if h]
+    out = set()
+    for x, y in itertools.product(range(len(mine)), range(len(theirs))):
+        block = []
+        for k, h in zip(mine[x:], theirs[y:]):
+            if later[k] != h:
+                break
+            block.append(k)
+            if sum(words[p] for p in block) >= min_words:
+                out |= set(block)
+    return sorted(out)
+
+
+def test_repeated_lines_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(1500):
+        n = rng.choice([2, 4, 9])
+        a, b = ([rng.randrange(0, n) for _ in range(rng.randrange(0, 22))] for _ in range(2))
+        size = [0, *(rng.randrange(1, 10) for _ in range(n))]
+        words = [size[h] for h in a]
+        assert lines.repeated_lines(a, words, b) == plain_blocks(a, words, b, 8)
+    assert lines.repeated_lines([5, 7, 5, 8, 5], [9] * 5, [1, 5, 2, 5]) == [0, 2, 4]
+    assert lines.repeated_lines([6, 3, 5], [9] * 3, [5, 4, 6]) == [0, 2]
+
+
+def test_every_line_held_earlier_goes(spark):
+    rng = random.Random(12)
+    pool = [prose(rng.choice([8, 9, 12]), 500 + k) for k in range(25)]
+    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.6 else prose(9, 1000 + 50 * k + j) for j in range(rng.randrange(1, 25)))) for k in range(40)]
+    first, want = {}, {}
+    for k, text in rows:
+        for j, line in enumerate(text.split("\n")):
+            if first.setdefault(line, k) < k:
+                want.setdefault(k, []).append(j)
+    assert {r["doc_id"]: r["removed"] for r in lines.removed_lines(docs(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
