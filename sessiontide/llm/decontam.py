@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare word runs find passages, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: word runs find passages, Smith-Waterman alignment of words scores them.
 
-1. The runs of three words of the test items are counted over all documents. Of every four successive runs of an item
-   the rarest one is a seed, so that six words left in place always hold one, however common they are.
-2. Documents are searched for seeds; around them a passage as long as the items may need is cut out, overlapping ones
-   as one. A bit table of bounded size spares all other runs; what passes it by chance finds no partner in the join.
+1. Every run of three words of a test item is a seed, so three words left in place are enough, however common they are.
+   A copy with no three words in a row left is not looked for.
+2. Documents are searched for seeds; around them a passage as long as an alignment over the threshold may need is cut
+   out, overlapping ones as one. A bit table of bounded size spares all other runs; what passes it by chance finds no
+   partner in the join.
 3. Passage and item are joined on the seed and aligned: a word that agrees counts 2, one that differs or is left out
-   costs 1. The score is the best local alignment's share of what the whole item would count.
+   costs 1. The score is the best local alignment's share of what the whole item would count. Pairs are spared the
+   alignment only if the words they share cannot reach the threshold in any order.
 
 Words are compared in lower case without the punctuation around them. Null and empty texts, and items without a word,
 match nothing; items of fewer than three words are one run. Rows that repeat an id count as one document, with the
@@ -15,17 +17,18 @@ best score of any.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, table, written
 
-RUN, CHOICE, THRESHOLD = 3, 4, 0.4
+RUN, THRESHOLD = 3, 0.4
 #: Bits of the search table: at least, and at most (16 MB), however large the benchmark.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»“”‘’„…–—"
@@ -87,18 +90,6 @@ class Sieve:
         return ((word >> (runs & np.uint64(63))) & np.uint64(1)).astype(bool) & (runs != 0)
 
 
-def run_counts(docs: DataFrame, sieve: Sieve) -> DataFrame:
-    """(run, n) over all documents, for what passes the sieve."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            runs = word_runs(batch.column(1))[0]
-            some, n = np.unique(runs[sieve.passes(runs)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n.astype(np.int64))], ["run", "n"])
-
-    return docs.mapInArrow(count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-
-
 def passages(docs: DataFrame, sieve: Sieve, reach: int) -> DataFrame:
     """(doc_id, at, words, runs): parts of documents within `reach` words of a run that passes, and those runs."""
 
@@ -145,6 +136,14 @@ def alignment(item: str, passage: str) -> tuple[float, int, int]:
     return best / (2 * len(a)), j - back[2], j
 
 
+def most(words: list[str], held: frozenset[str], passage: list[str]) -> int:
+    """No local alignment scores more: each word of its part of the passage counts 2 if the item holds it, else costs 1,
+    and each word of the item counts 2 once."""
+    total = np.concatenate([[0], np.cumsum(np.where([w in held for w in passage], 2, -1))])
+    both = held.intersection(passage)
+    return min(int((total - np.minimum.accumulate(total)).max()), 2 * sum(w in both for w in words))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start, end): the best passage of each document for each item it holds; places are words."""
     rows, items = id_text(docs), id_text(benchmark, "item_id", "text").filter("doc_id is not null")
@@ -154,22 +153,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start int, end int"
     if not size["n"]:
         return docs.sparkSession.createDataFrame([], schema)
-    known = of_items.select("run").distinct()
-    counts = run_counts(rows, Sieve(known, size["n"]))
-    frequent = of_items.join(counts, "run", "left").select("item_id", "run", "pos", F.coalesce("n", F.lit(0)).alias("n"))
-    in_order = Window.partitionBy("item_id").orderBy("pos")
-    rarest = F.min(F.struct("n", "run")).over(in_order.rowsBetween(0, CHOICE - 1))
-    last = F.max("pos").over(Window.partitionBy("item_id")) - (CHOICE - 1)  # the last place with that many runs
-    seeds = frequent.withColumn("seed", rarest).withColumn("last", last).filter("pos = 0 or pos <= last").select("item_id", F.col("seed.run").alias("run"))
-    seeds = written(seeds.distinct(), "seeds")
-    found = written(passages(rows, Sieve(seeds.select("run").distinct(), seeds.count()), int(size["size"])), "passages")
+    seeds = of_items.select("item_id", "run").distinct()
+    reach = int((3 - 2 * threshold) * size["size"])  # words of a passage that an alignment over the threshold spans at most
+    found = written(passages(rows, Sieve(seeds.select("run").distinct(), size["n"]), reach), "passages")
     pairs = found.select("doc_id", "at", F.explode("runs").alias("run")).join(seeds, "run").select("doc_id", "at", "item_id").distinct()
     texts = items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item"))
     both = pairs.join(found.select("doc_id", "at", "words"), ["doc_id", "at"]).join(texts, "item_id").select("doc_id", "item_id", "at", "words", "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [alignment(" ".join(plain(i)), w) for i, w in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        @lru_cache(1 << 10)
+        def of(item: str) -> tuple[list[str], frozenset[str]]:
+            return (words := plain(item)), frozenset(words)
+
+        def rated(item: str, passage: str) -> tuple[float, int, int]:
+            words, held = of(item)
+            if most(words, held, passage.split()) / (2 * len(words)) < threshold:
+                return -1.0, 0, 0
+            return alignment(" ".join(words), passage)
+
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            out = [rated(i, w) for i, w in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.float64()), *(pa.array((np.array([o[k] for o in out], np.int64) + at).astype(np.int32)) for k in (1, 2))], ["doc_id", "item_id", "score", "start", "end"])
 

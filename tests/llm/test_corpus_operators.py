@@ -76,6 +76,35 @@ def test_leaks_are_found_and_others_left(spark):
     assert decontam.contaminated(docs(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_no_alignment_scores_more_than_most():
+    rng = random.Random(13)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefgh"[: rng.choice([3, 8])]) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        assert plain_alignment(a, b) <= decontam.most(a, frozenset(a), b)
+
+
+def test_edited_copies_are_found(spark):
+    """Every item against every document: all that have three words in a row left and score enough are found."""
+    rng = random.Random(14)
+    items = [(k, prose(30, 400 + k)) for k in range(6)]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        texts += [[w if (j + 1) % n else f"x{j}" for j, w in enumerate(words)] for n in (4, 5, 6)]
+        texts += [[w if rng.random() > p else f"y{j}" for j, w in enumerate(words)] for p in (0.2, 0.25, 0.3, 0.4)]
+        texts.append([x for j, w in enumerate(words) for x in ([w] if j % 3 else [f"z{j}", w])])
+    rows = [(k, " ".join([prose(60, 800 + k), *t, prose(60, 900 + k)])) for k, t in enumerate(texts)] + [(500, items[0][1])]
+    want = {}
+    for (doc, text), (item, words) in itertools.product(rows, items):
+        a, b = words.split(), text.split()
+        score = plain_alignment(a, b) / (2 * len(a))
+        if score >= 0.4 and {tuple(a[k : k + 3]) for k in range(len(a) - 2)} & {tuple(b[k : k + 3]) for k in range(len(b) - 2)}:
+            want[doc, item] = score
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == want and len(want) > 40 and all((8 * k + j, k) in want for k in range(6) for j in range(3))
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
