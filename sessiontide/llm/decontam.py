@@ -10,7 +10,7 @@
    alignment only if the words they share cannot reach the threshold in any order.
 
 Words are compared in lower case without the punctuation around them. Null and empty texts, and items without a word,
-match nothing; items of fewer than three words are one run. Rows that repeat an id count as one document, with the
+match nothing; items of fewer than three words have no run and are not searched for. Rows that repeat an id count as one document, with the
 best score of any.
 """
 
