@@ -3,7 +3,8 @@
 Plain rules find assignments, access keys and hex runs. Beside them, base64 and hex candidates are decoded and
 kept only if their structure holds: DER keys by nested lengths, OpenSSH keys by their length-prefixed fields,
 signed tokens by a JSON header that names an algorithm, PEM blocks by what they enclose, and encoded text by a plain
-rule that matches inside it.
+rule or one of these structures inside it, encoded again up to `DEPTH` times. Runs wrapped over lines of equal length are
+joined.
 
 Null and empty texts have no spans; the whole text is scanned however long it is. Repeated rows each give a row.
 """
@@ -28,7 +29,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+DEPTH = 3
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 OPENSSH = b"openssh-key-v1\0"
@@ -116,7 +120,7 @@ def is_token(header: str, payload: str) -> bool:
         return False
 
 
-def confirmed(data: bytes | None) -> str | None:
+def confirmed(data: bytes | None, depth: int = DEPTH) -> str | None:
     """The kind of what a candidate decodes to."""
     if not data:
         return None
@@ -124,18 +128,55 @@ def confirmed(data: bytes | None) -> str | None:
         return "der"
     if is_openssh_key(data):
         return "openssh"
-    if len(data) >= 12 and data.isascii() and all(31 < c < 127 or c in (9, 10, 13) for c in data):
-        inner = data.decode()
-        if ACCESS.search(inner) or any(len(m[2]) >= 8 for m in ASSIGN.finditer(inner)):
+    if len(data) >= 12:
+        try:
+            inner = data.decode()
+        except UnicodeDecodeError:
+            return None
+        if any(c < " " and c not in "\t\n\r" or "\x7f" <= c < "\xa0" for c in inner):
+            return None
+        if ACCESS.search(inner) or any(len(m[2]) >= 8 for m in ASSIGN.finditer(inner)) or structures(inner, depth - 1):
             return "encoded"
     return None
 
 
+def of_run(run: str, depth: int) -> str | None:
+    kind = None
+    if len(run) % 2 == 0 and len(run) >= 32 and re.fullmatch("[0-9a-fA-F]+", run):
+        kind = confirmed(bytes.fromhex(run), depth)
+    return kind or confirmed(decode64(run), depth)
+
+
+def wrapped(text: str, depth: int) -> list[tuple[str, int, int]]:
+    """Runs over lines of equal length, the last one with or without a shorter line after it."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        lines = list(LINE.finditer(text, m.start(), m.end()))
+        k = 0
+        while k < len(lines):
+            n = k + 1
+            while n < len(lines) and len(lines[n][0]) == len(lines[k][0]):
+                n += 1
+            for end in (n + 1, n):
+                if k + 1 < end <= len(lines) and len(lines[k][0]) >= len(lines[end - 1][0]):
+                    if kind := of_run("".join(x[0] for x in lines[k:end]), depth):
+                        found.append((kind, lines[k].start(), lines[end - 1].end()))
+                        break
+            k = n
+    return found
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start, then kind as listed; code points, end exclusive."""
     if not text:
         return []
-    found = base_spans(text)
+    found = base_spans(text) + structures(text, DEPTH)
+    return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def structures(text: str, depth: int) -> list[tuple[str, int, int]]:
+    """What is confirmed by structure; encoded runs only while depth is left."""
+    found = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             body = decode64("".join(line for line in m[2].split("\n") if ":" not in line).replace(" ", "").replace("\r", "").strip())
@@ -143,15 +184,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 found.append(("pem", m.start(), m.end()))
     if ".ey" in text or "ey" in text or "ew" in text:
         found += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        kind = None
-        if len(run) % 2 == 0 and len(run) >= 32 and re.fullmatch("[0-9a-fA-F]+", run):
-            kind = confirmed(bytes.fromhex(run))
-        kind = kind or confirmed(decode64(run))
-        if kind:
-            found.append((kind, m.start(), m.end()))
-    return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    if depth > 0:
+        found += [(kind, m.start(), m.end()) for m in CANDIDATE.finditer(text) if (kind := of_run(m[0], depth))]
+        found += wrapped(text, depth)
+    return found
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -98,6 +98,25 @@ def test_structures_are_confirmed():
     assert kinds(base64.b64encode(ec[:-1]).decode()) == [] and kinds("a" * 64) == [] and kinds("thtiontionthtiontionthtiontionabcd") == []
 
 
+def test_structures_in_other_forms():
+    ec = der(0x30, der(2, b"\x01"), der(4, b"k" * 32), der(0xA0, der(6, b"\x2a\x86\x48")))
+    pkcs8 = der(0x30, der(2, b"\x00"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, bytes(range(200))))
+    b64 = lambda b: base64.b64encode(b if isinstance(b, bytes) else b.encode()).decode()
+    kinds = lambda t: [k for k, _, _ in secrets.spans_of(t) if k not in secrets.BASE]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + b64(pkcs8) + "\n-----END PRIVATE KEY-----\n"
+    jwt = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode() for x in ({"alg": "HS256"}, {"sub": "1"})) + ".sig"
+    assert kinds("private_key=" + b64(ec)) == ["der"] and kinds("x=" + pkcs8.hex()) == ["der"]
+    assert kinds(b64(pem)) == ["encoded"] and kinds("see " + b64("bearer " + jwt)) == ["encoded"]
+    assert kinds(b64("clé: password = hunter2hunter2")) == ["encoded"]
+    assert kinds(b64(b64("password = hunter2hunter2"))) == ["encoded"]
+    key = b64(pkcs8)
+    lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+    for text in ("\n".join(lines), "the key:\n  " + "\r\n  ".join(lines) + "\nis here", "some_long_name_before_the_key_1\n" + "\n".join(lines)):
+        (span,) = [s for s in secrets.spans_of(text) if s[0] == "der"]
+        assert re.sub(r"\s", "", text[span[1] : span[2]]) == key
+    assert kinds("name=" + b64("nothing of interest is in here")) == [] and kinds("\n".join(["thtiontion" * 4] * 5)) == []
+
+
 def plain_repeats(words):
     seen = {}
     for k in range(len(words) - 7):
