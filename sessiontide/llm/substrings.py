@@ -12,9 +12,13 @@ Successive strings of a document with one anchor make a context, the bytes that
    What is not parted then has that many bytes in common; all but the earliest string of such an interval are repeats.
 3. The repeats' ranges are gathered by document, merged and cut out.
 
-A document is its text's UTF-8 bytes, none if null. Order is by doc_id, then by place. Rows with a null id lose nothing;
-rows that repeat an id are taken for the same document. Longest of all groups, an anchor with more than `MOST_CONTEXTS`
-different contexts is taken apart into its strings, which are dealt by their own hash, so no task holds it whole.
+A document is its text's UTF-8 bytes, none if null. Order is by doc_id, then by place. Rows with a null id lose nothing.
+Rows that repeat an id stand in one document, at the same places: a string is a repeat only if an equal one has a smaller
+id or, under the same id, an earlier start, so equal rows of one id lose what a single one of them would lose. An empty
+table gives no rows. Only id and text are read, so other columns can't clash.
+
+Longest of all groups, an anchor with more than `MOST_CONTEXTS` different contexts is taken apart into its strings, whose
+earliest places are found by partial aggregates of their hashes, so no task holds an anchor or a string whole.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ LENGTH, GRAM = 100, 24
 #: Text whose equal contexts are combined before they are dealt.
 COMBINED = 32 << 20
 #: Bytes that one index takes up, and the most different contexts of an anchor that may be in one.
-INDEX_BYTES, MOST_CONTEXTS = 256 << 10, 20_000
+INDEX_BYTES, MOST_CONTEXTS = 256 << 10, 5_000
+NAMES = ["anchor", "context", "doc_id", "part", "at", "more", "again"]
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,8 +175,8 @@ def repeats(contexts: list[bytes], place: np.ndarray, length: int = LENGTH) -> l
     return out
 
 
-def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
-    """(anchor, context, doc_id, at, more, again): hashes of anchor and context, the first start and how many follow.
+def _anchor_rows(texts: DataFrame, kind: str) -> DataFrame:
+    """(anchor, context, doc_id, part, at, more, again): hashes of anchor and context, the first start and how many follow.
 
     `again`: an earlier one of equal contexts is among the same `COMBINED` bytes of text, so this one is a repeat at once
     and needs no company; a context that a third of all rows holds goes on once for each such piece of text.
@@ -182,24 +187,32 @@ def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
         size = 0
 
         def combined() -> pa.RecordBatch:
-            anchor, context, at, more = (np.concatenate([h[k] for h in held]) for k in range(4))
-            docs = pa.concat_arrays([h[4] for h in held])
+            anchor, context, at, more, part = (np.concatenate([h[k] for h in held]) for k in range(5))
+            docs = pa.concat_arrays([h[5] for h in held])
             rank = np.unique(docs.to_numpy(zero_copy_only=False), return_inverse=True)[1]
             both = context ^ (anchor * A)
-            order = np.lexsort((at, rank, both))
+            order = np.lexsort((part, at, rank, both))
+            o_both, o_rank, o_at, o_part = both[order], rank[order], at[order], part[order]
+            like = np.concatenate([[False], o_both[1:] == o_both[:-1]])  # as the row before
+            head = np.maximum.accumulate(np.where(like, 0, np.arange(len(order))))
+            placed = (o_rank == o_rank[head]) & (o_at == o_at[head])
+            same = like & np.concatenate([[False], (o_rank[1:] == o_rank[:-1]) & (o_at[1:] == o_at[:-1]) & (o_part[1:] == o_part[:-1])])
             again = np.zeros(len(at), bool)
-            again[order[1:]] = both[order[1:]] == both[order[:-1]]
-            columns = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), docs, pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(again)]
-            return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "at", "more", "again"])
+            again[order] = ~placed
+            keep = np.zeros(len(at), bool)
+            keep[order] = ~same  # a row that occurs twice is one document
+            columns = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), docs, pa.array(part), pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(again)]
+            return pa.RecordBatch.from_arrays(columns, NAMES).filter(pa.array(keep))
 
         for batch in slices(batches, 1 << 20):
-            text = batch.column(1)
+            text = batch.column(batch.schema.get_field_index("text"))
             data = b"".join(t.encode() for t in text.to_pylist())
             ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64)
             first, last, anchor = anchors(np.frombuffer(data, np.uint8), ends)
             row = np.searchsorted(ends, first, "right")
             context = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64)
-            held.append((anchor, context, first - np.concatenate([[0], ends[:-1]])[row], last - first, batch.column(0).take(pa.array(row))))
+            part = batch.column(1).to_numpy(zero_copy_only=False)[row]
+            held.append((anchor, context, first - np.concatenate([[0], ends[:-1]])[row], last - first, part, batch.column(0).take(pa.array(row))))
             size += len(data)
             if size >= COMBINED:
                 yield combined()
@@ -207,75 +220,90 @@ def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
         if held:
             yield combined()
 
-    return docs.mapInArrow(emit, f"anchor bigint, context bigint, doc_id {kind}, at int, more int, again boolean")
+    return texts.mapInArrow(emit, f"anchor bigint, context bigint, doc_id {kind}, part int, at int, more int, again boolean")
 
 
 def _read_groups(rows: DataFrame, kind: str) -> DataFrame:
-    """Equal contexts and their anchors, read in order: `again` is true for all but the first of equal contexts; the first
-    ones come out if their anchor has several. Rows are held no longer than until the next different context."""
-    names = ["anchor", "context", "doc_id", "at", "more", "again"]
+    """Equal contexts and their anchors, read in order: `again` is true for those that stand later than the first of
+    equal contexts; the others come out if their anchor has several. Rows are held no longer than until the next one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first of the last context, while nothing else of its anchor has come
-        seen = (None, None)
+        anchor = context = first = last = None  # of the rows before: the first place of the context, and the last row's
         for whole in batches:
-            known = whole.column(5)
+            known = whole.column(6)
             yield whole.filter(known)
             batch = whole.filter(pc.invert(known))
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            anchor, context = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            same = np.concatenate([[seen[0] == anchor[0]], anchor[1:] == anchor[:-1]])
-            equal = same & np.concatenate([[seen[1] == context[0]], context[1:] == context[:-1]])
-            # the first of each context, and whether its anchor has another one before or after
-            heads = np.flatnonzero(~equal)
-            joins = same[heads]
+            anchors_, contexts_, ats, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4, 3))
+            # ranks of ids in this batch alone; -1 stands for the row before it
+            ids = batch.column(2).dictionary_encode()
+            number = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            before = lambda place: -1 if place is None else pc.index(ids.dictionary, pa.scalar(place[0], ids.dictionary.type)).as_py()
+            one = np.concatenate([[anchor == anchors_[0]], anchors_[1:] == anchors_[:-1]])
+            equal = one & np.concatenate([[context == contexts_[0]], contexts_[1:] == contexts_[:-1]])
+            lead = np.maximum.accumulate(np.where(equal, -1, np.arange(n)))  # the context's first row, -1 if before
+            head_id = np.where(lead < 0, before(first), number[lead])
+            head_at = np.where(lead < 0, -1 if first is None else first[1], ats[lead])
+            repeat = equal & ((number != head_id) | (ats != head_at))
+            twice = np.concatenate([[last is not None and equal[0] and (before(last), last[1], last[2]) == (number[0], ats[0], parts[0])], equal[1:] & (number[1:] == number[:-1]) & (ats[1:] == ats[:-1]) & (parts[1:] == parts[:-1])])
+            # a context whose anchor has another one before or after it; equal ones at one place count as others
+            starts = np.flatnonzero(~repeat & ~twice)
+            joins = one[starts]
             several = joins.copy()
             several[:-1] |= joins[1:]
-            if held is not None and len(heads):
+            if held is not None and len(starts):
                 if joins[0]:
                     yield held
                 held = None
-            out = equal.copy()
-            out[heads[several]] = True
-            if len(heads) and not several[-1]:
-                held = batch.slice(int(heads[-1]), 1)
-            seen = (anchor[-1], context[-1])
+            out = repeat.copy()
+            out[starts[several]] = True
+            if len(starts) and not several[-1]:
+                held = batch.slice(int(starts[-1]), 1)
+            k = int(lead[-1])
+            if k >= 0:
+                first = (ids.dictionary[int(number[k])].as_py(), int(ats[k]))
+            last = (ids.dictionary[int(number[-1])].as_py(), int(ats[-1]), int(parts[-1]))
+            anchor, context = anchors_[-1], contexts_[-1]
             keep = pa.array(out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(5)), pa.array(equal[out])], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(6)), pa.array(repeat[out])], NAMES)
 
     # what is a repeat already may go anywhere
     place = F.when(F.col("again"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
-    dealt = rows.repartition(place).sortWithinPartitions("again", "anchor", "context", "doc_id", "at")
-    return dealt.mapInArrow(read, f"anchor bigint, context bigint, doc_id {kind}, at int, more int, again boolean")
+    dealt = rows.repartition(place).sortWithinPartitions("again", "anchor", "context", "doc_id", "at", "part")
+    return dealt.mapInArrow(read, f"anchor bigint, context bigint, doc_id {kind}, part int, at int, more int, again boolean")
 
 
-def _fetched(docs: DataFrame, firsts: DataFrame, kind: str) -> DataFrame:
-    """(key, doc_id, at, bytes) of contexts that share their anchor; those of a very frequent anchor string by string."""
-    many = firsts.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor", F.lit(True).alias("apart"))
-    wanted = firsts.join(many, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "more", F.coalesce("apart", F.lit(False)).alias("apart"))).alias("wanted"))
+def _fetched(texts: DataFrame, firsts: DataFrame, kind: str) -> DataFrame:
+    """(key, apart, doc_id, part, at, bytes) of contexts that share their anchor; those of a very frequent anchor string
+    by string, and only the strings' hashes."""
+    wanted = firsts.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "at", "more", "apart")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             out: list[tuple] = []
-            for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, part, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
                 for w in wanted:
                     a, b = w["at"], w["at"] + w["more"] + LENGTH
                     if w["apart"]:
-                        out += [(xxhash.xxh3_64_intdigest(data[p : p + LENGTH]) - (1 << 63), doc, p, data[p : p + LENGTH]) for p in range(a, b - LENGTH + 1)]
+                        out += [(xxhash.xxh3_64_intdigest(data[p : p + LENGTH]) - (1 << 63), True, doc, part, p, xxhash.xxh64_digest(data[p : p + LENGTH])) for p in range(a, b - LENGTH + 1)]
                     else:
-                        out.append((w["anchor"], doc, a, data[a:b]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["key", "doc_id", "at", "bytes"])
+                        out.append((w["anchor"], False, doc, part, a, data[a:b]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.bool_(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "apart", "doc_id", "part", "at", "bytes"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, f"key bigint, doc_id {kind}, at int, bytes binary")
+    met = texts.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
+    return met.mapInArrow(cut, f"key bigint, apart boolean, doc_id {kind}, part int, at int, bytes binary")
 
 
 def _indexed(contexts: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, start, end): ranges of the repeats among contexts, by an index for every so many bytes of whole keys."""
+    """(doc_id, part, start, end): ranges of the repeats among contexts, by an index for every so many bytes of whole keys."""
 
-    def judge(keys: list, docs: list, at: list, data: list) -> pa.RecordBatch:
+    def judge(keys: list, docs: list, parts: list, at: list, data: list) -> list[tuple]:
         unique = sorted(set(docs))
         rank = {d: k for k, d in enumerate(unique)}
         order = sorted(range(len(keys)), key=lambda k: (rank[docs[k]], at[k]))
@@ -283,78 +311,93 @@ def _indexed(contexts: DataFrame, kind: str) -> DataFrame:
         out: list[tuple] = []
         for k, hit in zip(order, found, strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            out += [(docs[k], at[k] + int(a), at[k] + int(b) - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            out += [(docs[k], parts[k], at[k] + int(a), at[k] + int(b) - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, at, data, size, doc_kind = [], [], [], [], 0, None
+        held: list[list] = [[], [], [], [], []]
+        size, doc_kind = 0, None
 
         def flush() -> pa.RecordBatch:
-            out = judge(keys, docs, at, data) if keys else []
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], doc_kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["doc_id", "start", "end"])
+            out = judge(*held) if held[0] else []
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = [doc_kind, pa.int32(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "part", "start", "end"])
 
         for batch in batches:
             doc_kind = batch.schema.field(1).type
-            for k, d, p, b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if size >= INDEX_BYTES and k != keys[-1]:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if size >= INDEX_BYTES and row[0] != held[0][-1]:
                     yield flush()
-                    keys, docs, at, data, size = [], [], [], [], 0
-                keys.append(k)
-                docs.append(d)
-                at.append(p)
-                data.append(b)
-                size += len(b)
-        if keys:
+                    held, size = [[], [], [], [], []], 0
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+                size += len(row[4])
+        if held[0]:
             yield flush()
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"doc_id {kind}, start int, end int")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"doc_id {kind}, part int, start int, end int")
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, ranges): merged ranges of bytes, in order, that an earlier string of `LENGTH` bytes covers."""
-    rows = id_text(docs).filter("doc_id is not null and text is not null")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    groups = written(_read_groups(_anchor_rows(rows, kind), kind), "contexts")
-    plain = groups.filter("again").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end"))
-    indexed = _indexed(_fetched(rows, groups.filter("not again"), kind), kind)
-    found = plain.unionByName(indexed).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for found in batch.column(1).to_pylist():
-                merged: list[dict] = []
-                for r in found:
-                    if merged and r["start"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], r["end"])
-                    else:
-                        merged.append(r)
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "ranges"])
+def _by_string(strings: DataFrame) -> DataFrame:
+    """(doc_id, part, start, end) of strings that stand earlier too, known by two hashes of 64 bits: the least place of
+    each is found by partial aggregates and joined back, so that no task holds all places of a string."""
+    least = written(strings.groupBy("key", "bytes").agg(F.min(F.struct("doc_id", "at")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    again = strings.join(least, ["key", "bytes"]).filter((F.col("doc_id") != F.col("least.doc_id")) | (F.col("at") != F.col("least.at")))
+    return again.select("doc_id", "part", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
 
-    return written(found.mapInArrow(merge, f"doc_id {kind}, ranges array<struct<start:int,end:int>>"), "ranges")
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text): `part`, a hash of the text, keeps rows apart that share an id only."""
+    return id_text(docs).select("doc_id", F.hash("text").alias("part"), "text")
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, ranges): ranges of bytes, in order of their starts, that repeated strings of `LENGTH` bytes cover."""
+    texts = _texts(docs).filter("doc_id is not null and text is not null")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    groups = written(_read_groups(_anchor_rows(texts, kind), kind), "contexts")
+    firsts = groups.filter("not again")
+    many = written(firsts.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor", F.lit(True).alias("apart")), "frequent")
+    found = groups.filter("again").select("doc_id", "part", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end"))
+    if many.isEmpty():
+        fetched = _fetched(texts, firsts.withColumn("apart", F.lit(False)), kind)
+    else:
+        fetched = written(_fetched(texts, firsts.join(many, "anchor", "left").fillna(False, ["apart"]), kind), "fetched")
+        found = found.unionByName(_by_string(fetched.filter("apart")))
+    found = found.unionByName(_indexed(fetched.filter("not apart").select("key", "doc_id", "part", "at", "bytes"), kind))
+    return found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+
+def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for r in ranges or ():
+        if out and r["start"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], r["end"]))
+        else:
+            out.append((r["start"], r["end"]))
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): the bytes that stay, joined."""
-    rows = id_text(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = _texts(docs)
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, counts = [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, at, parts = (text or "").encode(), 0, []
-                for r in ranges or ():
-                    parts.append(data[at : r["start"]])
-                    at = r["end"]
+                data, at, parts, gone = (text or "").encode(), 0, [], merged(ranges)
+                for start, end in gone:
+                    parts.append(data[at:start])
+                    at = end
                 parts.append(data[at:])
                 kept.append(b"".join(parts))
-                counts.append((len(data), len(data) - len(kept[-1]), len(ranges or ())))
+                counts.append((len(data), len(data) - len(kept[-1]), len(gone)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = rows.join(repeated_ranges(docs), "doc_id", "left").select("doc_id", "text", "ranges")
+    joined = texts.join(repeated_ranges(docs), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(cut, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 

@@ -246,15 +246,16 @@ def test_darts_agree_as_often_as_weights_do():
 
 
 def plain_removed(rows, length):
-    seen, out = set(), {}
-    for doc, text in sorted(r for r in rows if r[0] is not None):
-        data, gone = (text or "").encode(), set()
+    """For each row: its bytes under a string that has an equal one at a smaller (doc_id, start)."""
+    first, out = {}, []
+    texts = [(doc, (text or "").encode()) for doc, text in rows]
+    for doc, data in texts:
         for p in range(len(data) - length + 1):
-            s = data[p : p + length]
-            if s in seen:
-                gone |= set(range(p, p + length))
-            seen.add(s)
-        out[doc] = gone
+            if doc is not None:
+                first[data[p : p + length]] = min(first.get(data[p : p + length], (doc, p)), (doc, p))
+    for doc, data in texts:
+        hits = [p for p in range(len(data) - length + 1) if doc is not None and first[data[p : p + length]] < (doc, p)]
+        out.append({k for p in hits for k in range(p, p + length)})
     return out
 
 
@@ -271,6 +272,11 @@ def test_repeats_of_a_group_equal_brute_force():
                     seen.add(c[p : p + length])
 
 
+def as_removed(rows, gone):
+    kept = [bytes(b for k, b in enumerate((t or "").encode()) if k not in g) for (_, t), g in zip(rows, gone, strict=True)]
+    return sorted(((d, k, len((t or "").encode()), len(g), sum(x - 1 not in g for x in g)) for (d, t), k, g in zip(rows, kept, gone, strict=True)), key=repr)
+
+
 @pytest.mark.parametrize("apart", [False, True])
 def test_substrings_equal_brute_force(spark, monkeypatch, apart):
     if apart:
@@ -279,18 +285,28 @@ def test_substrings_equal_brute_force(spark, monkeypatch, apart):
     base = [prose(60, k) for k in range(4)]
     rows = [(k, " ".join(base[j] if rng.random() < 0.7 else base[j][rng.randrange(50) :] for j in rng.sample(range(4), 2)) + prose(8, k)) for k in range(30)]
     rows += [(40, "ab" * 400), (41, "é" * 200), (42, None), (43, ""), (44, "x" * 99), (45, base[0])]
-    want = plain_removed(rows, 100)
-    for r in substrings.without_repeats(docs(spark, rows).repartition(3)).collect():
-        data = (dict(rows)[r["doc_id"]] or "").encode()
-        gone = want[r["doc_id"]]
-        assert r["kept"] == bytes(b for k, b in enumerate(data) if k not in gone)
-        assert (r["n_bytes"], r["n_removed"]) == (len(data), len(gone))
-        assert r["n_spans"] == len([k for k in gone if k - 1 not in gone])
+    # rows that repeat an id: equal ones, ones with other texts, and ones that hold the other's text later on
+    own = [prose(60, 90 + k) for k in range(3)]
+    rows += [(50, own[0])] * 3 + [(51, own[1]), (51, prose(9, 77) + own[1]), (51, own[1] + own[2])] + [(52, own[2])] * 2 + [(None, own[0])] * 2
+    got = sorted((tuple(r) for r in substrings.without_repeats(docs(spark, rows).repartition(3)).collect()), key=repr)
+    assert got == as_removed(rows, plain_removed(rows, 100))
+
+
+@pytest.mark.parametrize("most", [1, 5000])
+def test_a_string_in_very_many_contexts_is_cut_apart(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(substrings, "INDEX_BYTES", 1 << 12)
+    passage = prose(18, 3)
+    rows = [(k, f"{prose(6, 100 + k)} {passage} {prose(6, 400 + k)}") for k in range(300)]
+    got = sorted((tuple(r) for r in substrings.without_repeats(docs(spark, rows).repartition(5)).collect()), key=repr)
+    assert got == as_removed(rows, plain_removed(rows, 100)) and sum(r[3] > 90 for r in got) == 299
 
 
 def test_substrings_of_odd_rows(spark):
-    got = substrings.without_repeats(docs(spark, odd_rows())).collect()
-    assert len(got) == len(odd_rows())
+    rows = [r[:2] for r in odd_rows() if r[0] != 7] + [(7, prose(300, 7))] * 2
+    got = sorted((tuple(r) for r in substrings.without_repeats(docs(spark, rows)).collect()), key=repr)
+    assert got == as_removed(rows, plain_removed(rows, 100)) and [r[3] for r in got if r[0] == 7] == [0, 0]
+    assert len(substrings.without_repeats(docs(spark, odd_rows())).collect()) == len(odd_rows())
     assert substrings.without_repeats(docs(spark, [])).count() == 0
 
 
