@@ -296,7 +296,7 @@ def _fetched(texts: DataFrame, firsts: DataFrame, kind: str) -> DataFrame:
             kinds = [pa.int64(), pa.bool_(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "apart", "doc_id", "part", "at", "bytes"])
 
-    met = texts.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
+    met = texts.join(wanted.hint("merge"), ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
     return met.mapInArrow(cut, f"key bigint, apart boolean, doc_id {kind}, part int, at int, bytes binary")
 
 
@@ -397,7 +397,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 counts.append((len(data), len(data) - len(kept[-1]), len(gone)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(repeated_ranges(docs), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")
+    # without the hints a small table would be broadcast, though both grow with the input
+    joined = texts.join(repeated_ranges(docs).hint("merge"), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(cut, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
