@@ -1,21 +1,26 @@
 """Line deduplication by pairwise alignment.
 
-The owner of a line is the earliest document that holds it. A document is compared with the owner of every line that it
-shares with earlier ones, so a group of thousands of copies is compared with its first document, pair by pair, and no two
-of its members with one another; there are never more pairs than shared lines. A document and an owner are aligned by patience diff: lines that occur once in both, in the longest increasing order, are anchors,
-between which the search goes on. Aligned blocks of at least `MIN_WORDS` words are deleted from the later document. If
-shared lines are left, a suffix automaton of the owner finds all other blocks as long: those without an anchor, out of
-order, or standing several times in either document. So every line of that many words that an earlier document holds goes.
-The earliest copy of every line stays, as no earlier document can hold it.
+A run of lines is as short as `MIN_WORDS` words allow: it begins or ends at a line and takes in only as many more as it
+needs. Its owner is the earliest document that holds it. A document is compared with the owner of every run that it shares
+with earlier ones, so a group of thousands of copies is compared with its first document, pair by pair, and no two of its
+members with one another; there are never more pairs than shared runs. Every block of that many words is made of such runs,
+one beginning or ending at each of its lines, so each of its lines is in a run that the document's pairs cover.
+
+A document and an owner are aligned by patience diff: lines that occur once in both, in the longest increasing order, are
+anchors, between which the search goes on. Aligned blocks of at least `MIN_WORDS` words are deleted from the later document.
+If shared lines are left, a suffix automaton of the owner finds all other blocks as long: those without an anchor, out of
+order, or standing several times in either document. So a line goes if and only if it stands in a block of that many words
+that an earlier document holds too. The earliest copy of every block stays.
 
 Lines are compared without the white space around them; blank lines belong to no block and stay. Null texts stay null,
-empty ones empty; rows with a null id are left as they are. Rows that repeat an id are each other's copies in one
-document and lose the same lines.
+empty ones empty; rows with a null id are left as they are, and an empty table gives none. Rows that repeat an id are one
+document: they lose what earlier ones hold, each from its own text, and nothing for one another's sake. Other columns
+pass through; names that begin with two underscores and one of this module's own are taken.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -32,19 +37,46 @@ MIN_WORDS = 8
 COUNTS = ("__lines", "__lines_removed")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines, words): a hash and the number of words for each line, 0 for a blank one."""
-    rows = id_text(docs).filter("doc_id is not null")
+def shortest_runs(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
+    """A hash for each shortest run of enough words that begins or ends at a line; blank lines (0) are passed over."""
+    mine = [k for k, h in enumerate(hashes) if h]
+    out: set[int] = set()
+    upto = [0, *accumulate(words[k] for k in mine)]
+
+    def add(first: int, end: int) -> None:
+        h = hashes[mine[first]]
+        for k in range(first + 1, end):
+            h = (h * 0x9E3779B97F4A7C15 + hashes[mine[k]] + 1) & (1 << 64) - 1
+        out.add(h if h < 1 << 63 else h - (1 << 64))
+
+    for k in range(len(mine)):
+        if words[mine[k]] >= min_words:
+            out.add(hashes[mine[k]])
+            continue
+        end = bisect_left(upto, upto[k] + min_words, k + 1)
+        if end < len(upto):
+            add(k, end)
+        first = bisect_right(upto, upto[k + 1] - min_words, 0, k + 1) - 1
+        if first >= 0:
+            add(first, k + 1)
+    return list(out)
+
+
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, part, lines, words, runs): a hash and the number of words for each line, 0 for a blank one, and the hashes
+    of the shortest runs; `part`, a hash of the text, keeps rows apart that share an id only."""
+    rows = id_text(docs).filter("doc_id is not null").select("doc_id", F.hash("text").alias("part"), "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            split = [[line.strip() for line in t.encode().split(b"\n")] if t else [] for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, 1 << 20):
+            split = [[line.strip() for line in t.encode().split(b"\n")] if t else [] for t in batch.column(2).to_pylist()]
             hashes = [[(xxhash.xxh3_64_intdigest(line) or 1) - (1 << 63) if line else 0 for line in doc] for doc in split]
             words = [[len(line.split()) for line in doc] for doc in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "lines", "words"])
+            runs = [shortest_runs(h, w, min_words) for h, w in zip(hashes, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "part", "lines", "words", "runs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(emit, f"doc_id {kind}, lines array<bigint>, words array<int>")
+    return rows.mapInArrow(emit, f"doc_id {kind}, part int, lines array<bigint>, words array<int>, runs array<bigint>")
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -153,29 +185,33 @@ def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_w
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): the places of the lines that go, for documents that lose any."""
-    lines = written(line_table(docs), "lines")
+    """(doc_id, part, removed): the places of the lines that go, for texts that lose any."""
+    lines = written(line_table(docs, min_words), "lines")
     kind = lines.schema["doc_id"].dataType.simpleString()
-    own = lines.select("doc_id", F.explode("lines").alias("line")).filter("line <> 0")
-    held = own.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").drop("last")
-    pairs = written(own.join(held, "line").filter("owner < doc_id").select("doc_id", "owner").distinct(), "pairs")
-    of = lines.groupBy("doc_id").agg(F.first("lines").alias("lines"), F.first("words").alias("words"))  # once, if rows repeat an id
-    met = pairs.join(of, "doc_id").join(of.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs")), "owner").select("doc_id", "lines", "words", "theirs")
+    own = lines.select("doc_id", "part", F.explode("runs").alias("run"))
+    held = own.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last").drop("last")
+    held = written(held, "owners")  # so that the join's sides are plain shuffles, of which adaptive execution splits hot runs
+    pairs = own.join(held, "run").filter("owner < doc_id").select("doc_id", "part", "owner").distinct()
+    of = lines.groupBy("doc_id", "part").agg(F.first("lines").alias("lines"), F.first("words").alias("words"))  # once, if rows are repeated
+    theirs = lines.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs"))
+    met = written(pairs, "pairs").join(of, ["doc_id", "part"]).join(theirs, "owner").select("doc_id", "part", "lines", "words", "theirs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [repeated_lines(*r, min_words) for r in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "removed"])
+                found = [repeated_lines(*r, min_words) for r in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "part", "removed"])
 
-    found = met.mapInArrow(align, f"doc_id {kind}, removed array<int>").filter(F.size("removed") > 0)
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    found = met.mapInArrow(align, f"doc_id {kind}, part int, removed array<int>").filter(F.size("removed") > 0)
+    return found.groupBy("doc_id", "part").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents with `text` less those lines, and two columns more under names that can't clash: how many lines there were and went."""
-    joined = docs.join(removed.withColumnRenamed("removed", "__removed"), "doc_id", "left").select(*docs.columns, "__removed")
+    gone = removed.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part"), F.col("removed").alias("__removed"))
+    mine = (F.col("doc_id") == F.col("__id")) & (F.hash(F.col("text").cast("string")) == F.col("__part"))
+    joined = docs.join(gone, mine, "left").select(*docs.columns, "__removed")
     names = joined.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +235,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents less repeated lines; one that loses every line with a word goes."""
+    """Pipeline stage: the documents less repeated lines; one that loses every line with a word goes. Null and empty texts,
+    rows with a null id and an empty table stay as they are, and rows that repeat an id are treated alike."""
     cut = without_lines(docs, removed_lines(docs)).filter((F.col(COUNTS[1]) == 0) | F.col("text").rlike(r"[^\s]")).drop(*COUNTS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
