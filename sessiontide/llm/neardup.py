@@ -1,10 +1,11 @@
 """Near-duplicate documents by DartMinHash signatures.
 
-The elements of a document are its runs of five words (a shorter text is one run). Each element owns a region of its
-weight, into which darts are thrown by a hash: the same darts in every document. A document keeps, for each of its
-`BANDS * ROWS` coordinates, the dart of earliest rank that lands inside its elements' regions; two documents agree in a
-coordinate with the probability of their weighted Jaccard similarity. Weights are 1 per distinct run by default, which
-makes that the Jaccard similarity of the sets of runs; `weighting="count"` weighs a run by its occurrences.
+The elements of a document are its runs of five words (a shorter text is one run), weighed by how often they occur. Each
+element owns a region of its weight, into which darts are thrown by a hash: the same darts in every document. A document
+keeps, for each of its `BANDS * ROWS` coordinates, the dart of earliest rank that lands inside its elements' regions; two
+documents agree in a coordinate with the probability of their weighted Jaccard similarity, the sum of the smaller weights
+over that of the larger ones. `weighting="set"` weighs every different run 1. To verify pairs, the second, third ...
+occurrence of a run counts as an element of its own, so the same similarity is that of two sets.
 
 Documents that agree in a band share a bucket. Copies of one word sequence are represented by the least id before that.
 In each bucket the member of least hash is compared with the others by the exact similarity. Members that this leaves in
@@ -13,7 +14,8 @@ is a row, and only links come out. So no link between two texts of a bucket is l
 texts are mostly done with after the first step. At similarity 0.8 a pair misses all buckets with a probability of 3e-6.
 
 A null or empty text is in a class of its own, as is a row with a null id (its class is null). Rows that repeat an id
-share a class.
+share a class; if their texts differ, the greatest text is compared with those that share a bucket with any of them. An empty table gives no
+rows. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -74,6 +76,23 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tupl
     return np.concatenate(out), np.concatenate(rows)
 
 
+def counted(elements: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's different elements, in order of row, and how often they occur in it."""
+    order = np.lexsort((elements, rows))
+    elements, rows = elements[order], rows[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(rows), 1), bool), (elements[1:] != elements[:-1]) | (rows[1:] != rows[:-1])]))
+    return elements[starts], rows[starts], np.diff(np.append(starts, len(rows)))
+
+
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A different hash for each occurrence of an element, the element's own for its first."""
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.repeat(elements, counts)
+    later = nth > 0
+    out[later] = mixed(out[later] + nth[later].astype(np.uint64) * ODD[1])
+    return out
+
+
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, count: int, k: int) -> np.ndarray:
     """(count, k) darts; a row without elements has zeros. An element may occur twice in a row: its darts are the same.
 
@@ -126,18 +145,15 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray,
             return sig.reshape(count, k)
 
 
-def signatures(docs: DataFrame, weighting: str = "set") -> DataFrame:
+def signatures(docs: DataFrame, weighting: str = "count") -> DataFrame:
     """(doc_id, copy_key, buckets): the key is equal for equal word sequences; no buckets without words."""
     rows = id_text(docs).filter("doc_id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 20):
             hashes, starts = word_hashes(batch.column(1))
-            elements, row = shingles(hashes, starts)
-            weights = np.ones(len(elements))
-            if weighting == "count" and len(elements):
-                pairs, weights = np.unique(np.column_stack([row.astype(np.uint64), elements]), axis=0, return_counts=True)
-                row, elements, weights = pairs[:, 0].astype(np.int64), pairs[:, 1], weights.astype(float)
+            elements, row, count = counted(*shingles(hashes, starts))
+            weights = count.astype(float) if weighting == "count" else np.ones(len(elements))
             sig = dart_signatures(elements, weights, row, batch.num_rows, BANDS * ROWS).reshape(-1, BANDS, ROWS)
             band = sum(mixed(sig[:, :, r] + ODD[r % 5]) * (ODD[r % 5] + np.uint64(2 * r)) for r in range(ROWS))
             bucket = mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64) * ODD[0]).view(np.int64)
@@ -150,17 +166,17 @@ def signatures(docs: DataFrame, weighting: str = "set") -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {kind}, copy_key binary, buckets array<bigint>")
 
 
-def element_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, elements): each different run of words once."""
+def element_sets(docs: DataFrame, weighting: str = "count") -> DataFrame:
+    """(doc_id, elements): the occurrences of its runs of words, or each different run once."""
     rows = id_text(docs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            elements, row = shingles(*word_hashes(batch.column(1)))
-            order = np.argsort(row, kind="stable")
-            cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-            own = [np.unique(elements[order[a:b]]).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(o) for o in own]).astype(np.int32)), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+        for batch in slices(batches, 1 << 20):
+            elements, row, count = counted(*shingles(*word_hashes(batch.column(1))))
+            if weighting == "count":
+                elements, row = occurrences(elements, count), np.repeat(row, count)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "elements"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -251,7 +267,7 @@ def _across(rest: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float
     return keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "count") -> DataFrame:
     """(doc_id, class_id): one row per document; class_id is the least id of the documents linked to it, itself included."""
     signed = written(signatures(docs, weighting), "signed")
     copies = signed.filter("copy_key is not null").groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
@@ -259,10 +275,12 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, weighting: str
     reps = copies.select("rep", F.explode("buckets").alias("bucket"))
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))
     shared = reps.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    members = written(reps.join(shared, "bucket").select("bucket", "n", "rep", F.col("first.rep").alias("centre")), "members")
+    shared = written(shared.select("bucket", F.col("first.rep").alias("centre")), "buckets")  # so that adaptive execution can split hot buckets in the join
+    members = written(reps.join(shared, "bucket").select("bucket", "rep", "centre"), "members")
     kind = signed.schema["doc_id"].dataType.simpleString()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(element_sets(id_text(docs).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    texts = id_text(docs).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    sets = written(element_sets(texts, weighting), "sets")
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     links = written(_similar(members.filter("rep <> centre").select(*ends("rep", "centre")).distinct(), sets, threshold), "similar")
