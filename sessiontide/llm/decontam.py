@@ -1,17 +1,18 @@
 """Benchmark decontamination: word runs find passages, Smith-Waterman alignment of words scores them.
 
-1. Every run of three words of a test item is a seed, so three words left in place are enough, however common they are.
-   A copy with no three words in a row left is not looked for.
-2. Documents are searched for seeds; around them a passage as long as an alignment over the threshold may need is cut
-   out, overlapping ones as one. A bit table of bounded size spares all other runs; what passes it by chance finds no
-   partner in the join.
+1. Every run of three words of a test item is a seed, so three words left in place are enough, however common they are;
+   an item of one or two words is one run. A copy with no three words in a row left is not looked for.
+2. Documents are searched for seeds; around them passages as long as an alignment over the threshold may need are cut
+   out, overlapping ones as one up to a few times that length. A bit table of bounded size spares all other runs; what
+   passes it by chance finds no partner in the join.
 3. Passage and item are joined on the seed and aligned: a word that agrees counts 2, one that differs or is left out
    costs 1. The score is the best local alignment's share of what the whole item would count. Pairs are spared the
    alignment only if the words they share cannot reach the threshold in any order.
 
-Words are compared in lower case without the punctuation around them. Null and empty texts, and items without a word,
-match nothing; items of fewer than three words have no run and are not searched for. Rows that repeat an id count as one document, with the
-best score of any.
+Words are compared in lower case without the punctuation around them. Null and empty texts, items without a word and
+items with a null id match nothing, and an empty table on either side gives no rows. A document with a null id is aligned
+like any other. Rows that repeat an id count as one document, with the best score of any; of equal scores the earliest
+place counts. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -39,9 +40,8 @@ def plain(text: str | None) -> list[str]:
     return [w for x in (text or "").split() if (w := x.strip(EDGE).lower())]
 
 
-def word_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Hash of the run that begins at each word (0 where the text has no whole run), the rows' starts, the different
-    words, and the number of each place's word."""
+def word_places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The hash of each place's word, the rows' starts, the different words, and the number of each place's word."""
     lists = pc.utf8_split_whitespace(pc.fill_null(text, ""))
     flat = lists.flatten().dictionary_encode()
     words = [w.strip(EDGE).lower() for w in flat.dictionary.to_pylist()]
@@ -49,28 +49,36 @@ def word_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.nda
     number, starts = flat.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     keep = np.array([bool(w) for w in words] or [False])[number]
     starts, number = np.concatenate([[0], np.cumsum(keep)])[starts], number[keep]
-    h, n = hashes[number], np.diff(starts)
+    return hashes[number], starts, words, number
+
+
+def word_runs(h: np.ndarray, starts: np.ndarray, length: int = RUN) -> np.ndarray:
+    """Hash of the run of so many words that begins at each place, 0 where the text ends before."""
     runs = np.zeros(len(h), np.uint64)
-    if len(h) >= RUN:
-        mixed = sum(h[k : len(h) - RUN + 1 + k] * FACTORS[k] for k in range(RUN))
-        row = np.repeat(np.arange(len(n)), n)
-        whole = row[: len(mixed)] == row[RUN - 1 :]
+    if len(h) >= length:
+        mixed = sum(h[k : len(h) - length + 1 + k] * FACTORS[k] for k in range(length)) + np.uint64(RUN - length)
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        whole = row[: len(mixed)] == row[length - 1 :]
         runs[: len(mixed)] = np.where(whole, mixed ^ (mixed >> np.uint64(29)), 0)
-    return runs, starts, words, number
+    return runs
 
 
 def item_runs(items: DataFrame) -> DataFrame:
-    """(item_id, run, pos, size) of the benchmark's items."""
+    """(item_id, run, size) of the benchmark's items; an item of fewer than `RUN` words has one run."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            runs, starts, words, number = word_runs(batch.column(1))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            some = runs != 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(runs[some].view(np.int64)), pa.array((np.arange(len(row)) - starts[row])[some].astype(np.int32)), pa.array(np.diff(starts)[row][some].astype(np.int32))], ["item_id", "run", "pos", "size"])
+            h, starts, _, _ = word_places(batch.column(1))
+            n = np.diff(starts)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            for length in range(1, RUN + 1):
+                some = (n[row] >= RUN) if length == RUN else (n[row] == length)
+                runs = word_runs(h, starts, length)
+                some &= runs != 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(runs[some].view(np.int64)), pa.array(n[row][some].astype(np.int32))], ["item_id", "run", "size"])
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    return items.mapInArrow(emit, f"item_id {kind}, run bigint, pos int, size int")
+    return items.mapInArrow(emit, f"item_id {kind}, run bigint, size int")
 
 
 class Sieve:
@@ -82,27 +90,38 @@ class Sieve:
             self.bits *= 2
         self.table = np.zeros(self.bits // 64, np.uint64)
         word = F.shiftrightunsigned("run", 6).bitwiseAND(F.lit(self.bits // 64 - 1))
-        for r in runs.select(word.alias("w"), F.expr("shiftleft(1L, cast(run & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-            self.table[r["w"]] = np.uint64(r["b"] & (1 << 64) - 1)
+        bit = F.expr("shiftleft(1L, cast(run & 63 as int))")
+        got = runs.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
 
     def passes(self, runs: np.ndarray) -> np.ndarray:
         word = self.table[((runs >> np.uint64(6)) & np.uint64(self.bits // 64 - 1)).astype(np.int64)]
         return ((word >> (runs & np.uint64(63))) & np.uint64(1)).astype(bool) & (runs != 0)
 
 
-def passages(docs: DataFrame, sieve: Sieve, reach: int) -> DataFrame:
-    """(doc_id, at, words, runs): parts of documents within `reach` words of a run that passes, and those runs."""
+def passages(docs: DataFrame, sieve: Sieve, reach: int, lengths: list[int]) -> DataFrame:
+    """(doc_id, at, words, runs): parts of documents within `reach` words of a run that passes, and those runs. A part is at
+    most three times `reach` long; longer ones are cut so that any `reach` words in a row are whole in one of them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            runs, starts, words, number = word_runs(batch.column(1))
+        for batch in slices(batches, 1 << 20):
+            h, starts, words, number = word_places(batch.column(1))
             ids, out = batch.column(0).to_pylist(), []
-            hits = np.flatnonzero(sieve.passes(runs))
-            rows = np.searchsorted(starts, hits, "right") - 1
-            breaks = np.flatnonzero((np.diff(rows) != 0) | (np.diff(hits) > 2 * reach + RUN)) + 1
-            for own, r in zip(np.split(hits, breaks), rows[np.concatenate([[0], breaks])] if len(hits) else [], strict=False):
-                a, b = max(starts[r], own[0] - reach), min(starts[r + 1], own[-1] + RUN + reach)
-                out.append((ids[r], int(a - starts[r]), " ".join(words[k] for k in number[a:b]), np.unique(runs[own]).view(np.int64).tolist()))
+            found = [word_runs(h, starts, n) for n in lengths]
+            passed = [np.flatnonzero(sieve.passes(r)) for r in found]
+            places, runs = np.concatenate(passed), np.concatenate([r[p] for r, p in zip(found, passed, strict=True)])
+            order = np.argsort(places, kind="stable")
+            places, runs = places[order], runs[order].view(np.int64)
+            rows = np.searchsorted(starts, places, "right") - 1
+            edges = np.flatnonzero((np.diff(rows) != 0) | (np.diff(places) > 2 * reach + RUN)) + 1
+            for x, y in zip([0, *edges], [*edges, len(places)], strict=True) if len(places) else ():
+                r = rows[x]
+                a, b = max(starts[r], places[x] - reach), min(starts[r + 1], places[y - 1] + RUN + reach)
+                for c in range(a, max(a + 1, b - reach), reach) if b - a > 3 * reach else (a,):
+                    d = min(b, c + 2 * reach) if b - a > 3 * reach else b
+                    m, n = np.searchsorted(places[x:y], [c, d]) + x
+                    if n > m:
+                        out.append((ids[r], int(c - starts[r]), " ".join(words[k] for k in number[c:d]), np.unique(runs[m:n]).tolist()))
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "at", "words", "runs"])
 
@@ -148,17 +167,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, start, end): the best passage of each document for each item it holds; places are words."""
     rows, items = id_text(docs), id_text(benchmark, "item_id", "text").filter("doc_id is not null")
     of_items = written(item_runs(items), "item-runs")
-    size = of_items.agg(F.count("*").alias("n"), F.max("size").alias("size")).first()
+    size = of_items.agg(F.count("*").alias("n"), F.max("size").alias("size"), F.collect_set(F.least("size", F.lit(RUN))).alias("lengths")).first()
     kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start int, end int"
     if not size["n"]:
         return docs.sparkSession.createDataFrame([], schema)
     seeds = of_items.select("item_id", "run").distinct()
     reach = int((3 - 2 * threshold) * size["size"])  # words of a passage that an alignment over the threshold spans at most
-    found = written(passages(rows, Sieve(seeds.select("run").distinct(), size["n"]), reach), "passages")
-    pairs = found.select("doc_id", "at", F.explode("runs").alias("run")).join(seeds, "run").select("doc_id", "at", "item_id").distinct()
+    sieve = Sieve(seeds.select("run").distinct(), size["n"])
+    # a number of its own for each passage, as rows may repeat an id or have none
+    found = written(passages(rows, sieve, max(reach, RUN), sorted(size["lengths"])).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    pairs = found.select("passage", F.explode("runs").alias("run")).join(seeds, "run").select("passage", "item_id").distinct()
     texts = items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item"))
-    both = pairs.join(found.select("doc_id", "at", "words"), ["doc_id", "at"]).join(texts, "item_id").select("doc_id", "item_id", "at", "words", "item")
+    both = pairs.join(found.select("passage", "doc_id", "at", "words"), "passage").join(texts, "item_id").select("doc_id", "item_id", "at", "words", "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(1 << 10)
@@ -171,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 return -1.0, 0, 0
             return alignment(" ".join(words), passage)
 
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out = [rated(i, w) for i, w in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.float64()), *(pa.array((np.array([o[k] for o in out], np.int64) + at).astype(np.int32)) for k in (1, 2))], ["doc_id", "item_id", "score", "start", "end"])
@@ -186,6 +207,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no test item."""
+    """Pipeline stage: the documents that hold no test item. Null and empty texts hold none, and rows with a null id stay as
+    they can't be named; rows that repeat an id go together. An empty table or benchmark takes nothing away."""
     leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
