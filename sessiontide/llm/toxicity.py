@@ -1,15 +1,17 @@
 """Toxicity scores of restored text, by noisy-channel deobfuscation.
 
 1. A trigram model of characters is counted over every document; its table is bounded by the alphabet.
-2. A suspicious token (digits or symbols among letters, letters held down, letters set apart) becomes a lattice: a
-   symbol may stand for the letters it resembles, a run for one or two letters, a separator for nothing, and between
-   spaced letters a word may end. Viterbi takes the path of least channel cost and greatest model probability.
+2. A suspicious token (digits or symbols among or around letters, letters held down, letters set apart) becomes a lattice:
+   a symbol may stand for the letters it resembles, a run for one or two letters, a separator for nothing, and between spaced letters a word may end. Viterbi takes the path of least channel cost and greatest model
+   probability. Tokens of over `PIECE` characters are decoded in pieces, so the work grows with their length. Neighbours
+   that a word of the lexicon was split into are joined if the model finds the word likelier than the pieces.
 3. Words and beginnings of words in the restored text that labelled rows show to be toxic make a lexicon; a logistic
    model over the strongest of them in a text gives the score. Lexicon and model learn from separate halves of a
    bounded sample of the rows that may be learned from.
 
 Null and empty texts have no words and get the score that the model gives to none. Without labels of both kinds
-every score is 0. Repeated rows get a row each, and texts are read to their end however long they are.
+every score is 0. Repeated rows and rows with a null id get a row each, an empty table none, and texts are read to their
+end however long they are. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, labelled_sample, slices, table
+from .common import held_out, id_text, labelled_sample, slices, table, written
 
 #: Labelled rows that lexicon and model may learn from, and the most lexicon entries.
 SAMPLE_ROWS, LEXICON = 16000, 20000
@@ -37,10 +39,16 @@ CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 #: Channel costs in nats: a symbol for a letter, a run of three or more, a doubled letter meant once, a dropped sign, a symbol that is nothing.
 SYMBOL, HELD, DOUBLED, DROPPED, LOST = 0.7, 0.5, 3.0, 0.3, 4.0
 EDGE = ".,;:!?\"'()[]{}<>*#%&$@|-_~^/\\`=+"
-SUSPICIOUS = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|(.)\1(?:\1|(.)\2)|\w[.\-_*'~^/]\w[.\-_*'~^/]\w")
+SYMBOLS = "@$!|+(€£*#"
+DIGIT_OR_SYMBOL = re.compile(r"[0-9@$!|+(€£*#]")
+HELD_DOWN = re.compile(r"(.)\1(?:\1|(.)\2)")
+SET_APART = re.compile(r"\w[.\-_*'~^/]\w[.\-_*'~^/]\w")
 PIECES = re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
 BEGINNINGS = (4, 5, 6, 7)
 SHOWN = 5  # strongest words of a text that the model sees
+#: Characters of a token that are decoded at once, and of those that are remembered; joined neighbours have two letters at least.
+PIECE, REMEMBERED, LEAST_PART = 256, 64, 2
 
 
 def _codes() -> np.ndarray:
@@ -65,8 +73,8 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
 
     counts = np.zeros(SIZE**3)
-    for r in rows.mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():  # SIZE**3 rows at most
-        counts[r["code"]] = r["n"]
+    got = rows.mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # SIZE**3 rows at most
+    counts[got["code"].to_numpy()] = got["n"].to_numpy()
     return counts.reshape(SIZE, SIZE, SIZE)
 
 
@@ -88,16 +96,13 @@ def decode(text: str, model: list[float], spaced: bool = False) -> str:
             end += 1
         run, at = end - at, end
         meant = [(ch, 0.0)] if ch in CODE else [(c, SYMBOL * run) for c in RESEMBLES.get(ch, "")]
-        lost = DROPPED if ch in SEPARATORS else LOST * min(run, 2) if ch not in CODE else None
+        if len(meant) > 2 and text[max(0, end - run - 1) : end - run] not in CODE and text[end : end + 1] not in CODE:
+            meant = []  # a masked letter stands beside a known one
+        lost = None if ch in CODE else DROPPED if ch in SEPARATORS else LOST * min(run, 2)
         times = ((1, 0.0),) if run == 1 else ((1, DOUBLED), (2, 0.0)) if run == 2 else ((1, HELD), (2, HELD))
         if spaced and run == 2:
             times = ((1, DOUBLED / 2), (2, 0.0))
         new: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def offer(state: tuple[int, int], score: float, out: str, new=new) -> None:
-            if state not in new or score > new[state][0]:
-                new[state] = (score, out)
-
         if spaced:
             for (p, q), (s, out) in list(states.items()):
                 if q:
@@ -112,25 +117,38 @@ def decode(text: str, model: list[float], spaced: bool = False) -> str:
                     for _ in range(n):
                         score += model[(a * SIZE + b) * SIZE + k]
                         a, b = b, k
-                    offer((a, b), score, out + c * n)
-            if lost is not None:
-                offer((p, q), s - lost, out)
+                    if (a, b) not in new or score > new[a, b][0]:
+                        new[a, b] = (score, out + c * n)
+            if lost is not None and ((p, q) not in new or s - lost > new[p, q][0]):
+                new[p, q] = (s - lost, out)
         states = new or states
     return max((s + model[(p * SIZE + q) * SIZE], out) for (p, q), (s, out) in states.items())[1]
 
 
+def suspicious(core: str) -> bool:
+    return bool(DIGIT_OR_SYMBOL.search(core) and LETTER.search(core) or HELD_DOWN.search(core) or SET_APART.search(core))
+
+
+def cuts(token: str) -> list[str]:
+    return [token[k : k + PIECE] for k in range(0, len(token), PIECE)]
+
+
 def restored(token: str, model: list[float]) -> list[str]:
     """The words that a lower-case token holds, obfuscated ones restored."""
     core = token.strip(EDGE)
-    if core.isalpha() and not SUSPICIOUS.search(core):
-        words = [core]
-        if token[:1] in "@$" and token[1:2] == core[:1]:
-            words.append(decode(token[0] + core, model))
-        return words
-    words = PIECES.findall(core)
-    if words and SUSPICIOUS.search(core):
-        lead = token[0] if token[:1] in "@$" and token[1:2] == core[:1] else ""
-        words += PIECES.findall(decode(lead + core, model))
+    words = [core] if core.isalpha() else PIECES.findall(core)
+    if core and suspicious(core):
+        for piece in cuts(core):
+            words += PIECES.findall(decode(piece, model))
+    # signs around the core that may be letters: the whole is decoded too
+    start = token.find(core) if core else 0
+    lead, tail = token[:start], token[start + len(core) :]
+    while lead and lead[0] not in SYMBOLS:
+        lead = lead[1:]
+    while tail and tail[-1] not in SYMBOLS:
+        tail = tail[:-1]
+    if core and (lead or tail) and len(core) <= PIECE and LETTER.search(core):
+        words += PIECES.findall(decode(lead[-3:] + core + tail[:3], model))
     return words
 
 
@@ -139,28 +157,48 @@ def features(word: str) -> list[str]:
 
 
 class Reader:
-    """Splits texts into tokens, column by column, and looks each different token up once."""
+    """Splits texts into tokens, column by column, and looks each different token up once. With a lexicon, neighbours that
+    one of its words was split into are found too."""
 
-    def __init__(self, model: list[float], of_words):
+    def __init__(self, model: list[float], of_words, lexicon: dict[str, float] | None = None):
         self.model = model
-        self.value = lru_cache(1 << 18)(lambda token: of_words(restored(token, model)))
-        self.spaced = lambda letters: of_words(decode(letters, model, True).split())
+        look = lambda token: of_words(restored(token, model))
+        remembered = lru_cache(1 << 18)(look)
+        self.value = lambda token: remembered(token) if len(token) <= REMEMBERED else look(token)
+        self.spaced = lambda letters: [w for piece in cuts(letters) for w in decode(piece, model, True).split()]
+        self.of_words = of_words
+        whole = [w for w in lexicon or () if w[0] != "^"]
+        self.parts = {(w[:k], w[k:]): w for w in whole for k in range(LEAST_PART, len(w) - LEAST_PART + 1)}
+        self.first = {a for a, _ in self.parts}
+
+    def log(self, text: str) -> float:
+        codes = [0, 0, *(CODE.get(c, 0) for c in text), 0]
+        return sum(self.model[(a * SIZE + b) * SIZE + c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
 
     def read(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list, list]:
-        """Row and number of each token, the values by number, and (row, value) of runs of single letters."""
+        """Row and number of each token, the values by number, and (row, value) of runs of single letters and of joined neighbours."""
         lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(text, "")))
         flat = lists.flatten().dictionary_encode()
         number = flat.indices.to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         tokens = flat.dictionary.to_pylist()
-        single = np.array([len(t) == 1 and (t in CODE or t in RESEMBLES) for t in tokens], bool)[number] if tokens else np.zeros(0, bool)
-        step = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         runs = []
+        if not tokens:
+            return row, number, [], runs
+        single = np.array([len(t) == 1 and (t in CODE or t in RESEMBLES) for t in tokens], bool)[number]
+        step = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         for a, b in zip(step[::2], step[1::2], strict=True):
-            for r in np.unique(row[a:b]) if b - a >= 4 else ():  # a run ends with its document
+            for r in np.unique(row[a:b]) if b - a >= 3 else ():  # a run ends with its document
                 own = number[a:b][row[a:b] == r]
-                if len(own) >= 4:
-                    runs.append((int(r), self.spaced("".join(tokens[k] for k in own))))
+                if len(own) >= 3:
+                    runs.append((int(r), self.of_words(self.spaced("".join(tokens[k] for k in own)))))
+        if self.parts:
+            cores = [t.strip(EDGE) for t in tokens]
+            for k in np.flatnonzero(np.array([c in self.first for c in cores], bool)[number[:-1]] & (row[1:] == row[:-1])):
+                a, b = cores[number[k]], cores[number[k + 1]]
+                word = self.parts.get((a, b))
+                if word and self.log(word) > self.log(a) + self.log(b):
+                    runs.append((int(row[k]), self.of_words([word])))
         return row, number, [self.value(t) for t in tokens], runs
 
 
@@ -244,14 +282,14 @@ def heaviest(lexicon: dict[str, float]):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[float], dict[str, float], np.ndarray] | None:
     model = log_model(count_trigrams(docs))
-    sample = labelled_sample(docs, labels.filter(~held_out()), "toxic", rows, 1)
+    sample = written(labelled_sample(docs, labels.filter(~held_out()), "toxic", rows, 1), "labelled")  # read three times
     half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3))
     lexicon = lexicon_of(sample.filter(half < 2), model)
     if not lexicon:
         return None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model, heaviest(lexicon))
+        reader = Reader(model, heaviest(lexicon), lexicon)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(evidence(batch.column(0), reader).tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -268,8 +306,8 @@ def score(docs: DataFrame, fitted: tuple[list[float], dict[str, float], np.ndarr
     rows = id_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(fitted[0], heaviest(fitted[1])) if fitted else None
-        for batch in slices(batches):
+        reader = Reader(fitted[0], heaviest(fitted[1]), fitted[1]) if fitted else None
+        for batch in slices(batches, 1 << 20):
             p = np.zeros(batch.num_rows)
             if fitted:
                 x = evidence(batch.column(1), reader)
