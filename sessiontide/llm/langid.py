@@ -5,13 +5,14 @@ bytes; each filter's greatest response in the window, above zero, goes to a soft
 windows' probabilities are averaged over the whole text, weighted by bytes. Training is numpy on the driver over a
 bounded sample of labelled passages, balanced over the languages; scoring is one pass over all rows without a shuffle.
 
-Null texts, and texts without a letter, are ``und`` with score 0, and so is everything if nothing is labelled. Rows
-with a null language teach nothing. Ties go to the language first in order of name. Repeated rows get a row each.
+Null texts, and texts without a letter (Unicode category L), are ``und`` with score 0, and so is everything if nothing is
+labelled. Rows with a null language teach nothing. Ties go to the language first in order of name. Repeated rows and rows
+with a null id get a row each, an empty table none. Only id, text and, to learn, the language are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, id_text, slices, table
 
-#: Passages of `PASSAGE` characters per language that training may see, and the most languages there may be.
-PER_LANGUAGE, PASSAGE, MOST_LANGUAGES = 1500, 600, 400
+#: Passages of `PASSAGE` characters that training may see: of a language, and of all, if there are so many languages.
+PER_LANGUAGE, PASSAGE, MOST_PASSAGES = 1500, 600, 600_000
 WIDTH, FILTERS, WIDTHS, STEPS = 192, 8, (2, 3, 4), 1000
 PLACES = WIDTH - max(WIDTHS) + 1
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteNet:
@@ -102,13 +102,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     """The passages are picked by a hash of the id, so many for each language, from anywhere in the text."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = dict(known.groupBy("lang").count().toArrow().to_pandas().itertuples(index=False))  # a row a language
     if not counts:
         return None
-    number = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    key = (F.xxhash64("doc_id", F.lit(4)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * number[F.col("lang")]
+    per_language = max(1, min(per_language, MOST_PASSAGES // len(counts)))
+    known = known.join(F.broadcast(docs.sparkSession.createDataFrame(list(counts.items()), "lang string, number long")), "lang")
+    key = (F.xxhash64("doc_id", F.lit(4)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("number")
     start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - PASSAGE // 2, F.lit(1))) + 1
     rows = known.select("doc_id", "lang", key.alias("key"), F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"))
     # the key is even from 0 to the language's count: below the number wanted there are about so many
@@ -137,7 +136,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
         for batch in slices(batches, 1 << 20):
             texts = batch.column(1).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            some = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if net else []
+            some = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
             if some:
                 parts = [texts[k].encode() for k in some]
                 windows = [cut(p) for p in parts]
