@@ -13,6 +13,8 @@ from sessiontide.llm.quality import keep_good
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, without their ids. Null and empty texts are one id each, rows that repeat an
+    id or have none are packed each by itself, and an empty table gives no pieces."""
     return pack(docs, with_ids=False)
 
 
@@ -29,6 +31,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table `documents`, each written and read again before the next; the rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
