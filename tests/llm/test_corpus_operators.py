@@ -3,13 +3,14 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from fixtures import SMALL, docs, odd_rows, prose
 
 import corpus_pipeline
-from sessiontide.llm import components, decontam, lines, neardup, packing, substrings
+from sessiontide.llm import components, decontam, lines, neardup, packing, quality, substrings
 
 
 @pytest.mark.parametrize("partitions", [5, 20])
@@ -18,7 +19,7 @@ def test_packing_round_trip(spark, partitions):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    rows = [(k, t) for k, t in [(r[0], r[1]) for r in odd_rows() if r[0]] if k != 7] + [(20, "It's <|endoftext|> ÀÉ́ don't x ¼ ﬁ"), (21, prose(9000, 3))]
+    rows = [(k, t) for k, t in [(r[0], r[1]) for r in odd_rows()] if k != 7] + [(20, "It's <|endoftext|> ÀÉ́ don't x ¼ ﬁ"), (21, prose(9000, 3))]
     source = docs(spark, rows).repartition(partitions)
     pieces = packing.pack(source, size=256, windows=4).collect()
     by_doc, by_seq = {}, {}
@@ -76,6 +77,28 @@ def test_leaks_are_found_and_others_left(spark):
     assert decontam.contaminated(docs(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_short_items_repeated_ids_and_ties(spark):
+    items = [(1, "Zebra!"), (2, "quick zebra"), (3, prose(20, 1)), (4, ""), (5, None), (None, "lone")]
+    rows = [(1, "a zebra."), (2, "the QUICK, zebra ran"), (3, "quick brown zebra"), (4, prose(30, 9)), (5, None), (6, "")]
+    rows += [(7, "x y"), (7, f"{prose(5, 4)} {prose(20, 1)} {prose(5, 5)} {prose(20, 1)}"), (7, "zebra"), (None, "lone zebra")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["start"], r["end"]) for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {(1, 1): (1.0, 1, 2), (2, 1): (1.0, 2, 3), (2, 2): (1.0, 1, 3), (3, 1): (1.0, 2, 3), (7, 1): (1.0, 0, 1), (7, 3): (1.0, 5, 25), (None, 1): (1.0, 1, 2)}
+
+
+def test_long_passages_are_cut_without_loss(spark):
+    """A text full of common runs, so that its passages would be one, with copies anywhere in it."""
+    rng = random.Random(21)
+    items = [(k, " ".join(["of the and"] + prose(14, 60 + k).split() + ["of the and"])) for k in range(8)]
+    text = []
+    for _ in range(60):
+        text += ["of", "the", "and"] + (items[rng.randrange(8)][1].split() if rng.random() < 0.2 else prose(rng.randrange(1, 9), rng.randrange(10**6)).split())
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["item_id"]: r["score"] for r in decontam.contaminated(docs(spark, [(1, " ".join(text))]), benchmark).collect()}
+    want = {k: plain_alignment(t.split(), text) / (2 * len(t.split())) for k, t in items}
+    assert got == {k: v for k, v in want.items() if v >= 0.4} and 1.0 in got.values()
+
+
 def test_no_alignment_scores_more_than_most():
     rng = random.Random(13)
     for _ in range(400):
@@ -169,16 +192,41 @@ def test_repeated_lines_equal_brute_force():
     assert lines.repeated_lines([6, 3, 5], [9] * 3, [5, 4, 6]) == [0, 2]
 
 
-def test_every_line_held_earlier_goes(spark):
-    rng = random.Random(12)
-    pool = [prose(rng.choice([8, 9, 12]), 500 + k) for k in range(25)]
-    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.6 else prose(9, 1000 + 50 * k + j) for j in range(rng.randrange(1, 25)))) for k in range(40)]
-    first, want = {}, {}
-    for k, text in rows:
-        for j, line in enumerate(text.split("\n")):
-            if first.setdefault(line, k) < k:
-                want.setdefault(k, []).append(j)
-    assert {r["doc_id"]: r["removed"] for r in lines.removed_lines(docs(spark, rows)).collect()} == want
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_equal_brute_force(spark, seed):
+    """Every document against every earlier one: lines of one to twelve words, blocks that only several lines make long enough."""
+    rng = random.Random(seed)
+    pool = [prose(n, 500 + k) for k, n in enumerate([1, 2, 3, 4, 5, 5, 7, 8, 9, 12] * 2)]
+    blocks = [[rng.choice(pool) for _ in range(rng.randrange(1, 6))] for _ in range(8)]
+    texts = {}
+    for k in range(45):
+        own = []
+        for j in range(rng.randrange(1, 7)):
+            own += rng.choice(blocks) if rng.random() < 0.5 else [rng.choice([*pool, "", prose(9, 1000 + 50 * k + j), prose(2, 9000 + 50 * k + j)])]
+        texts[k] = own
+    rows = [(k, "\n".join(t)) for k, t in texts.items()] + [(44, "\n".join(texts[44])), (44, "\n".join(texts[43] + texts[44])), (None, "\n".join(texts[3]))]
+    want = {}
+    for doc, text in rows:
+        later = [x or 0 for x in text.split("\n")]
+        gone = set()
+        for earlier, other in rows:
+            if doc is not None and earlier is not None and earlier < doc:
+                gone |= set(plain_blocks(later, [len(x.split()) if x else 0 for x in later], [x or 0 for x in other.split("\n")], 8))
+        if gone:
+            want[doc, text] = sorted(gone)
+    source = docs(spark, rows).repartition(3)
+    hashed = source.selectExpr("doc_id", "hash(text) as part", "text").distinct()
+    got = {(r["doc_id"], r["text"]): r["removed"] for r in lines.removed_lines(source).join(hashed, ["doc_id", "part"]).collect()}
+    assert got == want and len(want) > 20
+    assert sum(r["__lines_removed"] for r in lines.without_lines(source, lines.removed_lines(source)).collect()) == sum(len(want.get(r, [])) for r in rows)
+
+
+def test_short_lines_make_a_block():
+    """Two lines of five words whose lines stand singly in earlier documents still name the document that holds both."""
+    a, b = 11, 12
+    assert set(lines.shortest_runs([a, b], [5, 5])) & set(lines.shortest_runs([3, a, b, 4], [9, 5, 5, 1]))
+    assert lines.shortest_runs([a, 0, b], [3, 0, 4]) == []
+    assert lines.shortest_runs([a], [8]) == [a]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -199,11 +247,12 @@ def test_components_equal_union_find(spark, seed):
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
 
 
-def plain_classes(rows):
+def plain_classes(rows, weighting="count"):
     sets = {}
     for doc, text in rows:
         w = (text or "").split()
-        sets[doc] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        runs = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        sets[doc] = runs if weighting == "count" else Counter(set(runs))
     root = {d: d for d in sets}
 
     def find(x):
@@ -212,7 +261,7 @@ def plain_classes(rows):
         return x
 
     for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 5 * (sets[a] & sets[b]).total() >= 4 * (sets[a] | sets[b]).total():
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {d: find(d) for d in sets}
@@ -236,6 +285,24 @@ def test_near_classes_equal_brute_force(spark):
     assert neardup.near_classes(source.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weighting", ["count", "set"])
+def test_repeated_runs_weigh(spark, weighting):
+    """Pairs that only the sets, or only the counts, make similar enough; equal sets with other counts."""
+    base, line = prose(120, 1), prose(12, 2)
+    rows = [(1, base), (2, f"{base} " + f"{line} " * 12), (3, f"{base} " + f"{line} " * 2), (4, f"{base} " + f"{line} " * 13), (5, prose(120, 3))]
+    got = dict(neardup.near_classes(docs(spark, rows), weighting=weighting).collect())
+    assert got == plain_classes(rows, weighting)
+    assert got == ({1: 1, 2: 2, 3: 1, 4: 2, 5: 5} if weighting == "count" else {1: 1, 2: 1, 3: 1, 4: 1, 5: 5})
+
+
+def test_recall_of_near_copies(spark):
+    """All documents of a table: what the exact similarity of all pairs that share a run says, by an inverted list."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = plain_classes(rows)
+    got = dict(neardup.near_classes(docs(spark, rows)).collect())
+    assert got == want and sum(d != c for d, c in want.items()) > 5
+
+
 def test_darts_agree_as_often_as_weights_do():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 60, 60).astype(np.uint64)
@@ -313,7 +380,62 @@ def test_substrings_of_odd_rows(spark):
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "sequence_id", "length"} <= set(got.columns) and got.count() > 50
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         odd = stage(spark, docs(spark, odd_rows()), SMALL)
-        assert odd.columns == docs(spark, []).columns and odd.count() <= len(odd_rows())
+        if name != "packing":
+            assert odd.columns == docs(spark, []).columns and odd.count() <= len(odd_rows())
+        else:
+            assert sum(r["length"] for r in odd.collect()) >= len(odd_rows())
         assert stage(spark, docs(spark, []), SMALL).count() == 0
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Each stage against a plain version, over what the one before it kept."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    before = texts(source)
+    good = stages["quality rules"](spark, source, SMALL)
+    model = quality.fit_forest(source, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = {r["doc_id"] for r in quality.judge(source, model).collect() if r["kept"]}
+    after = texts(good)
+    assert set(after) == want and all(after[k] == before[k] for k in want) and 0.5 * len(before) < len(want) < len(before)
+
+    cut = stages["line dedup"](spark, good, SMALL)
+    split = {k: [x.strip() for x in (t or "").split("\n")] for k, t in after.items()}
+    plain, runs = {}, {}
+    for k in sorted(after):
+        mine = [j for j, x in enumerate(split[k]) if x]
+        gone = set()
+        for a, b in itertools.combinations(range(len(mine) + 1), 2):
+            block = tuple(split[k][j] for j in mine[a:b])
+            if sum(len(x.split()) for x in block) >= 8 and runs.setdefault(block, k) < k:
+                gone |= set(mine[a:b])
+        plain[k] = "\n".join(x for j, x in enumerate((after[k] or "").split("\n")) if j not in gone)
+    assert texts(cut) == {k: t for k, t in plain.items() if t.strip() or t == after[k]}
+
+    one = stages["near-duplicates"](spark, cut, SMALL)
+    classes = plain_classes(sorted(texts(cut).items()))
+    assert texts(one) == {k: t for k, t in texts(cut).items() if classes[k] == k}
+
+    clean = stages["decontamination"](spark, one, SMALL)
+    items = [decontam.plain(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    leaks = set()
+    for k, t in texts(one).items():
+        words = decontam.plain(t)
+        held = {tuple(words[j : j + 3]) for j in range(len(words) - 2)}
+        for item in items:
+            if {tuple(item[j : j + 3]) for j in range(len(item) - 2)} & held:
+                codes = {w: c for c, w in enumerate(set(words) | set(item))}
+                if decontam.align(np.array([codes[w] for w in item]), np.array([codes[w] for w in words]))[0] >= 0.4 * 2 * len(item):
+                    leaks.add(k)
+    assert set(texts(clean)) == set(texts(one)) - leaks
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for p in stages["packing"](spark, clean, SMALL).collect():
+        got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
+    assert got == {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in texts(clean).items()}

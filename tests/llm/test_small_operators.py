@@ -172,6 +172,129 @@ def test_obfuscated_words_are_restored():
     assert "stupid" in toxicity.decode("5tup1d", model, True).split()
 
 
+def test_forest_on_held_out_labels(spark):
+    """Fitted on half of the labels, held against the other half."""
+    from pyspark.sql import functions as F
+
+    source, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    learned = F.col("doc_id") % 2 == 0
+    model = quality.fit_forest(source, labels.filter(learned))
+    got = {r["doc_id"]: r for r in quality.judge(source, model).collect()}
+    held = [(got[r["doc_id"]], r["quality"]) for r in labels.filter(~learned).collect()]
+    kept = lambda q: np.mean([g["kept"] for g, y in held if y == q and not g["base_failed"]])
+    assert kept(1) > 0.95 and kept(0) < 0.2
+
+
+def test_forest_paths_equal_plain_walk():
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.normal(0, 1, (300, 3)), [[9, 9, 9]], np.zeros((20, 3))])
+    forest = quality.Forest(rows, trees=20, draw=64)
+
+    def walk(tree, x):
+        feature, value, child, path = tree
+        node = 0
+        while feature[node] >= 0:
+            node = child[node] + int(x[feature[node]] > value[node])
+        return path[node]
+
+    want = [2 ** (-np.mean([walk(t, x) for t in forest.trees]) / quality.usual_path(64)) for x in rows]
+    assert np.allclose(forest.score(rows), want) and forest.score(rows)[:301].argmax() == 300
+    assert np.ptp(forest.score(rows)[-20:]) == 0
+
+
+def test_language_net_equals_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = langid.ByteNet(["a", "b", "c"])
+    net.bias = rng.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    texts = ["héllo wörld", "x" * 500, "", "漢字 and more " * 40]
+    windows = np.concatenate([langid.cut(t.encode()) for t in texts])
+    got = net.log_probs(windows, net.tables())
+    for x, row in zip(windows, got, strict=True):
+        pooled = [max(sum(f[k][x[at + k]][j] for k in range(w)) for at in range(langid.PLACES)) for w, f in zip(langid.WIDTHS, net.filters, strict=True) for j in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.offset
+        assert np.allclose(row, z - np.log(np.exp(z).sum()), atol=1e-4)
+
+
+def test_many_languages_and_letters(spark):
+    rows = [(k, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} abc", f"l{k:03}") for k in range(450)] + [(900, "½ ² Ⅷ 12", None), (901, "ª", None)]
+    net = langid.fit(docs(spark, rows), per_language=1)
+    assert len(net.languages) > 300
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), net).collect()}
+    assert got[900] == "und" and got[901] in net.languages and len(got) == 452
+
+
+def readings(text, spaced):
+    """Every path of the lattice: (cost, restored)."""
+    T = toxicity
+    runs = [(m.start(), m.end(), m[0][0]) for m in re.finditer(r"(.)\1*", text, re.S)]
+    paths = [(0.0, "")]
+    for a, b, ch in runs:
+        n = b - a
+        steps = []
+        letters = [ch] if ch in T.CODE else list(T.RESEMBLES.get(ch, ""))
+        if len(letters) > 2 and text[max(0, a - 1) : a] not in T.CODE and text[b : b + 1] not in T.CODE:
+            letters = []
+        for c in letters:
+            for times, more in ([(1, 0.0)] if n == 1 else [(1, T.DOUBLED / (1 + spaced)), (2, 0.0)] if n == 2 else [(1, T.HELD), (2, T.HELD)]):
+                steps.append(((0.0 if ch in T.CODE else T.SYMBOL * n) + more, c * times))
+        if ch not in T.CODE:
+            steps.append((T.DROPPED if ch in T.SEPARATORS else T.LOST * min(n, 2), ""))
+        paths = [(cost + more, out + gap + piece) for cost, out in paths for more, piece in steps for gap in (["", " "] if spaced and out.strip() and out[-1:] != " " else [""])]
+    return paths
+
+
+def test_decoding_equals_every_path():
+    rng = random.Random(7)
+    counts = np.array([rng.random() ** 6 for _ in range(toxicity.SIZE**3)]).reshape((toxicity.SIZE,) * 3) * 100
+    model = toxicity.log_model(counts)
+
+    def log(text):
+        codes = [0, 0, *(toxicity.CODE.get(c, 0) for c in text), 0]
+        return sum(model[(a * toxicity.SIZE + b) * toxicity.SIZE + c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    for k in range(400):
+        spaced = k % 3 == 0
+        text = "".join(rng.choice("abbo03!$1.-|" if k % 2 else "ab*o") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 5)))
+        best = max(log(out) - cost for cost, out in readings(text, spaced))
+        got = toxicity.decode(text, model, spaced)
+        assert any(out == got and abs(log(out) - cost - best) < 1e-9 for cost, out in readings(text, spaced))
+
+
+def english_like():
+    words = "trash idiot stupid moron clown loser rash about there their where which would could should people house water light night right sound great after under never again".split()
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    for w in words:
+        codes = [0, 0, *(toxicity.CODE[c] for c in w), 0, 0]
+        for t in zip(codes, codes[1:], codes[2:]):
+            counts[t] += 50
+    return toxicity.log_model(counts)
+
+
+def test_signs_at_edges_and_split_words_are_restored():
+    model = english_like()
+    for token, word in (("+rash", "trash"), ("|oser", "loser"), ("!d!ot", "idiot"), ("(lown", "clown"), ("*oron", "moron"), ("m0ro*", "moron"), ("id1ot", "idiot"), ("s-t-u-p-i-d", "stupid"), ("stuuuupid", "stupid")):
+        assert word in toxicity.restored(token, model), token
+    assert toxicity.restored("water!", model)[0] == "water" and toxicity.restored("night.", model) == ["night"]
+    reader = toxicity.Reader(model, toxicity.heaviest({"idiot": 3.0, "stupid": 2.0}), {"idiot": 3.0, "stupid": 2.0})
+    import pyarrow as pa
+
+    *_, runs = reader.read(pa.array(["you idi ot there", "st upid", "m o r o n", "i d i o t", None, ""]))
+    assert [r for r in runs if r[1]] == [(3, 3.0), (0, 3.0), (1, 2.0)]
+
+
+def test_long_tokens_take_time_in_proportion():
+    import time
+
+    model = english_like()
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        for token in ("ab" * (n // 2), "a1" * (n // 2), "a*#" * (n // 60), "漢字" * (n // 2), "a.b." * (n // 4)):
+            toxicity.restored(token, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_toxicity_of_held_out_rows(spark):
     got = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").collect()
     toxic = dict(duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.01/labels.parquet'").fetchall())
