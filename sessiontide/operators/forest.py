@@ -1,12 +1,13 @@
 """Operators on parent links (child, parent): each child has one parent at most, and links may form cycles.
 
-Closures double their reach every round, so a chain of n links takes about log2(n) joins. Null, empty and self links are
-no edges. Loops are driven by one count per round; rows stay in Spark.
+Jumps and closures double their reach every round, so a chain of n links takes about log2(n) joins. Sums and exclusions
+carry one row a node through the rounds; only what lists paths or ancestors writes all pairs of a node and its ancestors.
+Null, empty and self links are no edges. Loops are driven by one count per round; rows stay in Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -41,13 +42,8 @@ def closure(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         count = now
 
 
-def roots(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(id, root): the last ancestor; in or below a cycle, the cycle's least member.
-
-    Jumps double each round and carry the least id met. After log2(n) rounds every jump ends in a root or in a cycle, and
-    the least id met from there on is the cycle's least member, or the root itself. Without cycles it ends as soon as
-    all jumps stand at roots.
-    """
+def _jumps(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, to, least) after so many doublings that `to` is a root or in a cycle; `least` is the least id on the way."""
     known = edges(links)
     all_ = nodes(known, *([ids] if ids is not None else []))
     start = all_.join(known, all_["id"] == known["child"], "left").select("id", F.coalesce("parent", "id").alias("to"))
@@ -60,13 +56,67 @@ def roots(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         jumps, reach = step.drop("moved"), reach * 2
         if step.filter("moved").isEmpty():
             break
+    return jumps
+
+
+def roots(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, root): the last ancestor; in or below a cycle, the cycle's least member.
+
+    Jumps double each round and carry the least id met. After log2(n) rounds every jump ends in a root or in a cycle, and
+    the least id met from there on is the cycle's least member, or the root itself. Without cycles it ends as soon as
+    all jumps stand at roots.
+    """
+    jumps = _jumps(links, ids)
     return jumps.select("id", "to").join(jumps.select(F.col("id").alias("to"), F.col("least").alias("root")), "to").select("id", "root")
 
 
+def contracted(links: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links with every cycle as one node, its least member, and (id, node) for all ids.
+
+    From everywhere the jumps end at a root or in a cycle, and those of a cycle's members at all of its members; a root has no
+    parent.
+    """
+    jumps, known = _jumps(links, ids), edges(links)
+    inside = jumps.select(F.col("to").alias("child")).distinct().join(known.select("child"), "child", "left_semi")
+    head = cut(jumps.select(F.col("id").alias("child"), F.col("least").alias("node")).join(inside, "child"))
+    if head.isEmpty():
+        return known, jumps.select("id", F.col("id").alias("node"))
+    of = jumps.select("id").join(head.withColumnRenamed("child", "id"), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
+    up = head.select(F.col("child").alias("parent"), F.col("node").alias("head"))
+    outer = known.join(inside, "child", "left_anti").join(up, "parent", "left").select("child", F.coalesce("head", "parent").alias("parent"))
+    return outer, of
+
+
+def gathered(values: DataFrame, links: DataFrame, merge: dict[str, Column], up: bool) -> DataFrame:
+    """(id, columns of `merge`) over a forest: each node's values merged with those of all below it, or with `up` above it.
+
+    After k rounds a node holds what is less than 2**k links away, and its jump is 2**k links long; what is at most as
+    far again is what the nodes hold that jump to it, or what its jump holds. So a round is one join or grouping of one row
+    a node, and a chain of n links takes log2(n) rounds. `merge` are aggregates that don't care about order.
+    """
+    known = links.select(F.col("child").alias("id"), F.col("parent").alias("to"))
+    held = cut(values.join(known, "id", "left"))
+    while not held.filter("to is not null").isEmpty():
+        moving = held.filter("to is not null")
+        if up:
+            above = held.select(F.col("id").alias("to"), *merge, F.col("to").alias("beyond"))
+            met = moving.select("id", "to").join(above, "to").select("id", *merge)
+        else:
+            met = moving.select(F.col("to").alias("id"), *merge)
+        merged = held.select("id", *merge).unionByName(met).groupBy("id").agg(*(f.alias(c) for c, f in merge.items()))
+        ahead = held.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        jumps = held.select("id", "to").join(ahead, "to", "left").select("id", F.col("beyond").alias("to"))
+        held = cut(merged.join(jumps, "id"))
+    return held.drop("to")
+
+
 def excluded(links: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id): sessions with evidence themselves or above them. `evidence` (id)."""
-    reach = closure(links, evidence)
-    return reach.join(evidence.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id").distinct()
+    ids = evidence.select(F.col("id")).filter("id is not null").distinct()
+    outer, of = contracted(links, ids)
+    marked = of.join(ids.withColumn("hit", F.lit(True)), "id", "left").groupBy("node").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+    found = gathered(marked.withColumnRenamed("node", "id"), outer, {"hit": F.max("hit")}, up=True).filter("hit")
+    return of.join(found.select(F.col("id").alias("node")), "node", "left_semi").select("id")
 
 
 def rollup(totals: DataFrame, links: DataFrame, measures: list[str], without: DataFrame | None = None) -> DataFrame:
@@ -76,14 +126,13 @@ def rollup(totals: DataFrame, links: DataFrame, measures: list[str], without: Da
         gone = excluded(known, without)
         known = known.join(gone.withColumnRenamed("id", "child"), "child", "left_anti").join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti").select("child", "parent")
         totals = totals.join(gone, "id", "left_anti")
-    direct = totals.groupBy("id").agg(*(F.sum(m).alias(m) for m in measures))
-    reach = closure(known, direct)
-    below = reach.join(direct, "id", "left")
-    zero = lambda m: F.coalesce(F.sum(m), F.lit(0))
-    return below.groupBy(F.col("ancestor").alias("id")).agg(
-        *(F.coalesce(F.max(F.when(F.col("id") == F.col("ancestor"), F.col(m))), F.lit(0)).alias(f"direct_{m}") for m in measures),
-        *(zero(m).alias(f"including_{m}") for m in measures),
-    )
+    direct = cut(totals.filter("id is not null").groupBy("id").agg(*(F.sum(m).alias(m) for m in measures)))
+    outer, of = contracted(known, direct)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    own = of.join(direct, "id", "left")
+    sums = own.groupBy(F.col("node").alias("id")).agg(*(zero(F.sum(m)).alias(m) for m in measures))
+    whole = gathered(sums, outer, {m: F.sum(m) for m in measures}, up=False).select(F.col("id").alias("node"), *(F.col(m).alias(f"including_{m}") for m in measures))
+    return own.join(whole, "node").select("id", *(zero(F.col(m)).alias(f"direct_{m}") for m in measures), *(f"including_{m}" for m in measures))
 
 
 def children(links: DataFrame) -> DataFrame:
@@ -92,13 +141,15 @@ def children(links: DataFrame) -> DataFrame:
 
 
 def listing(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(root, id, depth, place): nodes below each root in pre-order, children by id; members of cycles once, under their root."""
+    """(root, id, depth, place): nodes below each root in pre-order, children by id; members of cycles once, under their root.
+
+    A node's place is the order of the ids on its path from the root, whole and in their own type's order."""
     known = edges(links)
     root = roots(known, ids)
     # a cycle is opened at its root, so that paths end
     opened = known.join(root.select(F.col("id").alias("child"), "root"), "child").filter("child <> root").select("child", "parent")
     reach = closure(opened, root)
-    step = F.struct((-F.col("depth")).alias("d"), F.lpad(F.col("ancestor").cast("string"), 20, " ").alias("name"))
+    step = F.struct((-F.col("depth")).alias("d"), F.col("ancestor").alias("name"))
     paths = reach.groupBy("id").agg(F.max("depth").alias("depth"), F.array_sort(F.collect_list(step)).getField("name").alias("path"))
     placed = paths.join(root, "id")
     return placed.select("root", "id", "depth", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("place"))

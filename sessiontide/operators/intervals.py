@@ -42,10 +42,9 @@ def sweep(layers: dict[str, DataFrame], keys: Sequence[str], keep: Column) -> Da
     """
     events = None
     for name, df in layers.items():
-        for point, sign in (("start", 1), ("end", -1)):
-            delta = [F.lit(sign if other == name else 0).cast("long").alias(other) for other in layers]
-            rows = df.filter(F.col("end") > F.col("start")).select(*keys, F.col(point).alias("at"), *delta)
-            events = rows if events is None else events.unionByName(rows)
+        ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("sign")))).alias("e")
+        rows = df.filter(F.col("end") > F.col("start")).select(*keys, ends).select(*keys, F.col("e.at").alias("at"), *(F.when(F.lit(other == name), F.col("e.sign")).otherwise(0).cast("long").alias(other) for other in layers))
+        events = rows if events is None else events.unionByName(rows)
     points = events.groupBy(*keys, "at").agg(*(F.sum(name).alias(name) for name in layers))
     by = Window.partitionBy(*keys).orderBy("at")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION
+from ..schema import AMOUNT_WEIGHTS, EXCLUDED_ITEM, EXCLUDED_SESSION, FIELD_WEIGHTS, MOST_SAMPLES, PENDING, SAMPLES_WEIGHT
+from . import precedence
 
 
 def is_newer(new: dict, old: dict | None) -> bool:
@@ -45,9 +46,23 @@ def fold(records: list[dict]) -> dict | None:
 
 def completeness(r: dict) -> int:
     """Weight of the fields that a record has."""
-    weights = {"completed": 2, "first_token": 2, "start": 1, "ttft": 3, "model": 1, "agent": 1}
     samples = len(r.get("samples") or ())
-    return sum(w for c, w in weights.items() if r.get(c) is not None) + (2 + min(samples, 8) if samples else 0)
+    fields = sum(w for c, w in FIELD_WEIGHTS.items() if r.get(c) is not None) + sum(w for c, w in AMOUNT_WEIGHTS.items() if (r.get(c) or 0) > 0)
+    return fields + (SAMPLES_WEIGHT + min(samples, MOST_SAMPLES) if samples else 0)
+
+
+def with_evidence(kept: dict, other: dict, later: dict) -> dict:
+    """The kept record with the agent that it lacks and the evidence of both, `later` being the one that came last."""
+    first = other if later is kept else kept
+    out = kept | {"agent": kept["agent"] if kept["agent"] is not None else other["agent"]}
+    if "scope" in kept:
+        old, new = first["scope"], later["scope"]
+        strong = next((x for x in (EXCLUDED_SESSION, EXCLUDED_ITEM) if x in (old, new)), None)
+        out["scope"] = strong or (old if new in (None, PENDING) and old is not None else new)
+    if "scope_reasons" in kept:
+        out["scope_reasons"] = list(dict.fromkeys([*(first["scope_reasons"] or ()), *(later["scope_reasons"] or ())]))
+        out["scope_parent"] = later["scope_parent"] if later["scope_parent"] is not None else first["scope_parent"]
+    return out
 
 
 def fold_history(records: list[dict]) -> dict | None:
@@ -55,7 +70,7 @@ def fold_history(records: list[dict]) -> dict | None:
 
     A record with a live update must go beyond the held one's, and never lets a provisional one replace an exact one; one
     without it yields to a held update of the same quality. Otherwise quality, completeness, freshness and arrival decide.
-    The winner keeps the agent and the place of admission that it lacks.
+    Whichever stays keeps the place of admission, and takes over the agent that it lacks and the evidence of the other.
     """
     held: dict | None = None
     for r in records:
@@ -70,8 +85,7 @@ def fold_history(records: list[dict]) -> dict | None:
         else:
             fresh = lambda x: max((x[c] for c in ("start", "first_token", "completed") if x.get(c) is not None), default=0)
             wins = (exact, completeness(r), fresh(r)) >= (was, completeness(held), fresh(held))
-        if wins:
-            held = r | {"agent": r["agent"] if r["agent"] is not None else held["agent"], "pos": held["pos"]}
+        held = with_evidence(r, held, r) | {"pos": held["pos"]} if wins else with_evidence(held, r, r)
     return held
 
 
@@ -93,37 +107,73 @@ def by_message(records: DataFrame, fold_) -> DataFrame:
         if own and (last := fold_(own)):
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
-    dealt = records.filter("message_id is not null").repartition("message_id").sortWithinPartitions("message_id", "pos")
+    dealt = records.repartition("message_id").sortWithinPartitions("message_id", "pos")
     return dealt.mapInArrow(run, records.schema)
 
 
 def contributions(records: DataFrame) -> DataFrame:
-    """The effective record of each message."""
-    return by_message(records, fold)
+    """The effective record of each message. Messages without a live update need no fold: an exclusion takes them away,
+    else the last exact record counts, else the last one."""
+    of = Window.partitionBy("message_id")
+    known = records.filter("message_id is not null").withColumn("__live", F.max(F.col("update").isNotNull()).over(of))
+    gone = F.coalesce(F.col("scope").isin(EXCLUDED_ITEM, EXCLUDED_SESSION), F.lit(False))
+    plain = known.filter("not __live").withColumn("__gone", F.max(gone).over(of)).filter("not __gone")
+    best = precedence.best(plain, ["message_id"], precedence.is_exact().desc(), F.col("pos").desc())
+    return best.select(*records.columns).unionByName(by_message(known.filter("__live").select(*records.columns), fold))
 
 
 def history(records: DataFrame) -> DataFrame:
-    """The history after all upserts."""
-    return by_message(records, fold_history)
+    """The history after all upserts; a message with one record is its own fold."""
+    of = Window.partitionBy("message_id")
+    known = records.filter("message_id is not null").withColumn("__n", F.count("*").over(of))
+    return known.filter("__n = 1").select(*records.columns).unionByName(by_message(known.filter("__n > 1").select(*records.columns), fold_history))
+
+
+def newer(a: Column, b: Column) -> Column:
+    """`is_newer` of two update structs, of which `a` is there, as an expression."""
+    fresh = (a["revision"] != b["revision"]) & a["revision"].isNotNull() & b["revision"].isNotNull()
+    replay = a["fingerprint"].isNotNull() & (F.coalesce(a["fingerprint"] == b["fingerprint"], F.lit(False)) | F.coalesce(F.array_contains(b["seen"], a["fingerprint"]), F.lit(False)))
+    zero = lambda x, f: F.coalesce(x[f], F.lit(0.0))
+    order = F.when(a["instance"].eqNullSafe(b["instance"]), zero(a, "sequence") > zero(b, "sequence")).otherwise(zero(a, "received_at") >= zero(b, "received_at"))
+    return F.when(b.isNull(), True).when(F.coalesce(fresh, F.lit(False)), a["revision"] > b["revision"]).when(replay, False).otherwise(order)
 
 
 def ledger_union(copies: DataFrame, baselines: DataFrame, measures: list[str]) -> DataFrame:
     """(session_id, measures): sums of several ledgers where a message that more than one holds counts once.
 
-    `baselines` (session_id, measures) are the ledgers' session sums, `copies` their messages with ledger, quality,
-    excluded, revision and measures (signed as they entered the sums). All copies of a shared message are taken out
-    and the winner put back: excluded ones win, then exact ones, then the highest revision. Two equally good copies
-    that differ are an error.
+    `baselines` (session_id, measures) are the ledgers' session sums, `copies` their messages with ledger, session_id,
+    quality, excluded, update (may be null), measures (signed as they entered the sums) and, if the ledgers have it, legacy:
+    a settled message without a body. All copies of a shared message are taken out and the winner put back. Excluded copies
+    shut the others out, then exact ones do. The winner must equal or supersede each other one: by an update that is newer
+    while the other's is not newer in turn, or by having one at all. If none does, or a legacy copy is shared, the ledgers
+    can't be united, which is an error.
     """
-    shared = copies.groupBy("message_id").agg(F.countDistinct("ledger").alias("n")).filter("n > 1").select("message_id")
-    own = copies.join(shared, "message_id", "left_semi")
-    rank = F.struct(F.col("excluded").cast("int").alias("x"), (F.coalesce("quality", F.lit("exact")) == "exact").cast("int").alias("e"), "revision")
+    if "legacy" not in copies.columns:
+        copies = copies.withColumn("legacy", F.lit(False))
     value = F.struct("session_id", *measures)
-    top = own.groupBy("message_id").agg(F.max(rank).alias("top"))
-    winners = own.withColumn("rank", rank).join(top, "message_id").filter("rank = top").groupBy("message_id", "excluded").agg(F.min(value).alias("v"), F.max(value).alias("w"))
-    agreed = F.when(F.col("v") == F.col("w"), F.col("v")).otherwise(F.raise_error(F.lit("copies of one message disagree")))
-    back = winners.withColumn("v", agreed).filter("not excluded").select("v.session_id", *(F.col(f"v.{m}").alias(m) for m in measures))
-    taken = own.filter("not excluded").select("session_id", *((-F.col(m)).alias(m) for m in measures))
+    exact = F.coalesce("quality", F.lit("exact")) == "exact"
+    copy = F.struct("excluded", exact.alias("exact"), "update", F.when(~F.col("excluded"), value).alias("value"), "legacy")
+    # one copy a ledger, so a list is as long as there are ledgers
+    held = copies.groupBy("message_id").agg(F.countDistinct("ledger").alias("n"), F.collect_list(copy).alias("copies")).filter("n > 1")
+    strict = lambda rows, test: F.when(F.exists(rows, test), F.filter(rows, test)).otherwise(rows)
+    shut = held.withColumn("left", strict(F.col("copies"), lambda c: c["excluded"])).withColumn("left", strict(F.col("left"), lambda c: c["exact"]))
+
+    def beats(x: Column, y: Column) -> Column:
+        both = x["update"].isNotNull() & y["update"].isNotNull()
+        return F.when(both, newer(x["update"], y["update"]) & ~newer(y["update"], x["update"])).otherwise(x["update"].isNotNull() & y["update"].isNull())
+
+    def winners() -> Column:
+        rows = F.col("left")
+        out = F.filter(rows, lambda x: F.forall(rows, lambda y: x["value"].eqNullSafe(y["value"]) | beats(x, y)))
+        return out
+
+    won = shut.withColumn("won", winners())
+    latest = F.filter("won", lambda x: ~F.exists("won", lambda y: beats(y, x)))
+    pick = F.element_at(F.array_sort(F.transform(F.when(F.size(latest) > 0, latest).otherwise(F.col("won")), lambda x: x["value"])), 1)
+    bad = F.exists("copies", lambda c: c["legacy"]) | (F.size("won") == 0)
+    picked = won.select(F.when(bad, F.raise_error(F.lit("copies of one message can't be merged"))).otherwise(pick).alias("v"), "copies")
+    back = picked.filter("v is not null").select("v.*")
+    taken = picked.select(F.explode("copies").alias("c")).filter("not c.excluded").select("c.value.session_id", *((-F.col(f"c.value.{m}")).alias(m) for m in measures))
     return baselines.select("session_id", *measures).unionByName(taken).unionByName(back).groupBy("session_id").agg(*(F.sum(m).alias(m) for m in measures))
 
 

@@ -16,14 +16,18 @@ def session_usage(responses: DataFrame, key: str = "session_id") -> DataFrame:
     return sums.select("*", tokens.total().alias("total"), tokens.generated().alias("generated"), rate.alias("cache_hit_rate"))
 
 
+def at_least_zero(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))
+
+
 def first_token_delay(start: str = "start", first: str = "first_response", explicit: str = "ttft", token: str = "first_token") -> Column:
-    """Milliseconds to the first response, else the reported delay, else to the first token; at least 0."""
+    """Milliseconds to the first response, else the reported delay, else to the first token; at least 0, null if unknown."""
     known = F.col(first).isNotNull() & F.col(start).isNotNull() & (F.col(first) >= F.col(start))
-    return F.greatest(F.lit(0.0), F.when(known, F.col(first) - F.col(start)).when(F.col(explicit).isNotNull(), F.col(explicit)).otherwise(F.col(token) - F.col(start)))
+    return at_least_zero(F.when(known, F.col(first) - F.col(start)).when(F.col(explicit).isNotNull(), F.col(explicit)).otherwise(F.col(token) - F.col(start)))
 
 
 def duration(start: str = "start", completed: str = "completed", explicit: str = "duration") -> Column:
-    return F.greatest(F.lit(0.0), F.coalesce(F.col(explicit), F.col(completed) - F.col(start)))
+    return at_least_zero(F.coalesce(F.col(explicit), F.col(completed) - F.col(start)))
 
 
 def original_timing() -> Column:
@@ -36,6 +40,54 @@ def first_output(candidates: list[str], start: str = "start", completed: str = "
     return F.array_min(inside)
 
 
+def first_response(signal: str = "signal") -> Column:
+    """struct(first_response, source, time_source, estimated) after a signal (at, source, time_source, estimated) is taken in.
+
+    A signal outside the response's time changes nothing. Of the response known before, the earliest output and the signal
+    the earliest counts; at equal times what was known before.
+    """
+    start, completed, prior, at = F.col("start"), F.col("completed"), F.col("first_response"), F.col(f"{signal}.at")
+    inside = lambda t: F.coalesce((t >= start) & (t >= 0) & (completed.isNull() | (t <= completed)), F.lit(False))
+    content = first_output(["first_content", "first_token"])
+    known = F.when(inside(prior), prior)
+    as_was = F.struct(prior.alias("first_response"), F.col("first_response_source").alias("source"), F.col("first_response_time_source").alias("time_source"), F.col("first_response_estimated").alias("estimated"))
+    by_content = F.struct(content.alias("first_response"), F.lit("content").alias("source"), F.lit("arrival").alias("time_source"), F.lit(True).alias("estimated"))
+    by_signal = F.struct(at.alias("first_response"), F.col(f"{signal}.source").alias("source"), F.col(f"{signal}.time_source").alias("time_source"), F.col(f"{signal}.estimated").alias("estimated"))
+    stays = ~inside(at) | (known.isNotNull() & (known <= at) & (content.isNull() | (known <= content)))
+    older = content.isNotNull() & (content <= at) & (known.isNull() | (content < known))
+    return F.when(F.coalesce(stays, F.lit(False)), as_was).when(F.coalesce(older, F.lit(False)), by_content).otherwise(by_signal)
+
+
+#: Why a generation rate was not measured; the first eight known ones of 64 are kept.
+COVERAGE_REASONS = [
+    "unknown-coverage", "generation-invalidated", "invalid-v3-evidence", "missing-content-observation", "not-observed-from-current-start", "unknown-final-usage", "unknown-reasoning-usage", "unattributed-or-merged-deltas",
+    "unknown-or-multiple-step-identities", "unknown-step-identity", "multiple-step-identities", "missing-receive-observations", "insufficient-receive-span", "unknown-receive-clock", "unfinished-response", "tool-usage-uncertain",
+    "snapshot-delta-gap", "snapshot-delta-mismatch", "missing-comparable-final-snapshot", "missing-byte-receive-timing", "hidden-reasoning", "unobserved-output", "receive-byte-mismatch", "invalid-arrival-bytes", "anonymous-or-tool-arrival",
+    "invalid-receive-clock", "arrival-kind-mismatch", "mixed-streams", "duplicate-or-unparsed-arrival", "nonmonotonic-receive-clock", "merged-receive-streams", "merged-recovered-content", "merged-delta-streams", "unknown-merged-coverage",
+    "anonymous-snapshot", "part-kind-changed", "anonymous-delta", "retry", "failed", "recovery", "disconnect", "transport-disruption", "recovered-content", "unobserved-response-start", "not-current-assistant",
+    "superseded-assistant", "previous-response-disruption", "aborted", "cancelled",
+]
+
+
+def coverage(status: Column, reasons: Column) -> Column:
+    """struct(status, reasons): none for complete coverage, and one at least for any other; null for an unknown status."""
+    known = F.slice(F.array_distinct(F.filter(F.slice(reasons, 1, 64), lambda r: F.coalesce(r.isin(COVERAGE_REASONS), F.lit(False)))), 1, 8)
+    some = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, known).otherwise(F.array(F.lit("unknown-coverage")))
+    return F.when(status == "complete", F.struct(status.alias("status"), F.array().cast("array<string>").alias("reasons"))).when(status.isin("unknown", "gap"), F.struct(status.alias("status"), some.alias("reasons")))
+
+
+def primary_rate() -> Column:
+    """The rate that is shown: the observed generation, or none; the response's rate never stands in for it."""
+    rate = F.when(F.coalesce(F.col("completed") >= 0, F.lit(False)), observed_rate())
+    return F.struct(rate.isNotNull().alias("available"), rate.alias("rate"), F.when(rate.isNotNull(), "generation").alias("basis"))
+
+
+def of_basis(totals: DataFrame, measures: list[str], version: int = 3) -> DataFrame:
+    """Sums of generation measures where they were taken on another basis start again at 0; all others stay."""
+    other = ~F.coalesce(F.col("basis") == version, F.lit(False))
+    return totals.withColumns({m: F.when(other, F.lit(0).cast(totals.schema[m].dataType)).otherwise(F.col(m)) for m in measures}).withColumn("basis", F.lit(version))
+
+
 def spread(x: Column, name: str) -> list[Column]:
     """avg, max and min over finite values that are not negative; 0 without any."""
     fit = F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x != float("inf")), x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import AMOUNT_WEIGHTS, FIELD_WEIGHTS, MOST_SAMPLES, SAMPLES_WEIGHT
+
 
 def is_exact(quality: str = "quality") -> Column:
     return F.coalesce(F.col(quality), F.lit("exact")) == "exact"
@@ -21,11 +23,18 @@ def preferred(records: DataFrame) -> DataFrame:
     return best(records, ["message_id"], is_exact().desc(), when.desc_nulls_last(), F.col("pos").desc())
 
 
-def completeness() -> Column:
-    """Weight of the fields that a record has."""
-    has = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0)
-    samples = F.when(F.size("samples") > 0, 2 + F.least(F.size("samples"), F.lit(8))).otherwise(0)
-    return has("completed", 2) + has("first_token", 2) + has("start", 1) + has("ttft", 3) + has("model", 1) + has("agent", 1) + samples
+def completeness(columns: list[str]) -> Column:
+    """Weight of the fields that a record has, of those that the table has."""
+    out = F.lit(0)
+    for c, w in FIELD_WEIGHTS.items():
+        if c in columns:
+            out = out + F.when(F.col(c).isNotNull(), w).otherwise(0)
+    for c, w in AMOUNT_WEIGHTS.items():
+        if c in columns:
+            out = out + F.when(F.col(c) > 0, w).otherwise(0)
+    if "samples" in columns:
+        out = out + F.when(F.size("samples") > 0, SAMPLES_WEIGHT + F.least(F.size("samples"), F.lit(MOST_SAMPLES))).otherwise(0)
+    return out
 
 
 def freshness() -> Column:
@@ -34,7 +43,7 @@ def freshness() -> Column:
 
 def runtime_preferred(records: DataFrame) -> DataFrame:
     """Newest revision, then quality, freshness, completeness and arrival."""
-    return best(records, ["message_id"], F.col("revision").desc_nulls_last(), is_exact().desc(), freshness().desc_nulls_last(), completeness().desc(), F.col("pos").desc())
+    return best(records, ["message_id"], F.col("revision").desc_nulls_last(), is_exact().desc(), freshness().desc_nulls_last(), completeness(records.columns).desc(), F.col("pos").desc())
 
 
 def distinct_facts(facts: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION, PENDING, USER
 from . import forest
 
-STRENGTH = {PENDING: 0, USER: 1, EXCLUDED_ITEM: 2, EXCLUDED_SESSION: 3}
-
-
 def session_class(agents: list[str], prefixes: list[str], titles: list[str], flag: str, roles: list[str]) -> Column:
     """Scope of a session from its metadata (hidden flag, with no role or one of `roles`), agent and title; the lists are configuration."""
     role = F.coalesce(F.col("role"), F.lit(""))
@@ -23,38 +21,45 @@ def session_class(agents: list[str], prefixes: list[str], titles: list[str], fla
     return F.when(hidden | agent.isin(*agents) | begins | title.isin(*titles), EXCLUDED_SESSION).when(agent != "", USER).otherwise(PENDING)
 
 
-def message_class(agents: list[str], maintenance_id: str) -> Column:
-    """Scope of a message from its role, agent, mode, provider, model and summary flag."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+def message_class(agents: list[str], maintenance_id: str, models: tuple[str, ...] = ("provider_id", "model_id")) -> Column:
+    """Scope of a message from its role, agent, mode, summary flag and the ids of its provider and model, which may stand in
+    fields of a struct too (`models` names them all)."""
+    at = lambda c: F.coalesce(F.col(c), F.lit(""))
     other = F.col("role").isNotNull() & (F.col("role") != "assistant")
-    maintenance = text("agent").isin(*agents, "compaction") | text("mode").isin(*agents) | (text("provider_id") == maintenance_id) | (text("model_id") == maintenance_id)
-    compacted = F.coalesce(F.col("summary"), F.lit(False)) & (text("mode") == "compaction")
-    return F.when(other, PENDING).when(maintenance | compacted, EXCLUDED_ITEM).when((text("agent") != "") | (text("mode") != ""), USER).otherwise(PENDING)
-
-
-def strength(scope: Column) -> Column:
-    out = F.lit(0)
-    for name, k in STRENGTH.items():
-        out = F.when(scope == name, k).otherwise(out)
-    return out
+    model = F.lit(False)
+    for c in models:
+        model = model | (at(c) == maintenance_id)
+    maintenance = at("agent").isin(*agents, "compaction") | at("mode").isin(*agents) | model
+    compacted = F.coalesce(F.col("summary"), F.lit(False)) & (at("mode") == "compaction")
+    return F.when(other, PENDING).when(maintenance | compacted, EXCLUDED_ITEM).when((at("agent") != "") | (at("mode") != ""), USER).otherwise(PENDING)
 
 
 def merged(evidence: DataFrame, key: str = "session_id") -> DataFrame:
     """One row by key: the strongest scope (of equal ones the latest), all reasons in order of first sight, the last parent."""
-    firsts = Window.partitionBy(key).orderBy("pos")
     rank = F.when(F.col("scope") == EXCLUDED_SESSION, 2).when(F.col("scope") == EXCLUDED_ITEM, 1).otherwise(0)
     # below the exclusions the latest evidence that is not pending counts
     weak = F.max(F.when(F.col("scope").isin(USER), F.struct("pos", "scope"))).alias("weak")
     reasons = F.array_sort(F.collect_list(F.struct("pos", "reasons"))).getField("reasons")
     return (
         evidence.withColumn("rank", rank)
-        .withColumn("first", F.first("pos").over(firsts))
         .groupBy(key)
         .agg(F.max("rank").alias("rank"), weak, F.array_distinct(F.flatten(reasons)).alias("reasons"), F.max(F.when(F.col("parent").isNotNull(), F.struct("pos", "parent"))).alias("up"))
         .select(key, F.when(F.col("rank") == 2, EXCLUDED_SESSION).when(F.col("rank") == 1, EXCLUDED_ITEM).otherwise(F.coalesce("weak.scope", F.lit(PENDING))).alias("scope"), "reasons", F.col("up.parent").alias("parent"))
     )
 
 
+def metadata_batch(known: DataFrame, updates: DataFrame) -> DataFrame:
+    """(session_id, scope, reasons, parent, agents) after a batch of updates (session_id, pos, scope, reasons, parent, agents)
+    to sessions. A batch with a message's exclusion, an unknown scope or an unusable agent is refused whole."""
+    usable = ~F.exists(F.coalesce("agents", F.array().cast("array<string>")), lambda a: F.coalesce(text.agent_name(a) != a, F.lit(True)))
+    right = F.coalesce(F.col("scope").isin(PENDING, USER, EXCLUDED_SESSION), F.col("scope").isNull()) & usable & (F.col("session_id") != "")
+    checked = updates.filter(F.when(F.coalesce(right, F.lit(False)), True).otherwise(F.raise_error(F.lit("a session's metadata are invalid"))))
+    rows = known.withColumn("pos", F.lit(-1).cast("long")).unionByName(checked.withColumn("pos", F.col("pos").cast("long")))
+    scopes = merged(rows.filter("scope is not null"))
+    agents = rows.groupBy("session_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("agents", F.array().cast("array<string>")))))).alias("agents"))
+    return agents.join(scopes, "session_id", "left").select("session_id", "scope", "reasons", "parent", "agents")
+
+
 def parents(explicit: DataFrame, proof: DataFrame) -> DataFrame:
     """(child, parent): an explicit link stands even if it is null; otherwise the parent that evidence names."""
     more = proof.join(explicit.select("child"), "child", "left_anti").select("child", "parent")

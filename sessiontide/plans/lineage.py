@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that the session names for checkpoints: computed once, and kept when an executor is
-    lost. Only a session without such a folder gets a temporary one."""
+    lost. Only a session that runs in one process may go without; it gets a temporary folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lineage-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/lineage-{uuid.uuid4().hex}"

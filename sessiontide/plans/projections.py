@@ -62,9 +62,9 @@ def cyclic_links(spark: SparkSession, d: str) -> DataFrame:
 CYCLIC = "links AS (SELECT DISTINCT user_id AS child, CASE WHEN user_id < 5 THEN (user_id + 1) % 5 ELSE user_id // 10 END AS parent FROM events)"
 
 
-def region_links(spark: SparkSession, d: str) -> DataFrame:
-    """Customers below nations below regions."""
-    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+def region_links(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
+    """Customers below nations below regions; ids may get a prefix."""
+    text = lambda p, c: F.concat(F.lit(prefix + p), F.col(c).cast("string"))
     customers = table(spark, d, "customer").select(text("c", "c_custkey").alias("child"), text("n", "c_nationkey").alias("parent"))
     return customers.unionByName(table(spark, d, "nation").select(text("n", "n_nationkey").alias("child"), text("r", "n_regionkey").alias("parent")))
 
@@ -73,15 +73,17 @@ REGIONS = "links AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS par
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    """One response per order, with replays: a later provisional one of every seventh, a later exact one of every eleventh."""
+    """One response per order, with replays: a later provisional one of every seventh, a later exact one of every eleventh.
+    One scan: each order is spread to its copies."""
     orders = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("message_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("session_id"),
         F.floor("o_totalprice").cast("long").alias("output"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cost"), millis("o_orderdate").alias("completed"), F.col("o_orderpriority").alias("model"),
     )
-    copy = lambda rows, quality, output, later, pos: rows.select("message_id", "session_id", F.lit(quality).alias("quality"), output.cast("long").alias("output"), "cost", (F.col("completed") + later).alias("completed"), F.col("completed").alias("start"), "model", F.lit(pos).cast("long").alias("pos"))
-    out = copy(orders, "exact", F.col("output"), 0, 0)
-    out = out.unionByName(copy(orders.filter("message_id % 7 = 0"), "provisional", F.col("output") * 2, 3_600_000, 1))
-    return out.unionByName(copy(orders.filter("message_id % 11 = 0"), "exact", F.expr("output div 2"), 7_200_000, 2))
+    copy = lambda test, quality, output, later, pos: F.when(test, F.struct(F.lit(quality).alias("quality"), output.cast("long").alias("output"), (F.col("completed") + later).alias("completed"), F.lit(pos).cast("long").alias("pos")))
+    key = F.col("message_id")
+    copies = F.array(copy(F.lit(True), "exact", F.col("output"), 0, 0), copy(key % 7 == 0, "provisional", F.col("output") * 2, 3_600_000, 1), copy(key % 11 == 0, "exact", F.expr("output div 2"), 7_200_000, 2))
+    spread = orders.select("message_id", "session_id", "cost", F.col("completed").alias("start"), "model", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"))
+    return spread.select("message_id", "session_id", "c.quality", "c.output", "cost", "c.completed", "start", "model", "c.pos")
 
 
 RESPONSES = """orders0 AS (SELECT o_orderkey AS message_id, 'c' || o_custkey AS session_id, floor(o_totalprice)::BIGINT AS output, round(o_totalprice * 100)::BIGINT AS cost,

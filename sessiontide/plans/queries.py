@@ -94,11 +94,14 @@ def latest_model(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latest_model(precedence.preferred(P.responses(spark, d)))
 
 
-@query(f"""WITH {P.RESPONSES}, r AS (SELECT session_id, output, (completed - start)::DOUBLE AS took FROM responses WHERE pos > 0), s AS (SELECT *, CASE WHEN took > 0 THEN output * 1000 / took END AS speed FROM r)
-SELECT session_id, count(*)::BIGINT AS calls, floor(avg(speed) * 10000)::BIGINT AS avg_speed, floor(max(speed) * 10000)::BIGINT AS max_speed, floor(min(speed) * 10000)::BIGINT AS min_speed, 0::BIGINT AS avg_delay, 0::BIGINT AS max_delay, 0::BIGINT AS min_delay,
+@query(f"""WITH {P.RESPONSES}, r AS (SELECT session_id, output, (completed - start)::DOUBLE AS took, CASE WHEN message_id % 3 = 0 THEN (message_id % 1000)::DOUBLE WHEN message_id % 3 = 1 THEN (message_id % 77)::DOUBLE END AS delay FROM responses),
+s AS (SELECT *, CASE WHEN took > 0 THEN output * 1000 / took END AS speed FROM r)
+SELECT session_id, count(*)::BIGINT AS calls, floor(coalesce(avg(speed), 0) * 10000)::BIGINT AS avg_speed, floor(coalesce(max(speed), 0) * 10000)::BIGINT AS max_speed, floor(coalesce(min(speed), 0) * 10000)::BIGINT AS min_speed, floor(coalesce(avg(delay), 0) * 10000)::BIGINT AS avg_delay, floor(coalesce(max(delay), 0) * 10000)::BIGINT AS max_delay, floor(coalesce(min(delay), 0) * 10000)::BIGINT AS min_delay,
   floor(avg(took) * 10000)::BIGINT AS avg_duration, floor(max(took) * 10000)::BIGINT AS max_duration, floor(min(took) * 10000)::BIGINT AS min_duration FROM s GROUP BY session_id""")
 def response_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.responses(spark, d).filter("pos > 0").withColumns({c: F.lit(None).cast("double") for c in ("first_response", "ttft", "first_token", "duration")})
+    """Speeds, delays (by first response, reported, or unknown) and durations of all records of a session."""
+    key, none = F.col("message_id"), F.lit(None).cast("double")
+    rows = P.responses(spark, d).withColumns({"first_response": F.when(key % 3 == 0, F.col("start") + key % 1000), "ttft": F.when(key % 3 == 1, (key % 77).cast("double")), "first_token": none, "duration": none})
     out = metrics.response_stats(rows)  # in ten-thousandths: the engines round halves differently
     return out.select("session_id", "calls", *(F.floor(F.col(c) * 10000).cast("long").alias(c) for c in out.columns[2:]))
 
@@ -207,7 +210,8 @@ def lifecycle_boundaries(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {P.FACTS}, l AS (SELECT *, row_number() OVER (PARTITION BY session_id, instance_id ORDER BY ts DESC, seq DESC) AS k FROM facts)
 SELECT session_id, instance_id, 'stopped' AS state, ts::DOUBLE AS ts FROM l WHERE k = 1 AND state IN ('busy', 'retry') AND instance_id = 0""")
 def open_recovery(spark: SparkSession, d: str) -> DataFrame:
-    facts = P.facts(spark, d, 0).withColumn("execution_id", F.lit("e"))
+    """Streams without an execution id; those of older instances that are open are stopped."""
+    facts = P.facts(spark, d)
     return activity.recovery_facts(facts, facts.filter("instance_id = 0").select("instance_id")).select("session_id", "instance_id", "state", "ts")
 
 
@@ -300,13 +304,15 @@ def inherited_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return scope.excluded_sessions(links, evidence)
 
 
-LISTING = """tree AS (WITH RECURSIVE t(id, root, depth, path) AS (SELECT DISTINCT parent, parent, 0, [lpad(parent, 20, ' ')] FROM links WHERE parent LIKE 'r%'
-  UNION ALL SELECT l.child, t.root, t.depth + 1, list_append(t.path, lpad(l.child, 20, ' ')) FROM links l JOIN t ON l.parent = t.id) SELECT * FROM t)"""
+LISTING = """tree AS (WITH RECURSIVE t(id, root, depth, path) AS (SELECT DISTINCT parent, parent, 0, [parent] FROM links WHERE parent LIKE 'r%'
+  UNION ALL SELECT l.child, t.root, t.depth + 1, list_append(t.path, l.child) FROM links l JOIN t ON l.parent = t.id) SELECT * FROM t)"""
+LONG = "a-node-with-a-rather-long-id/"
 
 
-@query(f"WITH {P.REGIONS}, {LISTING} SELECT root, id, depth::INT AS depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM tree")
+@query(f"WITH {P.REGIONS}, {LISTING} SELECT '{LONG}' || root AS root, '{LONG}' || id AS id, depth::INT AS depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM tree")
 def tree_listing(spark: SparkSession, d: str) -> DataFrame:
-    return forest.listing(P.region_links(spark, d))
+    """Nodes with ids of thirty characters and more, in pre-order."""
+    return forest.listing(P.region_links(spark, d, LONG))
 
 
 @query(f"""WITH {P.REGIONS}, {LISTING}, {IDS}, {CLOSURE}, {COSTS}, r AS ({ROLLUP})
@@ -326,15 +332,18 @@ def direct_children(spark: SparkSession, d: str) -> DataFrame:
 # --- ledgers and evidence
 
 
-@query(f"""WITH {P.RESPONSES} SELECT session_id, sum(output)::BIGINT AS output, sum(cost)::BIGINT AS cost FROM orders0 GROUP BY session_id""")
+@query(f"""WITH {P.RESPONSES} SELECT session_id, sum(CASE WHEN message_id % 35 = 0 THEN 0 WHEN message_id % 15 = 0 AND message_id % 2 = 1 THEN output + 9 ELSE output END)::BIGINT AS output, sum(CASE WHEN message_id % 35 = 0 THEN 0 ELSE cost END)::BIGINT AS cost FROM orders0 GROUP BY session_id""")
 def ledger_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two ledgers that share some messages, one of them with an older, provisional copy: each message counts once."""
+    """Two ledgers that share every fifth message of odd id, each message counting once: an excluded copy shuts out the other, a
+    provisional one yields, and of exact ones that with the newer update wins, though its sequence is the only thing newer."""
     base = P.responses(spark, d).filter("pos = 0")
-    even = base.filter("message_id % 2 = 0 or message_id % 5 = 0").withColumn("ledger", F.lit("a")).withColumn("revision", F.lit(2))
-    odd = base.filter("message_id % 2 = 1").withColumn("ledger", F.lit("b")).withColumn("revision", F.lit(1))
-    odd = odd.withColumn("quality", F.when(F.col("message_id") % 5 == 0, "provisional").otherwise("exact")).withColumn("output", F.when(F.col("message_id") % 5 == 0, F.col("output") + 9).otherwise(F.col("output")))
-    copies = even.unionByName(odd).withColumn("excluded", F.lit(False))
-    sums = copies.groupBy("ledger", "session_id").agg(F.sum("output").alias("output"), F.sum("cost").alias("cost"))
+    key = F.col("message_id")
+    update = lambda n: F.struct(F.lit("i").alias("instance"), F.lit(float(n)).alias("sequence"), F.lit(1.0).alias("received_at"), F.lit(None).cast("double").alias("revision"), F.lit(str(n)).alias("fingerprint"), F.array().cast("array<string>").alias("seen"))
+    first = base.filter((key % 2 == 0) | (key % 5 == 0)).withColumns({"ledger": F.lit("a"), "update": update(1), "excluded": key % 35 == 0})
+    other = base.filter(key % 2 == 1).withColumns({"ledger": F.lit("b"), "update": update(2), "excluded": F.lit(False)})
+    other = other.withColumn("quality", F.when((key % 5 == 0) & (key % 3 != 0), "provisional").otherwise("exact")).withColumn("output", F.when(key % 5 == 0, F.col("output") + 9).otherwise(F.col("output")))
+    copies = first.unionByName(other)
+    sums = copies.groupBy("ledger", "session_id").agg(*(F.sum(F.when(F.col("excluded"), 0).otherwise(F.col(c))).alias(c) for c in ("output", "cost")))
     return ledger.ledger_union(copies, sums, ["output", "cost"])
 
 

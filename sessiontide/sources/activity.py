@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators import precedence
 from ..schema import STATES
+from . import store
 from .history import filled, lines, parsed, scope_at, text_at
 
 
@@ -24,7 +27,7 @@ def facts(rows: DataFrame) -> DataFrame:
         kind.alias("kind"), text_at("eventID").alias("event_id"), filled(text_at("sessionID")).alias("session_id"), F.coalesce(filled(text_at("instanceID")), F.lit("default")).alias("instance_id"), text_at("executionID").alias("execution_id"),
         ts.alias("ts"), F.coalesce(tokens.number("v", "observedAt"), ts).alias("observed_at"), whole("seq").alias("seq"), whole("sourceSequence").alias("source_sequence"), F.when(state.isin(*STATES), state).alias("state"),
         tokens.number("v", "instanceEndedAt").alias("ended_at"), tokens.number("v", "lastObservedAt").alias("last_observed"), filled(text_at("parentSessionID")).alias("parent_id"),
-        text_at("workID").alias("work_id"), text_at("source").alias("source"), text_at("phase").alias("phase"), text_at("stepID").alias("step_id"), text_at("classification").alias("classification"), scope_at("scope.sourceScope").alias("scope"), "pos",
+        text_at("workID").alias("work_id"), text_at("source").alias("source"), text_at("phase").alias("phase"), text_at("stepID").alias("step_id"), text_at("classification").alias("classification"), scope_at("scope").alias("scope"), "pos",
     )
     known = (F.col("kind") == "parent") | ((F.col("kind") == "lifecycle") & F.col("state").isNotNull())
     work = F.col("kind").isin("work", "execution-scope") & F.col("execution_id").isNotNull()
@@ -36,11 +39,22 @@ def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    names = {"kind": "kind", "event_id": "eventID", "session_id": "sessionID", "instance_id": "instanceID", "execution_id": "executionID", "ts": "timestamp", "observed_at": "observedAt", "seq": "seq", "state": "state", "parent_id": "parentSessionID"}
+    """Facts as JSON lines behind those that are there; what a table lacks is left out, and a parent fact without a parent clears it."""
+    names = {
+        "kind": "kind", "event_id": "eventID", "session_id": "sessionID", "instance_id": "instanceID", "execution_id": "executionID", "ts": "timestamp", "observed_at": "observedAt", "seq": "seq", "source_sequence": "sourceSequence",
+        "ended_at": "instanceEndedAt", "last_observed": "lastObservedAt", "state": "state", "parent_id": "parentSessionID", "work_id": "workID", "source": "source", "phase": "phase", "step_id": "stepID", "classification": "classification",
+    }
     body = F.struct(*(F.col(c).alias(n) for c, n in names.items() if c in rows.columns))
     rows.select(F.to_json(body).alias("value")).write.mode("append").text(path)
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """A log rewritten with every fact once; the old one stays until the new one is in its place."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    append(read(spark, path), new)
+    store.swap(spark, new, path)
+
+
 def stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """New files of a folder as facts; the checkpoint of the query keeps the place."""
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)

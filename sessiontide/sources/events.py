@@ -16,9 +16,17 @@ from .history import filled, flag_at, text_at
 #: Types that carry content only, and types that the adapter reads.
 CONTENT = r"^(message\.part\.(delta|updated)|session\.(next\.)?(text|reasoning)\..*|session\.(next\.)?tool\.(input\..*|progress))$"
 CONTROL = r"^session\.(created|forked|metadata\.updated|agent\.selected|renamed|status|idle|execution\.(started|succeeded|failed|interrupted)|retry\.scheduled|step\.(started|ended|failed)|tool\.(called|success|failed))$"
-#: What a type or a status word says about the lifecycle, in order of priority.
-TYPE_STATES = [("idle", "idle"), ("error", "failed"), ("abort", "aborted"), ("cancel", "cancelled"), ("stop", "stopped"), ("completed", "completed"), ("retried", "retry"), ("step.failed", "failed")]
+#: The types that name a state, the keys under which an event may carry one and the places where it may, and
+#: the words for each state in order of priority.
+TYPE_STATES = {
+    "session.idle": "idle", "session.error": "failed", "session.abort": "aborted", "session.aborted": "aborted", "session.cancel": "cancelled", "session.cancelled": "cancelled",
+    "session.stop": "stopped", "session.stopped": "stopped", "session.completed": "completed", "session.next.retried": "retry", "session.next.step.failed": "failed",
+}
+STATUS_KEYS = ["status", "state", "type", "name"]
+STATUS_PLACES = ["properties", "", "properties.info", "properties.session", "properties.event", "info", "session", "event"]
 WORD_STATES = [("busy", ["busy"]), ("retry", ["retry"]), ("idle", ["idle"]), ("completed", ["completed", "complete", "done"]), ("failed", ["failed", "failure", "error"]), ("aborted", ["aborted", "abort"]), ("cancelled", ["cancelled", "canceled", "cancel"]), ("stopped", ["stopped", "stop"])]
+#: Names nested in names are followed so deep.
+STATUS_DEPTH = 3
 
 
 def first_text(*paths: str) -> Column:
@@ -68,23 +76,35 @@ def parent_of(kind: Column) -> Column:
     return F.coalesce(explicit, entity, own)
 
 
-def lifecycle_state(kind: Column, *words: Column) -> Column:
-    """The state that an event's type names, else, for status events, the one its words name."""
+def status_words(places: list[str]) -> Column:
+    """The texts at `status` and `state` of these places, and in structs there those under `STATUS_KEYS`, nested too."""
+    at = lambda p, key: f"try_variant_get(v, '$.{p + '.' if p else ''}{key}', 'variant')"
+    level = f"filter(array({', '.join(at(p, key) for p in places for key in ('status', 'state'))}), x -> x is not null)"
+    found = []
+    for depth in range(STATUS_DEPTH):
+        found.append(f"transform(filter({level}, x -> schema_of_variant(x) = 'STRING'), x -> lower(try_variant_get(x, '$', 'string')))")
+        if depth + 1 < STATUS_DEPTH:
+            inner = ", ".join(f"try_variant_get(x, '$.{key}', 'variant')" for key in STATUS_KEYS)
+            level = f"filter(flatten(transform(filter({level}, x -> schema_of_variant(x) like 'OBJECT%'), x -> array({inner}))), x -> x is not null)"
+    return F.expr(f"concat({', '.join(found)})")
+
+
+def lifecycle_state(kind: Column, words: Column) -> Column:
+    """The state that an event's type names, else, for status events, the one its words name; none for any other type."""
     low = F.lower(kind)
-    said = F.array(*(F.lower(F.coalesce(w, F.lit(""))) for w in words))
     by_type = F.lit(None).cast("string")
-    for part, state in reversed(TYPE_STATES):
-        by_type = F.when(low.contains(part), state).otherwise(by_type)
+    for name, state in TYPE_STATES.items():
+        by_type = F.when(low == name, state).otherwise(by_type)
     by_word = F.lit(None).cast("string")
     for state, names in reversed(WORD_STATES):
-        by_word = F.when(F.arrays_overlap(said, F.array(*(F.lit(n) for n in names))), state).otherwise(by_word)
-    return F.coalesce(by_type, F.when(low.contains("status"), by_word))
+        by_word = F.when(F.arrays_overlap(words, F.array(*(F.lit(n) for n in names))), state).otherwise(by_word)
+    return F.coalesce(by_type, F.when(low.endswith(".status"), by_word))
 
 
 def older_facts(events: DataFrame) -> DataFrame:
     """Lifecycle and parent facts of the older kind of events."""
     kind = text_at("type")
-    state = lifecycle_state(kind, text_at("properties.status"), text_at("properties.status.type"), text_at("properties.state"))
+    state = lifecycle_state(kind, status_words(STATUS_PLACES))
     rows = events.filter(~is_content(kind)).select(session_of(kind).alias("session_id"), parent_of(kind).alias("parent_id"), state.alias("state"), tokens.number("v", "timestamp").alias("ts"), text_at("id").alias("event_id"), is_replay().alias("replay"), "pos")
     rows = rows.filter("session_id is not null and ts is not null")
     lifecycle = rows.filter("state is not null and not replay").withColumn("kind", F.lit("lifecycle")).withColumn("parent_id", F.lit(None).cast("string"))
@@ -97,8 +117,8 @@ def fields(events: DataFrame) -> DataFrame:
     usage = "try_variant_get(v, '$.data.tokens', 'variant')"
     rows = events.filter(is_control(text_at("type"))).select(
         text_at("type").alias("type"), text_at("id").alias("event_id"), tokens.number("v", "created").alias("ts"), tokens.number("v", "durable.seq").cast("long").alias("source_sequence"), filled(data("sessionID")).alias("session_id"), data("assistantMessageID").alias("message_id"),
-        data("id").alias("tool_id"), data("agent").alias("agent"), data("model.id").alias("model"), data("status.type").alias("status"), data("status").alias("status_text"), tokens.number("v", "data.started").alias("started"), F.expr(usage).isNotNull().alias("billed"),
-        tokens.counters(usage).alias("tokens"), tokens.number("v", "data.cost").alias("cost"), first_text("data.parentID", "data.parentSessionID").alias("parent_id"), data("title").alias("title"), "pos",
+        data("id").alias("tool_id"), data("agent").alias("agent"), data("model.id").alias("model"), status_words(["data"]).alias("words"), tokens.number("v", "data.started").alias("started"), F.expr(usage).isNotNull().alias("billed"),
+        tokens.counters(usage).alias("tokens"), tokens.partial(usage).alias("reported"), tokens.number("v", "data.cost").alias("cost"), first_text("data.parentID", "data.parentSessionID").alias("parent_id"), data("title").alias("title"), "pos",
     )
     return rows.filter("session_id is not null").dropDuplicates(["event_id", "type", "session_id", "message_id", "tool_id", "ts"])
 
@@ -117,7 +137,7 @@ ENDS = {"session.execution.succeeded": "completed", "session.execution.failed":
 def newer_facts(events: DataFrame) -> DataFrame:
     """Lifecycle, parent and work facts of the newer kind of events. A tool belongs to the execution of its step."""
     rows = with_execution(fields(events))
-    state = lifecycle_state(F.col("type"), F.col("status"), F.col("status_text"))
+    state = lifecycle_state(F.col("type"), F.col("words"))
     for kind, name in ENDS.items():
         state = F.when(F.col("type") == kind, name).otherwise(state)
     none = F.lit(None).cast("string")
@@ -141,13 +161,16 @@ def newer_responses(events: DataFrame) -> DataFrame:
     rows = fields(events).filter("message_id is not null")
     start = rows.filter("type = 'session.step.started'").groupBy("session_id", "message_id").agg(F.min(F.coalesce("started", "ts")).alias("start"), F.max("agent").alias("agent0"), F.max("model").alias("model0"))
     ends = rows.filter("type = 'session.step.ended' or (type = 'session.step.failed' and billed)").join(start, ["session_id", "message_id"], "left")
-    quality = F.when(F.col("billed"), "exact").otherwise("provisional")
+    said = F.col("reported.input").isNotNull() & F.col("reported.output").isNotNull() & (F.col("reported.reasoning").isNotNull() | (F.col("tokens.reasoning") == 0))
+    quality = F.when(said, "exact").otherwise("provisional")
     return ends.select("message_id", "session_id", F.coalesce("agent", "agent0").alias("agent"), F.coalesce("model", "model0").alias("model"), quality.alias("quality"), *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write")), F.coalesce("cost", F.lit(0.0)).alias("cost"), "start", F.col("ts").alias("completed"), F.col("source_sequence").alias("revision"), "pos")
 
 
 def idle_provisional(unfinished: DataFrame, facts: DataFrame) -> DataFrame:
-    """Unfinished responses of sessions that went inactive after their start, as provisional records ended there."""
-    ended = facts.filter("kind = 'lifecycle' and state not in ('busy', 'retry')").select("session_id", F.col("ts").alias("ended"))
-    met = unfinished.join(ended, "session_id").filter("ended >= start")
-    first = met.groupBy("message_id").agg(F.min("ended").alias("completed"))
-    return unfinished.drop("completed", "quality").join(first, "message_id").withColumn("quality", F.lit("provisional"))
+    """Unfinished responses of sessions that went inactive at or after their start, as provisional records ended at the first
+    such time, which one window over both finds."""
+    ended = facts.filter("kind = 'lifecycle' and state not in ('busy', 'retry')").select("session_id", F.col("ts").alias("__at"), F.col("ts").alias("__ended"), F.lit(None).cast(unfinished.schema).alias("__row"))
+    open_ = unfinished.select("session_id", F.col("start").alias("__at"), F.lit(None).cast(facts.schema["ts"].dataType).alias("__ended"), F.struct("*").cast(unfinished.schema).alias("__row"))
+    on = Window.partitionBy("session_id").orderBy("__at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    met = open_.unionByName(ended).withColumn("__first", F.min("__ended").over(on)).filter("__row is not null and __first is not null")
+    return met.select("__row.*", "__first").drop("completed", "quality").withColumnRenamed("__first", "completed").withColumn("quality", F.lit("provisional"))

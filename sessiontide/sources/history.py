@@ -6,18 +6,35 @@ only if its ids are texts and not empty. What else has the wrong type is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
-from ..operators import precedence
+from ..functions import text, tokens
+from ..operators import ledger
 from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION, PENDING, USER
 
 
+#: Bits of a line's place for the row in its task and for the task; the rest ranks the file.
+ROW_BITS, TASK_BITS = 27, 20
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, file, pos): lines that are not blank, in order of file and place."""
-    text = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
-    return text.filter(F.trim("value") != "")
+    """(value, file, pos): lines that are not blank, in order of file and place.
+
+    Spark deals files to tasks by size, so a row's number alone is no order over several files. Files are ranked by the
+    time stamp in their name, if they are temporary ones left behind (after all others), and by name; within a file tasks and
+    rows are in order. Only the names of the files are broadcast.
+    """
+    number = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), number.alias("number"))
+    rows = rows.filter(F.trim("value") != "")
+    stamp = F.coalesce(F.expr("try_cast(nullif(regexp_extract(file, '[.]([0-9]+)[.][^/]*tmp$', 1), '') as bigint)"), F.lit(-1))
+    names = rows.select("file").distinct().select("file", (F.row_number().over(Window.orderBy(stamp, "file")) - 1).cast("long").alias("rank"))
+    row, task = F.col("number").bitwiseAND((1 << 33) - 1), F.shiftright("number", 33)
+    fits = (row < 1 << ROW_BITS) & (task < 1 << TASK_BITS) & (F.col("rank") < 1 << (63 - ROW_BITS - TASK_BITS))
+    place = F.shiftleft("rank", ROW_BITS + TASK_BITS).bitwiseOR(F.shiftleft(task, ROW_BITS)).bitwiseOR(row)
+    pos = F.when(fits, place).otherwise(F.raise_error(F.lit("too many files, tasks or lines to number")))
+    return rows.join(F.broadcast(names), "file").select("value", "file", pos.alias("pos"))
 
 
 def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -38,10 +55,52 @@ def filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: The scopes as they are stored, and the reasons that evidence may give. Anything else is no evidence.
+STORED_SCOPES = {"user": USER, "pending": PENDING, "magic-message": EXCLUDED_ITEM, "magic-session": EXCLUDED_SESSION}
+REASONS = ["hidden-metadata", "session-agent", "session-title", "message-agent", "message-mode", "magic-model", "compaction-summary", "compaction-agent", "normal-agent", "parent-link"]
+
+
 def scope_at(path: str) -> Column:
-    """The scope of stored evidence; whatever the prefix, a session's exclusion and a message's end in what they exclude."""
-    said = text_at(path)
-    return F.when(said.endswith("-session"), EXCLUDED_SESSION).when(said.endswith("-message"), EXCLUDED_ITEM).when(said.isin(USER, PENDING), said)
+    """The scope of stored evidence of version 1 at a path; null for unknown values."""
+    said = text_at(f"{path}.sourceScope")
+    out = F.lit(None).cast("string")
+    for stored, name in STORED_SCOPES.items():
+        out = F.when(said == stored, name).otherwise(out)
+    return F.when(tokens.number("v", f"{path}.version") == 1, out)
+
+
+def reasons_at(path: str) -> Column:
+    """The known reasons of stored evidence, each once in order, among its first 64."""
+    given = F.expr(f"transform(slice(coalesce(try_variant_get(v, '$.{path}.reasons', 'array<variant>'), array()), 1, 64), x -> case when schema_of_variant(x) = 'STRING' then try_variant_get(x, '$', 'string') end)")
+    return F.when(scope_at(path).isNotNull(), F.array_distinct(F.filter(given, lambda x: F.coalesce(x.isin(REASONS), F.lit(False)))))
+
+
+def stored_scope(scope: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for stored, name in STORED_SCOPES.items():
+        out = F.when(scope == name, stored).otherwise(out)
+    return out
+
+
+def update_at(path: str) -> Column:
+    """A live update at a path, null unless all of it but the revision is there."""
+    at = lambda name: f"{path}.{name}"
+    amount = lambda name: F.when(tokens.number("v", at(name)) >= 0, tokens.number("v", at(name)))
+    raw = F.expr(f"try_variant_get(v, '$.{path}.seenFingerprints', 'array<variant>')")
+    seen = F.transform(raw, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    body = F.struct(text_at(at("instanceID")).alias("instance"), amount("sequence").alias("sequence"), amount("receivedAt").alias("received_at"), amount("revision").alias("revision"), text_at(at("fingerprint")).alias("fingerprint"), seen.alias("seen"))
+    whole = (text_at(at("source")) == "live") & body["instance"].isNotNull() & body["sequence"].isNotNull() & body["received_at"].isNotNull() & body["fingerprint"].isNotNull() & raw.isNotNull() & ~F.exists(seen, lambda x: x.isNull())
+    return F.when(F.coalesce(whole, F.lit(False)), body)
+
+
+def samples_at(path: str) -> Column:
+    """Samples with a time and a number of tokens; amounts are at least 0."""
+    raw = f"coalesce(try_variant_get(v, '$.{path}', 'array<variant>'), array())"
+    each = "named_struct('timestamp', {0}, 'tokens', greatest({1}, 0D), 'estimatedTokens', greatest({2}, if({2} is null, null, 0D)), 'bytes', greatest({3}, if({3} is null, null, 0D)), 'kind', {4})"
+    n = lambda name: f"case when schema_of_variant(try_variant_get(x, '$.{name}', 'variant')) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$' then try_variant_get(x, '$.{name}', 'double') end"
+    k = "case when try_variant_get(x, '$.kind', 'string') in ('output', 'reasoning') then try_variant_get(x, '$.kind', 'string') end"
+    whole = f"filter(transform({raw}, x -> if({n('timestamp')} is null or {n('tokens')} is null, null, {each.format(n('timestamp'), n('tokens'), n('estimatedTokens'), n('bytes'), k)})), x -> x is not null)"
+    return F.expr(whole)
 
 
 TIMES = {"start": "start", "first_token": "firstToken", "first_response": "firstResponse", "first_content": "firstContent", "completed": "completed", "ttft": "ttft", "duration": "duration"}
@@ -54,24 +113,43 @@ def responses(rows: DataFrame) -> DataFrame:
     usage = tokens.counters("try_variant_get(v, '$.tokens', 'variant')")
     quality = text_at("quality")
     out = rows.filter(right).select(
-        filled(text_at("messageID")).alias("message_id"), filled(text_at("sessionID")).alias("session_id"), filled(text_at("parentSessionID")).alias("parent_id"), text_at("model").alias("model"), text_at("agent").alias("agent"),
+        filled(text_at("messageID")).alias("message_id"), filled(text_at("sessionID")).alias("session_id"), filled(text_at("parentSessionID")).alias("parent_id"), filled(text_at("model")).alias("model"), text.agent_name(text_at("agent")).alias("agent"),
         F.when(quality.isin("exact", "provisional"), quality).alias("quality"), usage.alias("tokens"), F.coalesce(tokens.clamp(tokens.number("v", "cost")), F.lit(0.0)).alias("cost"),
-        *(tokens.number("v", f"time.{p}").alias(c) for c, p in TIMES.items()), F.coalesce(flag_at("time.startMissing"), F.lit(False)).alias("start_missing"),
-        F.expr("coalesce(try_variant_get(v, '$.samples', 'array<variant>'), array())").alias("samples"), tokens.number("v", "update.revision").alias("revision"), scope_at("scope.sourceScope").alias("scope"), "pos",
+        *(tokens.number("v", f"time.{p}").alias(c) if c != "start" else F.coalesce(tokens.number("v", "time.start"), F.lit(0.0)).alias("start") for c, p in TIMES.items()),
+        (F.coalesce(flag_at("time.startMissing"), F.lit(False)) | tokens.number("v", "time.start").isNull()).alias("start_missing"), F.when(text_at("time.firstResponseSource").isin("thinking", "content"), text_at("time.firstResponseSource")).alias("first_response_source"),
+        F.when(text_at("time.firstResponseTimeSource").isin("part-start", "arrival"), text_at("time.firstResponseTimeSource")).alias("first_response_time_source"), flag_at("time.firstResponseEstimated").alias("first_response_estimated"),
+        samples_at("samples").alias("samples"), update_at("update").alias("update"), tokens.number("v", "update.revision").alias("revision"), scope_at("scope").alias("scope"), reasons_at("scope").alias("scope_reasons"), F.when(scope_at("scope").isNotNull(), filled(text_at("scope.parentSessionID"))).alias("scope_parent"), "pos",
     )
     return out.filter("message_id is not null and session_id is not null").select("*", *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write"))).drop("tokens")
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The history of one or several files, each message once; orphaned temporary files may be among them."""
-    return precedence.runtime_preferred(responses(parsed(lines(spark, path))))
+    """The history of one or several files, each message once, as upserts in order of file and line leave it; temporary
+    files that were left behind come after the others, in order of the time stamp in their name."""
+    return ledger.history(responses(parsed(lines(spark, path))))
+
+
+def body(columns: list[str]) -> Column:
+    """A record as the struct that its JSON line has; what a table lacks is left out."""
+    some = lambda pairs: [F.col(c).alias(n) for c, n in pairs if c in columns]
+    update = F.struct(F.lit("live").alias("source"), F.col("update.instance").alias("instanceID"), F.col("update.sequence").alias("sequence"), F.col("update.received_at").alias("receivedAt"), F.col("update.revision").alias("revision"), F.col("update.fingerprint").alias("fingerprint"), F.col("update.seen").alias("seenFingerprints"))
+    scope = F.struct(F.lit(1).alias("version"), stored_scope(F.col("scope")).alias("sourceScope"), F.coalesce("scope_reasons", F.array().cast("array<string>")).alias("reasons"), F.col("scope_parent").alias("parentSessionID"))
+    times = some([*TIMES.items(), ("start_missing", "startMissing"), ("first_response_source", "firstResponseSource"), ("first_response_time_source", "firstResponseTimeSource"), ("first_response_estimated", "firstResponseEstimated")])
+    return F.struct(
+        F.lit(1).alias("version"), *some([("message_id", "messageID"), ("session_id", "sessionID"), ("parent_id", "parentSessionID"), ("model", "model"), ("agent", "agent"), ("quality", "quality")]),
+        F.struct("input", "output", "reasoning", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite")).alias("tokens"), "cost", F.struct(*times).alias("time"), *some([("samples", "samples")]),
+        F.when(F.col("update").isNotNull(), update).alias("update"), F.when(F.col("scope").isNotNull(), scope).alias("scope"),
+    )
 
 
 def write(records: DataFrame, path: str) -> None:
-    """One JSON line a record, each message once, replacing what was there."""
-    body = F.struct(
-        F.lit(1).alias("version"), F.col("message_id").alias("messageID"), F.col("session_id").alias("sessionID"), F.col("parent_id").alias("parentSessionID"), "model", "agent", "quality",
-        F.struct("input", "output", "reasoning", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite")).alias("tokens"), "cost",
-        F.struct(*(F.col(c).alias(p) for c, p in TIMES.items()), F.col("start_missing").alias("startMissing")).alias("time"), F.struct("revision").alias("update"), F.struct(F.regexp_replace(F.regexp_replace("scope", "^excluded_item$", "excluded-message"), "^excluded_session$", "excluded-session").alias("sourceScope")).alias("scope"),
-    )
-    precedence.runtime_preferred(records).select(F.to_json(body).alias("value")).write.mode("overwrite").text(path)
+    """One JSON line a record, each message once, in order of admission within a file, replacing what was there."""
+    rows = ledger.history(records)
+    rows.select("pos", F.to_json(body(rows.columns)).alias("value")).sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+
+
+def stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """New files of a folder as records; the checkpoint of the query keeps the place."""
+    text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    rows = text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.lit(0).cast("long").alias("pos"))
+    return responses(parsed(rows.filter("trim(value) <> ''")))

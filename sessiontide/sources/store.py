@@ -32,17 +32,23 @@ def move(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be moved to {new}")
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """The rows as the table at `path`; a failure before the last rename leaves the old one beside it."""
-    spark, mark = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{path}.new-{mark}")
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts what is at `new` in the place of `path`; a failure before the last rename leaves the old one beside it."""
+    aside = f"{path}.old-{uuid.uuid4().hex}"
     if exists(spark, path):
-        move(spark, path, f"{path}.old-{mark}")
-    move(spark, f"{path}.new-{mark}", path)
-    fs, old = _fs(spark, f"{path}.old-{mark}")
+        move(spark, path, aside)
+    move(spark, new, path)
+    fs, old = _fs(spark, aside)
     fs.delete(old, True)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """The rows as the table at `path`."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    swap(df.sparkSession, new, path)
+
+
 def quarantine(spark: SparkSession, path: str) -> str:
     """Moves an invalid ledger aside and returns its new place; what it held is rebuilt from the history."""
     aside = f"{path}.invalid-{int(time.time() * 1000)}"

@@ -3,7 +3,7 @@ that are stored, so a stream ends with the same numbers as a batch over everythi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import activity, intervals, precedence
-from ..schema import ACTIVE, TERMINAL
+from ..operators import activity, intervals, ledger, precedence
+from ..schema import ACTIVE, TERMINAL, TOKENS
 
 BUCKETS = 64
 
 
-def bucket(column: str = "session_id"):
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+def bucket(column: str = "session_id", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
 def session_time(facts: DataFrame) -> DataFrame:
@@ -27,26 +27,48 @@ def session_time(facts: DataFrame) -> DataFrame:
     return own.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
 
 
-def keep_session_time(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Stores facts by session bucket under the batch's number, and recomputes the buckets that a batch touches.
+def keep(stream: DataFrame, store: str, checkpoint: str, key: str, compute: dict[str, Callable[[DataFrame], DataFrame]], buckets: int = BUCKETS) -> StreamingQuery:
+    """Stores a stream's rows by bucket of a key under the batch's number, and computes anew what a batch's buckets hold.
 
-    A batch that is run again overwrites its own files, so each fact is stored once per delivery and replays change nothing.
+    A batch that is run again overwrites its own files, so each row is stored once per delivery and replays change nothing.
+    Rows may be as late as they like. `compute` names tables and says how they follow from all rows of a bucket; with more
+    buckets a batch reads less of what is stored, so their number is to grow with the history. It is fixed for a store.
     """
+    place = bucket(key, buckets)
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/facts/batch={number}")
-        touched = [r["bucket"] for r in batch.select(bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
+        batch.withColumn("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/rows/batch={number}")
+        touched = [r["bucket"] for r in batch.select(place.alias("bucket")).distinct().collect()]  # `buckets` at most
         if not touched:
             return
-        facts = spark.read.option("basePath", f"{store}/facts").parquet(f"{store}/facts").filter(F.col("bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "bucket")
-        out = session_time(facts).withColumn("bucket", bucket())
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/time")
+        rows = spark.read.option("basePath", f"{store}/rows").parquet(f"{store}/rows").filter(F.col("bucket").isin(touched) & (F.col("batch") <= number))
+        for name, job in compute.items():
+            # a row's place is by batch first, so that what came later counts as later
+            ordered = rows.withColumn("pos", F.col("batch").cast("long") * (1 << 40) + F.coalesce("pos", F.lit(0)) % (1 << 40)) if "pos" in rows.columns else rows
+            out = job(ordered.drop("batch", "bucket")).withColumn("bucket", place)
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{store}/{name}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_session_time(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Active time of sessions from a stream of facts."""
+    return keep(stream, store, checkpoint, "session_id", {"time": session_time}, buckets)
+
+
+def session_sums(records: DataFrame) -> DataFrame:
+    """(session_id, calls, tokens, cost) of the records that count."""
+    effective = ledger.contributions(records)
+    return effective.groupBy("session_id").agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in (*TOKENS, "cost")))
+
+
+def keep_usage(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """History and session sums from a stream of responses. A message belongs to one session's bucket; corrections and replays
+    are folded with what is stored, so a retried batch commits the same."""
+    return keep(stream, store, checkpoint, "session_id", {"history": ledger.history, "totals": session_sums}, buckets)
+
+
 def read_session_time(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/time").drop("bucket")
 
@@ -83,9 +105,3 @@ def interval_stream(stream: DataFrame) -> DataFrame:
     return stream.filter("kind = 'lifecycle'").groupBy("session_id", "instance_id", "execution_id").transformWithStateInPandas(
         LifecycleState(), "session_id string, instance_id string, execution_id string, start double, end double", "append", "None"
     )
-
-
-def first_deliveries(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Facts without those delivered again within the delay, by id and payload."""
-    timed = stream.withColumn("event_time", F.timestamp_millis(F.col("ts").cast("long"))).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark([c for c in stream.columns if c != "pos"])

@@ -61,11 +61,14 @@ def test_older_events(spark):
 
 
 def test_history_folds():
-    def record(pos, quality, output, update=None, agent=None, completed=None):
-        return {"message_id": "m", "pos": pos, "quality": quality, "output": output, "update": update, "agent": agent, "completed": completed, "start": None, "first_token": None, "ttft": None, "model": None, "samples": None}
+    def record(pos, quality, output, update=None, agent=None, completed=None, **more):
+        return {"message_id": "m", "pos": pos, "quality": quality, "output": output, "update": update, "agent": agent, "completed": completed, "start": None, "first_token": None, "ttft": None, "model": None, "samples": None, "scope": None, "scope_reasons": None, "scope_parent": None} | more
 
     up = lambda n: {"instance": "i", "sequence": n, "received_at": n, "revision": None, "fingerprint": str(n), "seen": []}
-    assert ledger.fold_history([record(0, "exact", 1, agent="a"), record(1, "provisional", 2), record(2, "exact", 3, completed=5)]) == record(0, "exact", 3, agent="a", completed=5)
+    assert ledger.fold_history([record(0, "exact", 1, agent="a"), record(1, "provisional", 2), record(2, "exact", 3, completed=5)]) == record(0, "exact", 3, agent="a", completed=5, scope_reasons=[])
+    # a record that loses still lends the agent and the evidence that it has
+    lent = ledger.fold_history([record(0, "exact", 1, scope="user", scope_reasons=["x"]), record(1, "provisional", 2, agent="b", scope="excluded_item", scope_reasons=["y"], scope_parent="p")])
+    assert (lent["output"], lent["agent"], lent["scope"], lent["scope_reasons"], lent["scope_parent"]) == (1, "b", "excluded_item", ["x", "y"], "p")
     assert ledger.fold_history([record(0, "exact", 1, up(2)), record(1, "exact", 2), record(2, "exact", 3, up(1)), record(3, "exact", 4, up(3)), record(4, "provisional", 5, up(4))])["output"] == 4
 
 
@@ -79,3 +82,18 @@ def test_folds_by_message_equal_plain_ones(spark):
     for r in df.orderBy("pos").collect():
         own.setdefault(r["message_id"], []).append(r.asDict(True))
     assert got == {m: f["pos"] for m, rs in own.items() if (f := ledger.fold(rs))}
+
+
+def test_only_exact_types_name_states(spark):
+    items = [{"type": t, "timestamp": k, "properties": {"sessionID": "s"}} for k, t in enumerate(["message.error", "todo.completed", "permission.cancelled", "session.error", "SESSION.Aborted", "session.next.step.failed", "x.status"])]
+    status = lambda where: {"type": "session.status", "timestamp": 50, **where}
+    items += [status({"properties": {"sessionID": "s"}, "session": {"state": {"status": {"type": "Done"}}}}), status({"properties": {"sessionID": "s", "event": {"status": {"name": "cancel"}}, "info": {"state": "busy"}}}), status({"sessionID": "s", "status": {"other": "busy"}})]
+    got = sorted((r["ts"], r["state"]) for r in events.older_facts(rows(spark, items)).collect())
+    assert got == [(3, "failed"), (4, "aborted"), (5, "failed"), (50, "busy"), (50, "completed")]
+
+
+def test_response_quality(spark):
+    told = [{"input": 1, "output": 2}, {"input": 1, "output": 2, "reasoning": 0}, {"output": 2}, {"inputTokens": 1, "outputTokens": 5, "reasoning": 3}, {}]
+    items = [ev("step.ended", k, assistantMessageID=f"m{k}", tokens=t) for k, t in enumerate(told)]
+    got = {r["message_id"]: r["quality"] for r in events.newer_responses(rows(spark, items)).collect()}
+    assert got == {"m0": "exact", "m1": "exact", "m2": "provisional", "m3": "exact", "m4": "provisional"}

@@ -121,12 +121,97 @@ def test_precedence_and_folds(spark):
     assert precedence.distinct_facts(df).count() == 2
 
 
-def test_ledger_conflict_is_an_error(spark):
-    rows = [("a", "m", "s", "exact", 1, 5, False), ("b", "m", "s", "exact", 1, 6, False)]
-    copies = spark.createDataFrame(rows, "ledger string, message_id string, session_id string, quality string, revision int, output long, excluded boolean")
-    sums = copies.groupBy("ledger", "session_id").agg(F.sum("output").alias("output"))
-    with pytest.raises(Exception, match="disagree"):
-        ledger.ledger_union(copies, sums, ["output"]).collect()
+COPY = "ledger string, message_id string, session_id string, quality string, update struct<instance:string,sequence:double,received_at:double,revision:double,fingerprint:string,seen:array<string>>, output long, excluded boolean, legacy boolean"
+
+
+def united(spark, rows):
+    copies = spark.createDataFrame(rows, COPY)
+    sums = copies.filter("not excluded").groupBy("session_id").agg(F.sum("output").alias("output"))
+    return {r["session_id"]: r["output"] for r in ledger.ledger_union(copies, sums, ["output"]).collect()}
+
+
+def test_ledger_union_by_dominance(spark):
+    up = lambda sequence, f, i="i", at=1.0: (i, float(sequence), at, None, f, [])
+    copy = lambda ledger_, update, output, quality="exact", excluded=False, legacy=False, session="s": (ledger_, "m", session, quality, update, output, excluded, legacy)
+    assert united(spark, [copy("a", None, 5), copy("b", None, 5)]) == {"s": 5}
+    assert united(spark, [copy("a", up(1, "x"), 5), copy("b", up(2, "y"), 7)]) == {"s": 7}
+    assert united(spark, [copy("a", up(2, "x"), 5), copy("b", None, 7)]) == {"s": 5}
+    assert united(spark, [copy("a", None, 9, "provisional"), copy("b", None, 7)]) == {"s": 7}
+    assert united(spark, [copy("a", None, 9, excluded=True), copy("b", None, 7)]) == {"s": 0}
+    # a third copy settles what two others leave open, in another session's favour
+    assert united(spark, [copy("a", up(1, "x", "i", 5.0), 5), copy("b", up(1, "y", "j", 5.0), 6), copy("c", up(1, "z", "k", 9.0), 8, session="t")]) == {"s": 0, "t": 8}
+    for rows in ([copy("a", None, 5), copy("b", None, 6)], [copy("a", up(1, "x", "i", 5.0), 5), copy("b", up(1, "y", "j", 5.0), 6)], [copy("a", None, 5), copy("b", None, 5, legacy=True)]):
+        with pytest.raises(Exception, match="can't be merged"):
+            united(spark, rows)
+
+
+def test_null_executions_and_clocks(spark):
+    rows = facts(spark, [("s", "i", None, 1.0, "busy", None, None, "a"), ("s", "j", None, 1.0, "busy", None, None, "b"), ("s", "k", "e", 1.0, "idle", None, None, "c")])
+    older = spark.createDataFrame([("i",), ("k",)], "instance_id string")
+    assert [(r["instance_id"], r["execution_id"], r["ts"]) for r in activity.recovery_facts(rows, older).collect()] == [("i", None, 1.0)]
+    canonical = facts(spark, [("s", "i", None, 1.0, "busy", None, None, "a"), ("s", "i", None, 5.0, "completed", None, None, "z")])
+    live = facts(spark, [("s", "i", None, 1.0, "busy", None, None, "a")])
+    assert {r["event_id"] for r in activity.reconciled(canonical, live).collect()} == {"a", "z"}
+    two = facts(spark, [("s", "i", "e", 1.0, "busy"), ("s", "i", "f", 3.0, "busy"), ("s", "i", "f", 4.0, "busy"), ("s", "i", "g", 9.0, "idle")])
+    trusted = spark.createDataFrame([("i",)], "instance_id string")
+    assert [tuple(r) for r in activity.latest_executions(two).collect()] == [("s", "i", "f")]
+    got = activity.lifecycle_intervals(two, None, 50.0, trusted).collect()
+    assert sorted((r["execution_id"], r["start"], r["end"]) for r in got) == [("f", 3.0, 4.0), ("f", 4.0, 50.0)]
+    ends = {r["execution_id"]: (r["boundary"], r["proved"]) for r in activity.boundaries(two, trusted, 20.0).collect()}
+    assert ends == {"e": (1.0, False), "f": (20.0, True), "g": (9.0, False)}
+
+
+def test_gaps_open_new_instances(spark):
+    rows = facts(spark, [("s", "i", None, 1.0, "busy", None, None, "a"), ("s", "i", None, 9.0, "busy", None, None, "b"), ("t", "i", None, 1.0, "idle", None, None, "c")])
+    gaps = spark.createDataFrame([("s", "i", 5.0), ("t", "i", 5.0)], "session_id string, instance_id string, at double")
+    got = sorted((r["session_id"], r["instance_id"], r["ts"], r["state"]) for r in activity.split_at_gaps(rows, gaps).collect())
+    assert got == [("s", "i", 1.0, "busy"), ("s", "i", 1.0, "stopped"), ("s", "i#1", 9.0, "busy"), ("t", "i", 1.0, "idle")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rollup_and_exclusion_equal_walks(spark, seed):
+    """Random forests with cycles against walking up from every node."""
+    rng = random.Random(seed)
+    n = 40
+    parent = {k: (rng.randrange(n) if seed == 2 else rng.randrange(-1, k)) for k in range(n)}
+    pairs = [(str(k), str(p) if p >= 0 else None) for k, p in parent.items()]
+    value = {k: rng.randrange(100) for k in range(n) if rng.random() < 0.8}
+
+    def above(k):
+        seen = []
+        while k >= 0 and k not in seen:
+            seen.append(k)
+            k = parent[k] if parent[k] != k else -1
+        return seen
+
+    marked = {k for k in range(n) if rng.random() < 0.1}
+    tree, totals = links(spark, pairs), spark.createDataFrame([(str(k), v) for k, v in value.items()], "id string, v long")
+    ids = {x for p in pairs for x in p if x and p[1] and p[0] != p[1]} | {str(k) for k in value}
+    want = {str(k): sum(v for x, v in value.items() if k in above(x)) for k in range(n)}
+    assert {r["id"]: r["including_v"] for r in forest.rollup(totals, tree, ["v"]).collect()} == {k: v for k, v in want.items() if k in ids}
+    gone = forest.excluded(tree, spark.createDataFrame([(str(k),) for k in marked], "id string"))
+    assert {r["id"] for r in gone.collect()} == {str(k) for k in range(n) if marked & set(above(k))}
+
+
+def test_long_chains_and_long_ids(spark):
+    n = 4000
+    chain = links(spark, [(f"{k:05}", f"{k - 1:05}") for k in range(1, n)])
+    totals = spark.createDataFrame([(f"{k:05}", 1) for k in range(n)], "id string, v long")
+    got = {r["id"]: r["including_v"] for r in forest.rollup(totals, chain, ["v"]).collect()}
+    assert len(got) == n and got["00000"] == n and got["03999"] == 1
+    assert forest.excluded(chain, spark.createDataFrame([("00010",)], "id string")).count() == n - 10
+    long = "a-name-of-more-than-twenty-characters/"
+    tree = links(spark, [(long + x, long + y) for x, y in (("b2", "a"), ("b1", "a"), ("c", "b1"), ("d", "b2"))])
+    assert [r["id"][len(long) :] for r in forest.listing(tree).orderBy("place").collect()] == ["a", "b1", "c", "b2", "d"]
+
+
+def test_completeness_of_records(spark):
+    from sessiontide.schema import AMOUNT_WEIGHTS, FIELD_WEIGHTS
+
+    row = {"parent_id": "p", "model": "m", "first_token": 1.0, "completed": 2.0, "ttft": None, "duration": 0.0, "input": 1.0, "output": 0.0, "reasoning": None, "cache_read": 3.0, "cache_write": 0.0, "cost": 0.5}
+    df = spark.createDataFrame([tuple(row.values()) + ([1, 2, 3],)], ", ".join(f"{c} {'string' if c in ('parent_id', 'model') else 'double'}" for c in row) + ", samples array<int>")
+    assert set(row) == {*FIELD_WEIGHTS, *AMOUNT_WEIGHTS}
+    assert df.select(precedence.completeness(df.columns).alias("c")).first()["c"] == ledger.completeness(row | {"samples": [1, 2, 3]}) == 2 + 2 + 1 + 3 + 1 + 3 + 5
 
 
 def test_counters_and_shown_values(spark):
