@@ -9,8 +9,10 @@ A log has one event per row: conversation, sequence number, message, kind, role
 Template of a turn: ``<|turn|>role<|text|>text<|end|>``. In roles and texts ``<``, backslashes and ``|`` get one
 backslash more before the bar, so that no control string can stand inside them; reading takes one away.
 
-Nulls: a null role or text is empty, a null kind is ``message``, a null conversation is one of its own; events
-that tie in sequence are applied in the order of kind and text, and repeated ones each count.
+Nulls: a null role or text is empty, a null kind is ``message``, a null conversation is one of its own. Events that tie in
+sequence are applied in the order of kind and text, a ``regenerate`` last, of the latest message first; a message's role is
+the first that is named, of tied ones the least. Repeated events each count, so a repeated delta stands twice. Texts may be
+as long as a cell of a table; an empty log gives no rows. Only the columns named above are read, so others can't clash.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,22 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Only a session that runs in one process may go without; it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the rows as a compressed table in the shared folder."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cuts the lineage: the rows as a compressed table in the shared folder. `instead_of` is a table written before that nothing
+    else reads any more; it is removed once the new one is complete. What is left goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _left:
+        atexit.register(_remove_all, spark)
+    _left[id(out)] = (out, path)
+    if instead_of is not None and id(instead_of) in _left:
+        _remove(spark, _left.pop(id(instead_of))[1])
+    return out
+
+
+#: Tables written by this process, kept by their DataFrames so that an id stays its own.
+_left: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session can't remove anything
+        for _, path in _left.values():
+            _remove(spark, path)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

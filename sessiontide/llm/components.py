@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     check = lambda df: tuple(df.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first())
     state = check(edges)
     while state[0]:
-        edges = written(_star(_star(edges, True), False), "links")
+        edges = written(_star(_star(edges, True), False), "links", instead_of=edges)
         now = check(edges)
         if now == state:
             break

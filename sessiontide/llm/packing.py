@@ -6,8 +6,10 @@ its gap is under `min_piece`, and emitted, and the rest is placed anew. What is
 the partitions leave open is merged sixteen partitions at a time, over and over, until one group is left, whose last
 sequences are filled up in order; the very last tokens go to sequences of powers of two, which need no padding.
 
-A task holds its open sequences and one slice of texts. A null or empty text has only the closing id. Repeated rows are
-packed each; doc_id may be null. Sequence ids are unique, not dense.
+A task holds its open sequences and one slice of texts. A null or empty text has only the closing id; a text may be longer
+than a slice. Repeated rows are packed each, as are rows that share an id or have none. Of open sequences that fit equally
+well the first counts. An empty table gives no pieces. Only id and text are read, so other columns can't clash. Sequence ids
+are unique, not dense.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ signed tokens by a JSON header that names an algorithm, PEM blocks by what they
 rule or one of these structures inside it, encoded again up to `DEPTH` times. Runs wrapped over lines of equal length are
 joined.
 
-Null and empty texts have no spans; the whole text is scanned however long it is. Repeated rows each give a row.
+Null and empty texts have no spans; the whole text is scanned however long it is. Repeated rows, and rows with a null id, each
+give a row with equal spans, and an empty table none. Spans of one kind that start together stand in order of their ends.
+Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

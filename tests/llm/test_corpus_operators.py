@@ -27,6 +27,8 @@ def test_packing_round_trip(spark, partitions):
         assert zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"] > 0
         by_doc.setdefault(p["doc_id"], []).append(p)
         by_seq.setdefault(p["sequence_id"], []).append(p)
+    assert sorted(p["doc_id"] for p in packing.pack(docs(spark, [(1, "a b"), (1, "a b"), (1, "c"), (None, None), (None, None)])).collect() if p["start"] == 0 and p["doc_id"]) == [1, 1, 1]
+    assert sum(p["length"] for p in packing.pack(docs(spark, [(None, None), (None, ""), (3, "")])).collect()) == 3
     for doc, text in rows:
         want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         own = sorted(by_doc[doc], key=lambda p: p["start"])

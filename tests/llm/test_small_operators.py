@@ -28,20 +28,24 @@ def test_chat_query_equals_sql(spark):
 
 def fold(events):
     """Plain fold of a log in order."""
-    held = {}
-    for seq, msg, kind, role, text in sorted(events, key=lambda e: (e[0], e[2], e[4])):
+    held, roles = {}, {}
+    for seq, msg, kind, role, text in sorted(events, key=lambda e: (e[0], e[2], -e[1] if e[2] == "regenerate" else 0, e[4])):
         if kind == "regenerate":
             for m in [m for m in held if m > msg]:
-                del held[m]
-        role0, old = held.get(msg, (None, ""))
-        held[msg] = (role0 if role0 is not None else role, (old if kind == "delta" else "") + text)
-    return {m: ((r or ""), t) for m, (r, t) in held.items()}
+                del held[m], roles[m]
+        held[msg] = (held.get(msg, "") if kind == "delta" else "") + text
+        roles[msg] = [*roles.get(msg, []), *([(seq, role)] if role else [])]
+    return {m: (min(roles[m])[1] if roles[m] else "", t) for m, t in held.items()}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_reconstruct_equals_fold(spark, seed):
+    """With seeds above 1 sequence numbers tie and events are repeated."""
     rng = random.Random(seed)
-    events = {c: [(s, rng.randrange(4), rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), rng.choice(["a", "<|", "b\\"])) for s in range(rng.randrange(1, 14))] for c in range(20)}
+    event = lambda s: (s, rng.randrange(4), rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant", None]), rng.choice(["a", "<|", "b\\"]))
+    events = {c: [event(s if seed < 2 else rng.randrange(5)) for s in range(rng.randrange(1, 14))] for c in range(20)}
+    if seed > 1:
+        events = {c: es + es[:2] for c, es in events.items()}
     log = spark.createDataFrame([(c, *e) for c, es in events.items() for e in es], "conv_id long, seq long, msg long, kind string, role string, text string")
     got = {}
     for r in chat.reconstruct(log).collect():
