@@ -34,5 +34,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table `documents`, each written and read again before the next; the rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), instead_of=docs)
     return docs
