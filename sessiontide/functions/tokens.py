@@ -55,6 +55,38 @@ def partial(variant: str) -> Column:
     return F.struct(*(F.when(known[c].isNotNull(), whole.getField(c)).alias(c) for c in TOKENS))
 
 
+#: Names that only a reader of stored records knows, and those whose presence says that a counter was reported.
+READER = {
+    "fresh": ["noCacheTokens", "inputTokenDetails.noCacheTokens", "inputTokenDetails.noCacheInputTokens"],
+    "text": ["outputTokenDetails.textTokens", "outputTokenDetails.text", "outputTokenDetails.outputTokens"],
+    "raw_input": ["inputTokens", "promptTokens"],
+    "raw_output": ["outputTokens", "completionTokens"],
+    "has_input": ["cacheReadTokens", "cacheWriteTokens", "cache_read", "cache_write", "inputTokenDetails.cacheReadTokens", "inputTokenDetails.cacheWriteTokens", "inputTokenDetails.cacheRead", "inputTokenDetails.cacheWrite"],
+    "has_output": ["reasoning", "outputTokenDetails.reasoningTokens", "outputTokenDetails.reasoning"],
+}
+HOLDERS = ["tokens", "usage", "tokenUsage"]
+
+
+def reader_source(variant: str) -> Column:
+    """Where a record keeps its counters: the first of `HOLDERS` that is an object, else the record itself."""
+    held = [f"case when schema_of_variant(try_variant_get({variant}, '$.{h}', 'variant')) like 'OBJECT%' then try_variant_get({variant}, '$.{h}', 'variant') end" for h in HOLDERS]
+    return F.expr(f"coalesce({', '.join(held)}, {variant})")
+
+
+def reader_fields(source: str) -> Column:
+    """struct of the counters that are reported at a source, the others null."""
+    said = lambda names: F.coalesce(*(number(source, n) for n in names))
+    whole = counters(source)
+    fresh, made, raw_out = said(READER["fresh"]), said(READER["text"]), said(READER["raw_output"])
+    has_input = F.coalesce(number(source, "input"), said(READER["raw_input"]), fresh, said(READER["has_input"])).isNotNull()
+    has_output = F.coalesce(number(source, "output"), raw_out, made, said(READER["has_output"])).isNotNull()
+    output = F.when(made.isNotNull(), clamp(made)).when(raw_out.isNotNull() & (whole["reasoning"] > 0), F.greatest(raw_out - whole["reasoning"], F.lit(0.0))).otherwise(whole["output"])
+    parts = {"input": F.when(has_input, F.coalesce(clamp(fresh), whole["input"])), "output": F.when(has_output, output)}
+    for c in ("reasoning", "cache_read", "cache_write"):
+        parts[c] = F.when(reported(source, c).isNotNull(), whole[c])
+    return F.struct(*(parts[c].alias(c) for c in TOKENS))
+
+
 def total(prefix: str = "") -> Column:
     return sum((F.col(f"{prefix}{c}") for c in TOKENS[1:]), F.col(f"{prefix}{TOKENS[0]}"))
 
@@ -72,3 +104,9 @@ def cache_hit_rate(read: Column, given: Column, write: Column) -> Column:
 def estimate(text: Column) -> Column:
     """Tokens of a text by its bytes, 5.5 each; 0 for none."""
     return F.coalesce(F.octet_length(text) / F.lit(5.5), F.lit(0.0))
+
+
+def scaled(factor: Column, prefix: str = "") -> list[Column]:
+    """The five counters times a factor, which is at least 0."""
+    by = F.greatest(F.coalesce(factor, F.lit(0.0)), F.lit(0.0))
+    return [(F.col(f"{prefix}{c}") * by).alias(c) for c in TOKENS]

@@ -113,6 +113,56 @@ def session_rate(measures: DataFrame, key: str = "session_id") -> DataFrame:
     return sums.select("*", F.when(F.col("ms") > 0, F.col("tokens") * 1000 / F.col("ms")).alias("rate"))
 
 
+def speed_totals(measures: DataFrame, key: str = "session_id") -> DataFrame:
+    """Accumulators of rates from measures (tokens, ms, estimated, short, coverage, sign): what is taken back has sign -1, and
+    no sum goes below 0."""
+    sign = F.col("sign")
+    up = lambda c, name: F.greatest(F.sum(c), F.lit(0)).alias(name)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("long")
+    return measures.groupBy(key).agg(up(sign * F.col("tokens"), "tokens"), up(sign * F.col("ms"), "ms"), up(sign, "responses"), up(sign * flag("estimated"), "estimated"), up(sign * flag("short"), "short"), up(sign * F.col("coverage"), "coverage"))
+
+
+#: Milliseconds that a span must have at least, and from which it needs no declared clock.
+LEAST_SPAN, LONG_SPAN = 100, 1000
+KINDS = ("output", "reasoning")
+
+
+def valid(x: Column) -> Column:
+    return F.coalesce((x >= 0) & ~F.isnan(x.cast("double")) & (x.cast("double") != float("inf")), F.lit(False))
+
+
+def whole_evidence(e: str = "evidence") -> Column:
+    """Whether stored evidence of a generation rate holds by all of its fields: kind, source, clock, span, counts, bytes and usage."""
+    c = lambda name: F.col(f"{e}.{name}")
+    span = c("last_receive") - c("first_receive")
+    declared = c("clock_source").isNotNull() | c("clock_resolution_ms").isNotNull()
+    clock = (c("clock_source") == "performance.now") & (c("clock_resolution_ms") > 0) & (span >= F.greatest(F.lit(LEAST_SPAN), 10 * c("clock_resolution_ms")))
+    timed = valid(span) & (span >= LEAST_SPAN) & (((span >= LONG_SPAN) & ~declared) | F.coalesce(clock, F.lit(False)))
+    quality = F.when(span < LONG_SPAN, "short").otherwise("standard")
+    named = F.when((quality == "short") | c("quality").isNotNull(), c("quality").eqNullSafe(quality)).otherwise(True)
+    out = (c("version") == 3) & (c("coverage") == "complete") & c("from_start") & (c("time_source") == "receive-monotonic") & c("stream").isin("legacy", "v2") & (F.trim(c("step_id")) != "")
+    out = out & valid(c("start")) & valid(c("end")) & valid(c("first_receive")) & valid(c("last_receive")) & timed & (c("observations") >= 2) & named
+    for k in KINDS:
+        bytes_, first, usage = c(f"{k}_bytes"), c(f"{k}_first"), c(f"{k}_usage")
+        out = out & (first >= 0) & (first <= bytes_) & valid(usage) & ~((usage > 0) & (bytes_ == 0)) & (c(f"{k}_observed") == (bytes_ > 0))
+    first, total = (sum((c(f"{k}_{x}") for k in KINDS[1:]), c(f"{KINDS[0]}_{x}")) for x in ("first", "bytes"))
+    return F.coalesce(out & (first > 0) & (total > first), F.lit(False))
+
+
+def interval_measure(e: str = "evidence") -> Column:
+    """struct(tokens, coverage, ms, quality) of whole evidence: usage of each kind by the share of its bytes after the first batch."""
+    c = lambda name: F.col(f"{e}.{name}")
+    share = [F.when(c(f"{k}_bytes") > 0, c(f"{k}_usage") * ((c(f"{k}_bytes") - c(f"{k}_first")) / c(f"{k}_bytes"))).otherwise(F.lit(0.0)) for k in KINDS]
+    ms = c("last_receive") - c("first_receive")
+    body = F.struct((share[0] + share[1]).alias("tokens"), (c("output_usage") + c("reasoning_usage")).alias("coverage"), ms.alias("ms"), F.when(ms < LONG_SPAN, "short").otherwise("standard").alias("quality"))
+    return F.when(whole_evidence(e), body)
+
+
+def corrected_evidence(e: str = "evidence", output: str = "output", reasoning: str = "reasoning") -> Column:
+    """The evidence with corrected usage, whose proportions stay; it may not hold any more."""
+    return F.col(e).withField("output_usage", F.col(output)).withField("reasoning_usage", F.col(reasoning))
+
+
 def qualified_evidence() -> Column:
     """Whether stored proof of a generation rate holds: complete, monotonic, long enough for its clock, counts in order."""
     span = F.col("span_ms")

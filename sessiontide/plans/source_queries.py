@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as shown
 from ..functions import tokens
 from ..operators import activity, forest, intervals, layers, ledger, metrics, precedence, runs, scope
 from ..schema import PENDING, UPDATE_STRUCT, USER
@@ -74,6 +75,58 @@ def token_normalization(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(*(F.sum(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS id, o_custkey AS a, o_custkey % 7 AS q, o_custkey % 5 AS s, o_orderkey % 3 AS form FROM orders)
+SELECT id, CASE form WHEN 0 THEN greatest(a - q, 0) WHEN 1 THEN greatest(a - 1, 0) END::DOUBLE AS input, CASE form WHEN 0 THEN greatest(a - s, 0) WHEN 1 THEN 9 WHEN 2 THEN 0 END::DOUBLE AS output, CASE form WHEN 1 THEN NULL ELSE s END::DOUBLE AS reasoning, CASE form WHEN 0 THEN q END::DOUBLE AS cache_read FROM l""")
+def reader_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Counters as a reader finds them in records: nested under several names, only those that are reported."""
+    form = F.col("o_orderkey") % 3
+    a, q, s = F.col("o_custkey"), F.col("o_custkey") % 7, F.col("o_custkey") % 5
+    body = F.struct(
+        F.when(form == 0, F.struct(a.alias("inputTokens"), q.alias("cachedInputTokens"), a.alias("completionTokens"), a.alias("outputTokens"), s.alias("reasoningTokens"))).alias("usage"),
+        F.when(form == 1, F.struct((a - 1).alias("noCacheTokens"), a.alias("promptTokens"), F.struct(F.lit(9).alias("textTokens")).alias("outputTokenDetails"))).alias("tokenUsage"),
+        F.when(form == 2, F.struct(s.alias("reasoning"))).alias("tokens"),
+    )
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.try_parse_json(F.to_json(body)).alias("v")).withColumn("src", tokens.reader_source("v"))
+    return rows.select("id", tokens.reader_fields("src").alias("c")).select("id", *(F.col(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 977) AS ms, o_custkey % 101 AS pc, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+SELECT id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN CASE WHEN ((ms + 50) // 100) % 10 = 0 THEN ((ms + 50) // 1000)::VARCHAR ELSE (ms + 50) // 1000 || '.' || ((ms + 50) // 100) % 10 END || 's' WHEN ms < 3600000 THEN ms // 60000 || 'm ' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || 's'
+  ELSE ms // 3600000 || 'h ' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || 'm ' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || 's' END AS took, pc || '%' AS share,
+  '$' || format('{:,}', cents // 100) || CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN '.' || (cents // 10 % 10) ELSE '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS cost,
+  CASE WHEN cents < 1000 THEN cents::VARCHAR WHEN cents < 100000 THEN CASE WHEN ((cents + 50) // 100) % 10 = 0 THEN ((cents + 50) // 1000)::VARCHAR ELSE (cents + 50) // 1000 || '.' || ((cents + 50) // 100) % 10 END || 'k' WHEN cents < 1000000 THEN (cents + 500) // 1000 || 'k'
+  ELSE (cents + 50000) // 1000000 || '.' || ((cents + 50000) // 100000) % 10 || 'M' END AS compact FROM o""")
+def shown_values(spark: SparkSession, d: str) -> DataFrame:
+    """Durations, shares, costs and amounts as they are shown."""
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 977).alias("ms"), (F.col("o_custkey") % 101).alias("pc"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return rows.select("id", shown.shown_duration(F.col("ms")).alias("took"), shown.shown_percent(F.col("pc") / 100).alias("share"), shown.shown_cost(F.col("cents").cast("decimal(20,4)") / 100).alias("cost"), shown.shown_compact(F.col("cents")).alias("compact"))
+
+
+@query("""SELECT l_orderkey AS session_id, greatest(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_linenumber), 0)::BIGINT AS tokens, greatest(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END), 0)::BIGINT AS responses,
+  greatest(sum(CASE WHEN l_linestatus <> 'F' THEN 0 WHEN l_returnflag = 'R' THEN -1 ELSE 1 END), 0)::BIGINT AS short FROM lineitem GROUP BY 1""")
+def speed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Accumulators of rates, some of them taken back."""
+    n = F.col("l_linenumber").cast("long")
+    rows = P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), n.alias("tokens"), n.alias("ms"), n.alias("coverage"), F.lit(True).alias("estimated"), (F.col("l_linestatus") == "F").alias("short"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).cast("long").alias("sign"))
+    return metrics.speed_totals(rows).select("session_id", "tokens", "responses", "short")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, 40 + o_orderkey % 2000 AS span, o_orderkey % 11 = 0 AS unclocked, o_orderkey % 7 AS q, o_custkey % 50 AS u FROM orders)
+SELECT id, (u * 0.75)::DOUBLE AS tokens, span::DOUBLE AS ms, CASE WHEN span < 1000 THEN 'short' ELSE 'standard' END AS quality FROM o WHERE span >= 100 AND (span >= 1000 OR NOT unclocked) AND (unclocked OR span >= 10 * q) AND (unclocked OR q > 0)""")
+def generation_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What stored evidence of a generation rate proves, by all of its fields."""
+    key = F.col("o_orderkey")
+    span, unclocked = 40 + key % 2000, key % 11 == 0
+    e = F.struct(
+        F.lit(3).alias("version"), F.lit("complete").alias("coverage"), F.lit(True).alias("from_start"), F.lit("receive-monotonic").alias("time_source"), F.lit("v2").alias("stream"), F.lit("x").alias("step_id"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"),
+        F.lit(0.0).alias("first_receive"), span.cast("double").alias("last_receive"), F.lit(5).alias("observations"), F.when(~unclocked, "performance.now").alias("clock_source"), F.when(~unclocked, (key % 7).cast("double")).alias("clock_resolution_ms"), F.when(span < 1000, "short").otherwise("standard").alias("quality"),
+        F.lit(40).cast("long").alias("output_bytes"), F.lit(10).cast("long").alias("output_first"), (F.col("o_custkey") % 50).cast("double").alias("output_usage"), F.lit(True).alias("output_observed"),
+        F.lit(0).cast("long").alias("reasoning_bytes"), F.lit(0).cast("long").alias("reasoning_first"), F.lit(0.0).alias("reasoning_usage"), F.lit(False).alias("reasoning_observed"),
+    )
+    rows = P.table(spark, d, "orders").select(key.alias("id"), e.alias("evidence")).select("id", metrics.interval_measure().alias("m")).filter("m is not null")
+    return rows.select("id", "m.tokens", "m.ms", "m.quality")
+
+
 @query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 5 = 0 AND c_nationkey % 2 = 0 OR c_mktsegment = 'MACHINERY' OR c_nationkey = 7 THEN 'excluded_session' WHEN c_mktsegment <> 'BUILDING' THEN 'user' ELSE 'pending' END AS scope FROM customer""")
 def session_scope(spark: SparkSession, d: str) -> DataFrame:
     """Scope of sessions from flag and role, agent and title."""

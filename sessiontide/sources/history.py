@@ -22,13 +22,14 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value, file, pos): lines that are not blank, in order of file and place.
 
     Spark deals files to tasks by size, so a row's number alone is no order over several files. Files are ranked by the
-    time stamp in their name, if they are temporary ones left behind (after all others), and by name; within a file tasks and
+    time stamp in their name, if they are temporary ones left behind (`name.process.time.mark.tmp`, after all others), and by
+    name; within a file tasks and
     rows are in order. Only the names of the files are broadcast.
     """
     number = F.monotonically_increasing_id()
     rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), number.alias("number"))
     rows = rows.filter(F.trim("value") != "")
-    stamp = F.coalesce(F.expr("try_cast(nullif(regexp_extract(file, '[.]([0-9]+)[.][^/]*tmp$', 1), '') as bigint)"), F.lit(-1))
+    stamp = F.coalesce(F.expr("try_cast(nullif(regexp_extract(file, '[.][0-9]+[.]([0-9]+)[.][^./]+[.]tmp$', 1), '') as bigint)"), F.lit(-1))
     names = rows.select("file").distinct().select("file", (F.row_number().over(Window.orderBy(stamp, "file")) - 1).cast("long").alias("rank"))
     row, task = F.col("number").bitwiseAND((1 << 33) - 1), F.shiftright("number", 33)
     fits = (row < 1 << ROW_BITS) & (task < 1 << TASK_BITS) & (F.col("rank") < 1 << (63 - ROW_BITS - TASK_BITS))

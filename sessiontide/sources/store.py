@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, precedence
+from . import history
 
 
 def paths(folder: str) -> dict[str, str]:
@@ -32,6 +34,30 @@ def move(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be moved to {new}")
 
 
+def left_behind(spark: SparkSession, path: str) -> list[str]:
+    """The temporary files of a ledger that a writer left beside it (`.name.process.time.mark.tmp`), by time.
+
+    Spark lists no hidden files, so they lose the dot in front; then they can be read after the ledger itself.
+    """
+    fs, place = _fs(spark, path)
+    name = re.compile(re.escape("." + place.getName()) + r"\.[0-9]+\.([0-9]+)\.[^./]+\.tmp")
+    found = []
+    for status in fs.listStatus(place.getParent()):
+        own = status.getPath()
+        for hidden, text in ((True, own.getName()), (False, "." + own.getName())):
+            if match := name.fullmatch(text):
+                shown = f"{own.getParent()}/{text[1:]}"
+                if hidden:
+                    move(spark, str(own), shown)
+                found.append((int(match[1]), shown))
+    return [p for _, p in sorted(found)]
+
+
+def recover(spark: SparkSession, path: str) -> DataFrame:
+    """The history of a ledger and of what was left behind beside it."""
+    return history.read(spark, [path, *left_behind(spark, path)])
+
+
 def swap(spark: SparkSession, new: str, path: str) -> None:
     """Puts what is at `new` in the place of `path`; a failure before the last rename leaves the old one beside it."""
     aside = f"{path}.old-{uuid.uuid4().hex}"

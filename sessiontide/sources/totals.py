@@ -5,36 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TOKEN_STRUCT, TOKENS
+from .history import STORED_SCOPES
 
-SESSION = f"struct<tokens:{TOKEN_STRUCT},cost:double,responseCount:double>"
-CONTRIBUTION = f"struct<sessionID:string,quality:string,tokens:{TOKEN_STRUCT},cost:double,revision:double,excluded:boolean>"
-DOCUMENT = f"version int, sessions map<string,{SESSION}>, open map<string,{CONTRIBUTION}>, settled map<string,{CONTRIBUTION}>, sessionAgents map<string,array<string>>"
+EVIDENCE = "struct<version:int,sourceScope:string,reasons:array<string>,parentSessionID:string>"
+UPDATE = "struct<source:string,instanceID:string,sequence:double,receivedAt:double,revision:double,fingerprint:string,seenFingerprints:array<string>>"
+CONTRIBUTION = f"struct<sessionID:string,quality:string,tokens:struct<input:double,output:double,reasoning:double,cacheRead:double,cacheWrite:double>,cost:double,update:{UPDATE},excluded:{EVIDENCE}>"
+SESSION = "struct<tokens:struct<input:double,output:double,reasoning:double,cacheRead:double,cacheWrite:double>,cost:double,responseCount:double>"
+# a settled message may be `true`, which no struct can hold: its value is read as text first
+DOCUMENT = f"version int, generationBasisVersion int, sessions map<string,{SESSION}>, open map<string,{CONTRIBUTION}>, settled map<string,string>, sessionScopes map<string,{EVIDENCE}>, messageScopes map<string,{EVIDENCE}>, sessionAgents map<string,array<string>>"
+VERSION = 1
 
 
 def document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("ledger", F.col("_metadata.file_path"))
+    doc = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("ledger", F.col("_metadata.file_path"))
+    return doc.filter(F.when(F.coalesce(F.col("version") == VERSION, F.lit(False)), True).otherwise(F.raise_error(F.lit("the totals ledger is invalid"))))
+
+
+#: Names of the counters as ledgers write them.
+STORED = {"input": "input", "output": "output", "reasoning": "reasoning", "cache_read": "cacheRead", "cache_write": "cacheWrite"}
 
 
 def checked(tokens: str, cost: str, row: DataFrame) -> DataFrame:
     """The rows, or an error at the first one with a counter that is missing, negative or no number."""
     fine = F.lit(True)
-    for c in (*(f"{tokens}.{t}" for t in TOKENS), cost):
+    for c in (*(f"{tokens}.{t}" for t in STORED.values()), cost):
         fine = fine & F.coalesce((F.col(c) >= 0) & ~F.isnan(c) & (F.col(c) != float("inf")), F.lit(False))
     return row.filter(F.when(fine, True).otherwise(F.raise_error(F.lit("the totals ledger is invalid"))))
 
 
 def sessions(doc: DataFrame) -> DataFrame:
-    rows = doc.select("ledger", F.explode("sessions").alias("session_id", "s"))
-    return checked("s.tokens", "s.cost", rows).select("ledger", "session_id", *(F.col(f"s.tokens.{t}").alias(t) for t in TOKENS), F.col("s.cost").alias("cost"), F.col("s.responseCount").alias("calls"))
+    rows = doc.select("ledger", F.col("generationBasisVersion").alias("basis"), F.explode("sessions").alias("session_id", "s"))
+    return checked("s.tokens", "s.cost", rows).select("ledger", "session_id", *(F.col(f"s.tokens.{n}").alias(t) for t, n in STORED.items()), F.col("s.cost").alias("cost"), F.col("s.responseCount").alias("calls"), "basis")
 
 
 def contributions(doc: DataFrame) -> DataFrame:
-    """Messages of a ledger; a settled one without a body is counted in its session but can't be taken back (`legacy`)."""
-    own = lambda m, s: doc.select("ledger", F.lit(s).alias("status"), F.explode(m).alias("message_id", "c"))
-    rows = own("open", "open").unionByName(own("settled", "settled"))
-    legacy = F.col("c").isNull()
-    return rows.select("ledger", "status", "message_id", legacy.alias("legacy"), F.col("c.sessionID").alias("session_id"), F.col("c.quality").alias("quality"), *(F.col(f"c.tokens.{t}").alias(t) for t in TOKENS), F.col("c.cost").alias("cost"), F.col("c.revision").alias("revision"), F.coalesce("c.excluded", F.lit(False)).alias("excluded"))
+    """Messages of a ledger with their update and what excludes them; a settled one without a body (`true`) is counted in its
+    session but can't be taken back (`legacy`)."""
+    open_ = doc.select("ledger", F.lit("open").alias("status"), F.explode("open").alias("message_id", "c")).withColumn("legacy", F.lit(False))
+    raw = doc.select("ledger", F.lit("settled").alias("status"), F.explode("settled").alias("message_id", "t"))
+    body = F.from_json("t", CONTRIBUTION)
+    legacy = F.coalesce(F.col("t") == "true", F.col("t").isNull())
+    settled = raw.select("ledger", "status", "message_id", F.when(~legacy, body).alias("c"), legacy.alias("legacy"))
+    rows = open_.unionByName(settled)
+    good = checked("c.tokens", "c.cost", rows.filter("not legacy")).unionByName(rows.filter("legacy"))
+    up = F.struct(F.col("c.update.instanceID").alias("instance"), F.col("c.update.sequence").alias("sequence"), F.col("c.update.receivedAt").alias("received_at"), F.col("c.update.revision").alias("revision"), F.col("c.update.fingerprint").alias("fingerprint"), F.col("c.update.seenFingerprints").alias("seen"))
+    return good.select(
+        "ledger", "status", "message_id", "legacy", F.col("c.sessionID").alias("session_id"), F.col("c.quality").alias("quality"), *(F.col(f"c.tokens.{n}").alias(t) for t, n in STORED.items()), F.col("c.cost").alias("cost"),
+        F.when(F.col("c.update").isNotNull(), up).alias("update"), F.col("c.excluded").isNotNull().alias("excluded"),
+    )
+
+
+def scopes(doc: DataFrame, kind: str = "session") -> DataFrame:
+    """(ledger, id, scope, reasons, parent): evidence on sessions or messages that a ledger keeps; unknown scopes are none."""
+    rows = doc.select("ledger", F.explode(f"{kind}Scopes").alias("id", "s")).filter("s.version = 1")
+    name = F.lit(None).cast("string")
+    for stored, own in STORED_SCOPES.items():
+        name = F.when(F.col("s.sourceScope") == stored, own).otherwise(name)
+    return rows.select("ledger", "id", name.alias("scope"), F.col("s.reasons").alias("reasons"), F.col("s.parentSessionID").alias("parent")).filter("scope is not null")
 
 
 def agents(doc: DataFrame) -> DataFrame:

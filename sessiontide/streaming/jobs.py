@@ -31,22 +31,23 @@ def keep(stream: DataFrame, store: str, checkpoint: str, key: str, compute: dict
     """Stores a stream's rows by bucket of a key under the batch's number, and computes anew what a batch's buckets hold.
 
     A batch that is run again overwrites its own files, so each row is stored once per delivery and replays change nothing.
-    Rows may be as late as they like. `compute` names tables and says how they follow from all rows of a bucket; with more
+    Rows may be as late as they like. Their order, `pos`, is by batch, then as they stand in it (up to 8192 tasks of 2**27 rows).
+    `compute` names tables and says how they follow from all rows of a bucket; with more
     buckets a batch reads less of what is stored, so their number is to grow with the history. It is fixed for a store.
     """
     place = bucket(key, buckets)
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/rows/batch={number}")
+        number_in = F.monotonically_increasing_id()
+        order = F.lit(number).cast("long") * (1 << 40) + F.shiftright(number_in, 33) * (1 << 27) + number_in.bitwiseAND((1 << 33) - 1)
+        batch.withColumn("pos", order).withColumn("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/rows/batch={number}")
         touched = [r["bucket"] for r in batch.select(place.alias("bucket")).distinct().collect()]  # `buckets` at most
         if not touched:
             return
         rows = spark.read.option("basePath", f"{store}/rows").parquet(f"{store}/rows").filter(F.col("bucket").isin(touched) & (F.col("batch") <= number))
         for name, job in compute.items():
-            # a row's place is by batch first, so that what came later counts as later
-            ordered = rows.withColumn("pos", F.col("batch").cast("long") * (1 << 40) + F.coalesce("pos", F.lit(0)) % (1 << 40)) if "pos" in rows.columns else rows
-            out = job(ordered.drop("batch", "bucket")).withColumn("bucket", place)
+            out = job(rows.drop("batch", "bucket")).withColumn("bucket", place)
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{store}/{name}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -224,7 +224,16 @@ def test_counters_and_shown_values(spark):
     cell = lambda c: one.select(c.alias("c")).first()["c"]
     assert cell(tokens.cache_hit_rate(F.lit(60), F.lit(30), F.lit(10))) == 0.6 and cell(tokens.cache_hit_rate(F.lit(0), F.lit(0), F.lit(0))) is None
     assert cell(shown.agent_name(F.lit(" a b "))) == "a b" and cell(shown.agent_name(F.lit("compaction"))) is None and cell(shown.agent_name(F.lit("a\x07"))) is None
-    assert cell(shown.shown_compact(F.lit(1234.0))) == "1.2K" and cell(shown.shown_duration(F.lit(3_725_000.0))) == "1h 2m" and cell(shown.shown_clock(F.lit(3_725_000.0))) == "01:02:05"
-    assert cell(shown.shortened(F.lit("abcdefghij"), 5)) == "ab…ij" and cell(shown.shown_percent(F.lit(0.1256))) == "12.6%"
+    compact = {0.4: "0", -12.5: "-13", 999.0: "999", 1234.0: "1.2k", 2000.0: "2k", 99_960.0: "100k", 123_456.0: "123k", 1_234_567.0: "1.2M", 2e6: "2.0M", 7.26e9: "7.3B"}
+    assert {x: cell(shown.shown_compact(F.lit(x))) for x in compact} == compact
+    times = {950.4: "950ms", 1000.0: "1s", 12_460.0: "12.5s", 185_000.0: "3m 05s", 3_725_000.0: "1h 02m 05s", -3.0: "0ms"}
+    assert {x: cell(shown.shown_duration(F.lit(x))) for x in times} == times
+    numbers = {1234.5: "1,234.5", 1234.0: "1,234", 100.0: "100", 0.126: "0.13", 0.005: "0.01"}
+    assert {x: cell(shown.shown_number(F.lit(x))) for x in numbers} == numbers and cell(shown.shown_tokens(F.lit(1234.5))) == "1,235"
+    assert cell(shown.shown_clock(F.lit(3_725_000.0))) == "01:02:05" and cell(shown.shown_clock(F.lit(0.0))) == "--:--:--" and cell(shown.shown_cost(F.lit(1234.56789))) == "$1,234.5679"
+    assert cell(shown.shortened(F.lit("abcdefghij"), 5)) == "a...j" and cell(shown.shortened(F.lit(""), 5)) == "-" and cell(shown.short_tail(F.lit("abcdefghij"), 7)) == "...ghij"
+    assert cell(shown.shown_percent(F.lit(0.1256))) == "13%" and cell(shown.shown_percent(F.lit(None).cast("double"))) == "--" and cell(shown.shown_percent(F.lit(7.0))) == "100%"
+    record = spark.createDataFrame([(3_725_000.0, 1.0, "session-number-1", "a-model-with-a-name", 1200.0, 34.0, 0.25)], "completed double, start double, session_id string, model string, output double, reasoning double, cost double")
+    assert record.select(shown.history_row().alias("c")).first()["c"] == "01:02:05 ...number-1 a-mode...-name  1,200/34     $0.25"
     weights = spark.createDataFrame([(1, k, 1.0, 5) for k in range(3)], "key int, pos int, weight double, target int")
     assert [r["share"] for r in metrics.calibrated(weights).orderBy("pos").collect()] == [2, 2, 1]

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sessiontide.operators import ledger
 from sessiontide.sources import activity, history, totals
 from sessiontide.streaming import jobs
 
@@ -35,18 +36,82 @@ def test_facts(spark, tmp_path):
 
 
 def test_totals(spark, tmp_path):
-    zero = dict.fromkeys(("input", "output", "reasoning", "cache_read", "cache_write"), 1.0)
-    doc = {"version": 1, "sessions": {"s": {"tokens": zero, "cost": 2.0, "responseCount": 3}}, "open": {}, "settled": {"m": None}, "sessionAgents": {"s": ["a"]}}
+    tokens = {"input": 1.0, "output": 2.0, "reasoning": 0.0, "cacheRead": 4.0, "cacheWrite": 0.0}
+    proof = {"version": 1, "sourceScope": "magic-message", "reasons": ["message-agent"]}
+    body = {"sessionID": "s", "quality": "exact", "tokens": tokens, "cost": 1.0, "update": {"source": "live", "instanceID": "i", "sequence": 2, "receivedAt": 3, "fingerprint": "f", "seenFingerprints": ["g"]}}
+    doc = {"version": 1, "generationBasisVersion": 3, "sessions": {"s": {"tokens": tokens, "cost": 2.0, "responseCount": 3}}, "open": {"o": body}, "settled": {"m": True, "x": body | {"excluded": proof}}, "sessionAgents": {"s": ["a"]}, "sessionScopes": {"s": {"version": 1, "sourceScope": "user", "reasons": []}, "u": {"version": 1, "sourceScope": "odd"}}, "messageScopes": {"m": proof}}
     (tmp_path / "t.json").write_text(json.dumps(doc))
     one = totals.document(spark, str(tmp_path / "t.json"))
-    assert totals.sessions(one).first()["calls"] == 3 and totals.contributions(one).first()["legacy"] and totals.agents(one).count() == 1
-    doc["sessions"]["s"]["cost"] = -1
-    (tmp_path / "u.json").write_text(json.dumps(doc))
-    try:
-        totals.sessions(totals.document(spark, str(tmp_path / "u.json"))).collect()
-        raise AssertionError("an invalid ledger was read")
-    except Exception as error:
-        assert "invalid" in str(error)
+    first = totals.sessions(one).first()
+    assert (first["calls"], first["cache_read"], first["basis"]) == (3, 4, 3) and totals.agents(one).count() == 1
+    got = {r["message_id"]: r for r in totals.contributions(one).collect()}
+    assert got["m"]["legacy"] and not got["m"]["excluded"] and got["x"]["excluded"] and got["o"]["update"]["seen"] == ["g"] and got["o"]["output"] == 2 and got["x"]["status"] == "settled"
+    assert [(r["id"], r["scope"]) for r in totals.scopes(one).collect()] == [("s", "user")] and [(r["id"], r["scope"]) for r in totals.scopes(one, "message").collect()] == [("m", "excluded_item")]
+    bad = [doc | {"version": 2}, doc | {"sessions": {"s": {"tokens": tokens, "cost": -1, "responseCount": 3}}}]
+    for k, wrong in enumerate(bad):
+        (tmp_path / f"u{k}.json").write_text(json.dumps(wrong))
+        try:
+            totals.sessions(totals.document(spark, str(tmp_path / f"u{k}.json"))).collect()
+            raise AssertionError("an invalid ledger was read")
+        except Exception as error:
+            assert "invalid" in str(error)
+
+
+def test_orphans_come_last_and_records_come_back_whole(spark, tmp_path):
+    line = lambda out, **more: {"version": 1, "messageID": "m", "sessionID": "s", "tokens": {"output": out}, "time": {"start": 1, "completed": 9}, **more}
+    big = [line(k, messageID=f"filler{k}") for k in range(2000)]
+    put(tmp_path / "h" / "history.jsonl", [line(1, agent=" a ")])
+    put(tmp_path / "h" / ".history.jsonl.77.300.x.tmp", [line(3)])
+    put(tmp_path / "h" / ".history.jsonl.99.200.y.tmp", [*big, line(2)])  # the greatest file is read first
+    from sessiontide.sources import store
+
+    for _ in range(2):  # the second time the files have their new names
+        got = {r["message_id"]: r for r in store.recover(spark, f"file://{tmp_path}/h/history.jsonl").collect()}
+    assert got["m"]["output"] == 3 and got["m"]["agent"] == "a" and len(got) == 2001
+    update = {"source": "live", "instanceID": "i", "sequence": 2, "receivedAt": 3, "revision": 4, "fingerprint": "f", "seenFingerprints": ["x", "y"]}
+    scope = {"version": 1, "sourceScope": "magic-session", "reasons": ["session-title", "odd"], "parentSessionID": "p"}
+    put(tmp_path / "w" / "a.jsonl", [line(5, update=update, scope=scope, samples=[{"timestamp": 1, "tokens": -2, "kind": "output", "bytes": 7}, {"tokens": 1}], quality="exact"), line(1, messageID="n", scope={"version": 1, "sourceScope": "hidden-session"}, update=update | {"sequence": -1})])
+    kept = history.read(spark, str(tmp_path / "w"))
+    history.write(kept, str(tmp_path / "out"))
+    for rows in (kept, history.read(spark, str(tmp_path / "out"))):
+        r = {x["message_id"]: x.asDict(True) for x in rows.collect()}
+        assert r["m"]["update"] == {"instance": "i", "sequence": 2.0, "received_at": 3.0, "revision": 4.0, "fingerprint": "f", "seen": ["x", "y"]} and r["n"]["update"] is None and r["n"]["scope"] is None
+        assert (r["m"]["scope"], r["m"]["scope_reasons"], r["m"]["scope_parent"]) == ("excluded_session", ["session-title"], "p")
+        assert r["m"]["samples"] == [{"timestamp": 1.0, "tokens": 0.0, "estimatedTokens": None, "bytes": 7.0, "kind": "output"}]
+    assert "magic-session" in (next((tmp_path / "out").glob("part-*"))).read_text() + "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_activity_logs_come_back_and_shrink(spark, tmp_path):
+    rows = [{"sessionID": "s", "timestamp": 1.5, "state": "busy", "sourceSequence": 4, "lastObservedAt": 9}, {"kind": "work", "sessionID": "s", "timestamp": 2, "executionID": "e", "source": "step", "phase": "start", "workID": "w", "stepID": "x"}, {"sessionID": "s", "timestamp": 3, "parentSessionID": None}]
+    put(tmp_path / "log" / "a.jsonl", [*rows, *rows])
+    path = f"file://{tmp_path}/log"
+    before = activity.read(spark, path).drop("pos").collect()
+    activity.compact(spark, path)
+    assert spark.read.text(path).count() == 3
+    assert sorted(map(str, activity.read(spark, path).drop("pos").collect())) == sorted(map(str, before))
+
+
+def test_usage_stream_ends_as_batch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for k in range(90):
+        live = {"source": "live", "instanceID": "i", "sequence": k, "receivedAt": k, "fingerprint": str(k), "seenFingerprints": []}
+        m = rng.randrange(20)
+        rows.append({"messageID": f"m{m}", "sessionID": f"s{m % 4}", "tokens": {"output": rng.randrange(50)}, "cost": 1, "time": {"start": 1, "completed": k}, "quality": rng.choice(["exact", "provisional"]), **({"update": live} if rng.random() < 0.4 else {})})
+    for part in range(3):
+        put(tmp_path / "in" / f"{part}.jsonl", rows[30 * part : 30 * part + 30])
+    for _ in range(2):
+        jobs.keep_usage(history.stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "store"), str(tmp_path / "check"), 8).awaitTermination()
+    own = {}
+    for k, r in enumerate(history.responses(history.parsed(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, pos long"))).orderBy("pos").collect()):
+        own.setdefault(r["message_id"], []).append(r.asDict(True))
+    folded = {m: ledger.fold_history(rs)["output"] for m, rs in own.items()}
+    sums = {}
+    for m, rs in own.items():
+        f = ledger.fold(rs)
+        sums[f["session_id"]] = sums.get(f["session_id"], 0) + f["output"]
+    assert {r["message_id"]: r["output"] for r in spark.read.parquet(str(tmp_path / "store" / "history")).collect()} == folded
+    assert {r["session_id"]: r["output"] for r in spark.read.parquet(str(tmp_path / "store" / "totals")).collect()} == sums
 
 
 def test_stream_ends_as_batch(spark, tmp_path):
