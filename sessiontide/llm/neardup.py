@@ -9,8 +9,8 @@ occurrence of a run counts as an element of its own, so the same similarity is t
 
 Documents that agree in a band share a bucket. Copies of one word sequence are represented by the least id before that.
 In each bucket the member of least hash is compared with the others by the exact similarity. Members that this leaves in
-different components are then compared with all of their bucket, in blocks, by the members that hold each element: no pair
-is a row, and only links come out. So no link between two texts of a bucket is lost, and large groups of nearly equal
+different components are then compared with all of their bucket, in blocks, by the members that hold each element: those
+outside the largest component with all others, no pair as a row, and only links come out. So no link between two texts of a bucket is lost, and large groups of nearly equal
 texts are mostly done with after the first step. At similarity 0.8 a pair misses all buckets with a probability of 3e-6.
 
 A null or empty text is in a class of its own, as is a row with a null id (its class is null). Rows that repeat an id
@@ -20,6 +20,7 @@ rows. Only id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from .components import components
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 32, 5, 0.8
 #: Elements of a bucket's members that make a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -194,10 +195,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def linked(sets: list[np.ndarray], roots: list, threshold: float) -> list[tuple[int, int]]:
     """Pairs of members that are similar enough and join two components; those that only join what is joined are left out.
 
-    Counts what a member shares with all others at once, by lists of the members that hold each element.
+    Counts what a member shares with all others at once, by lists of the members that hold each element. One of a pair from
+    two components is not in the group's largest, so only those are counted for.
     """
     number: dict = {}
     up = [number.setdefault(r, k) for k, r in enumerate(roots)]
+    largest = Counter(up).most_common(1)[0][0]
 
     def top(k: int) -> int:
         while up[k] != k:
@@ -212,12 +215,12 @@ def linked(sets: list[np.ndarray], roots: list, threshold: float) -> list[tuple[
     starts = np.searchsorted(codes[order], np.arange(codes.max() + 2))
     holders, counts, ends = member[order], np.diff(starts), np.cumsum(sizes)
     out = []
-    for m in range(1, len(sets)):
+    for m in [k for k, r in enumerate(up) if r != largest]:
         own = codes[ends[m] - sizes[m] : ends[m]]
         n = counts[own]
         places = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(holders[places], minlength=len(sets))[:m]
-        for k in np.flatnonzero(both >= threshold * (sizes[m] + sizes[:m] - both)):
+        both = np.bincount(holders[places], minlength=len(sets))
+        for k in np.flatnonzero(both >= threshold * (sizes[m] + sizes - both)):
             x, y = top(m), top(int(k))
             if x != y:
                 up[x] = y
@@ -228,16 +231,25 @@ def linked(sets: list[np.ndarray], roots: list, threshold: float) -> list[tuple[
 def _across(rest: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components yet, all of them compared.
 
-    A bucket is cut into blocks of about `BLOCK` elements by a hash of the member, and each pair of blocks is one group of
-    rows, so that a task holds two blocks however large the bucket; only links come out.
+    One of such a pair is outside the bucket's largest component. The largest one and what is outside are cut into blocks of
+    about `BLOCK` elements by a hash of the member, and a group of rows is a block of each, or two blocks from outside: a
+    task holds two blocks however large the bucket, and where most members are in one component, each of them is sent once
+    for every block of the few others. Only links come out.
     """
     placed = rest.join(roots, rest["rep"] == roots["id"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    several = written(placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket"), "several")
     held = written(placed.join(several, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "elements"), "rep"), "rest")
-    blocks = held.groupBy("bucket").agg(F.ceil(F.sum(F.size("elements")) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
-    cut = held.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = cut.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", F.xxhash64("root").alias("root"), "elements")
+    of_root = held.groupBy("bucket", "root").agg(F.sum(F.size("elements")).alias("n"))
+    sides = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sides = written(sides.select("bucket", F.col("top.root").alias("largest"), blocks(F.col("top.n")).alias("inner"), blocks(F.col("all") - F.col("top.n")).alias("outer")), "sides")
+    cut = held.join(sides, "bucket").withColumn("inside", F.col("root") == F.col("largest"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_inner = F.transform(upto("inner"), lambda k: F.xxhash64("bucket", F.lit(0), k, "own"))
+    with_outer = F.transform(F.filter(upto("outer"), lambda k: k != F.col("own")), lambda k: F.xxhash64("bucket", F.lit(1), F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    groups = F.when(F.col("inside"), F.transform(upto("outer"), lambda k: F.xxhash64("bucket", F.lit(0), "own", k))).otherwise(F.concat(with_inner, with_outer))
+    keyed = cut.select(F.explode(groups).alias("key"), "rep", F.xxhash64("root").alias("root"), "elements")
     kind = sets.schema["doc_id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

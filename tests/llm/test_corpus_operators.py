@@ -305,6 +305,41 @@ def test_recall_of_near_copies(spark):
     assert got == want and sum(d != c for d, c in want.items()) > 5
 
 
+def test_links_of_a_group_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        base = [rng.permutation(60)[:20] for _ in range(3)]
+        sets = [np.unique(np.concatenate([base[rng.integers(3)][: rng.integers(14, 21)], rng.integers(100, 130, rng.integers(0, 4))])).astype(np.int64) for _ in range(rng.integers(2, 14))]
+        roots = [int(rng.integers(0, 5)) for _ in sets]
+
+        def merged(pairs, roots=roots):
+            up = {r: r for r in roots}
+            find = lambda x: x if up[x] == x else find(up[x])
+            for a, b in pairs:
+                up[find(roots[a])] = find(roots[b])
+            return {frozenset(k for k, r in enumerate(roots) if find(r) == x) for x in map(find, roots)}
+
+        alike = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        got = neardup.linked(sets, roots, 0.8)
+        assert {tuple(sorted(p)) for p in got} <= set(alike) and merged(got) == merged(alike)
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """A chain of texts, each near the next, in blocks of few members."""
+    monkeypatch.setattr(neardup, "BLOCK", 400)
+    rng = random.Random(31)
+    words = prose(150, 3).split()
+    rows = []
+    for k in range(90):
+        if k % 3 == 0:
+            words[rng.randrange(150)] = f"drift{k}"
+        copy = list(words)
+        copy[rng.randrange(150)] = f"own{k}"
+        rows.append((k, " ".join(copy)))
+    got = dict(neardup.near_classes(docs(spark, rows).repartition(3)).collect())
+    assert got == plain_classes(rows)
+
+
 def test_darts_agree_as_often_as_weights_do():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 60, 60).astype(np.uint64)
