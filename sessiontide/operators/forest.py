@@ -135,6 +135,22 @@ def rollup(totals: DataFrame, links: DataFrame, measures: list[str], without: Da
     return own.join(whole, "node").select("id", *(zero(F.col(m)).alias(f"direct_{m}") for m in measures), *(f"including_{m}" for m in measures))
 
 
+def family(links: DataFrame, selected: DataFrame) -> DataFrame:
+    """(id): the selected nodes (first column) and all below them."""
+    return excluded(links, selected.select(F.col(selected.columns[0]).alias("id")))
+
+
+def shown_depth(links: DataFrame, shown: DataFrame) -> DataFrame:
+    """(id, depth) of the shown nodes below a root: how many shown ones stand between them and it. Hidden nodes add no depth,
+    and neither does the root. Members of cycles count once, under their root."""
+    root = roots(links, shown)
+    opened = edges(links).join(root.select(F.col("id").alias("child"), "root"), "child").filter("child <> root").select("child", "parent")
+    marked = root.join(shown.select("id").distinct().withColumn("seen", F.lit(1)), "id", "left")
+    values = marked.select("id", F.when(F.col("id") == F.col("root"), 0).otherwise(F.coalesce("seen", F.lit(0))).alias("n"))
+    above = gathered(values, opened, {"n": F.sum("n")}, up=True)
+    return above.join(marked.filter("seen = 1 and id <> root").select("id", "root"), "id").select("root", "id", (F.col("n") - 1).cast("int").alias("depth"))
+
+
 def children(links: DataFrame) -> DataFrame:
     """(parent, children): ids in collated order."""
     return edges(links).groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))

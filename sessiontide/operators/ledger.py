@@ -199,3 +199,14 @@ def frozen(contributions: DataFrame, retained: DataFrame) -> DataFrame:
     exact = F.coalesce("quality", F.lit("exact")) == "exact"
     status = F.when(exact & F.col("held").isNull(), "settled").otherwise("open")
     return contributions.join(inside, "message_id", "left").withColumn("status", status).drop("held")
+
+
+def tombstones(contributions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contributions with `excluded` set where evidence (message_id, reasons) excludes them, their amounts kept so that they can
+    be told from others and the proof beside them; and (message_id, reasons) of evidence on messages that no contribution
+    with a body is known of, which later keeps them out. Exclusion is for good."""
+    proof = evidence.groupBy("message_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("proof"))
+    met = contributions.join(proof, "message_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)) | F.col("proof").isNotNull())
+    known = contributions.filter("not legacy") if "legacy" in contributions.columns else contributions
+    unknown = proof.join(known.select("message_id"), "message_id", "left_anti").select("message_id", F.col("proof").alias("reasons"))
+    return met, unknown

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import text, tokens
 from ..schema import TOKENS
+from . import forest
 
 
 def session_usage(responses: DataFrame, key: str = "session_id") -> DataFrame:
@@ -188,10 +189,26 @@ def calibrated(samples: DataFrame, key: str = "key", weight: str = "weight", tar
     return rows.withColumn("left", left).withColumn("place", place).select(*samples.columns, (F.col("low") + (F.col("place") <= F.col("left")).cast("long")).alias("share"))
 
 
-def recent(responses: DataFrame, count: int = 24) -> DataFrame:
+def recent(responses: DataFrame, count: int = 24, below: DataFrame | None = None) -> DataFrame:
+    """The last responses by the time they were completed, of all sessions or of those in `below` (id)."""
+    if below is not None:
+        responses = responses.join(below.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
     return responses.orderBy(F.coalesce("completed", "start").desc_nulls_last(), F.col("pos").desc(), "message_id").limit(count)
 
 
+def child_rows(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, id, depth, calls, generated, total, agents, model): sessions below a root with usage of their own or below them,
+    what they used themselves, their agents in order and the model of their latest record ('-' if none)."""
+    own = session_usage(records).select(F.col("session_id").alias("id"), "calls", "generated", "total")
+    used = forest.rollup(own.select("id", "total"), links, ["total"]).filter("including_total > 0").select("id")
+    shown = used.unionByName(own.select("id")).distinct()
+    agents = records.groupBy(F.col("session_id").alias("id")).agg(text.agent_set(text.agent_name(F.col("agent"))).alias("agents"))
+    models = latest_model(records).withColumnRenamed("session_id", "id")
+    rows = forest.shown_depth(links, shown).join(own, "id", "left").join(agents, "id", "left").join(models, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("root", "id", "depth", zero("calls"), zero("generated"), zero("total"), F.coalesce("agents", F.array().cast("array<string>")).alias("agents"), F.coalesce("model", F.lit("-")).alias("model"))
+
+
 def latest_model(responses: DataFrame, key: str = "session_id") -> DataFrame:
     when = F.struct(F.coalesce("completed", "start").alias("t"), "pos", "model")
     return responses.filter("model is not null").groupBy(key).agg(F.max(when).getField("model").alias("model"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def with_epoch(records: DataFrame, runs: DataFrame) -> DataFrame:
     """The records with the run of their session that began last at or before their start, 0 before all runs.
@@ -35,3 +37,10 @@ def last_completed(records: DataFrame) -> DataFrame:
     """(session_id, message_id, epoch): a session's record of the latest run, in it the one completed last."""
     when = F.struct("epoch", F.coalesce("completed", "start").alias("t"), F.col("pos"), F.col("message_id"))
     return records.groupBy("session_id").agg(F.max(when).alias("m")).select("session_id", "m.message_id", "m.epoch")
+
+
+def of_trees(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, epoch, start, end): runs of whole trees, from when the first of its sessions goes active to when all are idle."""
+    own = active.join(roots.withColumnRenamed("id", "session_id"), "session_id").select("root", "start", "end")
+    whole = intervals.union(own, ["root"])
+    return whole.withColumn("epoch", F.row_number().over(Window.partitionBy("root").orderBy("start")).cast("long"))

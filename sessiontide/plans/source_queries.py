@@ -12,7 +12,7 @@ from ..schema import PENDING, UPDATE_STRUCT, USER
 from ..sources import events as hosts
 from ..sources import history
 from . import projections as P
-from .queries import CLOSURE, IDS, QUERIES, SQL, measured, query, union_sql
+from .queries import CLOSURE, IDS, PLAIN, QUERIES, SQL, measured, query, union_sql
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -440,3 +440,42 @@ def idle_flush(spark: SparkSession, d: str) -> DataFrame:
     return hosts.idle_provisional(open_, facts).select("message_id", "quality", "completed")
 
 
+
+
+@query(f"""WITH {P.RESPONSES}, {P.PREFERRED}, {P.REGIONS}, own AS (SELECT session_id AS id, count(*)::BIGINT AS calls, sum(output)::BIGINT AS total, arg_max(model, (completed, pos, model)) AS model FROM preferred GROUP BY 1),
+n AS (SELECT DISTINCT 'n' || c_nationkey AS id FROM customer JOIN own ON own.id = 'c' || c_custkey WHERE own.total > 0), sets AS (SELECT session_id AS id, CASE WHEN max(message_id % 2) = 1 AND min(message_id % 2) = 0 THEN 'build,plan' WHEN max(message_id % 2) = 1 THEN 'plan' ELSE 'build' END AS agents FROM preferred GROUP BY 1)
+SELECT 'r' || n_regionkey AS root, own.id, 1::INT AS depth, calls, total AS generated, total, agents, model FROM own JOIN sets USING (id) JOIN customer ON own.id = 'c' || c_custkey JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'r' || n_regionkey, n.id, 0::INT, 0, 0, 0, '', '-' FROM n JOIN nation ON n.id = 'n' || n_nationkey""")
+def child_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions below a root with what they used, their agents and latest model; depth counts shown ones only."""
+    zero = F.lit(0).cast("long")
+    rows = precedence.preferred(P.responses(spark, d)).withColumns({"input": zero, "reasoning": zero, "cache_read": zero, "cache_write": zero, "agent": F.when(F.col("message_id") % 2 == 1, "plan").otherwise("build")})
+    return metrics.child_rows(rows, P.region_links(spark, d)).withColumn("agents", F.array_join("agents", ","))
+
+
+@query(f"""WITH {P.RESPONSES}, {P.PREFERRED} SELECT message_id, session_id, completed FROM preferred JOIN customer ON session_id = 'c' || c_custkey WHERE c_nationkey IN (3, 8) ORDER BY completed DESC, pos DESC, message_id LIMIT 24""")
+def recent_of_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The last responses of two nodes and all below them."""
+    selected = P.table(spark, d, "nation").filter("n_nationkey in (3, 8)").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    below = forest.family(P.region_links(spark, d), selected)
+    return metrics.recent(precedence.preferred(P.responses(spark, d)), 24, below).select("message_id", "session_id", "completed")
+
+
+@query(f"""WITH {PLAIN}, t AS (SELECT session_id // 40 AS root, start, "end" FROM active), {union_sql('t', 'root')} SELECT root, row_number() OVER (PARTITION BY root ORDER BY start) AS epoch, start, "end" FROM u""")
+def tree_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of whole trees: sessions that are active at once, or one right after another, are one run."""
+    active = activity.lifecycle_intervals(P.facts(spark, d))
+    roots = P.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct().withColumn("root", F.expr("id div 40"))
+    return runs.of_trees(active, roots).withColumn("end", F.col("end").cast("long"))
+
+
+@query(f"""WITH {P.RESPONSES}, r AS (SELECT * FROM responses WHERE pos = 0) SELECT message_id, output, message_id % 9 = 0 AS excluded, CASE WHEN message_id % 9 = 0 THEN 'message-agent,message-mode' ELSE '' END AS proof FROM r
+UNION ALL SELECT -1 - c_custkey, 0, true, 'message-agent,message-mode' FROM customer WHERE c_custkey % 9 = 0""")
+def exclusion_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """Contributions that evidence takes back keep their amounts and the proof; evidence on unknown messages stands for itself."""
+    rows = P.responses(spark, d).filter("pos = 0").withColumn("excluded", F.lit(False))
+    proof = rows.filter("message_id % 9 = 0").select("message_id").unionByName(P.table(spark, d, "customer").filter("c_custkey % 9 = 0").select((-1 - F.col("c_custkey")).alias("message_id")))
+    twice = proof.withColumn("reasons", F.array(F.lit("message-mode"))).unionByName(proof.withColumn("reasons", F.array(F.lit("message-agent"), F.lit("message-mode"))))
+    held, unknown = ledger.tombstones(rows, twice)
+    known = held.select("message_id", "output", "excluded", F.coalesce(F.array_join("proof", ","), F.lit("")).alias("proof"))
+    return known.unionByName(unknown.select("message_id", F.lit(0).cast("long").alias("output"), F.lit(True).alias("excluded"), F.array_join("reasons", ",").alias("proof")))
