@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE, TERMINAL
+from ..plans.lineage import cut
 from . import forest, intervals, precedence
 
 EXECUTION = ["session_id", "instance_id", "execution_id"]
@@ -129,12 +130,19 @@ def task_time(active: DataFrame, links: DataFrame, without: DataFrame | None = N
         gone = forest.excluded(links, without)
         active = active.join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_anti")
         links = links.join(gone.withColumnRenamed("id", "child"), "child", "left_anti")
-    direct = intervals.union(active, ["session_id"])
-    reach = forest.closure(links, direct.select("session_id").distinct())
-    spread = direct.join(reach.select(F.col("id").alias("session_id"), F.col("ancestor").alias("id")), "session_id")
+    direct = cut(intervals.union(active, ["session_id"]))
+    outer, of = forest.contracted(links, direct.select("session_id"))
+    held = direct.join(of.withColumnRenamed("id", "session_id"), "session_id").select(F.col("node").alias("id"), "start", "end")
+    held, jumps = cut(intervals.union(held, ["id"])), cut(outer.select(F.col("child").alias("id"), F.col("parent").alias("to")))
+    # as sums are gathered in a forest: a node's intervals are merged with those of the nodes that jump to it, and jumps double
+    while not jumps.isEmpty():
+        moved = held.join(jumps, "id").select(F.col("to").alias("id"), "start", "end")
+        held = cut(intervals.union(held.unionByName(moved), ["id"]))
+        ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut(jumps.join(ahead, "to").select("id", F.col("beyond").alias("to")))
     own = intervals.length(direct, ["session_id"], "direct").withColumnRenamed("session_id", "id")
-    whole = intervals.length(intervals.union(spread, ["id"]), ["id"], "including")
-    return whole.join(own, "id", "left").select("id", F.coalesce("direct", F.lit(0)).alias("direct"), "including")
+    whole = intervals.length(held, ["id"], "including").withColumnRenamed("id", "node")
+    return of.join(whole, "node").join(own, "id", "left").select("id", F.coalesce("direct", F.lit(0)).alias("direct"), "including")
 
 
 def split_at_gaps(facts: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -148,10 +156,10 @@ def split_at_gaps(facts: DataFrame, gaps: DataFrame) -> DataFrame:
     most = gaps.groupBy("session_id", "instance_id").agg(F.count("*").alias("__most"))
     by = Window.partitionBy(*EXECUTION, "__no").orderBy(F.col("ts").desc(), F.col("source_sequence").desc_nulls_last(), F.col("seq").desc_nulls_last(), F.col("pos").desc())
     last = numbered.withColumn("__place", F.row_number().over(by)).filter("__place = 1").drop("__place")
-    cut = last.filter(F.col("state").isin(*ACTIVE)).join(most, ["session_id", "instance_id"]).filter("__no < __most").drop("__most")
-    cut = cut.withColumns({"state": F.lit("stopped"), "event_id": F.concat_ws("/", F.lit("gap"), "session_id", "instance_id", F.coalesce("execution_id", F.lit("")), "__no"), "pos": F.col("pos") + 1})
+    stopped = last.filter(F.col("state").isin(*ACTIVE)).join(most, ["session_id", "instance_id"]).filter("__no < __most").drop("__most")
+    stopped = stopped.withColumns({"state": F.lit("stopped"), "event_id": F.concat_ws("/", F.lit("gap"), "session_id", "instance_id", F.coalesce("execution_id", F.lit("")), "__no"), "pos": F.col("pos") + 1})
     named = F.when(F.col("__no") > 0, F.concat_ws("#", "instance_id", "__no")).otherwise(F.col("instance_id").cast("string"))
-    return numbered.unionByName(cut.select(numbered.columns)).withColumn("instance_id", named).drop("__no")
+    return numbered.unionByName(stopped.select(numbered.columns)).withColumn("instance_id", named).drop("__no")
 
 
 def replay(facts: DataFrame, links: DataFrame, spans: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
