@@ -15,6 +15,7 @@ are unique, not dense.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,17 +32,25 @@ from .common import id_text, slices, table, written
 
 SIZE, WINDOWS, MIN_PIECE, END_ID, FAN_IN = 4096, 64, 8, 2, 16
 #: Words that a Python worker remembers the ids of, over all its tasks.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
+#: A word that ends in signs: its ids are those of what is before and of the signs, if the tokenizer parts the two. Only Latin
+#: letters whose small and composed forms are one letter stand before them, as a mark would join the signs.
+SIGNED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f])([.,;:!?%#)]+)", re.S)
 
 
 class Tokens:
-    """Ids of texts by way of their words: white space parts words and leaves no token, so each word is encoded once."""
+    """Ids of texts by way of their words: white space parts words and leaves no token, so each word is encoded once. A word
+    with signs behind it is put together from its parts, and one with ASCII capitals is looked up without them, where the
+    tokenizer says that it does so itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        splits, lowers = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.parts = splits is not None and all([x for x, _ in splits.pre_tokenize_str(f"ab{c}")] == ["ab", c] for c in (".", "!?", "%%%", "),"))
+        self.lowers = lowers is not None and lowers.normalize_str("AbZ") == "abz"
         self.forget()
 
     def forget(self) -> None:
@@ -49,16 +58,42 @@ class Tokens:
         self.ids, self.ends = array("I"), array("q", [0])
 
     def learn(self, words: list[str]) -> None:
+        """Words that are not known yet: the parts of signed ones and small forms first, then what is left."""
+        place, plain, signed, capital = self.place, {}, [], []
+        for w in words:
+            if self.lowers and w.isascii() and (low := w.lower()) != w:
+                capital.append((w, low))
+                w = low
+                if w in place:
+                    continue
+            if self.parts and (m := SIGNED.fullmatch(w)):
+                signed.append((w, m[1], m[2]))
+                for part in m.groups():
+                    if part not in place:
+                        plain[part] = None
+            else:
+                plain[w] = None
+        self.coded(list(plain))
+        for w, *parts in signed:
+            if w not in place:
+                for k in [place[x] for x in parts]:
+                    self.ids.extend(self.ids[self.ends[k] : self.ends[k + 1]])
+                place[w] = len(self.ends) - 1
+                self.ends.append(len(self.ids))
+        for w, low in capital:
+            place[w] = place[low]
+
+    def coded(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
             coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in some])
             own = np.searchsorted(starts, np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids)), "right") - 1
             counts = np.bincount(own, minlength=len(some))
+            for k, w in enumerate(some, len(self.ends) - 1):
+                self.place[w] = k
             self.ids.extend(coded.ids)
             self.ends.extend((self.ends[-1] + np.cumsum(counts)).tolist())
-            for w in some:
-                self.place[w] = len(self.place)
 
     def encode(self, text: pa.Array, end_id: int) -> list[np.ndarray]:
         if len(self.place) > REMEMBERED:

@@ -45,6 +45,19 @@ def test_packing_round_trip(spark, partitions):
     assert packing.pack(source.limit(0)).count() == 0
 
 
+def test_ids_by_words_equal_ids_of_texts():
+    import pyarrow as pa
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokens.parts and tokens.lowers
+    rng = random.Random(17)
+    bits = ["a", "the", "Don't", "É", "é", "\u0301", "ß", "Σ", "İ", "1", "½", ".", ",", "!?", "%%%", "'s", "'", "-", "_", "漢", "ﬁ", ")", "WORD", "word", "\u00a0", "<|endoftext|>", " ", " ", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
+    got = [g.tolist() for k in range(0, 3000, 500) for g in tokens.encode(pa.array(texts[k : k + 500]), 2)]
+    assert got == [[*tokens.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def plain_alignment(a, b):
     best, h = 0, np.zeros((len(a) + 1, len(b) + 1), int)
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
