@@ -11,7 +11,7 @@ backslash more before the bar, so that no control string can stand inside them;
 
 Nulls: a null role or text is empty, a null kind is ``message``, a null conversation is one of its own. Events that tie in
 sequence are applied in the order of kind and text, a ``regenerate`` last, of the latest message first; a message's role is
-the first that is named, of tied ones the least. Repeated events each count, so a repeated delta stands twice. Texts may be
+the first that is named, of tied ones the least. A repeated delta stands twice, a repeated replacement once. Texts may be
 as long as a cell of a table; an empty log gives no rows. Only the columns named above are read, so others can't clash.
 """
 
@@ -52,9 +52,10 @@ def reconstruct(log: DataFrame) -> DataFrame:
         .groupBy("conv_id", "msg")
         .agg(
             F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("first"),
-            F.array_sort(F.collect_list(F.when(F.col("began").isNull() | (place >= F.col("began")), place))).alias("parts"),
+            F.first("began").alias("began"),
+            F.array_sort(F.collect_list(F.when(F.col("began").isNull() | (place > F.col("began")), place))).alias("parts"),
         )
-        .select("conv_id", "msg", F.coalesce("first.role", F.lit("")).alias("role"), F.array_join("parts.text", "").alias("text"))
+        .select("conv_id", "msg", F.coalesce("first.role", F.lit("")).alias("role"), F.concat(F.coalesce("began.text", F.lit("")), F.array_join("parts.text", "")).alias("text"))
     )
 
 
