@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import CENTROID_SQL, op11_centroid_clustering
 from .chat import CHAT_SQL, op9_chat_format
 from .decontam import op3_decontamination
+from .exact import EXACT_SQL, op13_exact_dedup
 from .langid import op4_language_id
 from .lines import op5_line_dedup
 from .neardup import op8_near_duplicates
@@ -16,6 +18,7 @@ from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
 from .substrings import op7_substring_dedup
 from .toxicity import op1_toxicity
+from .variants import op12_spelling_variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_format": op9_chat_format,
         "op10_secret_scan": op10_secret_scan,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": CHAT_SQL}
+    return {"op9_chat_format": CHAT_SQL, "op11_centroid_clustering": CENTROID_SQL, "op13_exact_dedup": EXACT_SQL}
