@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TOKENS
+from .leaves import Leaves
 
 #: Names under which a counter may be reported, the first number found counts.
 ALIASES = {
@@ -19,42 +22,43 @@ ALIASES = {
 }
 
 
-def number(variant: str, path: str) -> Column:
-    """The finite number at a path of a VARIANT column, null for anything else (numbers in quotes too)."""
-    at = f"try_variant_get({variant}, '$.{path}', 'variant')"
-    kind = F.expr(f"schema_of_variant({at})")
-    value = F.expr(f"try_variant_get({variant}, '$.{path}', 'double')")
-    numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
-    return F.when(numeric & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
-
-
 def clamp(x: Column) -> Column:
     """At least 0; NaN and infinities are no numbers."""
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(x, F.lit(0.0)))
 
 
-def reported(variant: str, name: str) -> Column:
-    return F.coalesce(*(number(variant, p) for p in ALIASES[name]))
+def floored(x: Column) -> Column:
+    """A finite number or null, at least 0."""
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
 
+def said(number: Callable[[str], Column], prefix: str = "", aliases: dict[str, list[str]] = ALIASES) -> list[Column]:
+    """Columns `said_...`: each counter as the first of its names reports it. `number` reads a path."""
+    return [F.coalesce(*(number(prefix + p) for p in paths)).alias(f"said_{name}") for name, paths in aliases.items()]
 
-def counters(variant: str) -> Column:
-    """struct of the five counters: reported totals less cache and reasoning where only totals are given."""
-    cache_read, cache_write, reasoning = (F.coalesce(clamp(reported(variant, c)), F.lit(0.0)) for c in ("cache_read", "cache_write", "reasoning"))
-    given = F.coalesce(reported(variant, "input"), clamp(reported(variant, "raw_input")) - cache_read - cache_write)
-    made = F.coalesce(reported(variant, "output"), clamp(reported(variant, "raw_output")) - reasoning)
+
+def counters() -> Column:
+    """struct of the five counters, from columns `said_...`: reported totals less cache and reasoning where only totals are given."""
+    cache_read, cache_write, reasoning = (F.coalesce(floored(F.col(f"said_{c}")), F.lit(0.0)) for c in ("cache_read", "cache_write", "reasoning"))
+    given = F.coalesce("said_input", floored(F.col("said_raw_input")) - cache_read - cache_write)
+    made = F.coalesce("said_output", floored(F.col("said_raw_output")) - reasoning)
     parts = {"input": given, "output": made, "reasoning": reasoning, "cache_read": cache_read, "cache_write": cache_write}
-    return F.struct(*(F.coalesce(clamp(parts[c]), F.lit(0.0)).alias(c) for c in TOKENS))
+    return F.struct(*(F.coalesce(floored(parts[c]), F.lit(0.0)).alias(c) for c in TOKENS))
 
 
-def partial(variant: str) -> Column:
-    """As `counters`, but null where nothing was reported."""
-    both = F.coalesce(reported(variant, "input"), clamp(reported(variant, "raw_input")))
-    out = F.coalesce(reported(variant, "output"), clamp(reported(variant, "raw_output")))
-    whole = counters(variant)
-    known = {"input": both, "output": out, **{c: reported(variant, c) for c in ("reasoning", "cache_read", "cache_write")}}
+def partial(whole: Column) -> Column:
+    """The counters `whole`, but null where nothing was reported."""
+    known = {"input": F.coalesce("said_input", "said_raw_input"), "output": F.coalesce("said_output", "said_raw_output"), **{c: F.col(f"said_{c}") for c in ("reasoning", "cache_read", "cache_write")}}
     return F.struct(*(F.when(known[c].isNotNull(), whole.getField(c)).alias(c) for c in TOKENS))
 
 
+def read(rows: DataFrame, variant: str = "v") -> DataFrame:
+    """The rows with the columns `said_...` of a VARIANT column."""
+    leaves = Leaves(variant)
+    columns = said(leaves.number)
+    return leaves.over(rows).select(*rows.columns, *columns)
+
+
 #: Names that only a reader of stored records knows, and those whose presence says that a counter was reported.
 READER = {
     "fresh": ["noCacheTokens", "inputTokenDetails.noCacheTokens", "inputTokenDetails.noCacheInputTokens"],
@@ -69,22 +73,25 @@ HOLDERS = ["tokens", "usage", "tokenUsage"]
 
 def reader_source(variant: str) -> Column:
     """Where a record keeps its counters: the first of `HOLDERS` that is an object, else the record itself."""
-    held = [f"case when schema_of_variant(try_variant_get({variant}, '$.{h}', 'variant')) like 'OBJECT%' then try_variant_get({variant}, '$.{h}', 'variant') end" for h in HOLDERS]
-    return F.expr(f"coalesce({', '.join(held)}, {variant})")
-
-
-def reader_fields(source: str) -> Column:
-    """struct of the counters that are reported at a source, the others null."""
-    said = lambda names: F.coalesce(*(number(source, n) for n in names))
-    whole = counters(source)
-    fresh, made, raw_out = said(READER["fresh"]), said(READER["text"]), said(READER["raw_output"])
-    has_input = F.coalesce(number(source, "input"), said(READER["raw_input"]), fresh, said(READER["has_input"])).isNotNull()
-    has_output = F.coalesce(number(source, "output"), raw_out, made, said(READER["has_output"])).isNotNull()
-    output = F.when(made.isNotNull(), clamp(made)).when(raw_out.isNotNull() & (whole["reasoning"] > 0), F.greatest(raw_out - whole["reasoning"], F.lit(0.0))).otherwise(whole["output"])
-    parts = {"input": F.when(has_input, F.coalesce(clamp(fresh), whole["input"])), "output": F.when(has_output, output)}
+    held = F.array(*(F.try_variant_get(F.col(variant), f"$.{h}", "variant") for h in HOLDERS))
+    return F.coalesce(F.get(F.filter(held, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(0)), F.col(variant))
+
+
+def reader_fields(rows: DataFrame, source: str, name: str = "fields") -> DataFrame:
+    """The rows with a struct of the counters that are reported at a VARIANT column, the others null."""
+    leaves = Leaves(source)
+    own = said(leaves.number) + [F.coalesce(*map(leaves.number, paths)).alias(f"read_{n}") for n, paths in READER.items()]
+    whole = counters()
+    col = F.col
+    has_input = F.coalesce("said_input", "read_raw_input", "read_fresh", "read_has_input").isNotNull()
+    has_output = F.coalesce("said_output", "read_raw_output", "read_text", "read_has_output").isNotNull()
+    rest = floored(col("read_raw_output") - whole["reasoning"])
+    output = F.when(col("read_text").isNotNull(), floored(col("read_text"))).when(col("read_raw_output").isNotNull() & (whole["reasoning"] > 0), rest).otherwise(whole["output"])
+    parts = {"input": F.when(has_input, F.coalesce(floored(col("read_fresh")), whole["input"])), "output": F.when(has_output, output)}
     for c in ("reasoning", "cache_read", "cache_write"):
-        parts[c] = F.when(reported(source, c).isNotNull(), whole[c])
-    return F.struct(*(parts[c].alias(c) for c in TOKENS))
+        parts[c] = F.when(col(f"said_{c}").isNotNull(), whole[c])
+    read_ = leaves.over(rows).select(*rows.columns, *own)
+    return read_.select(*rows.columns, F.struct(*(parts[c].alias(c) for c in TOKENS)).alias(name))
 
 
 def total(prefix: str = "") -> Column:

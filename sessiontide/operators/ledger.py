@@ -123,10 +123,39 @@ def contributions(records: DataFrame) -> DataFrame:
 
 
 def history(records: DataFrame) -> DataFrame:
-    """The history after all upserts; a message with one record is its own fold."""
+    """The history after all upserts. Only messages with a live update among several records need a fold: for the others
+    quality, completeness, freshness and arrival are a total order, and what the losers lend follows from their order."""
     of = Window.partitionBy("message_id")
-    known = records.filter("message_id is not null").withColumn("__n", F.count("*").over(of))
-    return known.filter("__n = 1").select(*records.columns).unionByName(by_message(known.filter("__n > 1").select(*records.columns), fold_history))
+    known = records.filter("message_id is not null").withColumn("__n", F.count("*").over(of)).withColumn("__live", F.max(F.col("update").isNotNull()).over(of))
+    once = known.filter("__n = 1").select(*records.columns)
+    plain = _plain_history(known.filter("__n > 1 and not __live").select(*records.columns))
+    return once.unionByName(plain).unionByName(by_message(known.filter("__n > 1 and __live").select(*records.columns), fold_history))
+
+
+def _plain_history(records: DataFrame) -> DataFrame:
+    """`fold_history` of messages without live updates, by windows in order of arrival.
+
+    A record wins if none before it has a higher rank. The last winner stays, at the place of the first record. Its agent is that of the
+    last winner that has one, else the first agent; evidence is put together in order.
+    """
+    fresh = F.coalesce(F.greatest(*(c for c in ("start", "first_token", "completed") if c in records.columns), F.lit(float("-inf"))), F.lit(0.0))
+    rank = F.struct(precedence.is_exact().alias("exact"), precedence.completeness(records.columns).alias("complete"), F.when(fresh == float("-inf"), 0.0).otherwise(fresh).alias("fresh"))
+    arrival = Window.partitionBy("message_id").orderBy("pos")
+    before, all_ = arrival.rowsBetween(Window.unboundedPreceding, -1), arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = records.withColumn("__rank", rank)
+    highest = F.max("__rank").over(before)
+    judged = ranked.withColumn("__wins", highest.isNull() | (F.col("__rank") >= highest)).withColumn("__at", F.row_number().over(arrival))
+    taken = {"pos": F.first("pos").over(all_), "__last": F.max(F.when(F.col("__wins"), F.col("__at"))).over(all_)}
+    taken["agent"] = F.coalesce(F.last(F.when(F.col("__wins"), F.col("agent")), True).over(all_), F.first("agent", True).over(all_))
+    if "scope" in records.columns:
+        has = lambda kind: F.max(F.coalesce(F.col("scope") == kind, F.lit(False))).over(all_)
+        known = F.last(F.when(F.col("scope") != PENDING, F.col("scope")), True).over(all_)
+        taken["scope"] = F.when(has(EXCLUDED_SESSION), EXCLUDED_SESSION).when(has(EXCLUDED_ITEM), EXCLUDED_ITEM).otherwise(F.coalesce(known, F.first("scope", True).over(all_)))
+    if "scope_reasons" in records.columns:
+        taken["scope_reasons"] = F.array_distinct(F.flatten(F.collect_list(F.coalesce("scope_reasons", F.array().cast("array<string>"))).over(all_)))
+        taken["scope_parent"] = F.last("scope_parent", True).over(all_)
+    merged = judged.select(*(c for c in judged.columns if c not in taken), *(c.alias(n) for n, c in taken.items()))
+    return merged.filter("__at = __last").select(*records.columns)
 
 
 def newer(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as shown
 from ..functions import tokens
+from ..functions.leaves import Leaves
 from ..operators import activity, forest, intervals, layers, ledger, metrics, precedence, runs, scope
 from ..schema import PENDING, UPDATE_STRUCT, USER
 from ..sources import events as hosts
@@ -71,7 +72,8 @@ def token_normalization(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("form") == 1, F.col("a") - F.col("q")).when(F.col("form") == 2, F.col("a")).alias("input"), F.when(F.col("form") > 0, F.col("q")).alias("output"), form(2, F.col("s")).alias("reasoning"),
         form(1, F.struct(F.col("q").alias("read"))).alias("cache"), form(1, F.struct(F.col("s").alias("reasoningTokens"))).alias("outputTokenDetails"),
     )
-    v = line.select("l_orderkey", "l_linenumber", F.try_parse_json(F.to_json(body)).alias("v")).select("l_orderkey", "l_linenumber", tokens.counters("v").alias("c"))
+    v = line.select("l_orderkey", "l_linenumber", F.try_parse_json(F.to_json(body)).alias("v"))
+    v = tokens.read(v).select("l_orderkey", "l_linenumber", tokens.counters().alias("c"))
     return v.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(*(F.sum(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
 
 
@@ -87,7 +89,7 @@ def reader_tokens(spark: SparkSession, d: str) -> DataFrame:
         F.when(form == 2, F.struct(s.alias("reasoning"))).alias("tokens"),
     )
     rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.try_parse_json(F.to_json(body)).alias("v")).withColumn("src", tokens.reader_source("v"))
-    return rows.select("id", tokens.reader_fields("src").alias("c")).select("id", *(F.col(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
+    return tokens.reader_fields(rows, "src", "c").select("id", *(F.col(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 977) AS ms, o_custkey % 101 AS pc, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
@@ -156,7 +158,10 @@ def scope_coercion(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(part % 4 == 0, "user").when(part % 4 == 1, "magic-message").when(part % 4 == 2, "magic-session").otherwise("magic")
     body = F.struct(F.struct((1 + (part % 3 == 0).cast("int")).alias("version"), said.alias("sourceScope"), F.array(*(F.lit(x) for x in ("parent-link", "unheard-of", "parent-link", "normal-agent"))).alias("reasons")).alias("scope"))
     rows = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.try_parse_json(F.to_json(body)).alias("v"))
-    read = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), history.scope_at("scope").alias("scope"), F.array_join(history.reasons_at("scope"), ",").alias("reasons"))
+    leaves = Leaves()
+    proof = history.evidence(leaves, "scope")
+    columns = [F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), proof["scope"].alias("scope"), F.array_join(proof["reasons"], ",").alias("reasons")]
+    read = leaves.over(rows).select(*columns)
     return read.groupBy("k", "n").agg(F.max("scope").alias("scope"), F.max("reasons").alias("reasons")).filter("scope is not null")
 
 

@@ -6,9 +6,7 @@ TIME_STRUCT = "struct<start:double,firstToken:double,firstResponse:double,firstC
 SAMPLE = "struct<timestamp:double,tokens:double,estimatedTokens:double,bytes:double,kind:string>"
 SCOPE_STRUCT = "struct<source_scope:string,reasons:array<string>,parent:string>"
 UPDATE_STRUCT = "struct<instance:string,sequence:double,received_at:double,revision:double,fingerprint:string,seen:array<string>>"
-RESPONSE = f"message_id string, session_id string, parent_id string, model string, agent string, quality string, tokens {TOKEN_STRUCT}, cost double, time {TIME_STRUCT}, scope {SCOPE_STRUCT}, update {UPDATE_STRUCT}, pos long"
-FACT = f"kind string, event_id string, session_id string, ts double, observed_at double, instance_id string, seq long, source_sequence long, ended_at double, last_observed double, parent_id string, execution_id string, state string, work_id string, source string, phase string, step_id string, scope {SCOPE_STRUCT}, pos long"
-
+#: States of a session.
 ACTIVE = ("busy", "retry")
 TERMINAL = ("completed", "failed", "aborted", "cancelled", "stopped")
 STATES = (*ACTIVE, "idle", *TERMINAL)

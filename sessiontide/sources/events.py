@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from .history import filled, flag_at, text_at
+from ..functions.leaves import Leaves, filled, whole_text
 
 #: Types that carry content only, and types that the adapter reads.
 CONTENT = r"^(message\.part\.(delta|updated)|session\.(next\.)?(text|reasoning)\..*|session\.(next\.)?tool\.(input\..*|progress))$"
@@ -25,15 +25,6 @@ TYPE_STATES = {
 STATUS_KEYS = ["status", "state", "type", "name"]
 STATUS_PLACES = ["properties", "", "properties.info", "properties.session", "properties.event", "info", "session", "event"]
 WORD_STATES = [("busy", ["busy"]), ("retry", ["retry"]), ("idle", ["idle"]), ("completed", ["completed", "complete", "done"]), ("failed", ["failed", "failure", "error"]), ("aborted", ["aborted", "abort"]), ("cancelled", ["cancelled", "canceled", "cancel"]), ("stopped", ["stopped", "stop"])]
-#: Names nested in names are followed so deep.
-STATUS_DEPTH = 3
-
-
-def first_text(*paths: str) -> Column:
-    """The first text at the paths that is not empty."""
-    return F.coalesce(*(filled(text_at(p)) for p in paths))
-
-
 def everywhere(*names: str, inside: tuple[str, ...] = ("", "properties.")) -> list[str]:
     return [f"{where}{name}" for name in names for where in inside]
 
@@ -46,47 +37,55 @@ def is_control(kind: Column) -> Column:
     return kind.rlike(CONTROL)
 
 
-def is_replay() -> Column:
+def is_replay(leaves: Leaves) -> Column:
     """Marked as a replay, or from a snapshot: never live evidence."""
-    marked = F.coalesce(flag_at("replay"), F.lit(False)) | F.coalesce(flag_at("properties.replay"), F.lit(False))
-    source = [F.coalesce(text_at(p), F.lit("")).isin("snapshot", "history", "reconnect") for p in ("source", "properties.source")]
-    return marked | source[0] | source[1]
+    marked = [F.coalesce(leaves.flag(p), F.lit(False)) for p in ("replay", "properties.replay")]
+    source = [F.coalesce(leaves.text(p), F.lit("")).isin("snapshot", "history", "reconnect") for p in ("source", "properties.source")]
+    return marked[0] | marked[1] | source[0] | source[1]
 
 
-def is_completed() -> Column:
-    out = F.lit(False)
+def is_completed(leaves: Leaves) -> Column:
+    """Said to be completed by a flag, a status or an end."""
+    out = leaves.number("properties.info.time.end").isNotNull() | leaves.number("properties.info.time.completed").isNotNull()
     for p in ("properties.info.", "properties.", ""):
-        out = out | F.coalesce(flag_at(f"{p}completed"), F.lit(False)) | (F.coalesce(text_at(f"{p}completed"), text_at(f"{p}status"), text_at(f"{p}status.type"), F.lit("")) == "completed")
-    return out | tokens.number("v", "properties.info.time.end").isNotNull() | tokens.number("v", "properties.info.time.completed").isNotNull()
+        word = F.coalesce(leaves.text(f"{p}completed"), leaves.text(f"{p}status"), leaves.text(f"{p}status.type"), F.lit(""))
+        out = out | F.coalesce(leaves.flag(f"{p}completed"), F.lit(False)) | (word == "completed")
+    return out
 
 
-def session_of(kind: Column) -> Column:
+def session_of(leaves: Leaves, kind: Column) -> Column:
     """The session an event belongs to, under all of its names; the id of an info object only for session events."""
-    direct = first_text(*everywhere("sessionID", "sessionId", "session.id", inside=("properties.", "")), *everywhere("sessionID", "sessionId", inside=("properties.part.", "part.", "properties.session.", "properties.info.", "info.")))
-    own = F.when(kind.startswith("session."), first_text("properties.info.id", "info.id"))
-    return F.coalesce(direct, own, F.when(kind.isin("session.created", "session.updated"), first_text("properties.id", "id")))
+    direct = leaves.first_text(*everywhere("sessionID", "sessionId", "session.id", inside=("properties.", "")), *everywhere("sessionID", "sessionId", inside=("properties.part.", "part.", "properties.session.", "properties.info.", "info.")))
+    own = F.when(kind.startswith("session."), leaves.first_text("properties.info.id", "info.id"))
+    return F.coalesce(direct, own, F.when(kind.isin("session.created", "session.updated"), leaves.first_text("properties.id", "id")))
 
 
-def parent_of(kind: Column) -> Column:
+def parent_of(leaves: Leaves, kind: Column) -> Column:
     """The parent session: by an explicit name, else the parent of a session entity; never the parent of a message."""
     where = ("properties.", "", "properties.info.", "properties.message.", "info.", "message.")
-    explicit = first_text(*everywhere("parentSessionID", "parentSessionId", inside=where))
-    entity = first_text(*everywhere("parentID", "parent.id", inside=("properties.session.", "session.", "properties.info.session.")))
-    own = F.when(kind.isin("session.created", "session.updated"), first_text(*everywhere("parentID", "parent.id", inside=("properties.", "", "properties.info.", "info."))))
+    explicit = leaves.first_text(*everywhere("parentSessionID", "parentSessionId", inside=where))
+    entity = leaves.first_text(*everywhere("parentID", "parent.id", inside=("properties.session.", "session.", "properties.info.session.")))
+    own = F.when(kind.isin("session.created", "session.updated"), leaves.first_text(*everywhere("parentID", "parent.id", inside=("properties.", "", "properties.info.", "info."))))
     return F.coalesce(explicit, entity, own)
 
 
-def status_words(places: list[str]) -> Column:
-    """The texts at `status` and `state` of these places, and in structs there those under `STATUS_KEYS`, nested too."""
-    at = lambda p, key: f"try_variant_get(v, '$.{p + '.' if p else ''}{key}', 'variant')"
-    level = f"filter(array({', '.join(at(p, key) for p in places for key in ('status', 'state'))}), x -> x is not null)"
-    found = []
-    for depth in range(STATUS_DEPTH):
-        found.append(f"transform(filter({level}, x -> schema_of_variant(x) = 'STRING'), x -> lower(try_variant_get(x, '$', 'string')))")
-        if depth + 1 < STATUS_DEPTH:
-            inner = ", ".join(f"try_variant_get(x, '$.{key}', 'variant')" for key in STATUS_KEYS)
-            level = f"filter(flatten(transform(filter({level}, x -> schema_of_variant(x) like 'OBJECT%'), x -> array({inner}))), x -> x is not null)"
-    return F.expr(f"concat({', '.join(found)})")
+def status_words(leaves: Leaves, places: list[str]) -> Column:
+    """The texts at `status` and `state` of these places, and in objects there those under `STATUS_KEYS`, however deep.
+
+    A row takes as many steps as its status has opening braces, so none is too deep.
+    """
+    said = F.array(*(leaves.raw(f"{p}.{key}" if p else key) for p in places for key in ("status", "state")))
+    return F.transform(_words(F.filter(said, lambda x: x.isNotNull())), F.lower)
+
+
+def _words(values: Column) -> Column:
+    texts = lambda level: F.filter(F.transform(level, whole_text), lambda x: x.isNotNull())
+    objects = lambda level: F.filter(level, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    inner = lambda x: F.filter(F.array(*(F.try_variant_get(x, f"$.{key}", "variant") for key in STATUS_KEYS)), lambda y: y.isNotNull())
+    step = lambda held, _: F.struct(F.flatten(F.transform(objects(held["level"]), inner)).alias("level"), F.concat(held["words"], texts(held["level"])).alias("words"))
+    braces = F.aggregate(values, F.lit(0), lambda n, x: n + F.size(F.split(F.to_json(x), r"\{")) - 1)
+    start = F.struct(values.alias("level"), F.array().cast("array<string>").alias("words"))
+    return F.aggregate(F.sequence(F.lit(0), braces), start, step, lambda held: held["words"])
 
 
 def lifecycle_state(kind: Column, words: Column) -> Column:
@@ -103,24 +102,51 @@ def lifecycle_state(kind: Column, words: Column) -> Column:
 
 def older_facts(events: DataFrame) -> DataFrame:
     """Lifecycle and parent facts of the older kind of events."""
-    kind = text_at("type")
-    state = lifecycle_state(kind, status_words(STATUS_PLACES))
-    rows = events.filter(~is_content(kind)).select(session_of(kind).alias("session_id"), parent_of(kind).alias("parent_id"), state.alias("state"), tokens.number("v", "timestamp").alias("ts"), text_at("id").alias("event_id"), is_replay().alias("replay"), "pos")
-    rows = rows.filter("session_id is not null and ts is not null")
-    lifecycle = rows.filter("state is not null and not replay").withColumn("kind", F.lit("lifecycle")).withColumn("parent_id", F.lit(None).cast("string"))
-    return lifecycle.unionByName(rows.filter("parent_id is not null").withColumn("kind", F.lit("parent")).withColumn("state", F.lit(None).cast("string"))).drop("replay")
+    leaves = Leaves()
+    kind = leaves.text("type")
+    columns = {
+        "type": kind,
+        "session_id": session_of(leaves, kind),
+        "parent_id": parent_of(leaves, kind),
+        "words": F.when(F.lower(kind).endswith(".status"), status_words(leaves, STATUS_PLACES)),
+        "ts": leaves.number("timestamp"),
+        "event_id": leaves.text("id"),
+        "replay": is_replay(leaves),
+    }
+    read = leaves.over(events).filter(~is_content(kind)).select(*(c.alias(n) for n, c in columns.items()), "pos").filter("session_id is not null and ts is not null")
+    rows = read.withColumn("state", lifecycle_state(F.col("type"), F.col("words")))
+    none = F.lit(None).cast("string")
+    fact = lambda name, parent, state: F.struct(F.lit(name).alias("kind"), "session_id", parent.alias("parent_id"), state.alias("state"), "ts", "event_id", "pos")
+    lifecycle = F.when(F.col("state").isNotNull() & ~F.col("replay"), fact("lifecycle", none, F.col("state")))
+    parent = F.when(F.col("parent_id").isNotNull(), fact("parent", F.col("parent_id"), none))
+    return rows.select(F.explode(F.filter(F.array(lifecycle, parent), lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
 def fields(events: DataFrame) -> DataFrame:
     """What the adapter reads of the newer kind of events; an event delivered twice counts once."""
-    data = lambda p: text_at(f"data.{p}")
-    usage = "try_variant_get(v, '$.data.tokens', 'variant')"
-    rows = events.filter(is_control(text_at("type"))).select(
-        text_at("type").alias("type"), text_at("id").alias("event_id"), tokens.number("v", "created").alias("ts"), tokens.number("v", "durable.seq").cast("long").alias("source_sequence"), filled(data("sessionID")).alias("session_id"), data("assistantMessageID").alias("message_id"),
-        data("id").alias("tool_id"), data("agent").alias("agent"), data("model.id").alias("model"), status_words(["data"]).alias("words"), tokens.number("v", "data.started").alias("started"), F.expr(usage).isNotNull().alias("billed"),
-        tokens.counters(usage).alias("tokens"), tokens.partial(usage).alias("reported"), tokens.number("v", "data.cost").alias("cost"), first_text("data.parentID", "data.parentSessionID").alias("parent_id"), data("title").alias("title"), "pos",
-    )
-    return rows.filter("session_id is not null").dropDuplicates(["event_id", "type", "session_id", "message_id", "tool_id", "ts"])
+    leaves = Leaves()
+    data = lambda p: leaves.text(f"data.{p}")
+    kind = leaves.text("type")
+    columns = {
+        "type": kind,
+        "event_id": leaves.text("id"),
+        "ts": leaves.number("created"),
+        "source_sequence": leaves.number("durable.seq").cast("long"),
+        "session_id": filled(data("sessionID")),
+        "message_id": data("assistantMessageID"),
+        "tool_id": data("id"),
+        "agent": data("agent"),
+        "model": data("model.id"),
+        "words": F.when(F.lower(kind).endswith(".status"), status_words(leaves, ["data"])),
+        "started": leaves.number("data.started"),
+        "billed": leaves.raw("data.tokens").isNotNull(),
+        "cost": leaves.number("data.cost"),
+        "parent_id": leaves.first_text("data.parentID", "data.parentSessionID"),
+        "title": data("title"),
+    }
+    said = tokens.said(leaves.number, "data.tokens.")
+    read = leaves.over(events).filter(is_control(kind)).select(*(c.alias(n) for n, c in columns.items()), *said, "pos").filter("session_id is not null")
+    return read.dropDuplicates(["event_id", "type", "session_id", "message_id", "tool_id", "ts"])
 
 
 def with_execution(rows: DataFrame) -> DataFrame:
@@ -131,6 +157,7 @@ def with_execution(rows: DataFrame) -> DataFrame:
     return rows.withColumn("execution_id", F.coalesce(F.last(began, ignorenulls=True).over(upto), F.concat(F.lit("partial:"), "session_id")))
 
 
+#: The states that these types name.
 ENDS = {"session.execution.succeeded": "completed", "session.execution.failed": "failed", "session.execution.interrupted": "aborted", "session.execution.started": "busy", "session.retry.scheduled": "retry", "session.idle": "idle"}
 
 
@@ -158,7 +185,8 @@ def newer_facts(events: DataFrame) -> DataFrame:
 def newer_responses(events: DataFrame) -> DataFrame:
     """Responses of ended steps, with the start that their beginning named. A failed step without usage is no call. A
     response is exact if input and output were reported and reasoning was, or is zero."""
-    rows = fields(events).filter("message_id is not null")
+    read = fields(events).filter("message_id is not null")
+    rows = read.withColumn("tokens", tokens.counters()).withColumn("reported", tokens.partial(F.col("tokens")))
     start = rows.filter("type = 'session.step.started'").groupBy("session_id", "message_id").agg(F.min(F.coalesce("started", "ts")).alias("start"), F.max("agent").alias("agent0"), F.max("model").alias("model0"))
     ends = rows.filter("type = 'session.step.ended' or (type = 'session.step.failed' and billed)").join(start, ["session_id", "message_id"], "left")
     said = F.col("reported.input").isNotNull() & F.col("reported.output").isNotNull() & (F.col("reported.reasoning").isNotNull() | (F.col("tokens.reasoning") == 0))

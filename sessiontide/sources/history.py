@@ -6,36 +6,32 @@ only if its ids are texts and not empty. What else has the wrong type is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, tokens
+from ..functions.leaves import Leaves, filled, whole_number, whole_text
 from ..operators import ledger
 from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION, PENDING, USER
+from . import tail as tails
 
 
-#: Bits of a line's place for the row in its task and for the task; the rest ranks the file.
-ROW_BITS, TASK_BITS = 27, 20
+#: A line's place: files left behind come after all others, by their time stamp, then files by name and lines as they stand.
+PLACE = "struct<stamp:bigint,file:string,row:bigint>"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, file, pos): lines that are not blank, in order of file and place.
+    """(value, file, pos): lines that are not blank; `pos` is a struct that orders lines over all files.
 
-    Spark deals files to tasks by size, so a row's number alone is no order over several files. Files are ranked by the
-    time stamp in their name, if they are temporary ones left behind (`name.process.time.mark.tmp`, after all others), and by
-    name; within a file tasks and
-    rows are in order. Only the names of the files are broadcast.
+    Spark deals files to tasks by size, so a row's number alone is no order over several files. Files go by the
+    time stamp in their name, if they are temporary ones left behind (`name.process.time.mark.tmp`), and by
+    name; within a file, tasks and their rows are in order of place.
     """
-    number = F.monotonically_increasing_id()
-    rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), number.alias("number"))
-    rows = rows.filter(F.trim("value") != "")
+    rows = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     stamp = F.coalesce(F.expr("try_cast(nullif(regexp_extract(file, '[.][0-9]+[.]([0-9]+)[.][^./]+[.]tmp$', 1), '') as bigint)"), F.lit(-1))
-    names = rows.select("file").distinct().select("file", (F.row_number().over(Window.orderBy(stamp, "file")) - 1).cast("long").alias("rank"))
-    row, task = F.col("number").bitwiseAND((1 << 33) - 1), F.shiftright("number", 33)
-    fits = (row < 1 << ROW_BITS) & (task < 1 << TASK_BITS) & (F.col("rank") < 1 << (63 - ROW_BITS - TASK_BITS))
-    place = F.shiftleft("rank", ROW_BITS + TASK_BITS).bitwiseOR(F.shiftleft(task, ROW_BITS)).bitwiseOR(row)
-    pos = F.when(fits, place).otherwise(F.raise_error(F.lit("too many files, tasks or lines to number")))
-    return rows.join(F.broadcast(names), "file").select("value", "file", pos.alias("pos"))
+    return rows.filter(F.trim("value") != "").select("value", "file", F.struct(stamp.alias("stamp"), "file", "row").alias("pos"))
 
 
 def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -43,37 +39,24 @@ def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("v", F.try_parse_json(column)).filter("v is not null")
 
 
-def text_at(path: str, variant: str = "v") -> Column:
-    """The text at a path; null for other types."""
-    return F.expr(f"case when schema_of_variant(try_variant_get({variant}, '$.{path}', 'variant')) = 'STRING' then try_variant_get({variant}, '$.{path}', 'string') end")
-
-
-def flag_at(path: str, variant: str = "v") -> Column:
-    return F.expr(f"case when schema_of_variant(try_variant_get({variant}, '$.{path}', 'variant')) = 'BOOLEAN' then try_variant_get({variant}, '$.{path}', 'boolean') end")
-
-
-def filled(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 #: The scopes as they are stored, and the reasons that evidence may give. Anything else is no evidence.
 STORED_SCOPES = {"user": USER, "pending": PENDING, "magic-message": EXCLUDED_ITEM, "magic-session": EXCLUDED_SESSION}
 REASONS = ["hidden-metadata", "session-agent", "session-title", "message-agent", "message-mode", "magic-model", "compaction-summary", "compaction-agent", "normal-agent", "parent-link"]
 
 
-def scope_at(path: str) -> Column:
-    """The scope of stored evidence of version 1 at a path; null for unknown values."""
-    said = text_at(f"{path}.sourceScope")
-    out = F.lit(None).cast("string")
+def evidence(leaves: Leaves, path: str) -> dict[str, Column]:
+    """scope, reasons and parent of stored evidence of version 1 at a path, null for unknown scopes; the known reasons among the
+    first 64, each once in order."""
+    said = leaves.text(f"{path}.sourceScope")
+    scope = F.lit(None).cast("string")
     for stored, name in STORED_SCOPES.items():
-        out = F.when(said == stored, name).otherwise(out)
-    return F.when(tokens.number("v", f"{path}.version") == 1, out)
-
-
-def reasons_at(path: str) -> Column:
-    """The known reasons of stored evidence, each once in order, among its first 64."""
-    given = F.expr(f"transform(slice(coalesce(try_variant_get(v, '$.{path}.reasons', 'array<variant>'), array()), 1, 64), x -> case when schema_of_variant(x) = 'STRING' then try_variant_get(x, '$', 'string') end)")
-    return F.when(scope_at(path).isNotNull(), F.array_distinct(F.filter(given, lambda x: F.coalesce(x.isin(REASONS), F.lit(False)))))
+        scope = F.when(said == stored, name).otherwise(scope)
+    scope = F.when(leaves.number(f"{path}.version") == 1, scope)
+    raw = F.coalesce(F.try_variant_get(leaves.raw(f"{path}.reasons"), "$", "array<variant>"), F.array().cast("array<variant>"))
+    given = F.transform(F.slice(raw, 1, 64), whole_text)
+    reasons = F.array_distinct(F.filter(given, lambda x: F.coalesce(x.isin(REASONS), F.lit(False))))
+    parent = filled(leaves.text(f"{path}.parentSessionID"))
+    return {"scope": scope, "reasons": F.when(scope.isNotNull(), reasons), "parent": F.when(scope.isNotNull(), parent)}
 
 
 def stored_scope(scope: Column) -> Column:
@@ -83,25 +66,32 @@ def stored_scope(scope: Column) -> Column:
     return out
 
 
-def update_at(path: str) -> Column:
+def live_update(leaves: Leaves, path: str) -> Column:
     """A live update at a path, null unless all of it but the revision is there."""
-    at = lambda name: f"{path}.{name}"
-    amount = lambda name: F.when(tokens.number("v", at(name)) >= 0, tokens.number("v", at(name)))
-    raw = F.expr(f"try_variant_get(v, '$.{path}.seenFingerprints', 'array<variant>')")
-    seen = F.transform(raw, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-    body = F.struct(text_at(at("instanceID")).alias("instance"), amount("sequence").alias("sequence"), amount("receivedAt").alias("received_at"), amount("revision").alias("revision"), text_at(at("fingerprint")).alias("fingerprint"), seen.alias("seen"))
-    whole = (text_at(at("source")) == "live") & body["instance"].isNotNull() & body["sequence"].isNotNull() & body["received_at"].isNotNull() & body["fingerprint"].isNotNull() & raw.isNotNull() & ~F.exists(seen, lambda x: x.isNull())
+    text_, amount = (lambda name: leaves.text(f"{path}.{name}")), (lambda name: F.when(leaves.number(f"{path}.{name}") >= 0, leaves.number(f"{path}.{name}")))
+    seen = F.transform(F.try_variant_get(leaves.raw(f"{path}.seenFingerprints"), "$", "array<variant>"), whole_text)
+    body = F.struct(
+        text_("instanceID").alias("instance"), amount("sequence").alias("sequence"), amount("receivedAt").alias("received_at"), amount("revision").alias("revision"),
+        text_("fingerprint").alias("fingerprint"), seen.alias("seen"),
+    )
+    there = [body[c].isNotNull() for c in ("instance", "sequence", "received_at", "fingerprint")]
+    whole = (text_("source") == "live") & functools.reduce(Column.__and__, there) & ~F.exists(seen, lambda x: x.isNull())
     return F.when(F.coalesce(whole, F.lit(False)), body)
 
 
-def samples_at(path: str) -> Column:
+def samples_at(leaves: Leaves, path: str) -> Column:
     """Samples with a time and a number of tokens; amounts are at least 0."""
-    raw = f"coalesce(try_variant_get(v, '$.{path}', 'array<variant>'), array())"
-    each = "named_struct('timestamp', {0}, 'tokens', greatest({1}, 0D), 'estimatedTokens', greatest({2}, if({2} is null, null, 0D)), 'bytes', greatest({3}, if({3} is null, null, 0D)), 'kind', {4})"
-    n = lambda name: f"case when schema_of_variant(try_variant_get(x, '$.{name}', 'variant')) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$' then try_variant_get(x, '$.{name}', 'double') end"
-    k = "case when try_variant_get(x, '$.kind', 'string') in ('output', 'reasoning') then try_variant_get(x, '$.kind', 'string') end"
-    whole = f"filter(transform({raw}, x -> if({n('timestamp')} is null or {n('tokens')} is null, null, {each.format(n('timestamp'), n('tokens'), n('estimatedTokens'), n('bytes'), k)})), x -> x is not null)"
-    return F.expr(whole)
+    get = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    raw = F.coalesce(F.try_variant_get(leaves.raw(path), "$", "array<variant>"), F.array().cast("array<variant>"))
+    typed = F.transform(raw, lambda x: F.struct(F.transform(F.array(*(get(x, n) for n in ("timestamp", "tokens", "estimatedTokens", "bytes"))), whole_number).alias("n"), whole_text(get(x, "kind")).alias("kind")))
+    good = F.filter(typed, lambda x: x["n"][0].isNotNull() & x["n"][1].isNotNull())
+    return F.transform(
+        good,
+        lambda x: F.struct(
+            x["n"][0].alias("timestamp"), tokens.floored(x["n"][1]).alias("tokens"), tokens.floored(x["n"][2]).alias("estimatedTokens"), tokens.floored(x["n"][3]).alias("bytes"),
+            F.when(x["kind"].isin("output", "reasoning"), x["kind"]).alias("kind"),
+        ),
+    )
 
 
 TIMES = {"start": "start", "first_token": "firstToken", "first_response": "firstResponse", "first_content": "firstContent", "completed": "completed", "ttft": "ttft", "duration": "duration"}
@@ -109,19 +99,36 @@ TIMES = {"start": "start", "first_token": "firstToken", "first_response": "first
 
 def responses(rows: DataFrame) -> DataFrame:
     """Normalized records of parsed lines; those with another version or without ids are dropped."""
-    version = F.expr("try_variant_get(v, '$.version', 'variant')")
-    right = version.isNull() | F.coalesce(tokens.number("v", "version") == 1, F.lit(False))
-    usage = tokens.counters("try_variant_get(v, '$.tokens', 'variant')")
-    quality = text_at("quality")
-    out = rows.filter(right).select(
-        filled(text_at("messageID")).alias("message_id"), filled(text_at("sessionID")).alias("session_id"), filled(text_at("parentSessionID")).alias("parent_id"), filled(text_at("model")).alias("model"), text.agent_name(text_at("agent")).alias("agent"),
-        F.when(quality.isin("exact", "provisional"), quality).alias("quality"), usage.alias("tokens"), F.coalesce(tokens.clamp(tokens.number("v", "cost")), F.lit(0.0)).alias("cost"),
-        *(tokens.number("v", f"time.{p}").alias(c) if c != "start" else F.coalesce(tokens.number("v", "time.start"), F.lit(0.0)).alias("start") for c, p in TIMES.items()),
-        (F.coalesce(flag_at("time.startMissing"), F.lit(False)) | tokens.number("v", "time.start").isNull()).alias("start_missing"), F.when(text_at("time.firstResponseSource").isin("thinking", "content"), text_at("time.firstResponseSource")).alias("first_response_source"),
-        F.when(text_at("time.firstResponseTimeSource").isin("part-start", "arrival"), text_at("time.firstResponseTimeSource")).alias("first_response_time_source"), flag_at("time.firstResponseEstimated").alias("first_response_estimated"),
-        samples_at("samples").alias("samples"), update_at("update").alias("update"), tokens.number("v", "update.revision").alias("revision"), scope_at("scope").alias("scope"), reasons_at("scope").alias("scope_reasons"), F.when(scope_at("scope").isNotNull(), filled(text_at("scope.parentSessionID"))).alias("scope_parent"), "pos",
-    )
-    return out.filter("message_id is not null and session_id is not null").select("*", *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write"))).drop("tokens")
+    leaves = Leaves()
+    said, number = leaves.text, leaves.number
+    among = lambda c, *names: F.when(c.isin(*names), c)
+    proof = evidence(leaves, "scope")
+    start = number("time.start")
+    columns = [
+        filled(said("messageID")).alias("message_id"),
+        filled(said("sessionID")).alias("session_id"),
+        filled(said("parentSessionID")).alias("parent_id"),
+        filled(said("model")).alias("model"),
+        text.agent_name(said("agent")).alias("agent"),
+        among(said("quality"), "exact", "provisional").alias("quality"),
+        *tokens.said(number, "tokens."),
+        F.coalesce(tokens.floored(number("cost")), F.lit(0.0)).alias("cost"),
+        *(F.coalesce(start, F.lit(0.0)).alias("start") if c == "start" else number(f"time.{p}").alias(c) for c, p in TIMES.items()),
+        (F.coalesce(leaves.flag("time.startMissing"), F.lit(False)) | start.isNull()).alias("start_missing"),
+        among(said("time.firstResponseSource"), "thinking", "content").alias("first_response_source"),
+        among(said("time.firstResponseTimeSource"), "part-start", "arrival").alias("first_response_time_source"),
+        leaves.flag("time.firstResponseEstimated").alias("first_response_estimated"),
+        samples_at(leaves, "samples").alias("samples"),
+        live_update(leaves, "update").alias("update"),
+        number("update.revision").alias("revision"),
+        proof["scope"].alias("scope"),
+        proof["reasons"].alias("scope_reasons"),
+        proof["parent"].alias("scope_parent"),
+    ]
+    right = leaves.raw("version").isNull() | F.coalesce(number("version") == 1, F.lit(False))
+    read_ = leaves.over(rows).filter(right).select(*columns, "pos").filter("message_id is not null and session_id is not null")
+    whole = read_.withColumn("tokens", tokens.counters())
+    return whole.select(*(c for c in read_.columns if not c.startswith("said_")), *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write")))
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -154,3 +161,9 @@ def stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     rows = text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.lit(0).cast("long").alias("pos"))
     return responses(parsed(rows.filter("trim(value) <> ''")))
+
+
+def tail(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of lines as they are added to a folder's files, with their place (file, at) as `pos`."""
+    rows = tails.stream(spark, folder)
+    return responses(parsed(rows.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.struct("file", "at").alias("pos")).filter("trim(value) <> ''")))

@@ -10,11 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, precedence
+from ..schema import TOKENS
 from . import history
 
 
-def paths(folder: str) -> dict[str, str]:
-    """The ledgers of a folder."""
+#: Under a home folder, where ledgers are kept if no folder is named.
+DEFAULT_FOLDER = ".local/share/sessiontide"
+
+
+def paths(folder: str | None = None, home: str | None = None) -> dict[str, str]:
+    """The ledgers of a folder, else of the default one under a home folder (a URI on a cluster)."""
+    if folder is None and home is None:
+        raise ValueError("name the ledgers' folder, or a home folder for the default one")
+    folder = folder if folder is not None else f"{home.rstrip('/')}/{DEFAULT_FOLDER}"
     return {name: f"{folder.rstrip('/')}/{name}" for name in ("history", "activity", "totals")}
 
 
@@ -28,6 +36,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _fs(spark, path)
+    fs.delete(place, True)
+
+
 def move(spark: SparkSession, old: str, new: str) -> None:
     fs, place = _fs(spark, old)
     if not fs.rename(place, _fs(spark, new)[1]):
@@ -64,8 +77,7 @@ def swap(spark: SparkSession, new: str, path: str) -> None:
     if exists(spark, path):
         move(spark, path, aside)
     move(spark, new, path)
-    fs, old = _fs(spark, aside)
-    fs.delete(old, True)
+    remove(spark, aside)
 
 
 def replace(df: DataFrame, path: str) -> None:
@@ -83,18 +95,53 @@ def quarantine(spark: SparkSession, path: str) -> str:
 
 
 def upsert(records: DataFrame, path: str, keep: int = 1000, protected: DataFrame | None = None) -> None:
-    """Folds new records into a stored history and keeps the last `keep` by admission, and protected messages."""
+    """Folds new records into a stored history and keeps the last `keep` by admission, and protected messages. What is stored
+    stands before what comes: `pos` is a struct of the upsert's number and the place in it."""
     spark = records.sparkSession
-    merged = records.withColumn("pos", F.col("pos").cast("long"))
+    number, old = 0, None
     if exists(spark, path):
         old = spark.read.parquet(path)
-        last = old.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
-        merged = old.unionByName(merged.withColumn("pos", F.col("pos") + last + 1), allowMissingColumns=True)
+        number = old.agg(F.coalesce(F.max("pos.upsert"), F.lit(-1)) + 1).first()[0]
+    merged = records.withColumn("pos", F.struct(F.lit(number).cast("long").alias("upsert"), F.col("pos").alias("at")))
+    if old is not None:
+        merged = old.unionByName(merged, allowMissingColumns=True)
     replace(precedence.newest(ledger.history(merged), keep, protected), path)
 
 
-def rebuild_totals(path: str, records: DataFrame) -> None:
-    """Session sums from the history's effective records."""
+def last(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """The last records of a stored history by admission, a top-k without a full sort."""
+    return precedence.newest(spark.read.parquet(path), rows)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """An empty history in the place of a stored one."""
+    replace(spark.read.parquet(path).limit(0), path)
+
+
+def prune(spark: SparkSession, path: str, before: float, protected: DataFrame | None = None) -> None:
+    """Drops records completed (else started) before a time, but for protected messages."""
+    rows = spark.read.parquet(path)
+    young = rows.filter(F.coalesce("completed", "start") >= before)
+    if protected is not None:
+        old = rows.filter(~F.coalesce(F.coalesce("completed", "start") >= before, F.lit(False)))
+        young = young.unionByName(old.join(protected.select("message_id").distinct(), "message_id", "left_semi").select(rows.columns))
+    replace(young, path)
+
+
+def sums(records: DataFrame) -> DataFrame:
+    """Session sums of the records that count."""
     effective = ledger.contributions(records)
-    sums = effective.groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write", "cost")), F.count("*").alias("calls"))
-    replace(sums, path)
+    return effective.groupBy("session_id").agg(*(F.sum(c).alias(c) for c in (*TOKENS, "cost")), F.count("*").alias("calls"))
+
+
+def rebuild_totals(path: str, records: DataFrame) -> None:
+    """Session sums from the history's effective records, replacing what was there."""
+    replace(sums(records), path)
+
+
+def seed_totals(path: str, records: DataFrame) -> bool:
+    """The same, but only if there is no ledger yet; says whether it was written."""
+    if exists(records.sparkSession, path):
+        return False
+    rebuild_totals(path, records)
+    return True

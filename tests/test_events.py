@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sessiontide.functions.leaves import Leaves
 from sessiontide.operators import ledger
 from sessiontide.sources import events
 
@@ -57,7 +58,9 @@ def test_older_events(spark):
     ]
     got = sorted((r["ts"], r["kind"], r["state"], r["parent_id"]) for r in events.older_facts(rows(spark, items)).collect())
     assert got == [(1, "lifecycle", "busy", None), (2, "lifecycle", "idle", None), (4, "parent", None, "p")]
-    assert [r["c"] for r in rows(spark, items).select(events.is_completed().alias("c")).collect()] == [False] * 4 + [True, False]
+    leaves = Leaves()
+    completed = events.is_completed(leaves)
+    assert [r["c"] for r in leaves.over(rows(spark, items)).select(completed.alias("c")).collect()] == [False] * 4 + [True, False]
 
 
 def test_history_folds():
@@ -84,6 +87,26 @@ def test_folds_by_message_equal_plain_ones(spark):
     assert got == {m: f["pos"] for m, rs in own.items() if (f := ledger.fold(rs))}
 
 
+def test_histories_equal_folds(spark):
+    """With and without live updates, ties in rank, lent agents and evidence."""
+    rng = random.Random(5)
+    schema = "message_id string, session_id string, pos long, quality string, output double, cost double, agent string, start double, first_token double, completed double, ttft double, duration double, model string, parent_id string, samples array<double>, scope string, scope_reasons array<string>, scope_parent string, update struct<instance:string,sequence:double,received_at:double,revision:double,fingerprint:string,seen:array<string>>"
+    some = lambda *x: rng.choice([None, *x])
+    data = []
+    for k in range(400):
+        m = rng.randrange(60)
+        update = (rng.choice("ij"), float(rng.randrange(5)), float(k), None, str(rng.randrange(9)), []) if m < 20 and rng.random() < 0.3 else None
+        data.append((f"m{m}", "s", k, some("exact", "provisional"), float(rng.randrange(2)), 0.0, some("a", "b"), some(1.0, 2.0), None, some(1.0, 3.0), some(1.0), None, some("x"), None, some([1.0]), some("user", "pending", "excluded_item", "excluded_session") if m % 3 else some("user", "pending"), some(["r"], ["q", "r"]), some("p", "o"), update))
+    df = spark.createDataFrame(data, schema)
+    own = {}
+    for r in df.orderBy("pos").collect():
+        own.setdefault(r["message_id"], []).append(r.asDict(True))
+    want = {m: ledger.fold_history(rs) for m, rs in own.items()}
+    got = {r["message_id"]: r.asDict(True) for r in ledger.history(df).collect()}
+    none = lambda r: r | {"scope_reasons": r["scope_reasons"] or []}
+    assert {m: none(r) for m, r in got.items()} == {m: none(r) for m, r in want.items()}
+
+
 def test_only_exact_types_name_states(spark):
     items = [{"type": t, "timestamp": k, "properties": {"sessionID": "s"}} for k, t in enumerate(["message.error", "todo.completed", "permission.cancelled", "session.error", "SESSION.Aborted", "session.next.step.failed", "x.status"])]
     status = lambda where: {"type": "session.status", "timestamp": 50, **where}
@@ -97,3 +120,24 @@ def test_response_quality(spark):
     items = [ev("step.ended", k, assistantMessageID=f"m{k}", tokens=t) for k, t in enumerate(told)]
     got = {r["message_id"]: r["quality"] for r in events.newer_responses(rows(spark, items)).collect()}
     assert got == {"m0": "exact", "m1": "exact", "m2": "provisional", "m3": "exact", "m4": "provisional"}
+
+
+def test_status_words_of_any_depth(spark):
+    """Words nested in status objects count however deep they lie, those under other keys never."""
+    deep = "Busy"
+    for k in range(40):
+        deep = {("status", "state", "type", "name")[k % 4]: deep}
+    aside = {"type": {"other": {"name": "busy"}}, "name": ["busy"], "state": {"name": {"type": "Stop"}}}
+    items = [{"type": "session.status", "timestamp": k, "properties": {"sessionID": "s", "status": s}} for k, s in enumerate([deep, aside, "{{{", {}, {"name": "{"}])]
+    got = sorted((r["ts"], r["state"]) for r in events.older_facts(rows(spark, items)).collect())
+    assert got == [(0, "busy"), (1, "stopped")]
+
+
+def test_plans_stay_small(spark):
+    """However many paths are read, a plan grows with what is written, not with how often a value is used."""
+    frame = rows(spark, STORY)
+    from sessiontide.sources import activity, history
+
+    for made in (events.newer_responses(frame), events.newer_facts(frame), events.older_facts(frame), history.responses(frame), activity.facts(frame)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 50_000, len(plan)

@@ -216,9 +216,9 @@ def test_completeness_of_records(spark):
 def test_counters_and_shown_values(spark):
     texts = ['{"inputTokens": 90, "cachedInputTokens": 25, "cacheWriteTokens": 15, "outputTokens": 33, "reasoningTokens": 8}', '{"input": 3, "output": "7", "cache": {"read": 2.5, "write": -1}}', "{}"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.try_parse_json("t").alias("v"))
-    got = [tuple(r["c"]) for r in df.select(tokens.counters("v").alias("c")).collect()]
+    got = [tuple(r["c"]) for r in tokens.read(df).select(tokens.counters().alias("c")).collect()]
     assert got == [(50, 25, 8, 25, 15), (3, 0, 0, 2.5, 0), (0, 0, 0, 0, 0)]
-    assert [tuple(r["c"]) for r in df.select(tokens.partial("v").alias("c")).collect()][2] == (None,) * 5
+    assert [tuple(r["c"]) for r in tokens.read(df).select(tokens.partial(tokens.counters()).alias("c")).collect()][2] == (None,) * 5
     one = spark.range(1)
     cell = lambda c: one.select(c.alias("c")).first()["c"]
     assert cell(tokens.cache_hit_rate(F.lit(60), F.lit(30), F.lit(10))) == 0.6 and cell(tokens.cache_hit_rate(F.lit(0), F.lit(0), F.lit(0))) is None

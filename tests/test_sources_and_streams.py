@@ -10,6 +10,9 @@ from sessiontide.sources import activity, history, totals
 from sessiontide.streaming import jobs
 
 
+PROOF = {"version": 1, "sourceScope": "user", "reasons": ["normal-agent"]}
+
+
 def put(path, lines):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + "\n")
@@ -29,7 +32,9 @@ def test_history(spark, tmp_path):
 
 def test_facts(spark, tmp_path):
     base = {"sessionID": "s", "timestamp": 1.5}
-    put(tmp_path / "f" / "a.jsonl", [base | {"state": "busy"}, base | {"state": "busy"}, base | {"state": "odd"}, base | {"parentSessionID": None}, base | {"kind": "work", "executionID": "e", "source": "step", "phase": "start", "workID": "w"}, base | {"kind": "work"}, base | {"version": 3, "state": "busy"}, {"sessionID": 4, "timestamp": 1, "state": "busy"}, "[]"])
+    put(tmp_path / "f" / "a.jsonl", [base | {"state": "busy"}, base | {"state": "busy"}, base | {"state": "odd"}, base | {"parentSessionID": None}, base | {"kind": "work", "executionID": "e", "source": "step", "phase": "start", "workID": "w", "measurementScope": PROOF}, base | {"kind": "work"},
+        base | {"kind": "work", "executionID": "e", "source": "step", "phase": "start", "workID": "w"}, base | {"kind": "work", "executionID": "e", "source": "step", "phase": "start", "workID": "w", "measurementScope": PROOF, "version": 1},
+        base | {"kind": "execution-scope", "executionID": "e", "classification": "pure-maintenance"}, base | {"parentSessionID": 7}, base | {"version": 3, "state": "busy"}, {"sessionID": 4, "timestamp": 1, "state": "busy"}, "[]"])
     got = activity.read(spark, str(tmp_path / "f")).collect()
     assert sorted(r["kind"] for r in got) == ["lifecycle", "parent", "work"]
     assert all(r["ts"] == 1.5 and r["observed_at"] == 1.5 and r["instance_id"] == "default" for r in got)
@@ -82,36 +87,79 @@ def test_orphans_come_last_and_records_come_back_whole(spark, tmp_path):
 
 
 def test_activity_logs_come_back_and_shrink(spark, tmp_path):
-    rows = [{"sessionID": "s", "timestamp": 1.5, "state": "busy", "sourceSequence": 4, "lastObservedAt": 9}, {"kind": "work", "sessionID": "s", "timestamp": 2, "executionID": "e", "source": "step", "phase": "start", "workID": "w", "stepID": "x"}, {"sessionID": "s", "timestamp": 3, "parentSessionID": None}]
+    rows = [{"sessionID": "s", "timestamp": 1.5, "state": "busy", "sourceSequence": 4, "lastObservedAt": 9}, {"kind": "work", "sessionID": "s", "timestamp": 2, "executionID": "e", "source": "step", "phase": "start", "workID": "w", "stepID": "x", "measurementScope": PROOF}, {"sessionID": "s", "timestamp": 3, "parentSessionID": None},
+        {"sessionID": "s", "timestamp": 4, "state": "idle", "scope": {"version": 1, "sourceScope": "magic-session", "reasons": ["session-title"], "parentSessionID": "p"}, "sourceEventID": "q"},
+        {"kind": "execution-scope", "sessionID": "s", "timestamp": 5, "executionID": "e", "classification": "pure-maintenance", "coverage": "complete", "scope": {"version": 1, "sourceScope": "pending", "reasons": []}}]
     put(tmp_path / "log" / "a.jsonl", [*rows, *rows])
     path = f"file://{tmp_path}/log"
     before = activity.read(spark, path).drop("pos").collect()
     activity.compact(spark, path)
-    assert spark.read.text(path).count() == 3
+    assert spark.read.text(path).count() == 5
+    assert {(r["scope"], r["measure"], r["scope_parent"], tuple(r["scope_reasons"] or ())) for r in before if r["scope"] or r["measure"]} == {("excluded_session", None, "p", ("session-title",)), ("pending", None, None, ()), (None, "user", None, ())}
     assert sorted(map(str, activity.read(spark, path).drop("pos").collect())) == sorted(map(str, before))
 
 
 def test_usage_stream_ends_as_batch(spark, tmp_path):
+    """Messages move between sessions, are corrected, and are excluded late; batches are repeated and queries restarted."""
     rng = random.Random(3)
     rows = []
-    for k in range(90):
+    for k in range(120):
         live = {"source": "live", "instanceID": "i", "sequence": k, "receivedAt": k, "fingerprint": str(k), "seenFingerprints": []}
         m = rng.randrange(20)
-        rows.append({"messageID": f"m{m}", "sessionID": f"s{m % 4}", "tokens": {"output": rng.randrange(50)}, "cost": 1, "time": {"start": 1, "completed": k}, "quality": rng.choice(["exact", "provisional"]), **({"update": live} if rng.random() < 0.4 else {})})
-    for part in range(3):
-        put(tmp_path / "in" / f"{part}.jsonl", rows[30 * part : 30 * part + 30])
-    for _ in range(2):
-        jobs.keep_usage(history.stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "store"), str(tmp_path / "check"), 8).awaitTermination()
+        out = {"scope": {"version": 1, "sourceScope": "magic-message", "reasons": ["message-agent"]}} if k > 60 and m < 3 else {}
+        rows.append({"messageID": f"m{m}", "sessionID": f"s{rng.randrange(4)}", "tokens": {"output": rng.randrange(50)}, "cost": 1, "time": {"start": 1, "completed": k}, "quality": rng.choice(["exact", "provisional"]), **out, **({"update": live} if rng.random() < 0.4 else {})})
+    rows += [{"messageID": m, "sessionID": s, "tokens": {"output": 5}, **x} for m, s, x in [("x", "sA", {}), ("y", "sZ", {}), ("x", "sB", {}), ("y", "sZ", {"scope": {"version": 1, "sourceScope": "magic-session", "reasons": []}})]]
+    (tmp_path / "in").mkdir()
+    cuts = [0, 40, 41, 100, 122, 124]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        with (tmp_path / "in" / "log.jsonl").open("a") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in rows[a:b]))
+        for _ in range(2 if b == 100 else 1):  # the second run finds nothing new
+            jobs.keep_usage(history.tail(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+    batch = history.responses(history.parsed(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, pos long")))
     own = {}
-    for k, r in enumerate(history.responses(history.parsed(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, pos long"))).orderBy("pos").collect()):
+    for r in batch.orderBy("pos").collect():
         own.setdefault(r["message_id"], []).append(r.asDict(True))
     folded = {m: ledger.fold_history(rs)["output"] for m, rs in own.items()}
     sums = {}
-    for m, rs in own.items():
-        f = ledger.fold(rs)
-        sums[f["session_id"]] = sums.get(f["session_id"], 0) + f["output"]
-    assert {r["message_id"]: r["output"] for r in spark.read.parquet(str(tmp_path / "store" / "history")).collect()} == folded
-    assert {r["session_id"]: r["output"] for r in spark.read.parquet(str(tmp_path / "store" / "totals")).collect()} == sums
+    for rs in own.values():
+        if f := ledger.fold(rs):
+            n, out = sums.get(f["session_id"], (0, 0))
+            sums[f["session_id"]] = (n + 1, out + f["output"])
+    assert "sA" not in sums and "sZ" not in sums and sums["sB"] == (1, 5)
+    kept = jobs.read_history(spark, str(tmp_path / "store"), batch.drop("pos").schema)
+    assert {r["message_id"]: r["output"] for r in kept.collect()} == folded
+    assert {r["session_id"]: (r["calls"], r["output"]) for r in jobs.read_totals(spark, str(tmp_path / "store")).collect()} == sums
+
+
+def test_tail_reads_what_was_added(spark, tmp_path):
+    """Appends go on where a file stood, a line without its end waits, and truncated or rewritten files are read anew."""
+    from sessiontide.sources import tail
+
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    log, other = folder / "a.log", folder / "b.log"
+
+    def run(piece=tail.PIECE):
+        got = []
+        keep = lambda batch, _: got.extend(tuple(r) for r in batch.orderBy("file", "at").select("value", "reset").collect())
+        tail.stream(spark, str(folder), piece).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        seen.extend(got)
+        return got
+
+    log.write_text("one\ntwo\nhal")
+    assert run() == [("one", False), ("two", False)]
+    assert run() == []
+    log.write_text("one\ntwo\nhalf\nlast\n")
+    other.write_text("x" * 50 + "\n" + "é\n" * 40)
+    assert run(7) == [("half", False), ("last", False), ("x" * 50, False), *[("é", False)] * 40]
+    log.write_text("new\n")
+    assert run() == [("new", True)]
+    log.write_text("newer\nthan\nthat\n")
+    assert run() == [("newer", True), ("than", True), ("that", True)]
+    with log.open("a") as f:
+        f.write("end\n")
+    assert run() == [("end", False)]
 
 
 def test_stream_ends_as_batch(spark, tmp_path):
@@ -156,3 +204,23 @@ def test_history_store(spark, tmp_path):
     assert spark.read.parquet(f"{path}-totals").first()["output"] == 9.0
     aside = store.quarantine(spark, f"{path}-totals")
     assert store.exists(spark, aside) and not store.exists(spark, f"{path}-totals")
+
+
+def test_history_store_parts(spark, tmp_path):
+    """The last records, clearing, pruning by age, and totals that are seeded once."""
+    from sessiontide.sources import store
+
+    path = store.paths(home=f"file://{tmp_path}")["history"]
+    lines = [{"messageID": f"m{k}", "sessionID": "s", "tokens": {"output": k}, "time": {"start": 1, "completed": k}} for k in range(6)]
+    put(tmp_path / "in" / "a.jsonl", lines[:4])
+    put(tmp_path / "more" / "a.jsonl", lines[4:])
+    store.upsert(history.read(spark, str(tmp_path / "in")), path)
+    store.upsert(history.read(spark, str(tmp_path / "more")), path)
+    names = lambda rows: sorted(r["message_id"] for r in rows.collect())
+    assert names(store.last(spark, path, 3)) == ["m3", "m4", "m5"]
+    store.prune(spark, path, 3.0, spark.createDataFrame([("m1",)], "message_id string"))
+    assert names(spark.read.parquet(path)) == ["m1", "m3", "m4", "m5"]
+    assert store.seed_totals(f"{path}-totals", spark.read.parquet(path)) and not store.seed_totals(f"{path}-totals", spark.read.parquet(path).limit(0))
+    assert spark.read.parquet(f"{path}-totals").first()["output"] == 13.0
+    store.clear(spark, path)
+    assert names(spark.read.parquet(path)) == []
