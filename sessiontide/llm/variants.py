@@ -40,8 +40,8 @@ FILTER_BYTES, BITS_A_WORD, PROBES = 32 << 20, 16, 6
 BLOCK_BITS = 512
 #: Longer words share one filter.
 LONGEST = 64
-#: Edits hashed at once.
-EDITS = 1 << 20
+#: Edits hashed at once; arrays of this size stay in a core's cache.
+EDITS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 VALUES = np.random.default_rng(12).integers(1, 1 << 63, LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -267,14 +267,16 @@ def near_words(vocabulary: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataF
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """(word, root): forms followed to the last one. A form is at least twice as frequent as its word, so there are no cycles,
-    and every round doubles the steps taken."""
-    now = written(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
-    while not now.filter("moved").isEmpty():
+    """(word, root) of a written table (word, form): forms followed to the last one. A form is at least twice as frequent as its word,
+    so there are no cycles, and every round doubles the steps taken. A round's table has at most a file for each core."""
+    cores = forms.sparkSession.sparkContext.defaultParallelism
+    now, before, moved = forms.select("word", F.col("form").alias("root")), None, True
+    while moved:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
         step = now.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
-        now = written(step, "roots", instead_of=now)
-    return now.select("word", "root")
+        before = written(step.coalesce(cores), "roots", instead_of=before)
+        now, moved = before.select("word", "root"), not before.filter("moved").isEmpty()
+    return now
 
 
 def variant_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES, slips: int = SLIPS) -> DataFrame:
