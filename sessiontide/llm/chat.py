@@ -93,13 +93,36 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
+#: Places of one message's events in a log, and code points of a delta.
+EVENTS, PIECE = 1 << 20, 256
+
+
+def as_log(rows: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) as a log that says the same: by the hash of its place a message comes whole, as a
+    stream of deltas, as a draft that is edited, or as one that is regenerated after the next message was begun on it."""
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.select("conv_id", F.row_number().over(in_order).alias("msg"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    way = F.pmod(F.xxhash64("conv_id", "msg"), F.lit(4))
+    none, draft = F.lit(None).cast("string"), F.reverse("text")
+    event = lambda msg, kind, role, text: F.struct(msg.cast("int").alias("msg"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    msg, role, text = F.col("msg"), F.col("role"), F.col("text")
+    pieces = F.sequence(F.lit(0), F.ceil(F.length("text") / PIECE).cast("int"))  # one more than there are; the last is empty
+    deltas = F.transform(pieces, lambda k: event(msg, "delta", none, F.substring(text, k * PIECE + 1, F.lit(PIECE))))
+    events = (
+        F.when(way == 0, F.array(event(msg, "message", role, text)))
+        .when(way == 1, F.concat(F.array(event(msg, "message", role, F.lit(""))), deltas))
+        .when(way == 2, F.array(event(msg, "message", role, draft), event(msg, "edit", none, text)))
+        .otherwise(F.array(event(msg, "message", role, draft), event(msg + 1, "message", F.lit("draft"), draft), event(msg, "regenerate", none, text)))
+    )
+    told = placed.select("conv_id", F.col("msg").alias("first"), F.posexplode(events).alias("k", "e"))
+    return told.select("conv_id", (F.col("first").cast("long") * EVENTS + F.col("k")).alias("seq"), "e.msg", "e.kind", "e.role", "e.text")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    log = rows.select("conv_id", F.row_number().over(in_order).alias("msg"), F.lit("message").alias("kind"), "role", "text").withColumn("seq", F.col("msg"))
-    back = read_back(render(reconstruct(log)))
+    back = read_back(render(reconstruct(as_log(rows))))
     said = F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n")))
     return back.select(
         "conv_id",

@@ -4,7 +4,8 @@ Plain rules find assignments, access keys and hex runs. Beside them, base64 and
 kept only if their structure holds: DER keys by nested lengths, OpenSSH keys by their length-prefixed fields,
 signed tokens by a JSON header that names an algorithm, PEM blocks by what they enclose, and encoded text by a plain
 rule or one of these structures inside it, encoded again up to `DEPTH` times. Runs wrapped over lines of equal length are
-joined.
+joined. A key may be glued to what stands before or after it by a sign that base64 knows too (a path, a URL): its header
+tells where it begins and how long it is. Escapes of JSON and of URLs are read as what they stand for; spans are places in the text itself.
 
 Null and empty texts have no spans; the whole text is scanned however long it is. Repeated rows, and rows with a null id, each
 give a row with equal spans, and an empty table none. Spans of one kind that start together stand in order of their ends.
@@ -17,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,12 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 DEPTH = 3
+#: Signs of base64 that may also part a run from what stands beside it, and how keys begin after them.
+GLUE = re.compile(r"[/+_=-](?=M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+OPENSSH_START = "b3BlbnNzaC1rZXktdjEA"
+#: Escapes and what they stand for.
+ESCAPED = {"%2b": "+", "%2f": "/", "%3d": "=", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\/": "/"}
+ESCAPE = re.compile(r"%2[BbFf]|%3[Dd]|\\[nrt/]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 OPENSSH = b"openssh-key-v1\0"
@@ -149,6 +157,56 @@ def of_run(run: str, depth: int) -> str | None:
     return kind or confirmed(decode64(run), depth)
 
 
+def der_length(run: str) -> int:
+    """Characters of base64 that the DER value at the beginning of a run takes, 0 if it is none."""
+    head = decode64(run[:8])
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return 0
+    size, skip = head[1], 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return 0
+        size, skip = int.from_bytes(head[2 : 2 + n], "big"), 2 + n
+    return -(-(size + skip) * 4 // 3)
+
+
+def glued(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Keys inside a run, after a sign at their beginning or before one at their end. Only what has the header of a key, and the
+    length that it names, is decoded, so a run of signs takes no more than a look at each."""
+    found = []
+    for at in [start, *(m.end() for m in GLUE.finditer(text, start, end))]:
+        if text.startswith(OPENSSH_START, at):
+            if at > start and is_openssh_key(decode64(text[at:end]) or b""):
+                found.append(("openssh", at, end))
+        elif (n := der_length(text[at : at + 8])) and at + n <= end and (at > start or at + n < end):
+            if (at + n == end or text[at + n] in "/+_-=") and is_der_key(decode64(text[at : at + n]) or b""):
+                found.append(("der", at, at + n))
+    return found
+
+
+def unescaped(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with its escapes read, and for places in it from the k-th of some on, by how much the text's own are further."""
+    out, places, shifts, at, shift, size = [], [0], [0], 0, 0, 0
+    for m in ESCAPE.finditer(text):
+        out += [text[at : m.start()], ESCAPED[m[0].lower()]]
+        size += m.start() - at + 1
+        at, shift = m.end(), shift + len(m[0]) - 1
+        places.append(size)
+        shifts.append(shift)
+    return "".join([*out, text[at:]]), places, shifts
+
+
+def escaped_spans(text: str) -> list[tuple[str, int, int]]:
+    """Structures that hold only when escapes inside them are read."""
+    if "%" not in text and "\\" not in text or not ESCAPE.search(text):
+        return []
+    plain, places, shifts = unescaped(text)
+    place = lambda k: k + shifts[bisect_right(places, k) - 1]
+    spans = [(kind, place(a), place(b - 1) + 1) for kind, a, b in structures(plain, DEPTH)]
+    return [(kind, a, b) for kind, a, b in spans if ESCAPE.search(text, a, b)]
+
+
 def wrapped(text: str, depth: int) -> list[tuple[str, int, int]]:
     """Runs over lines of equal length, the last one with or without a shorter line after it."""
     found = []
@@ -172,7 +230,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start, then kind as listed; code points, end exclusive."""
     if not text:
         return []
-    found = base_spans(text) + structures(text, DEPTH)
+    found = base_spans(text) + structures(text, DEPTH) + escaped_spans(text)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -187,7 +245,9 @@ def structures(text: str, depth: int) -> list[tuple[str, int, int]]:
     if ".ey" in text or "ey" in text or "ew" in text:
         found += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     if depth > 0:
-        found += [(kind, m.start(), m.end()) for m in CANDIDATE.finditer(text) if (kind := of_run(m[0], depth))]
+        for m in CANDIDATE.finditer(text):
+            kind = of_run(m[0], depth)
+            found += [(kind, m.start(), m.end())] if kind else glued(text, m.start(), m.end())
         found += wrapped(text, depth)
     return found
 

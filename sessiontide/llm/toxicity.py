@@ -3,7 +3,8 @@
 1. A trigram model of characters is counted over every document; its table is bounded by the alphabet.
 2. A suspicious token (digits or symbols among or around letters, letters held down, letters set apart) becomes a lattice:
    a symbol may stand for the letters it resembles, a run for one or two letters, a separator for nothing, and between spaced letters a word may end. Viterbi takes the path of least channel cost and greatest model
-   probability. Tokens of over `PIECE` characters are decoded in pieces, so the work grows with their length. Neighbours
+   probability. Tokens of over `PIECE` characters are decoded in pieces that overlap, so the work grows with their length and no word of
+   up to `OVERLAP` characters is cut. Neighbours
    that a word of the lexicon was split into are joined if the model finds the word likelier than the pieces.
 3. Words and beginnings of words in the restored text that labelled rows show to be toxic make a lexicon; a logistic
    model over the strongest of them in a text gives the score. Lexicon and model learn from separate halves of a
@@ -48,7 +49,7 @@ LETTER = re.compile(r"[^\W\d_]")
 BEGINNINGS = (4, 5, 6, 7)
 SHOWN = 5  # strongest words of a text that the model sees
 #: Characters of a token that are decoded at once, and of those that are remembered; joined neighbours have two letters at least.
-PIECE, REMEMBERED, LEAST_PART = 256, 64, 2
+PIECE, OVERLAP, REMEMBERED, LEAST_PART = 256, 64, 64, 2
 
 
 def _codes() -> np.ndarray:
@@ -130,7 +131,8 @@ def suspicious(core: str) -> bool:
 
 
 def cuts(token: str) -> list[str]:
-    return [token[k : k + PIECE] for k in range(0, len(token), PIECE)]
+    """The token in pieces that overlap, so that every part of OVERLAP characters is whole in one of them."""
+    return [token[k : k + PIECE] for k in range(0, max(1, len(token) - OVERLAP), PIECE - OVERLAP)]
 
 
 def restored(token: str, model: list[float]) -> list[str]:
@@ -143,12 +145,11 @@ def restored(token: str, model: list[float]) -> list[str]:
     # signs around the core that may be letters: the whole is decoded too
     start = token.find(core) if core else 0
     lead, tail = token[:start], token[start + len(core) :]
-    while lead and lead[0] not in SYMBOLS:
-        lead = lead[1:]
-    while tail and tail[-1] not in SYMBOLS:
-        tail = tail[:-1]
-    if core and (lead or tail) and len(core) <= PIECE and LETTER.search(core):
-        words += PIECES.findall(decode(lead[-3:] + core + tail[:3], model))
+    lead = lead[next((k for k, c in enumerate(lead) if c in SYMBOLS), len(lead)) :]
+    tail = tail[: len(tail) - next((k for k, c in enumerate(reversed(tail)) if c in SYMBOLS), len(tail))]
+    if core and (lead or tail) and LETTER.search(core):
+        for piece in cuts(lead + core + tail):
+            words += PIECES.findall(decode(piece, model))
     return words
 
 

@@ -121,6 +121,55 @@ def test_structures_in_other_forms():
     assert kinds("name=" + b64("nothing of interest is in here")) == [] and kinds("\n".join(["thtiontion" * 4] * 5)) == []
 
 
+def test_structures_glued_and_escaped():
+    """Keys in paths, URLs and JSON: spans are places in the text as it is."""
+    ec = base64.b64encode(der(0x30, der(2, b"\x01"), der(4, bytes(range(224, 256))), der(0xA0, der(6, b"\x2a\x86\x48")))).decode()
+    pkcs8 = base64.b64encode(der(0x30, der(2, b"\x00"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, bytes(range(200))))).decode()
+    assert "+" in ec or "/" in ec
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.spans_of(t) if k not in secrets.BASE]
+    bare = ec.rstrip("=")
+    for text in (f"/etc/{bare}", f"x-{bare} y", f"a/{bare}/more/of/it", f"{bare}/more"):
+        assert ("der", bare) in found(text), text
+    quoted = ec.replace("+", "%2B").replace("/", "%2f").replace("=", "%3D")
+    assert [(k, s.rstrip("%3D")) for k, s in found(f"https://h/?k={quoted}&b=1")] == [("der", quoted.rstrip("%3D"))]
+    lines = "\\n".join(pkcs8[k : k + 64] for k in range(0, len(pkcs8), 64))
+    pem = f"-----BEGIN PRIVATE KEY-----\\n{lines}\\n-----END PRIVATE KEY-----"
+    assert ("pem", pem) in found('{"type": "service_account", "private_key": "' + pem + '\\n", "x": "\\/"}')
+    assert found("/etc/" + bare[:-8]) == [] and found("/M" * 50000) == [] and found("%2B" * 50000) == [] and found("x/MC4/y" * 1000) == []
+
+
+def test_places_survive_escapes():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "%2B", "\\n", "\\\\", "%", "é", "%2f"]) for _ in range(rng.randrange(12)))
+        plain, places, shifts = secrets.unescaped(text)
+        assert plain == re.sub(r"%2[Bb]|%2[Ff]|%3[Dd]|\\[nrt/]", lambda m: secrets.ESCAPED[m[0].lower()], text)
+        for k, c in enumerate(plain):
+            at = k + shifts[secrets.bisect_right(places, k) - 1]
+            assert text[at] == c or text[at] in "%\\"
+
+
+def test_long_runs_of_signs_take_linear_time():
+    import time
+
+    model = [0.0] * toxicity.SIZE**3
+    began = time.perf_counter()
+    toxicity.restored("." * 300000 + "a1b" + "." * 300000, model)
+    assert time.perf_counter() - began < 2
+    assert [w for w in (("x" * 240 + "1diot") * 3,) if any(len(p) >= toxicity.OVERLAP for p in toxicity.cuts(w))]
+    token = "".join(random.Random(1).choice("abc") for _ in range(1000))
+    assert all(any(token[k : k + toxicity.OVERLAP] in p for p in toxicity.cuts(token)) for k in range(1000 - toxicity.OVERLAP + 1))
+
+
+def test_chat_log_says_what_the_table_says(spark):
+    """Deltas, drafts, edits and regenerations are in the log, and what stands at its end is the table."""
+    rows = [(c, t, "user" if t % 2 else "assistant", "x" * (c * 97 % 700) + f"é{t}") for c in range(30) for t in range(5)] + [(99, 0, None, None), (99, 1, "assistant", "")]
+    log = chat.as_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = sorted((r["conv_id"], r["msg"] - 1, r["role"], r["text"]) for r in chat.reconstruct(log).collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
 def plain_repeats(words):
     seen = {}
     for k in range(len(words) - 7):
