@@ -1,29 +1,33 @@
-"""Reading many paths of a VARIANT column, each once.
+"""Reading many paths of JSON in one pass, by the types that its values have.
 
-Every accessor notes its path and gives a short reference to an array element. `over` then adds the arrays below a generator,
-which the optimizer does not merge with the projections and filters above it. So a path is looked up once a row, however often
-its value is used, and plans stay as small as the expressions that were written.
+Every accessor notes its path and gives a short reference to an array element. `over` then parses a row once into just these
+paths, each a VARIANT that still knows its type (a typed JSON reader turns a number where a text is asked for into text), and adds the typed arrays
+below a generator, which the optimizer does not merge with the projections and filters above it. So a row is read once, however many
+paths there are and however often a value is used, and plans stay as small as the expressions that were written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, VariantType
 
 
 def whole_text(x: Column) -> Column:
     """A VARIANT's text; null for other types."""
-    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    return F.when(x.isNotNull() & (F.schema_of_variant(x) == "STRING"), F.try_variant_get(x, "$", "string"))
 
 
 def whole_number(x: Column) -> Column:
     """A VARIANT's finite number; null for other types, numbers in quotes too."""
     value = F.try_variant_get(x, "$", "double")
-    return F.when(~F.schema_of_variant(x).isin("STRING", "BOOLEAN") & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return F.when(x.isNotNull() & ~F.schema_of_variant(x).isin("STRING", "BOOLEAN") & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def whole_flag(x: Column) -> Column:
-    return F.when(F.schema_of_variant(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+    return F.when(x.isNotNull() & (F.schema_of_variant(x) == "BOOLEAN"), F.try_variant_get(x, "$", "boolean"))
 
 
 def filled(c: Column) -> Column:
@@ -32,17 +36,17 @@ def filled(c: Column) -> Column:
 
 
 class Leaves:
-    """Paths into one VARIANT column."""
+    """Paths into one column of JSON texts, or of VARIANT. Texts that are no JSON objects have nothing at any path."""
 
     KINDS = {"texts": whole_text, "numbers": whole_number, "flags": whole_flag, "raw": lambda x: x}
 
-    def __init__(self, variant: str = "v"):
-        self.variant = variant
+    def __init__(self, column: str = "value"):
+        self.column = column
         self.paths: dict[str, dict[str, int]] = {kind: {} for kind in self.KINDS}
 
     def _at(self, kind: str, path: str) -> Column:
         own = self.paths[kind]
-        return F.col(f"__{self.variant}_{kind}")[own.setdefault(path, len(own))]
+        return F.col(f"__{self.column}_{kind}")[own.setdefault(path, len(own))]
 
     def text(self, path: str) -> Column:
         return self._at("texts", path)
@@ -61,8 +65,41 @@ class Leaves:
         """The first text at the paths that is not empty."""
         return F.coalesce(*(filled(self.text(p)) for p in paths))
 
+    def _tree(self) -> dict:
+        """The paths as nested names; a path that is the beginning of others is a leaf, from which those are looked up."""
+        leaves = sorted({tuple(p.split(".")) for own in self.paths.values() for p in own}, key=len)
+        tree: dict = {}
+        for path in leaves:
+            at, fits = tree, True
+            for name in path[:-1]:
+                at = at.setdefault(name, {})
+                if at is None:
+                    fits = False
+                    break
+            if fits:
+                at.setdefault(path[-1], None)
+        return tree
+
     def over(self, rows: DataFrame) -> DataFrame:
         """The rows with the arrays that all accessors called so far refer to."""
-        look = lambda path: F.try_variant_get(F.col(self.variant), f"$.{path}", "variant")
-        arrays = [F.transform(F.array(*map(look, own)), self.KINDS[kind]).alias(f"__{self.variant}_{kind}") for kind, own in self.paths.items() if own]
-        return rows.select("*", F.inline(F.array(F.struct(*arrays)))) if arrays else rows
+        if not any(self.paths.values()):
+            return rows
+        if isinstance(rows.schema[self.column].dataType, VariantType):
+            return rows.select("*", F.inline(F.array(self._arrays(lambda path: F.try_variant_get(F.col(self.column), f"$.{path}", "variant")))))
+        tree, parsed = self._tree(), f"__{self.column}_parsed"
+        # names that differ only in case are told apart by place
+        shape = lambda node, name: VariantType() if node is None else StructType([StructField(name(k, n), shape(x, name)) for k, (n, x) in enumerate(node.items())])
+
+        def look(path: str) -> Column:
+            names, node, k, held = path.split("."), tree, 0, F.col(parsed)
+            while node is not None and k < len(names):
+                held, node, k = held[f"f{list(node).index(names[k])}"], node[names[k]], k + 1
+            return held if k == len(names) else F.try_variant_get(held, f"$.{'.'.join(names[k:])}", "variant")
+
+        text = F.trim(self.column)
+        read = F.when(text.startswith("{"), F.from_json(text, shape(tree, lambda _, n: n)).cast(shape(tree, lambda k, _: f"f{k}")))
+        once = rows.select("*", F.inline(F.array(F.struct(read.alias(parsed)))))
+        return once.select("*", F.inline(F.array(self._arrays(look)))).drop(parsed)
+
+    def _arrays(self, look: Callable[[str], Column]) -> Column:
+        return F.struct(*(F.transform(F.array(*map(look, own)), self.KINDS[kind]).alias(f"__{self.column}_{kind}") for kind, own in self.paths.items() if own))

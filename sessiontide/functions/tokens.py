@@ -52,9 +52,9 @@ def partial(whole: Column) -> Column:
     return F.struct(*(F.when(known[c].isNotNull(), whole.getField(c)).alias(c) for c in TOKENS))
 
 
-def read(rows: DataFrame, variant: str = "v") -> DataFrame:
-    """The rows with the columns `said_...` of a VARIANT column."""
-    leaves = Leaves(variant)
+def read(rows: DataFrame, column: str = "value") -> DataFrame:
+    """The rows with the columns `said_...` of a column of JSON texts, or of VARIANT."""
+    leaves = Leaves(column)
     columns = said(leaves.number)
     return leaves.over(rows).select(*rows.columns, *columns)
 

@@ -1,7 +1,7 @@
 """Operators on parent links (child, parent): each child has one parent at most, and links may form cycles.
 
 Jumps and closures double their reach every round, so a chain of n links takes about log2(n) joins. Sums and exclusions
-carry one row a node through the rounds; only what lists paths or ancestors writes all pairs of a node and its ancestors.
+carry one row a node through the rounds, listings too; only `closure` writes all pairs of a node and its ancestors.
 Null, empty and self links are no edges. Loops are driven by one count per round; rows stay in Spark.
 """
 
@@ -156,22 +156,45 @@ def children(links: DataFrame) -> DataFrame:
     return edges(links).groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
 
 
+def _opened(links: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links with every cycle opened at its root, so that they are a forest, and (id, root)."""
+    root = cut(roots(links, ids))
+    known = edges(links).join(root.select(F.col("id").alias("child"), "root"), "child").filter("child <> root").select("child", "parent")
+    return cut(known), root
+
+
+def earlier_siblings(sized: DataFrame) -> DataFrame:
+    """(child, parent, before): what the children of the same parent with smaller ids weigh together. `sized` (child, parent, size).
+
+    Children are dealt in ranges, so those of one parent may stand in many tasks; only the ranges' sums are put in order by parent.
+    """
+    ranged = cut(sized.repartitionByRange("parent", "child").withColumn("part", F.spark_partition_id()))
+    within = Window.partitionBy("parent", "part").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("parent", "part").agg(F.sum("size").alias("size"))
+    over = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.select("parent", "part", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("shift"))
+    own = ranged.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return own.join(shifts, ["parent", "part"]).select("child", "parent", (F.col("own") + F.col("shift")).alias("before"))
+
+
 def listing(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(root, id, depth, place): nodes below each root in pre-order, children by id; members of cycles once, under their root.
 
-    A node's place is the order of the ids on its path from the root, whole and in their own type's order."""
-    known = edges(links)
-    root = roots(known, ids)
-    # a cycle is opened at its root, so that paths end
-    opened = known.join(root.select(F.col("id").alias("child"), "root"), "child").filter("child <> root").select("child", "parent")
-    reach = closure(opened, root)
-    step = F.struct((-F.col("depth")).alias("d"), F.col("ancestor").alias("name"))
-    paths = reach.groupBy("id").agg(F.max("depth").alias("depth"), F.array_sort(F.collect_list(step)).getField("name").alias("path"))
-    placed = paths.join(root, "id")
-    return placed.select("root", "id", "depth", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("place"))
+    A node comes one place after its parent, and after all nodes below its earlier siblings. So its place is a sum over itself and
+    its ancestors, its depth another, and both are gathered in rounds that double their reach: n log n rows, no table of ancestors.
+    """
+    opened, root = _opened(links, ids)
+    sizes = gathered(root.select("id", F.lit(1).cast("long").alias("size")), opened, {"size": F.sum("size")}, up=False)
+    sized = opened.join(sizes.withColumnRenamed("id", "child"), "child")
+    steps = earlier_siblings(sized).select(F.col("child").alias("id"), (F.col("before") + 1).alias("place"), F.lit(1).alias("depth"))
+    values = root.join(steps, "id", "left").select("id", F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    placed = gathered(values, opened, {"place": F.sum("place"), "depth": F.sum("depth")}, up=True)
+    return placed.join(root, "id").select("root", "id", F.col("depth").cast("int").alias("depth"), (F.col("place") + 1).cast("long").alias("place"))
 
 
 def ordered_edges(links: DataFrame) -> DataFrame:
     """(child, parent, rank): parents come before their children; rank is the parent's depth."""
-    depth = listing(links).select(F.col("id").alias("parent"), F.col("depth").cast("long").alias("rank"))
+    opened, root = _opened(links)
+    values = root.select("id", F.when(F.col("id") == F.col("root"), 0).otherwise(1).alias("rank"))
+    depth = gathered(values, opened, {"rank": F.sum("rank")}, up=True).select(F.col("id").alias("parent"), F.col("rank").cast("long").alias("rank"))
     return edges(links).join(depth, "parent").select("child", "parent", "rank")

@@ -59,6 +59,27 @@ def first_response(signal: str = "signal") -> Column:
     return F.when(F.coalesce(stays, F.lit(False)), as_was).when(F.coalesce(older, F.lit(False)), by_content).otherwise(by_signal)
 
 
+def content_arrival(at: str = "at") -> Column:
+    """struct(first_content, first_token, first_response, source, time_source, estimated) after content came in at a time.
+
+    Content outside the response's time changes nothing; else the earliest content known is the first, and stands as a signal
+    of the first response too.
+    """
+    start, completed, now = F.col("start"), F.col("completed"), F.col(at)
+    fine = valid(start) & valid(now) & (now >= start) & (completed.isNull() | (valid(completed) & (now <= completed)))
+    known = F.filter(F.array("first_content", "first_token", at), lambda t: t.isNotNull() & (t >= start) & (t <= F.coalesce(completed, now)))
+    first = F.array_min(known)
+    prior = F.col("first_response")
+    held = F.when(F.coalesce((prior >= start) & (prior >= 0) & (completed.isNull() | (prior <= completed)), F.lit(False)), prior)
+    stays = F.coalesce(held <= first, F.lit(False))
+    shape = lambda content, token, response, source, clock, estimated: F.struct(
+        content.alias("first_content"), token.alias("first_token"), response.alias("first_response"), source.alias("source"), clock.alias("time_source"), estimated.alias("estimated")
+    )
+    was = [F.col("first_response"), F.col("first_response_source"), F.col("first_response_time_source"), F.col("first_response_estimated")]
+    new = [first, F.lit("content"), F.lit("arrival"), F.lit(True)]
+    return F.when(~fine, shape(F.col("first_content"), F.col("first_token"), *was)).when(stays, shape(first, first, *was)).otherwise(shape(first, first, *new))
+
+
 #: Why a generation rate was not measured; the first eight known ones of 64 are kept.
 COVERAGE_REASONS = [
     "unknown-coverage", "generation-invalidated", "invalid-v3-evidence", "missing-content-observation", "not-observed-from-current-start", "unknown-final-usage", "unknown-reasoning-usage", "unattributed-or-merged-deltas",
@@ -77,12 +98,6 @@ def coverage(status: Column, reasons: Column) -> Column:
     return F.when(status == "complete", F.struct(status.alias("status"), F.array().cast("array<string>").alias("reasons"))).when(status.isin("unknown", "gap"), F.struct(status.alias("status"), some.alias("reasons")))
 
 
-def primary_rate() -> Column:
-    """The rate that is shown: the observed generation, or none; the response's rate never stands in for it."""
-    rate = F.when(F.coalesce(F.col("completed") >= 0, F.lit(False)), observed_rate())
-    return F.struct(rate.isNotNull().alias("available"), rate.alias("rate"), F.when(rate.isNotNull(), "generation").alias("basis"))
-
-
 def of_basis(totals: DataFrame, measures: list[str], version: int = 3) -> DataFrame:
     """Sums of generation measures where they were taken on another basis start again at 0; all others stay."""
     other = ~F.coalesce(F.col("basis") == version, F.lit(False))
@@ -159,26 +174,6 @@ def interval_measure(e: str = "evidence") -> Column:
     return F.when(whole_evidence(e), body)
 
 
-def corrected_evidence(e: str = "evidence", output: str = "output", reasoning: str = "reasoning") -> Column:
-    """The evidence with corrected usage, whose proportions stay; it may not hold any more."""
-    return F.col(e).withField("output_usage", F.col(output)).withField("reasoning_usage", F.col(reasoning))
-
-
-def qualified_evidence() -> Column:
-    """Whether stored proof of a generation rate holds: complete, monotonic, long enough for its clock, counts in order."""
-    span = F.col("span_ms")
-    clock = F.coalesce(F.col("clock_trusted"), F.lit(False)) & (span >= F.greatest(F.lit(100.0), 10 * F.coalesce(F.col("clock_resolution_ms"), F.lit(0.0))))
-    timed = (span >= 100) & (((span >= 1000) & F.col("clock_resolution_ms").isNull()) | clock)
-    counts = (F.col("first_batch") > 0) & (F.col("first_batch") < F.col("total_units")) & (F.col("observations") >= 2)
-    return F.coalesce((F.col("version") == 3) & F.col("complete") & F.col("monotonic") & timed & counts, F.lit(False))
-
-
-def observed_rate() -> Column:
-    """Tokens per second after the first batch, by its share of all units."""
-    share = (F.col("total_units") - F.col("first_batch")) / F.col("total_units")
-    return F.when(qualified_evidence(), F.col("usage") * share * 1000 / F.col("span_ms"))
-
-
 def calibrated(samples: DataFrame, key: str = "key", weight: str = "weight", target: str = "target") -> DataFrame:
     """Whole numbers in proportion to the weights that add up to the target: largest remainders first, then by place."""
     whole = Window.partitionBy(key)

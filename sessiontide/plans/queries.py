@@ -406,8 +406,15 @@ def observed_generation_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = P.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("message_id")).agg(
         F.count("*").alias("observations"), F.sum("l_quantity").alias("total_units"), F.min("l_quantity").alias("first_batch"), (F.sum("l_partkey") % 3000).cast("double").alias("span_ms"), F.sum("l_suppkey").cast("double").alias("usage"),
     )
-    rows = rows.withColumns({"version": F.lit(3), "complete": F.lit(True), "monotonic": F.lit(True), "clock_trusted": F.lit(False), "clock_resolution_ms": F.lit(None).cast("double")})
-    return rows.filter(metrics.qualified_evidence()).select("message_id", F.round(metrics.observed_rate(), 6).alias("rate"))
+    none, lit = F.lit(None), F.lit
+    e = F.struct(
+        lit(3).alias("version"), lit("complete").alias("coverage"), lit(True).alias("from_start"), lit("receive-monotonic").alias("time_source"), lit("v2").alias("stream"), lit("s").alias("step_id"), lit(0.0).alias("start"), lit(1.0).alias("end"),
+        lit(0.0).alias("first_receive"), F.col("span_ms").alias("last_receive"), "observations", none.cast("string").alias("clock_source"), none.cast("double").alias("clock_resolution_ms"), none.cast("string").alias("quality"),
+        F.col("total_units").cast("long").alias("output_bytes"), F.col("first_batch").cast("long").alias("output_first"), F.col("usage").alias("output_usage"), lit(True).alias("output_observed"),
+        lit(0).cast("long").alias("reasoning_bytes"), lit(0).cast("long").alias("reasoning_first"), lit(0.0).alias("reasoning_usage"), lit(False).alias("reasoning_observed"),
+    )
+    measured_ = rows.withColumn("evidence", e).select("message_id", metrics.interval_measure().alias("m")).filter("m is not null")
+    return measured_.select("message_id", F.round(F.col("m.tokens") * 1000 / F.col("m.ms"), 6).alias("rate"))
 
 
 @query(f"""WITH {P.FACTS}, f AS (SELECT session_id, arg_max(CASE WHEN event_id % 4 = 0 THEN -1 ELSE event_id % 10 END, (ts, event_id)) AS parent FROM facts WHERE state = 'retry' GROUP BY 1),

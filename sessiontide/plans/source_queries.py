@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as shown
 from ..functions import tokens
 from ..functions.leaves import Leaves
-from ..operators import activity, forest, intervals, layers, ledger, metrics, precedence, runs, scope
+from ..operators import activity, content, forest, intervals, layers, ledger, metrics, pending, precedence, runs, scope, speed
 from ..schema import PENDING, UPDATE_STRUCT, USER
+from ..sources import activity as logs
 from ..sources import events as hosts
 from ..sources import history
 from . import projections as P
@@ -18,8 +19,14 @@ from .queries import CLOSURE, IDS, PLAIN, QUERIES, SQL, measured, query, union_s
 __all__ = ["QUERIES", "SQL"]
 
 
-def as_variant(rows: DataFrame, body: Column, pos: str = "pos") -> DataFrame:
-    return rows.select(F.try_parse_json(F.to_json(body)).alias("v"), F.col(pos).cast("long").alias("pos"))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than the cluster has cores dealt out evenly, as parsing them is more work than reading them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
+def as_lines(rows: DataFrame, body: Column, pos: str = "pos") -> DataFrame:
+    return spread(rows).select(F.to_json(body).alias("value"), F.col(pos).cast("long").alias("pos"))
 
 
 # --- host events
@@ -34,7 +41,7 @@ def older_events(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").cast("string").alias("id"), P.millis("ts").alias("timestamp"), F.when(F.col("event_id") % 13 == 0, "snapshot").alias("source"),
         F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sessionID"), F.when(kind == "click", F.struct(F.lit("busy").alias("type"))).alias("status"), F.when(kind == "signup", nested).alias("info")).alias("properties"),
     )
-    return as_variant(P.table(spark, d, "events"), body, "event_id")
+    return as_lines(P.table(spark, d, "events"), body, "event_id")
 
 
 @query("""SELECT 'u' || user_id AS session_id, event_id::VARCHAR AS event_id, (epoch_us(ts) // 1000)::DOUBLE AS ts, CASE event_type WHEN 'click' THEN 'busy' WHEN 'signup' THEN 'retry' WHEN 'view' THEN 'idle' WHEN 'error' THEN 'failed' END AS state
@@ -55,8 +62,8 @@ def event_responses(spark: SparkSession, d: str) -> DataFrame:
     usage = F.struct(F.when(key % 5 != 0, F.col("o_custkey")).alias("input"), F.floor("o_totalprice").alias("output"), F.when(key % 3 != 0, F.col("o_custkey") % 7).alias("reasoning"))
     event = lambda kind, n, at, told: F.struct(kind.alias("type"), F.concat(F.lit(f"e{n}-"), key.cast("string")).alias("id"), at.alias("created"), F.struct((key * 2 + n).alias("seq")).alias("durable"), F.struct(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("sessionID"), F.concat(F.lit("m"), key.cast("string")).alias("assistantMessageID"), F.lit("build").alias("agent"), told.alias("tokens")).alias("data"))
     ended = key % 4 != 0
-    begin = as_variant(orders, event(F.lit("session.step.started"), 0, F.col("at"), F.lit(None).cast("struct<input:long>")), "o_orderkey")
-    end = as_variant(orders, event(F.when(ended, "session.step.ended").otherwise("session.step.failed"), 1, F.col("at") + 5000, F.when(ended, usage)), "o_orderkey")
+    begin = as_lines(orders, event(F.lit("session.step.started"), 0, F.col("at"), F.lit(None).cast("struct<input:long>")), "o_orderkey")
+    end = as_lines(orders, event(F.when(ended, "session.step.ended").otherwise("session.step.failed"), 1, F.col("at") + 5000, F.when(ended, usage)), "o_orderkey")
     once = begin.unionByName(end)
     return hosts.newer_responses(once.unionByName(once)).select("message_id", "quality", "input", "output", "reasoning", "start", "completed")
 
@@ -72,7 +79,7 @@ def token_normalization(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("form") == 1, F.col("a") - F.col("q")).when(F.col("form") == 2, F.col("a")).alias("input"), F.when(F.col("form") > 0, F.col("q")).alias("output"), form(2, F.col("s")).alias("reasoning"),
         form(1, F.struct(F.col("q").alias("read"))).alias("cache"), form(1, F.struct(F.col("s").alias("reasoningTokens"))).alias("outputTokenDetails"),
     )
-    v = line.select("l_orderkey", "l_linenumber", F.try_parse_json(F.to_json(body)).alias("v"))
+    v = line.select("l_orderkey", "l_linenumber", F.to_json(body).alias("value"))
     v = tokens.read(v).select("l_orderkey", "l_linenumber", tokens.counters().alias("c"))
     return v.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(*(F.sum(f"c.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read")))
 
@@ -157,7 +164,7 @@ def scope_coercion(spark: SparkSession, d: str) -> DataFrame:
     part = F.col("l_partkey")
     said = F.when(part % 4 == 0, "user").when(part % 4 == 1, "magic-message").when(part % 4 == 2, "magic-session").otherwise("magic")
     body = F.struct(F.struct((1 + (part % 3 == 0).cast("int")).alias("version"), said.alias("sourceScope"), F.array(*(F.lit(x) for x in ("parent-link", "unheard-of", "parent-link", "normal-agent"))).alias("reasons")).alias("scope"))
-    rows = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.try_parse_json(F.to_json(body)).alias("v"))
+    rows = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(body).alias("value"))
     leaves = Leaves()
     proof = history.evidence(leaves, "scope")
     columns = [F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), proof["scope"].alias("scope"), F.array_join(proof["reasons"], ",").alias("reasons")]
@@ -177,7 +184,7 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.col("output").alias("output"), F.struct(F.lit(4).alias("read")).alias("cache")).alias("tokens"), F.col("cost").alias("cost"), F.struct("start", "completed").alias("time"),
         F.when(F.col("pos") == 2, live).alias("update"),
     )
-    return as_variant(rows, body)
+    return as_lines(rows, body)
 
 
 @query(f"""WITH {P.RESPONSES}, h AS (SELECT * FROM responses QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY (pos = 2) DESC, (quality = 'exact') DESC) = 1)
@@ -211,7 +218,7 @@ def history_round_trip(spark: SparkSession, d: str) -> DataFrame:
         zero.alias("cost"), F.when(key % 7 != 0, F.lit(5.0)).alias("start"), F.lit(9.0).alias("completed"), (key % 7 == 0).alias("start_missing"), F.array(sample, sample).alias("samples"), up.cast(UPDATE_STRUCT).alias("update"), key.alias("pos"),
         F.when(key % 3 == 0, "excluded_session").when(key % 3 == 1, "excluded_item").otherwise("user").alias("scope"), F.when(key % 2 == 0, F.array(F.lit("normal-agent"), F.lit("parent-link"))).otherwise(F.array().cast("array<string>")).alias("scope_reasons"), text("p", "o_custkey").alias("scope_parent"),
     )
-    back = history.responses(as_variant(rows, history.body(rows.columns)))
+    back = history.responses(as_lines(rows, history.body(rows.columns)))
     return back.select("message_id", "model", "reasoning", F.col("update.revision").alias("revision"), "scope", F.array_join("scope_reasons", ",").alias("reasons"), "scope_parent", F.size("samples").alias("n_samples"), F.col("samples")[1]["tokens"].alias("sampled"), F.array_join("update.seen", ",").alias("seen"), "start_missing")
 
 
@@ -484,3 +491,157 @@ def exclusion_tombstones(spark: SparkSession, d: str) -> DataFrame:
     held, unknown = ledger.tombstones(rows, twice)
     known = held.select("message_id", "output", "excluded", F.coalesce(F.array_join("proof", ","), F.lit("")).alias("proof"))
     return known.unionByName(unknown.select("message_id", F.lit(0).cast("long").alias("output"), F.lit(True).alias("excluded"), F.array_join("reasons", ",").alias("proof")))
+
+
+# --- what was observed of responses
+
+#: How the observation of a message departs from a clean one, by a number from 0 to 19.
+DEFECTS = 20
+
+
+def observations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assistant messages as streams of deltas of 16 characters, a fixed time apart, with a final snapshot; 19 kinds of defects."""
+    said = spread(P.table(spark, d, "conversations")).filter("role = 'assistant'")
+    text, way = F.coalesce("text", F.lit("")), (F.col("conv_id") * 7 + F.col("turn")) % DEFECTS
+    rows = said.select(
+        F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("message_id"), text.alias("t"), way.alias("way"),
+        (F.col("conv_id") % 7 * 20 + 10).cast("double").alias("step"), F.ceil(F.length(text) / 16).cast("int").alias("n"),
+    )
+    way, n = F.col("way"), F.col("n")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], content.OBSERVATION).schema}
+
+    def seen(rows: DataFrame, **values: Column) -> DataFrame:
+        return rows.select(*((F.col("message_id") if c == "message_id" else values.get(c, empty).cast(empty_type)).alias(c) for c, empty, empty_type in ((c, none[c], t) for c, t in KINDS)))
+
+    KINDS = [(f.name, f.dataType) for f in spark.createDataFrame([], content.OBSERVATION).schema]
+    lit = F.lit
+    begin = seen(rows.filter(way != 17), pos=lit(0), kind=lit("begin"), from_start=way != 4)
+    step = seen(rows.filter(way != 17), pos=lit(1), kind=lit("step"), step_id=F.when(way == 19, " ").otherwise("s"))
+    second = seen(rows.filter(way == 3), pos=lit(2), kind=lit("step"), step_id=lit("t"))
+    taint = seen(rows.filter(way == 5), pos=lit(3), kind=lit("taint"), reason=lit("retry"))
+    cut = rows.filter((n > 0) & (way != 17)).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1))).filter((way != 1) | (F.col("k") < n - 1))
+    back = (way == 14) & (F.col("k") == n - 1)
+    mono = F.when(back, 0.0).otherwise(F.col("k") * F.col("step"))
+    delta = seen(
+        cut, pos=F.col("k") + 10, kind=lit("delta"), part_id=F.when((way != 13) | (F.col("k") > 0), "p"), part_type=lit("text"), text=F.substring("t", F.col("k") * 16 + 1, F.lit(16)),
+        stream=F.when((way == 15) & (F.col("k") % 2 == 1), "legacy").otherwise("v2"), event_id=F.concat(lit("e"), F.col("k").cast("string")), received_at=mono + 1e6, received_mono=mono,
+        clock_source=F.when(way != 11, "performance.now"), clock_resolution_ms=lit(1.0),
+    )
+    again = delta.join(rows.filter(way == 16).select("message_id"), "message_id", "left_semi").withColumn("pos", F.col("pos") + 100_000)
+    shown = F.when(way == 2, F.expr("substring(t, 1, length(t) - 1)")).otherwise(F.col("t"))
+    snapshot = seen(rows.filter(way != 17), pos=lit(1_000_000), kind=lit("snapshot"), part_id=lit("p"), part_type=lit("text"), text=shown, final=way != 10)
+    tool = seen(rows.filter(way == 9), pos=lit(4), kind=lit("snapshot"), part_id=lit("q"), part_type=lit("tool"))
+    told = begin
+    for more in (step, second, taint, delta, again, snapshot, tool):
+        told = told.unionByName(more)
+    responses = rows.select(
+        "message_id", (F.length("t") % 50 + 100).cast("double").alias("output"), F.when(way == 12, 5.0).otherwise(0.0).alias("reasoning"), F.when(way != 8, 1e9).alias("completed"),
+        (way != 6).alias("usage_exact"), (way != 7).alias("reasoning_known"),
+    )
+    return told, responses
+
+
+PROOFS = r"""c AS (SELECT 'm' || conv_id || '-' || turn AS message_id, coalesce(text, '') AS t, (conv_id * 7 + turn) % 20 AS way, (conv_id % 7 * 20 + 10)::DOUBLE AS step,
+  ceil(length(coalesce(text, '')) / 16)::INT AS n FROM conversations WHERE role = 'assistant'),
+s AS (SELECT *, CASE way WHEN 1 THEN greatest(n - 1, 0) ELSE n END AS sent, CASE WHEN way = 14 AND n > 2 THEN 1 ELSE 0 END AS late, length(t) % 50 + 100 AS usage FROM c),
+p AS (SELECT *, (CASE WHEN way = 14 AND n > 0 THEN greatest(n - 2, 0) ELSE greatest(sent - 1, 0) END) * step AS span FROM s),
+r AS (SELECT *, CASE
+  WHEN way = 17 THEN ['missing-content-observation']
+  WHEN way = 3 THEN ['multiple-step-identities'] WHEN way = 4 AND sent > 0 THEN ['not-observed-from-current-start'] WHEN way = 5 THEN ['retry'] WHEN way = 9 THEN ['tool-usage-uncertain']
+  WHEN way = 13 AND sent > 0 THEN ['anonymous-delta', 'anonymous-or-tool-arrival'] WHEN late = 1 THEN ['nonmonotonic-receive-clock'] WHEN way = 15 AND sent > 1 THEN ['mixed-streams'] WHEN way = 19 THEN ['unknown-step-identity']
+  WHEN way = 4 THEN ['not-observed-from-current-start'] WHEN way = 6 THEN ['unknown-final-usage'] WHEN way = 7 THEN ['unknown-reasoning-usage'] WHEN way = 8 THEN ['unfinished-response']
+  WHEN way = 10 THEN ['missing-comparable-final-snapshot'] WHEN way = 1 AND n > 0 THEN ['snapshot-delta-gap']
+  WHEN way = 2 AND n > 0 AND NOT regexp_matches(right(t, 1), '\s') THEN ['snapshot-delta-mismatch'] WHEN sent = 0 THEN ['missing-receive-observations']
+  WHEN span < 100 THEN ['insufficient-receive-span'] WHEN span < 1000 AND way = 11 THEN ['unknown-receive-clock'] WHEN way = 12 THEN ['hidden-reasoning'] END AS why FROM p)"""
+
+
+@query(f"""WITH {PROOFS} SELECT message_id, CASE WHEN why IS NULL THEN 'complete' WHEN why[1] LIKE 'snapshot-delta%' THEN 'gap' ELSE 'unknown' END AS status, array_to_string(coalesce(why, []), ',') AS reasons,
+  CASE WHEN why IS NULL THEN round(usage * ((strlen(t) - strlen(left(t, 16))) / strlen(t)), 6) END AS tokens, CASE WHEN why IS NULL THEN span END AS ms FROM r""")
+def generation_proof(spark: SparkSession, d: str) -> DataFrame:
+    """What the observation of each response proves: the first condition that fails names the rejection."""
+    told, responses = observations(spark, d)
+    judged = content.proof(content.progress(told), responses).withColumn("m", metrics.interval_measure())
+    return judged.select("message_id", "coverage.status", F.array_join("coverage.reasons", ",").alias("reasons"), F.round("m.tokens", 6).alias("tokens"), F.col("m.ms").alias("ms"))
+
+
+@query(f"""WITH {PROOFS} SELECT message_id, why IS NULL AS available, CASE WHEN why IS NULL THEN round(usage * ((strlen(t) - strlen(left(t, 16))) / strlen(t)) * 1000 / span, 6) END AS rate, round((usage + CASE WHEN way = 12 THEN 5 ELSE 0 END) * 1000 / 4000, 6) AS response_rate,
+  CASE WHEN why IS NOT NULL THEN array_to_string(why, ',') END AS why FROM r WHERE way <> 8""")
+def record_speed(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds of records as they are measured: the generation by its proof, the response by its whole time, and the rate that is shown."""
+    told, responses = observations(spark, d)
+    proofs = content.proof(content.progress(told), responses)
+    rows = responses.filter("completed is not null").join(proofs, "message_id").withColumns({"start": F.col("completed") - 4000, "timing_exact": F.lit(True)})
+    shown = speed.primary_rate(speed.coerced(speed.measured(rows)))
+    response = F.col("speed.response.tokens") * 1000 / F.col("speed.response.ms")
+    why = F.when(~F.col("available"), F.array_join("speed.coverage.reasons", ","))
+    return shown.select("message_id", "available", F.round("rate", 6).alias("rate"), F.round(response, 6).alias("response_rate"), why.alias("why"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS way, o_custkey % 40 + 1 AS u, 1000 + o_custkey % 3000 AS ms FROM orders),
+f AS (SELECT *, CASE way WHEN 1 THEN 3 * u ELSE u END AS output, CASE way WHEN 2 THEN 4 ELSE 0 END AS reasoning FROM o)
+SELECT id, CASE WHEN way IN (2, 3, 4, 6) THEN NULL WHEN way = 5 THEN (u * 0.5)::DOUBLE ELSE (output * 0.75)::DOUBLE END AS tokens, CASE WHEN way IN (2, 3, 4, 6) THEN NULL ELSE ms::DOUBLE END AS ms,
+  CASE way WHEN 2 THEN 'hidden-reasoning' WHEN 3 THEN 'generation-invalidated' WHEN 6 THEN 'retry' END AS why FROM f""")
+def speed_correction(spark: SparkSession, d: str) -> DataFrame:
+    """Prior generations rescaled to corrected usage, revoked, replaced by new ones that hold, or dropped with the reason."""
+    key, u = F.col("o_orderkey"), F.col("o_custkey") % 40 + 1
+    way, ms, lit = key % 7, (1000 + F.col("o_custkey") % 3000).cast("double"), F.lit
+    names = [f.split(":") for f in speed.EVIDENCE[7:-1].split(",")]
+    held = {"version": lit(3), "coverage": lit("complete"), "from_start": lit(True), "time_source": lit("receive-monotonic"), "stream": lit("v2"), "step_id": lit("s"), "start": lit(0.0), "end": lit(1.0), "first_receive": lit(0.0), "last_receive": ms, "observations": lit(3),
+            "output_bytes": lit(40), "output_first": lit(10), "output_usage": u, "output_observed": lit(True), "reasoning_bytes": lit(0), "reasoning_first": lit(0), "reasoning_usage": lit(0.0), "reasoning_observed": lit(False)}
+
+    def made(first: int, share: float, fine: Column) -> Column:
+        evidence = F.struct(*(({**held, "output_first": lit(first)}).get(n, lit(None)).cast(kind).alias(n) for n, kind in names))
+        measure = F.struct((u * share).cast("double").alias("tokens"), ms.alias("ms"), lit(True).alias("estimated"), u.cast("double").alias("coverage"), lit("standard").alias("quality"))
+        none = lit(None).cast(speed.COVERAGE)
+        return F.when(fine, F.struct(measure.cast(speed.MEASURE).alias("generation"), lit(None).cast(speed.MEASURE).alias("response"), evidence.cast(speed.EVIDENCE).alias("evidence"), none.alias("coverage")))
+
+    lost = F.struct(*(lit(None).cast(t).alias(n) for n, t in (("generation", speed.MEASURE), ("response", speed.MEASURE), ("evidence", speed.EVIDENCE))), F.struct(lit("gap").alias("status"), F.array(lit("retry")).alias("reasons")).alias("coverage"))
+    rows = P.table(spark, d, "orders").select(
+        key.alias("id"), F.when(way == 1, 3 * u).otherwise(u).cast("double").alias("output"), F.when(way == 2, 4.0).otherwise(0.0).alias("reasoning"), F.when(way != 4, 9.0).alias("completed"),
+        made(20, 0.5, way == 5).alias("speed"), F.when(way == 6, lost).otherwise(made(10, 0.75, way != 6)).alias("prior"), F.when(way == 3, "invalidated").otherwise("unobserved").alias("generation_status"),
+    )
+    out = speed.corrected(speed.coerced(speed.coerced(rows), "prior"))
+    return out.select("id", "speed.generation.tokens", "speed.generation.ms", F.array_join("speed.coverage.reasons", ",").alias("why"))
+
+
+@query("""WITH e AS (SELECT *, 's' || (user_id % 500) AS session_id, CASE WHEN event_type <> 'view' THEN 'm' || user_id END AS message_id, event_type = 'error' AS completes FROM events),
+d AS (SELECT *, coalesce(max(completes) OVER (PARTITION BY session_id, message_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM e),
+n AS (SELECT *, coalesce(message_id, first_value(CASE WHEN NOT done THEN message_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS owner FROM d)
+SELECT owner AS message_id, min(session_id) AS session_id, count(*)::BIGINT AS observations, count(*) FILTER (message_id IS NULL)::BIGINT AS taken, min(epoch_us(ts) // 1000)::DOUBLE AS start,
+  arg_max(event_id, (message_id IS NOT NULL, event_id))::DOUBLE AS output, max(floor(value))::DOUBLE AS cache_read, coalesce(bool_and(event_id % 97 <> 0), false) AS from_start FROM n WHERE owner IS NOT NULL GROUP BY owner""")
+def pending_names(spark: SparkSession, d: str) -> DataFrame:
+    """Observations that came before their message had a name, merged into the message that is named next in the session."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = P.table(spark, d, "events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 500).cast("string")).alias("session_id"), F.when(F.col("event_type") != "view", F.concat(F.lit("m"), F.col("user_id").cast("string"))).alias("message_id"),
+        F.col("event_id").alias("pos"), (F.col("event_type") == "error").alias("completes"), P.millis("ts").cast("double").alias("ts"), none("double").alias("first_token"), F.lit(True).alias("live"),
+        (F.col("event_id") % 97 != 0).alias("from_start"), none("string").alias("model"), none("string").alias("agent"), none("double").alias("cost"), none("double").alias("input"),
+        F.col("event_id").cast("double").alias("output"), none("double").alias("reasoning"), F.floor("value").cast("double").alias("cache_read"), none("double").alias("cache_write"),
+    )
+    owned = pending.named(rows)
+    taken = owned.filter("owner is not null").groupBy(F.col("owner").alias("message_id")).agg(F.sum(F.col("taken").cast("long")).alias("taken"))
+    return pending.merged(owned).join(taken, "message_id").select("message_id", "session_id", "observations", "taken", "start", "output", "cache_read", "from_start")
+
+
+# --- logs and ledgers written and read again
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'work' WHEN event_id % 3 = 1 THEN 'parent' ELSE 'lifecycle' END AS kind, event_id::VARCHAR AS event_id, 's' || user_id AS session_id, (epoch_us(ts) // 1000)::DOUBLE AS ts,
+  CASE event_id % 3 WHEN 2 THEN 'busy' END AS state, CASE WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN 'p' || user_id % 9 END AS parent_id,
+  CASE event_id % 5 WHEN 0 THEN 'excluded_session' WHEN 1 THEN 'excluded_item' WHEN 2 THEN 'pending' END AS scope, CASE WHEN event_id % 5 < 3 THEN 'session-title' END AS reasons, CASE WHEN event_id % 5 < 3 THEN 'q' || user_id END AS scope_parent,
+  CASE WHEN event_id % 3 = 0 THEN CASE event_id % 2 WHEN 0 THEN 'user' ELSE 'excluded_item' END END AS measure, CASE WHEN event_id % 3 = 0 THEN 'w' || event_id END AS work_id FROM events""")
+def activity_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Facts written as lines of a log and read again: evidence on facts and on work comes back whole."""
+    n, s = F.col("event_id"), F.col("user_id").cast("string")
+    kind = F.when(n % 3 == 0, "work").when(n % 3 == 1, "parent").otherwise("lifecycle")
+    work = lambda c: F.when(n % 3 == 0, c)
+    has = n % 5 < 3
+    rows = P.table(spark, d, "events").select(
+        kind.alias("kind"), n.cast("string").alias("event_id"), F.concat(F.lit("s"), s).alias("session_id"), P.millis("ts").cast("double").alias("ts"), F.when(n % 3 == 2, "busy").alias("state"),
+        F.when((n % 3 == 1) & (n % 2 == 0), F.concat(F.lit("p"), (F.col("user_id") % 9).cast("string"))).alias("parent_id"), work(F.concat(F.lit("w"), n.cast("string"))).alias("work_id"),
+        work(F.lit("x")).alias("execution_id"), work(F.lit("step")).alias("source"), work(F.lit("start")).alias("phase"), n.alias("pos"),
+        F.when(n % 5 == 0, "excluded_session").when(n % 5 == 1, "excluded_item").when(n % 5 == 2, "pending").alias("scope"), F.when(has, F.array(F.lit("session-title"))).alias("scope_reasons"), F.when(has, F.concat(F.lit("q"), s)).alias("scope_parent"),
+        work(F.when(n % 2 == 0, "user").otherwise("excluded_item")).alias("measure"), F.array().cast("array<string>").alias("measure_reasons"), F.lit(None).cast("string").alias("measure_parent"),
+    )
+    back = logs.facts(as_lines(rows, logs.body(rows.columns)))
+    return back.select("kind", "event_id", "session_id", "ts", "state", "parent_id", "scope", F.array_join("scope_reasons", ",").alias("reasons"), "scope_parent", "measure", "work_id")

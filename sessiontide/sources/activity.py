@@ -12,7 +12,7 @@ from ..operators import precedence
 from ..schema import STATES
 from . import store
 from . import tail as tails
-from .history import evidence, lines, parsed, stored_scope
+from .history import evidence, lines, stored_scope
 
 #: The words of facts on work and on what an execution was for.
 SOURCES, PHASES, CLASSIFICATION, COVERAGE = ("step", "tool"), ("start", "end"), "pure-maintenance", "complete"
@@ -27,7 +27,7 @@ EVIDENCE = {"scope": "scope", "measure": "measurementScope"}
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """Normalized facts of parsed lines. A state makes a lifecycle fact, the presence of a parent (null too) a parent fact.
+    """Normalized facts of lines (value, pos). A state makes a lifecycle fact, the presence of a parent (null too) a parent fact.
 
     Work needs an execution, an id, a source, a phase and evidence of what it was for; an execution's classification needs complete
     coverage; neither exists in logs of version 1. Evidence comes as `scope` and `measure`, each with `_reasons` and `_parent`.
@@ -63,7 +63,7 @@ def facts(rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return precedence.distinct_facts(facts(parsed(lines(spark, path))))
+    return precedence.distinct_facts(facts(lines(spark, path)))
 
 
 def stored_evidence(name: str, columns: list[str]) -> Column:
@@ -95,10 +95,10 @@ def compact(spark: SparkSession, path: str) -> None:
 def stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """New files of a folder as facts; the checkpoint of the query keeps the place."""
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return facts(parsed(text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.lit(0).cast("long").alias("pos")).filter("trim(value) <> ''")))
+    return facts(text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.lit(0).cast("long").alias("pos")).filter("trim(value) <> ''"))
 
 
 def tail(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of lines as they are added to a folder's logs; `reset` marks those of a log that was truncated or rewritten."""
     rows = tails.stream(spark, folder)
-    return facts(parsed(rows.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.struct("file", "at", "reset").alias("pos")).filter("trim(value) <> ''")))
+    return facts(rows.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.struct("file", "at", "reset").alias("pos")).filter("trim(value) <> ''"))

@@ -1,6 +1,6 @@
 """Host events to facts and responses.
 
-Events are VARIANT rows (`v`, `pos`). The adapter is declarative: an event belongs to the last execution of its session that began
+Events are JSON texts (`value`, `pos`). The adapter is declarative: an event belongs to the last execution of its session that began
 at or before it, which one window finds; steps and tools are then joined by their ids. So late and repeated events give the
 same facts in any order of delivery.
 """

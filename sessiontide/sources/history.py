@@ -1,7 +1,6 @@
 """Histories: one response as JSON per line.
 
-Lines are parsed as VARIANT, because a typed JSON reader turns a number where a text is asked for into text; a record counts
-only if its ids are texts and not empty. What else has the wrong type is null.
+A record counts only if its ids are texts and not empty. What else has the wrong type is null, and so is all of a line that is no JSON.
 """
 
 from __future__ import annotations
@@ -34,11 +33,6 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.filter(F.trim("value") != "").select("value", "file", F.struct(stamp.alias("stamp"), "file", "row").alias("pos"))
 
 
-def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Rows whose text is JSON, as VARIANT `v`."""
-    return rows.withColumn("v", F.try_parse_json(column)).filter("v is not null")
-
-
 #: The scopes as they are stored, and the reasons that evidence may give. Anything else is no evidence.
 STORED_SCOPES = {"user": USER, "pending": PENDING, "magic-message": EXCLUDED_ITEM, "magic-session": EXCLUDED_SESSION}
 REASONS = ["hidden-metadata", "session-agent", "session-title", "message-agent", "message-mode", "magic-model", "compaction-summary", "compaction-agent", "normal-agent", "parent-link"]
@@ -98,7 +92,7 @@ TIMES = {"start": "start", "first_token": "firstToken", "first_response": "first
 
 
 def responses(rows: DataFrame) -> DataFrame:
-    """Normalized records of parsed lines; those with another version or without ids are dropped."""
+    """Normalized records of lines (value, pos); those with another version or without ids are dropped."""
     leaves = Leaves()
     said, number = leaves.text, leaves.number
     among = lambda c, *names: F.when(c.isin(*names), c)
@@ -134,7 +128,7 @@ def responses(rows: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The history of one or several files, each message once, as upserts in order of file and line leave it; temporary
     files that were left behind come after the others, in order of the time stamp in their name."""
-    return ledger.history(responses(parsed(lines(spark, path))))
+    return ledger.history(responses(lines(spark, path)))
 
 
 def body(columns: list[str]) -> Column:
@@ -160,10 +154,10 @@ def stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
     """New files of a folder as records; the checkpoint of the query keeps the place."""
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     rows = text.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.lit(0).cast("long").alias("pos"))
-    return responses(parsed(rows.filter("trim(value) <> ''")))
+    return responses(rows.filter("trim(value) <> ''"))
 
 
 def tail(spark: SparkSession, folder: str) -> DataFrame:
     """Records of lines as they are added to a folder's files, with their place (file, at) as `pos`."""
     rows = tails.stream(spark, folder)
-    return responses(parsed(rows.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.struct("file", "at").alias("pos")).filter("trim(value) <> ''")))
+    return responses(rows.select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.struct("file", "at").alias("pos")).filter("trim(value) <> ''"))

@@ -12,7 +12,7 @@ from sessiontide.sources import events
 
 def rows(spark, items):
     df = spark.createDataFrame([(json.dumps(x), k) for k, x in enumerate(items)], "t string, pos long")
-    return df.select(F.try_parse_json("t").alias("v"), "pos")
+    return df.select(F.col("t").alias("value"), "pos")
 
 
 def ev(kind, seq, **data):

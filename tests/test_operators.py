@@ -215,7 +215,7 @@ def test_completeness_of_records(spark):
 
 def test_counters_and_shown_values(spark):
     texts = ['{"inputTokens": 90, "cachedInputTokens": 25, "cacheWriteTokens": 15, "outputTokens": 33, "reasoningTokens": 8}', '{"input": 3, "output": "7", "cache": {"read": 2.5, "write": -1}}', "{}"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.try_parse_json("t").alias("v"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").alias("value"))
     got = [tuple(r["c"]) for r in tokens.read(df).select(tokens.counters().alias("c")).collect()]
     assert got == [(50, 25, 8, 25, 15), (3, 0, 0, 2.5, 0), (0, 0, 0, 0, 0)]
     assert [tuple(r["c"]) for r in tokens.read(df).select(tokens.partial(tokens.counters()).alias("c")).collect()][2] == (None,) * 5
@@ -236,3 +236,34 @@ def test_counters_and_shown_values(spark):
     assert record.select(shown.history_row().alias("c")).first()["c"] == "01:02:05 ...number-1 a-mode...-name  1,200/34     $0.25"
     weights = spark.createDataFrame([(1, k, 1.0, 5) for k in range(3)], "key int, pos int, weight double, target int")
     assert [r["share"] for r in metrics.calibrated(weights).orderBy("pos").collect()] == [2, 2, 1]
+
+
+def preorder(parent):
+    """Plain listing of a forest given as {child: parent}."""
+    below = {}
+    for c, p in sorted(parent.items()):
+        below.setdefault(p, []).append(c)
+    out = {}
+    for root in sorted(set(parent.values()) - set(parent)):
+        todo, place = [(root, 0)], 0
+        while todo:
+            node, depth = todo.pop()
+            place += 1
+            out[node] = (root, depth, place)
+            todo += [(c, depth + 1) for c in reversed(below.get(node, []))]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "comb"])
+def test_listing_without_closure(spark, shape):
+    rng = random.Random(7)
+    parent = {
+        "chain": {k: k - 1 for k in range(1, 300)},
+        "star": {k: 0 for k in range(1, 5000)},
+        "random": {k: rng.randrange(k) for k in range(1, 400) if k % 90},
+        "comb": {k: (k - 2 if k % 2 else k - 1) if k > 1 else 0 for k in range(1, 200)},
+    }[shape]
+    got = forest.listing(spark.createDataFrame(list(parent.items()), "child long, parent long"))
+    assert {r["id"]: (r["root"], r["depth"], r["place"]) for r in got.collect()} == preorder(parent)
+    ranks = {r["child"]: r["rank"] for r in forest.ordered_edges(spark.createDataFrame(list(parent.items()), "child long, parent long")).collect()}
+    assert ranks == {c: preorder(parent)[p][1] for c, p in parent.items()}

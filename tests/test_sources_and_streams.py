@@ -116,7 +116,7 @@ def test_usage_stream_ends_as_batch(spark, tmp_path):
             f.write("".join(json.dumps(r) + "\n" for r in rows[a:b]))
         for _ in range(2 if b == 100 else 1):  # the second run finds nothing new
             jobs.keep_usage(history.tail(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
-    batch = history.responses(history.parsed(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, pos long")))
+    batch = history.responses(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, pos long"))
     own = {}
     for r in batch.orderBy("pos").collect():
         own.setdefault(r["message_id"], []).append(r.asDict(True))
