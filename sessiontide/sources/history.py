@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, tokens
 from ..functions.leaves import Leaves, filled, whole_number, whole_text
-from ..operators import ledger
+from ..operators import ledger, speed
 from ..schema import EXCLUDED_ITEM, EXCLUDED_SESSION, PENDING, USER
+from . import speeds as stored_speeds
 from . import tail as tails
 
 
@@ -91,8 +92,9 @@ def samples_at(leaves: Leaves, path: str) -> Column:
 TIMES = {"start": "start", "first_token": "firstToken", "first_response": "firstResponse", "first_content": "firstContent", "completed": "completed", "ttft": "ttft", "duration": "duration"}
 
 
-def responses(rows: DataFrame) -> DataFrame:
-    """Normalized records of lines (value, pos); those with another version or without ids are dropped."""
+def responses(rows: DataFrame, speeds: bool = False) -> DataFrame:
+    """Normalized records of lines (value, pos); those with another version or without ids are dropped. With `speeds` the
+    stored speed comes too, with what is valid of it."""
     leaves = Leaves()
     said, number = leaves.text, leaves.number
     among = lambda c, *names: F.when(c.isin(*names), c)
@@ -119,9 +121,12 @@ def responses(rows: DataFrame) -> DataFrame:
         proof["reasons"].alias("scope_reasons"),
         proof["parent"].alias("scope_parent"),
     ]
+    if speeds:
+        columns.append(stored_speeds.stored(leaves, "speed").alias("speed"))
     right = leaves.raw("version").isNull() | F.coalesce(number("version") == 1, F.lit(False))
     read_ = leaves.over(rows).filter(right).select(*columns, "pos").filter("message_id is not null and session_id is not null")
     whole = read_.withColumn("tokens", tokens.counters())
+    whole = speed.coerced(whole) if speeds else whole
     return whole.select(*(c for c in read_.columns if not c.startswith("said_")), *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write")))
 
 
@@ -137,8 +142,9 @@ def body(columns: list[str]) -> Column:
     update = F.struct(F.lit("live").alias("source"), F.col("update.instance").alias("instanceID"), F.col("update.sequence").alias("sequence"), F.col("update.received_at").alias("receivedAt"), F.col("update.revision").alias("revision"), F.col("update.fingerprint").alias("fingerprint"), F.col("update.seen").alias("seenFingerprints"))
     scope = F.struct(F.lit(1).alias("version"), stored_scope(F.col("scope")).alias("sourceScope"), F.coalesce("scope_reasons", F.array().cast("array<string>")).alias("reasons"), F.col("scope_parent").alias("parentSessionID"))
     times = some([*TIMES.items(), ("start_missing", "startMissing"), ("first_response_source", "firstResponseSource"), ("first_response_time_source", "firstResponseTimeSource"), ("first_response_estimated", "firstResponseEstimated")])
+    rate = [stored_speeds.body().alias("speed")] if "speed" in columns else []
     return F.struct(
-        F.lit(1).alias("version"), *some([("message_id", "messageID"), ("session_id", "sessionID"), ("parent_id", "parentSessionID"), ("model", "model"), ("agent", "agent"), ("quality", "quality")]),
+        *rate, F.lit(1).alias("version"), *some([("message_id", "messageID"), ("session_id", "sessionID"), ("parent_id", "parentSessionID"), ("model", "model"), ("agent", "agent"), ("quality", "quality")]),
         F.struct("input", "output", "reasoning", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite")).alias("tokens"), "cost", F.struct(*times).alias("time"), *some([("samples", "samples")]),
         F.when(F.col("update").isNotNull(), update).alias("update"), F.when(F.col("scope").isNotNull(), scope).alias("scope"),
     )

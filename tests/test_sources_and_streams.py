@@ -62,6 +62,46 @@ def test_totals(spark, tmp_path):
             assert "invalid" in str(error)
 
 
+MEASURE = {"generatedTokens": 6.0, "durationMs": 2000.0, "estimated": True, "coverageGeneratedTokens": 8.0, "observationQuality": "standard"}
+SPEED = {
+    "generation": MEASURE, "response": {"generatedTokens": 8.0, "durationMs": 9.0, "estimated": False}, "generationCoverage": {"status": "gap", "reasons": ["retry", "odd"]},
+    "generationEvidence": {"version": 3, "coverage": "complete", "fromCurrentStart": True, "timeSource": "receive-monotonic", "selectedStream": "v2", "stepID": "s", "start": 0, "end": 1, "firstReceiveMono": 0, "lastReceiveMono": 2000, "observationCount": 3, "outputObserved": True, "reasoningObserved": False, "bytes": {"output": {"total": 40, "firstBatch": 10}, "reasoning": {"total": 0, "firstBatch": 0}}, "usage": {"output": 8, "reasoning": 0}},
+}
+
+
+def test_speeds_come_back(spark, tmp_path):
+    """In histories and in ledgers, with sums, contributions, evidence and agents."""
+    line = {"messageID": "m", "sessionID": "s", "tokens": {"output": 8}, "time": {"start": 1, "completed": 9}}
+    lines = [line | {"speed": SPEED}, line | {"messageID": "n", "speed": {"generation": MEASURE | {"durationMs": "2"}}}, line | {"messageID": "o"}]
+    rows = history.responses(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(lines)], "value string, pos long"), speeds=True)
+    again = history.responses(rows.select(F.to_json(history.body(rows.columns)).alias("value"), "pos"), speeds=True)
+    for read in (rows, again):
+        got = {r["message_id"]: r["speed"] and r["speed"].asDict(True) for r in read.collect()}
+        assert got["n"] is None and got["o"] is None
+        m = got["m"]
+        assert (m["generation"]["tokens"], m["response"]["estimated"], m["evidence"]["output_first"], m["coverage"]) == (6, False, 10, {"status": "gap", "reasons": ["retry"]})
+    tokens = {"input": 1.0, "output": 8.0, "reasoning": 0.0, "cacheRead": 4.0, "cacheWrite": 0.0}
+    sums = {"generatedTokens": 6, "durationMs": 2000, "responseCount": 1, "estimatedResponseCount": 1, "coverageGeneratedTokens": 8, "shortResponseCount": 0}
+    body = {"sessionID": "s", "quality": "exact", "tokens": tokens, "cost": 1.0, "speed": SPEED}
+    doc = {"version": 1, "sessions": {"s": {"tokens": tokens, "cost": 2.0, "responseCount": 3, "speed": {"generation": sums, "response": sums}}}, "open": {"o": body}, "settled": {}, "sessionAgents": {"s": ["a", "b"]}, "sessionScopes": {"s": {"version": 1, "sourceScope": "user", "reasons": ["normal-agent"]}}}
+    (tmp_path / "t.json").write_text(json.dumps(doc))
+    one = totals.document(spark, str(tmp_path / "t.json"))
+    parts = {"sessions": totals.sessions(one), "contributions": totals.contributions(one), "session_scopes": totals.scopes(one), "agents": totals.agents(one)}
+    totals.write(f"file://{tmp_path}/ledger", **parts)
+    back = totals.read_tables(spark, f"file://{tmp_path}/ledger")
+    assert {n: sorted(map(str, t.collect())) for n, t in back.items()} == {n: sorted(map(str, t.collect())) for n, t in parts.items()}
+    first, kept = back["sessions"].first(), back["contributions"].first()["speed"]
+    assert (first["generation_tokens"], first["response_short"], kept["evidence"]["output_usage"], kept["coverage"]["reasons"]) == (6, 0, 8, ["retry"])
+    for wrong in ({"sessions": {"s": {"tokens": tokens, "cost": 2.0, "responseCount": 3, "speed": {"generation": sums | {"durationMs": -1}}}}}, {"open": {"o": body | {"speed": {"generation": {"estimated": True}}}}}):
+        (tmp_path / "u.json").write_text(json.dumps(doc | wrong))
+        bad = totals.document(spark, str(tmp_path / "u.json"))
+        try:
+            totals.sessions(bad).collect() if "sessions" in wrong else totals.contributions(bad).collect()
+            raise AssertionError("an invalid ledger was read")
+        except Exception as error:
+            assert "invalid" in str(error)
+
+
 def test_orphans_come_last_and_records_come_back_whole(spark, tmp_path):
     line = lambda out, **more: {"version": 1, "messageID": "m", "sessionID": "s", "tokens": {"output": out}, "time": {"start": 1, "completed": 9}, **more}
     big = [line(k, messageID=f"filler{k}") for k in range(2000)]
