@@ -3,8 +3,9 @@
 1. Every run of three words of a test item is a seed, so three words left in place are enough, however common they are;
    an item of one or two words is one run. A copy with no three words in a row left is not looked for.
 2. Documents are searched for seeds; around them passages as long as an alignment over the threshold may need are cut
-   out, overlapping ones as one up to a few times that length. A bit table of bounded size spares all other runs; what
-   passes it by chance finds no partner in the join.
+   out, overlapping ones as one up to a few times that length. Items are searched for by classes of length, each within a factor of
+   two, so a long item does not lengthen the passages of short ones. A bit table of bounded size for each class spares all
+   other runs; what passes it by chance finds no partner in the join.
 3. Passage and item are joined on the seed and aligned: a word that agrees counts 2, one that differs or is left out
    costs 1. The score is the best local alignment's share of what the whole item would count. Pairs are spared the
    alignment only if the words they share cannot reach the threshold in any order.
@@ -18,6 +19,7 @@ place counts. Only id and text are read, so other columns can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_text, slices, table, written
 
 RUN, THRESHOLD = 3, 0.4
-#: Bits of the search table: at least, and at most (16 MB), however large the benchmark.
+#: Bits of the search tables: of each at least, and of all together at most (16 MB), however large the benchmark.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»“”‘’„…–—"
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -84,9 +86,9 @@ def item_runs(items: DataFrame) -> DataFrame:
 class Sieve:
     """Bits set for a bounded number of runs; gathered as their words, at most MOST_BITS / 64 rows."""
 
-    def __init__(self, runs: DataFrame, count: int):
-        self.bits = LEAST_BITS
-        while self.bits < min(32 * count, MOST_BITS):
+    def __init__(self, runs: DataFrame, count: int, most: int = MOST_BITS, least: int = LEAST_BITS):
+        self.bits = min(least, most)
+        while self.bits < min(32 * count, most):
             self.bits *= 2
         self.table = np.zeros(self.bits // 64, np.uint64)
         word = F.shiftrightunsigned("run", 6).bitwiseAND(F.lit(self.bits // 64 - 1))
@@ -99,34 +101,53 @@ class Sieve:
         return ((word >> (runs & np.uint64(63))) & np.uint64(1)).astype(bool) & (runs != 0)
 
 
-def passages(docs: DataFrame, sieve: Sieve, reach: int, lengths: list[int]) -> DataFrame:
-    """(doc_id, at, words, runs): parts of documents within `reach` words of a run that passes, and those runs. A part is at
-    most three times `reach` long; longer ones are cut so that any `reach` words in a row are whole in one of them."""
+@dataclass(frozen=True)
+class Search:
+    """What documents are searched for on behalf of the items of one class of length."""
+
+    sieve: Sieve
+    reach: int
+    lengths: tuple[int, ...]
+
+    def parts(self, runs: dict[int, np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(row, start, end, runs) of the parts within `reach` words of a run that passes."""
+        passed = [np.flatnonzero(self.sieve.passes(runs[n])) for n in self.lengths]
+        places = np.concatenate(passed)
+        if not len(places):
+            return
+        found = np.concatenate([runs[n][p] for n, p in zip(self.lengths, passed, strict=True)])
+        order = np.argsort(places, kind="stable")
+        places, found, reach = places[order], found[order].view(np.int64), self.reach
+        rows = np.searchsorted(starts, places, "right") - 1
+        edges = np.flatnonzero((np.diff(rows) != 0) | (np.diff(places) > 2 * reach + RUN)) + 1
+        for x, y in zip([0, *edges], [*edges, len(places)], strict=True):
+            r = rows[x]
+            a, b = max(starts[r], places[x] - reach), min(starts[r + 1], places[y - 1] + RUN + reach)
+            for c in range(a, max(a + 1, b - reach), reach) if b - a > 3 * reach else (a,):
+                d = min(b, c + 2 * reach) if b - a > 3 * reach else b
+                m, n = np.searchsorted(places[x:y], [c, d]) + x
+                if n > m:
+                    yield r, c, d, np.unique(found[m:n])
+
+
+def passages(docs: DataFrame, searches: dict[int, Search]) -> DataFrame:
+    """(doc_id, at, class, words, runs): parts of documents near a run that passes for a class of items, and those runs. A part is at
+    most three times the class's reach long; longer ones are cut so that any `reach` words in a row are whole in one of them."""
+    lengths = sorted({n for s in searches.values() for n in s.lengths})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             h, starts, words, number = word_places(batch.column(1))
             ids, out = batch.column(0).to_pylist(), []
-            found = [word_runs(h, starts, n) for n in lengths]
-            passed = [np.flatnonzero(sieve.passes(r)) for r in found]
-            places, runs = np.concatenate(passed), np.concatenate([r[p] for r, p in zip(found, passed, strict=True)])
-            order = np.argsort(places, kind="stable")
-            places, runs = places[order], runs[order].view(np.int64)
-            rows = np.searchsorted(starts, places, "right") - 1
-            edges = np.flatnonzero((np.diff(rows) != 0) | (np.diff(places) > 2 * reach + RUN)) + 1
-            for x, y in zip([0, *edges], [*edges, len(places)], strict=True) if len(places) else ():
-                r = rows[x]
-                a, b = max(starts[r], places[x] - reach), min(starts[r + 1], places[y - 1] + RUN + reach)
-                for c in range(a, max(a + 1, b - reach), reach) if b - a > 3 * reach else (a,):
-                    d = min(b, c + 2 * reach) if b - a > 3 * reach else b
-                    m, n = np.searchsorted(places[x:y], [c, d]) + x
-                    if n > m:
-                        out.append((ids[r], int(c - starts[r]), " ".join(words[k] for k in number[c:d]), np.unique(runs[m:n]).tolist()))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "at", "words", "runs"])
+            runs = {n: word_runs(h, starts, n) for n in lengths}
+            for k, search in searches.items():
+                out += [(ids[r], int(c - starts[r]), k, " ".join(words[w] for w in number[c:d]), near.tolist()) for r, c, d, near in search.parts(runs, starts)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["doc_id", "at", "class", "words", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"doc_id {kind}, at int, words string, runs array<bigint>")
+    return docs.mapInArrow(cut, f"doc_id {kind}, at int, class int, words string, runs array<bigint>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -166,18 +187,23 @@ def most(words: list[str], held: frozenset[str], passage: list[str]) -> int:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start, end): the best passage of each document for each item it holds; places are words."""
     rows, items = id_text(docs), id_text(benchmark, "item_id", "text").filter("doc_id is not null")
-    of_items = written(item_runs(items), "item-runs")
-    size = of_items.agg(F.count("*").alias("n"), F.max("size").alias("size"), F.collect_set(F.least("size", F.lit(RUN))).alias("lengths")).first()
+    kind = F.floor(F.log2(F.col("size").cast("double"))).cast("int").alias("class")
+    of_items = written(item_runs(items).select("*", kind), "item-runs")
+    sizes = of_items.groupBy("class").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.collect_set(F.least("size", F.lit(RUN))).alias("lengths")).collect()  # 31 at most
     kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start int, end int"
-    if not size["n"]:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], schema)
-    seeds = of_items.select("item_id", "run").distinct()
-    reach = int((3 - 2 * threshold) * size["size"])  # words of a passage that an alignment over the threshold spans at most
-    sieve = Sieve(seeds.select("run").distinct(), size["n"])
+    seeds = of_items.select("item_id", "class", "run").distinct()
+    share = 1 << (MOST_BITS // len(sizes)).bit_length() - 1
+    searches = {}
+    for s in sizes:
+        reach = int((3 - 2 * threshold) * s["size"])  # words of a passage that an alignment over the threshold spans at most
+        sieve = Sieve(seeds.filter(F.col("class") == s["class"]).select("run").distinct(), s["n"], share)
+        searches[s["class"]] = Search(sieve, max(reach, RUN), tuple(sorted(s["lengths"])))
     # a number of its own for each passage, as rows may repeat an id or have none
-    found = written(passages(rows, sieve, max(reach, RUN), sorted(size["lengths"])).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    pairs = found.select("passage", F.explode("runs").alias("run")).join(seeds, "run").select("passage", "item_id").distinct()
+    found = written(passages(rows, searches).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    pairs = found.select("passage", "class", F.explode("runs").alias("run")).join(seeds, ["class", "run"]).select("passage", "item_id").distinct()
     texts = items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item"))
     both = pairs.join(found.select("passage", "doc_id", "at", "words"), "passage").join(texts, "item_id").select("doc_id", "item_id", "at", "words", "item")
 

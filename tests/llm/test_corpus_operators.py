@@ -489,3 +489,28 @@ def test_pipeline_equals_plain_stages(spark):
     for p in stages["packing"](spark, clean, SMALL).collect():
         got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
     assert got == {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in texts(clean).items()}
+
+
+def test_edited_copies_are_found(spark):
+    """Of all pairs whose plain alignment reaches the threshold, copies with 20 to 40 % of the words replaced among them, nine in
+    ten at least are found; and a very long item changes nothing for the short ones."""
+    rng = random.Random(6)
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(12).collect()]
+    rows = []
+    for k in range(72):
+        words = decontam.plain(items[k % 12])
+        edited = [f"zz{rng.randrange(999)}" if rng.random() < (0.2, 0.3, 0.4)[k // 24] else w for w in words]
+        rows.append((k, prose(30, k) + " " + " ".join(edited) + " " + prose(30, k + 500)))
+    benchmark = [(k, t) for k, t in enumerate(items)]
+    want = set()
+    for d, t in rows:
+        for i, item in benchmark:
+            a, b = decontam.plain(item), decontam.plain(t)
+            codes = {w: c for c, w in enumerate({*a, *b})}
+            if decontam.align(np.array([codes[w] for w in a]), np.array([codes[w] for w in b]))[0] >= 0.4 * 2 * len(a):
+                want.add((d, i))
+    found = lambda more: {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(benchmark + more, "item_id long, text string")).collect()}
+    got = found([])
+    assert got <= want and len(want) > 40 and len(got) >= 0.9 * len(want), (len(got), len(want))
+    print(f"recall {len(got) / len(want):.3f} of {len(want)}")
+    assert found([(99, prose(3000, 77))]) == got
