@@ -137,9 +137,9 @@ def task_time(active: DataFrame, links: DataFrame, without: DataFrame | None = N
     # as sums are gathered in a forest: a node's intervals are merged with those of the nodes that jump to it, and jumps double
     while not jumps.isEmpty():
         moved = held.join(jumps, "id").select(F.col("to").alias("id"), "start", "end")
-        held = cut(intervals.union(held.unionByName(moved), ["id"]))
+        held = cut(intervals.union(held.unionByName(moved), ["id"]), instead_of=held)
         ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
-        jumps = cut(jumps.join(ahead, "to").select("id", F.col("beyond").alias("to")))
+        jumps = cut(jumps.join(ahead, "to").select("id", F.col("beyond").alias("to")), instead_of=jumps)
     own = intervals.length(direct, ["session_id"], "direct").withColumnRenamed("session_id", "id")
     whole = intervals.length(held, ["id"], "including").withColumnRenamed("id", "node")
     return of.join(whole, "node").join(own, "id", "left").select("id", F.coalesce("direct", F.lit(0)).alias("direct"), "including")

@@ -35,7 +35,7 @@ def closure(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     while True:
         far = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("depth").alias("more"))
         step = reach.join(far, "ancestor").select("id", F.col("beyond").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach = cut(step.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        reach = cut(step.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), instead_of=reach)
         now = reach.count()
         if now == count:
             return reach
@@ -47,14 +47,15 @@ def _jumps(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     known = edges(links)
     all_ = nodes(known, *([ids] if ids is not None else []))
     start = all_.join(known, all_["id"] == known["child"], "left").select("id", F.coalesce("parent", "id").alias("to"))
-    jumps, reach = cut(start.withColumn("least", F.least("id", "to"))), 1
+    written, reach = cut(start.withColumn("least", F.least("id", "to"))), 1
+    jumps = written
     total = jumps.count()
     while reach < total:
         ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("least").alias("other"))
         step = jumps.join(ahead, "to").select("id", F.col("beyond").alias("to"), F.least("least", "other").alias("least"), (F.col("beyond") != F.col("to")).alias("moved"))
-        step = cut(step)
-        jumps, reach = step.drop("moved"), reach * 2
-        if step.filter("moved").isEmpty():
+        written = cut(step, instead_of=written)
+        jumps, reach = written.drop("moved"), reach * 2
+        if written.filter("moved").isEmpty():
             break
     return jumps
 
@@ -106,7 +107,7 @@ def gathered(values: DataFrame, links: DataFrame, merge: dict[str, Column], up:
         merged = held.select("id", *merge).unionByName(met).groupBy("id").agg(*(f.alias(c) for c, f in merge.items()))
         ahead = held.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
         jumps = held.select("id", "to").join(ahead, "to", "left").select("id", F.col("beyond").alias("to"))
-        held = cut(merged.join(jumps, "id"))
+        held = cut(merged.join(jumps, "id"), instead_of=held)
     return held.drop("to")
 
 

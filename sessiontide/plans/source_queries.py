@@ -392,13 +392,13 @@ def live_sessions(spark: SparkSession, d: str) -> DataFrame:
 RUNS = f"""{P.FACTS}, a AS (SELECT *, state IN ('busy', 'retry') AS active, coalesce(lag(state IN ('busy', 'retry')) OVER (PARTITION BY session_id ORDER BY ts, seq), false) AS was FROM facts),
 e AS (SELECT *, sum(CASE WHEN active AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS epoch FROM a),
 runs AS (SELECT session_id, epoch::BIGINT AS epoch, min(ts) AS start, max(CASE WHEN NOT active THEN ts END) AS "end" FROM e WHERE epoch > 0 AND (active OR was) GROUP BY session_id, epoch),
-calls AS (SELECT user_id AS session_id, event_id AS message_id, epoch_us(ts) // 1000 + 1 AS start, epoch_us(ts) // 1000 + 1 + event_id % 100 AS completed, (value * 100)::BIGINT AS output FROM events WHERE event_id % 3 = 0),
+calls AS (SELECT user_id AS session_id, event_id AS message_id, epoch_us(ts) // 1000 + 1 AS start, epoch_us(ts) // 1000 + 1 + event_id % 100 AS completed, (value * 100)::BIGINT AS output FROM events),
 placed AS (SELECT c.*, coalesce((SELECT max(r.epoch) FROM runs r WHERE r.session_id = c.session_id AND r.start <= c.start), 0) AS epoch FROM calls c)"""
 
 
 def calls_of(spark: SparkSession, d: str) -> DataFrame:
     at = P.millis("ts") + 1
-    rows = P.table(spark, d, "events").filter("event_id % 3 = 0")
+    rows = P.table(spark, d, "events")
     return rows.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), at.alias("start"), (at + F.col("event_id") % 100).alias("completed"), F.round(F.col("value") * 100).cast("long").alias("output"), F.col("event_id").alias("pos"))
 
 
@@ -442,12 +442,12 @@ def dependency_order(spark: SparkSession, d: str) -> DataFrame:
     return forest.ordered_edges(P.shallow_links(spark, d))
 
 
-@query(f"""WITH {P.FACTS}, r AS (SELECT user_id AS session_id, event_id AS message_id, (epoch_us(ts) // 1000)::DOUBLE AS start FROM events WHERE event_id % 4 = 0),
+@query(f"""WITH {P.FACTS}, r AS (SELECT user_id AS session_id, event_id AS message_id, (epoch_us(ts) // 1000)::DOUBLE AS start FROM events),
 c AS (SELECT r.message_id, min(f.ts)::DOUBLE AS completed FROM r JOIN facts f ON f.session_id = r.session_id AND f.ts >= r.start AND f.state NOT IN ('busy', 'retry') GROUP BY 1) SELECT message_id, 'provisional' AS quality, completed FROM c""")
 def idle_flush(spark: SparkSession, d: str) -> DataFrame:
     """Unfinished responses end with their session's next inactive fact, as provisional ones."""
     none = F.lit(None).cast("string")
-    open_ = P.table(spark, d, "events").filter("event_id % 4 = 0").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), P.millis("ts").cast("double").alias("start"), none.alias("quality"), F.lit(None).cast("double").alias("completed"))
+    open_ = P.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), P.millis("ts").cast("double").alias("start"), none.alias("quality"), F.lit(None).cast("double").alias("completed"))
     facts = P.facts(spark, d).withColumn("ts", F.col("ts").cast("double"))
     return hosts.idle_provisional(open_, facts).select("message_id", "quality", "completed")
 
@@ -645,3 +645,106 @@ def activity_round_trip(spark: SparkSession, d: str) -> DataFrame:
     )
     back = logs.facts(as_lines(rows, logs.body(rows.columns)))
     return back.select("kind", "event_id", "session_id", "ts", "state", "parent_id", "scope", F.array_join("scope_reasons", ",").alias("reasons"), "scope_parent", "measure", "work_id")
+
+
+# --- scalars, choices and facts that only larger jobs used
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_quantity * greatest(l_discount * 20 - 0.5, 0) AS input, l_extendedprice * greatest(l_discount * 20 - 0.5, 0) AS output, l_tax * greatest(l_discount * 20 - 0.5, 0) AS cache_read FROM lineitem""")
+def token_scaling(spark: SparkSession, d: str) -> DataFrame:
+    """Counters times a factor, which may be below 0."""
+    zero = F.lit(0.0)
+    rows = P.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("input"), F.col("l_extendedprice").alias("output"), F.col("l_tax").alias("cache_read"),
+        zero.alias("reasoning"), zero.alias("cache_write"), (F.col("l_discount") * 20 - 0.5).alias("factor"),
+    )
+    return rows.select("k", "n", *tokens.scaled(F.col("factor"))).select("k", "n", "input", "output", "cache_read")
+
+
+@query(f"""WITH {P.RESPONSES}, r AS (SELECT *, CASE pos WHEN 0 THEN message_id % 3 WHEN 1 THEN message_id % 5 END AS revision FROM responses)
+SELECT message_id, pos, quality, completed FROM r QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY revision DESC NULLS LAST, (quality = 'exact') DESC, greatest(start, completed) DESC, (output > 0) DESC, pos DESC) = 1""")
+def runtime_preference(spark: SparkSession, d: str) -> DataFrame:
+    """The copy of each message that counts at run time: revision, quality, freshness, completeness, arrival."""
+    rows = P.responses(spark, d).withColumn("revision", F.when(F.col("pos") == 0, F.col("message_id") % 3).when(F.col("pos") == 1, F.col("message_id") % 5))
+    rows = rows.withColumn("first_token", F.lit(None).cast("long"))
+    return precedence.runtime_preferred(rows).select("message_id", "pos", "quality", "completed")
+
+
+@query("""SELECT event_id, event_type = 'purchase' OR event_id % 4 = 1 AND user_id % 3 = 0 OR event_id % 4 = 2 AS completed FROM events""")
+def completed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an event says that its message is completed: by a word in one of several places, by a flag, or by an end."""
+    n, word = F.col("event_id") % 4, F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))
+    properties = F.struct(
+        F.when(n == 0, word).alias("status"),
+        F.struct(F.when(n == 1, F.col("user_id") % 3 == 0).alias("completed"), F.when(n.isin(1, 2), F.struct(word.alias("type"))).alias("status"), F.struct(F.when(n == 2, P.millis("ts")).alias("end")).alias("time")).alias("info"),
+    )
+    body = F.struct(F.col("event_id").alias("id"), properties.alias("properties"), F.when(n == 3, word).alias("completed"))
+    leaves = Leaves()
+    done = hosts.is_completed(leaves)
+    rows = as_lines(P.table(spark, d, "events"), body, "event_id")
+    return leaves.over(rows).select(F.col("pos").alias("event_id"), done.alias("completed"))
+
+
+@query("""SELECT 's' || user_id AS session_id, event_id::VARCHAR AS event_id, 'p' || CASE event_id % 3 WHEN 2 THEN user_id % 11 ELSE user_id % 7 END AS parent_id FROM events WHERE event_type = 'signup' OR event_id % 3 = 2""")
+def event_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Parents that events name: explicit ones anywhere, those of entities in session events, never a message's parent."""
+    n, sign = F.col("event_id") % 3, F.col("event_type") == "signup"
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    info = F.struct(text("s", F.col("user_id")).alias("id"), F.when(n == 0, text("p", F.col("user_id") % 7)).alias("parentID"), F.when(n == 1, F.struct(text("p", F.col("user_id") % 7).alias("id"))).alias("parent"))
+    properties = F.struct(text("s", F.col("user_id")).alias("sessionID"), info.alias("info"), F.struct(F.when(n == 2, text("p", F.col("user_id") % 11)).alias("parentSessionId")).alias("message"))
+    body = F.struct(F.when(sign, "session.updated").otherwise("message.updated").alias("type"), F.col("event_id").cast("string").alias("id"), P.millis("ts").alias("timestamp"), properties.alias("properties"))
+    return hosts.older_facts(as_lines(P.table(spark, d, "events"), body, "event_id")).filter("kind = 'parent'").select("session_id", "event_id", "parent_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 's' || o_custkey AS s, (epoch_us(o_orderdate) // 1000)::DOUBLE AS t0 FROM orders),
+f AS (SELECT s, 'x' || k AS e, 'lifecycle' AS kind, CASE n WHEN 0 THEN 'busy' ELSE 'completed' END AS state, NULL AS work, NULL AS phase, t0 + n AS ts FROM o, (SELECT unnest([0, 5]) AS n)
+UNION ALL SELECT s, 'x' || k, 'work', NULL, CASE WHEN n IN (1, 4) THEN 'm' ELSE 't' END || k, CASE WHEN n IN (1, 2) THEN 'start' ELSE 'end' END, t0 + n FROM o, (SELECT unnest([1, 2, 3, 4]) AS n))
+SELECT s AS session_id, e AS execution_id, kind, state, work AS work_id, phase, ts FROM f""")
+def event_work(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of executions with a step and a tool inside it, from events that are delivered twice and in any order."""
+    key = F.col("o_orderkey").cast("string")
+    kinds = ["execution.started", "step.started", "tool.called", "tool.success", "step.ended", "execution.succeeded"]
+    rows = P.table(spark, d, "orders").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"n": F.col("k") % 6, "at": P.millis("o_orderdate")})
+    n = F.col("n")
+    data = F.struct(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("sessionID"), F.when(n.between(1, 4), F.concat(F.lit("m"), key)).alias("assistantMessageID"), F.when(n.isin(2, 3), F.concat(F.lit("t"), key)).alias("id"))
+    body = F.struct(
+        F.concat(F.lit("session."), F.element_at(F.array(*map(F.lit, kinds)), n + 1)).alias("type"), F.concat(F.element_at(F.array(*map(F.lit, "xabcde")), n + 1), key).alias("id"), (F.col("at") + n).alias("created"),
+        F.struct((F.col("o_orderkey") * 6 + n).alias("seq")).alias("durable"), data.alias("data"),
+    )
+    return hosts.newer_facts(as_lines(rows, body, "o_orderkey")).select("session_id", "execution_id", "kind", "state", "work_id", "phase", "ts")
+
+
+@query(f"""WITH {P.RESPONSES} SELECT l.message_id, r.pos, l.output IS NOT DISTINCT FROM r.output AND l.model IS NOT DISTINCT FROM r.model AND CASE WHEN l.message_id % 2 = 0 THEN 'exact' ELSE l.quality END = r.quality AS same
+FROM responses l JOIN responses r USING (message_id) WHERE l.pos = 0""")
+def record_equality(spark: SparkSession, d: str) -> DataFrame:
+    """Records compared field by field; a missing quality is an exact one."""
+    rows = P.responses(spark, d)
+    left = rows.filter("pos = 0").withColumn("quality", F.when(F.col("message_id") % 2 == 1, F.col("quality"))).alias("l")
+    met = left.join(rows.alias("r"), F.col("l.message_id") == F.col("r.message_id"))
+    return met.select(F.col("l.message_id").alias("message_id"), F.col("r.pos").alias("pos"), layers.same_record(["output", "model", "quality"]).alias("same"))
+
+
+@query("""SELECT o_orderkey AS id, sha256('{"customer":{"n":false,"v":"' || o_custkey || '"},"priority":{' || CASE WHEN o_custkey % 3 = 0 THEN '"n":true' ELSE '"n":false,"v":"' || o_orderpriority || '"' END || '}}') AS mark FROM orders""")
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of rows over their canonical form, in which names are in order and nulls differ from empty texts."""
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("priority"), F.col("o_custkey").alias("customer"))
+    return rows.select("id", shown.fingerprint("priority", "customer").alias("mark"))
+
+
+@query(f"""WITH {P.FACTS}, x AS (SELECT *, 'x' || (event_id % 3) AS execution FROM facts), c AS (SELECT * FROM x WHERE event_id % 7 <> 0), l AS (SELECT * FROM x WHERE event_id % 2 = 0),
+missing AS (SELECT DISTINCT session_id, instance_id, execution FROM l WHERE event_id % 7 = 0), ended AS (SELECT DISTINCT session_id, instance_id, execution FROM c WHERE state IN ('completed', 'failed')),
+done AS (SELECT * FROM ended EXCEPT SELECT * FROM missing), fl AS (SELECT l.* FROM l ANTI JOIN done USING (session_id, instance_id, execution)), oc AS (SELECT c.* FROM c ANTI JOIN (SELECT DISTINCT session_id, instance_id, execution FROM fl) USING (session_id, instance_id, execution))
+SELECT event_id::VARCHAR AS event_id, session_id FROM oc UNION ALL SELECT event_id::VARCHAR, session_id FROM fl""")
+def canonical_and_live(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of a canonical source and a live one: a live execution hides the canonical one until that is over and has all of it."""
+    facts = P.facts(spark, d, 3)
+    return activity.reconciled(facts.filter("pos % 7 <> 0"), facts.filter("pos % 2 = 0")).select("event_id", "session_id")
+
+
+@query(SQL["root_task_time"])
+def full_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Task time from a log in which every fact stands twice."""
+    facts = P.facts(spark, d)
+    again = facts.withColumn("pos", F.col("pos") + 1_000_000_000)
+    out = activity.replay(facts.unionByName(again), P.shallow_links(spark, d))
+    return out.select("id", F.col("direct").cast("long"), F.col("including").cast("long"))

@@ -162,24 +162,39 @@ ENDS = {"session.execution.succeeded": "completed", "session.execution.failed":
 
 
 def newer_facts(events: DataFrame) -> DataFrame:
-    """Lifecycle, parent and work facts of the newer kind of events. A tool belongs to the execution of its step."""
-    rows = with_execution(fields(events))
-    state = lifecycle_state(F.col("type"), F.col("words"))
-    for kind, name in ENDS.items():
-        state = F.when(F.col("type") == kind, name).otherwise(state)
-    none = F.lit(None).cast("string")
-    common = ["session_id", "event_id", "source_sequence", "execution_id", "pos"]
-    lifecycle = rows.filter(F.col("type").isin("session.status", *ENDS)).select(*common, "ts", F.lit("lifecycle").alias("kind"), state.alias("state"), none.alias("parent_id"), *(none.alias(c) for c in ("work_id", "source", "phase", "step_id")))
-    parents = rows.filter("parent_id is not null").select(*common, "ts", F.lit("parent").alias("kind"), none.alias("state"), "parent_id", *(none.alias(c) for c in ("work_id", "source", "phase", "step_id")))
-    steps = rows.filter(F.col("type").startswith("session.step.") & F.col("message_id").isNotNull())
-    owner = steps.filter("type = 'session.step.started'").groupBy("session_id", "message_id").agg(F.min(F.struct("ts", "execution_id")).getField("execution_id").alias("owner"))
-    phase = F.when(F.col("type").isin("session.step.started", "session.tool.called"), "start").otherwise("end")
-    work = steps.withColumn("source", F.lit("step")).withColumn("work_id", F.col("message_id")).withColumn("step_id", none)
-    tools = rows.filter(F.col("type").startswith("session.tool.") & F.col("tool_id").isNotNull()).withColumn("source", F.lit("tool")).withColumn("work_id", F.col("tool_id")).withColumn("step_id", F.col("message_id"))
-    work = work.unionByName(tools).join(owner, ["session_id", "message_id"], "left")
-    when = F.when(F.col("type") == "session.step.started", F.coalesce("started", "ts")).otherwise(F.col("ts"))
-    work = work.select("session_id", "event_id", "source_sequence", F.coalesce("owner", "execution_id").alias("execution_id"), "pos", when.alias("ts"), F.lit("work").alias("kind"), none.alias("state"), none.alias("parent_id"), "work_id", "source", phase.alias("phase"), "step_id")
-    return lifecycle.filter("state is not null").unionByName(parents).unionByName(work)
+    """Lifecycle, parent and work facts of the newer kind of events. A tool belongs to the execution of its step. An event's facts
+    are told in one pass, after the windows that find its execution and its step's."""
+    kind, none = F.col("type"), F.lit(None).cast("string")
+    begun = F.when((kind == "session.step.started") & F.col("message_id").isNotNull(), F.struct("ts", "execution_id"))
+    owner = F.min(begun).over(Window.partitionBy("session_id", "message_id")).getField("execution_id")
+    rows = with_execution(fields(events)).withColumn("owner", owner)
+    state = lifecycle_state(kind, F.col("words"))
+    for name, word in ENDS.items():
+        state = F.when(kind == name, word).otherwise(state)
+    rows = rows.withColumn("state", F.when(kind.isin("session.status", *ENDS), state))
+
+    def fact(name: str, **values: Column) -> Column:
+        own = {"ts": F.col("ts"), "execution_id": F.col("execution_id")} | values
+        columns = ("ts", "execution_id", "state", "parent_id", "work_id", "source", "phase", "step_id")
+        return F.struct(F.lit(name).alias("kind"), "session_id", "event_id", "source_sequence", "pos", *(own.get(c, none).alias(c) for c in columns))
+
+    is_step = kind.startswith("session.step.") & F.col("message_id").isNotNull()
+    is_tool = kind.startswith("session.tool.") & F.col("tool_id").isNotNull()
+    work = fact(
+        "work",
+        ts=F.when(kind == "session.step.started", F.coalesce("started", "ts")).otherwise(F.col("ts")),
+        execution_id=F.coalesce("owner", "execution_id"),
+        work_id=F.when(is_step, F.col("message_id")).otherwise(F.col("tool_id")),
+        source=F.when(is_step, "step").otherwise("tool"),
+        phase=F.when(kind.isin("session.step.started", "session.tool.called"), "start").otherwise("end"),
+        step_id=F.when(is_tool, F.col("message_id")),
+    )
+    told = [
+        F.when(F.col("state").isNotNull(), fact("lifecycle", state=F.col("state"))),
+        F.when(F.col("parent_id").isNotNull(), fact("parent", parent_id=F.col("parent_id"))),
+        F.when(is_step | is_tool, work),
+    ]
+    return rows.select(F.explode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
 def newer_responses(events: DataFrame) -> DataFrame:
