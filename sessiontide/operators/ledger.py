@@ -158,6 +158,62 @@ def _plain_history(records: DataFrame) -> DataFrame:
     return merged.filter("__at = __last").select(*records.columns)
 
 
+def transition(rows: list[dict], measures: list[str]) -> dict:
+    """What a ledger holds of one message after records came in. The first row is what it holds now, if `stored`.
+
+    A mark without a body (`legacy`) is counted and can't change, excluded ones stay out for good. A provisional record never replaces
+    an exact one; an update must be newer than the held one's; a record without it yields to a held update of its quality and to a
+    backfilled one. What says the same changes nothing, a settled one stays settled; anything else opens the message again.
+    """
+    held = rows[0] if rows[0]["stored"] else None
+    for r in rows[held is not None :]:
+        if r["scope"] in (EXCLUDED_ITEM, EXCLUDED_SESSION):
+            if held and not held["legacy"]:
+                held = held | {"excluded": True, "status": "settled"}
+            else:
+                held = (held or r) | {"excluded": True, "status": "settled", "legacy": True}
+            continue
+        if held and (held["legacy"] or held["excluded"]):
+            continue
+        new = r | {"quality": r["quality"] or "exact", "status": "open", "legacy": False, "excluded": False, "backfill": False}
+        if held:
+            if held["quality"] == "exact" and new["quality"] == "provisional":
+                continue
+            if new["update"]:
+                if held["update"] and not is_newer(new["update"], held["update"]):
+                    continue
+            elif held["backfill"] or (held["update"] and held["quality"] == new["quality"]):
+                continue
+            if all(held[c] == new[c] for c in ("session_id", "quality", "update", *measures)):
+                continue
+        held = new
+    return held
+
+
+def applied(stored: DataFrame, records: DataFrame, measures: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A ledger's contributions after records came in, and (session_id, calls, measures), what its session sums change by.
+
+    `stored` has message_id, session_id, status, quality, measures, update, legacy, excluded and backfill; `records` message_id,
+    session_id, quality, measures, update, scope and pos. Only messages that records name are folded, a few rows each.
+    """
+    told = records.filter("message_id is not null")
+    flag = lambda value: F.lit(value).cast("boolean")
+    none = F.lit(None).cast("string")
+    columns = ["message_id", "session_id", "status", "quality", *measures, "update", "legacy", "excluded", "backfill", "scope", "pos", "stored"]
+    new = told.withColumns({"status": none, "legacy": flag(False), "excluded": flag(False), "backfill": flag(False), "stored": flag(False)}).select(columns)
+    place = new.schema["pos"].dataType
+    held = stored.join(told.select("message_id").distinct(), "message_id", "left_semi").withColumns({"scope": none, "pos": F.lit(None).cast(place), "stored": flag(True)}).select(columns)
+    after = by_message(held.unionByName(new), lambda rows: transition(rows, measures))
+    kept = ["message_id", "session_id", "status", "quality", *measures, "update", "legacy", "excluded", "backfill"]
+    whole = stored.join(told.select("message_id").distinct(), "message_id", "left_anti").select(kept).unionByName(after.select(kept))
+    counted = lambda rows, sign: rows.filter("not legacy and not excluded").select("session_id", F.lit(sign).cast("long").alias("calls"), *((sign * F.col(m)).alias(m) for m in measures))
+    sums = counted(after, 1).unionByName(counted(held, -1)).groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("calls", *measures)))
+    some = F.col("calls") != 0
+    for m in measures:
+        some = some | (F.col(m) != 0)
+    return whole, sums.filter(some)
+
+
 def newer(a: Column, b: Column) -> Column:
     """`is_newer` of two update structs, of which `a` is there, as an expression."""
     fresh = (a["revision"] != b["revision"]) & a["revision"].isNotNull() & b["revision"].isNotNull()

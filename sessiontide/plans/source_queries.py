@@ -748,3 +748,27 @@ def full_replay(spark: SparkSession, d: str) -> DataFrame:
     again = facts.withColumn("pos", F.col("pos") + 1_000_000_000)
     out = activity.replay(facts.unionByName(again), P.shallow_links(spark, d))
     return out.select("id", F.col("direct").cast("long"), F.col("including").cast("long"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 's' || o_custkey AS s, floor(o_totalprice) AS v, o_orderkey % 4 AS was, o_orderkey % 5 AS came FROM orders),
+a AS (SELECT *, was = 2 AS legacy, CASE WHEN was = 2 THEN false ELSE came = 4 END AS gone, was <> 2 AND (came = 1 AND was = 1 OR came = 2 OR came = 3 AND was <> 3) AS replaced FROM o),
+t AS (SELECT s, -1 AS n, -v AS x FROM a WHERE NOT legacy AND (gone OR replaced) UNION ALL SELECT CASE came WHEN 2 THEN 'moved' ELSE s END, 1, CASE came WHEN 3 THEN v + 7 ELSE v * 2 END FROM a WHERE replaced AND NOT gone)
+SELECT s AS session_id, sum(n)::BIGINT AS calls, sum(x)::DOUBLE AS output FROM t GROUP BY s HAVING sum(n) <> 0 OR sum(x) <> 0""")
+def contribution_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """What session sums change by when records meet open, provisional, marked and updated contributions: provisional ones, moves by
+    update, corrections without one, and exclusions."""
+    key, value = F.col("o_orderkey"), F.floor("o_totalprice").cast("double")
+    was, came = key % 4, key % 5
+    none, text = F.lit(None), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    update = lambda n: F.struct(F.lit("i").alias("instance"), F.lit(n).alias("sequence"), F.lit(n).alias("received_at"), none.cast("double").alias("revision"), F.lit(str(n)).alias("fingerprint"), F.array().cast("array<string>").alias("seen")).cast(UPDATE_STRUCT)
+    orders = P.table(spark, d, "orders")
+    session = text("s", F.col("o_custkey"))
+    held = orders.select(
+        text("m", key).alias("message_id"), session.alias("session_id"), F.when(was == 0, "open").otherwise("settled").alias("status"), F.when(was == 1, "provisional").otherwise("exact").alias("quality"), value.alias("output"),
+        F.when(was == 3, update(1.0)).alias("update"), (was == 2).alias("legacy"), F.lit(False).alias("excluded"), F.lit(False).alias("backfill"),
+    )
+    told = orders.filter(came > 0).select(
+        text("m", key).alias("message_id"), F.when(came == 2, "moved").otherwise(session).alias("session_id"), F.when(came == 1, "provisional").otherwise("exact").alias("quality"),
+        F.when(came == 3, value + 7).otherwise(value * 2).alias("output"), F.when(came == 2, update(2.0)).alias("update"), F.when(came == 4, "excluded_item").alias("scope"), key.alias("pos"),
+    )
+    return ledger.applied(held, told, ["output"])[1]

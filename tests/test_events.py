@@ -141,3 +141,30 @@ def test_plans_stay_small(spark):
     for made in (events.newer_responses(frame), events.newer_facts(frame), events.older_facts(frame), history.responses(frame), activity.facts(frame)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 50_000, len(plan)
+
+
+def test_transitions_of_contributions(spark):
+    """Every way in which a record meets what a ledger holds, and sums that follow."""
+    up = lambda n: ("i", float(n), float(n), None, str(n), [])
+    stored = [
+        ("open", "a", "open", "exact", 5.0, None, False, False, False), ("provisional", "a", "open", "provisional", 5.0, None, False, False, False), ("settled", "a", "settled", "exact", 5.0, None, False, False, False),
+        ("same", "a", "settled", "exact", 5.0, None, False, False, False), ("mark", None, "settled", None, None, None, True, False, False), ("gone", "a", "settled", "exact", 5.0, None, False, True, False),
+        ("updated", "a", "settled", "exact", 5.0, up(3), False, False, False), ("filled", "a", "open", "exact", 5.0, None, False, False, True), ("moved", "a", "open", "exact", 5.0, up(1), False, False, False),
+        ("leaves", "a", "open", "exact", 5.0, None, False, False, False), ("untold", "z", "settled", "exact", 9.0, None, False, False, False),
+    ]
+    records = [
+        ("open", "a", "provisional", 9.0, None, None), ("provisional", "a", None, 7.0, None, None), ("settled", "a", "exact", 6.0, None, None), ("same", "a", "exact", 5.0, None, None), ("mark", "a", "exact", 8.0, None, None),
+        ("gone", "a", "exact", 8.0, up(9), None), ("updated", "a", "exact", 8.0, up(2), None), ("updated", "a", "exact", 8.0, None, None), ("filled", "a", "exact", 8.0, None, None), ("moved", "b", "exact", 8.0, up(2), None),
+        ("leaves", "a", "exact", 5.0, None, "excluded_item"), ("leaves", "a", "exact", 5.0, up(8), None), ("new", "c", "exact", 2.0, None, None), ("never", "c", "exact", 2.0, None, "excluded_session"), ("never", "c", "exact", 2.0, None, None),
+        ("filled", "a", "exact", 4.0, up(1), None),
+    ]
+    update = "update struct<instance:string,sequence:double,received_at:double,revision:double,fingerprint:string,seen:array<string>>"
+    old = spark.createDataFrame(stored, f"message_id string, session_id string, status string, quality string, output double, {update}, legacy boolean, excluded boolean, backfill boolean")
+    new = spark.createDataFrame([(*r, k) for k, r in enumerate(records)], f"message_id string, session_id string, quality string, output double, {update}, scope string, pos long")
+    after, changes = ledger.applied(old, new, ["output"])
+    got = {r["message_id"]: (r["status"], r["output"] if not r["legacy"] else None, r["excluded"]) for r in after.collect()}
+    assert got == {
+        "open": ("open", 5, False), "provisional": ("open", 7, False), "settled": ("open", 6, False), "same": ("settled", 5, False), "mark": ("settled", None, False), "gone": ("settled", 5, True),
+        "updated": ("settled", 5, False), "filled": ("open", 4, False), "moved": ("open", 8, False), "leaves": ("settled", 5, True), "untold": ("settled", 9, False), "new": ("open", 2, False), "never": ("settled", None, True),
+    }
+    assert {r["session_id"]: (r["calls"], r["output"]) for r in changes.collect()} == {"a": (-2, 2 + 1 - 1 - 5 - 5), "b": (1, 8), "c": (1, 2)}
