@@ -264,6 +264,7 @@ def test_listing_without_closure(spark, shape):
         "comb": {k: (k - 2 if k % 2 else k - 1) if k > 1 else 0 for k in range(1, 200)},
     }[shape]
     got = forest.listing(spark.createDataFrame(list(parent.items()), "child long, parent long"))
-    assert {r["id"]: (r["root"], r["depth"], r["place"]) for r in got.collect()} == preorder(parent)
+    want = preorder(parent)
+    assert {r["id"]: (r["root"], r["depth"], r["place"]) for r in got.collect()} == want
     ranks = {r["child"]: r["rank"] for r in forest.ordered_edges(spark.createDataFrame(list(parent.items()), "child long, parent long")).collect()}
-    assert ranks == {c: preorder(parent)[p][1] for c, p in parent.items()}
+    assert ranks == {c: want[p][1] for c, p in parent.items()}
