@@ -101,7 +101,7 @@ def powers(length: int) -> np.ndarray:
 
 def keyed(raw: np.ndarray, length: int) -> np.ndarray:
     """The hash of words of one length."""
-    return mix(raw + np.uint64(length) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(raw + np.uint64(length * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
