@@ -202,8 +202,9 @@ def newer_responses(events: DataFrame) -> DataFrame:
     response is exact if input and output were reported and reasoning was, or is zero."""
     read = fields(events).filter("message_id is not null")
     rows = read.withColumn("tokens", tokens.counters()).withColumn("reported", tokens.partial(F.col("tokens")))
-    start = rows.filter("type = 'session.step.started'").groupBy("session_id", "message_id").agg(F.min(F.coalesce("started", "ts")).alias("start"), F.max("agent").alias("agent0"), F.max("model").alias("model0"))
-    ends = rows.filter("type = 'session.step.ended' or (type = 'session.step.failed' and billed)").join(start, ["session_id", "message_id"], "left")
+    of, begun = Window.partitionBy("session_id", "message_id"), F.col("type") == "session.step.started"
+    first = {"start": F.min(F.when(begun, F.coalesce("started", "ts"))), "agent0": F.max(F.when(begun, F.col("agent"))), "model0": F.max(F.when(begun, F.col("model")))}
+    ends = rows.withColumns({n: c.over(of) for n, c in first.items()}).filter("type = 'session.step.ended' or (type = 'session.step.failed' and billed)")
     said = F.col("reported.input").isNotNull() & F.col("reported.output").isNotNull() & (F.col("reported.reasoning").isNotNull() | (F.col("tokens.reasoning") == 0))
     quality = F.when(said, "exact").otherwise("provisional")
     return ends.select("message_id", "session_id", F.coalesce("agent", "agent0").alias("agent"), F.coalesce("model", "model0").alias("model"), quality.alias("quality"), *(F.col(f"tokens.{c}").alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write")), F.coalesce("cost", F.lit(0.0)).alias("cost"), "start", F.col("ts").alias("completed"), F.col("source_sequence").alias("revision"), "pos")
