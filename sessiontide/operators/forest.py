@@ -42,6 +42,20 @@ def closure(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         count = now
 
 
+def ancestors(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, ancestor): the given ids and all above them in a forest. Rows are those of the given ids only, and jumps double, so
+    it takes log2 of the longest way up."""
+    reach = cut(ids.select("id", F.col("id").alias("ancestor")))
+    jumps = cut(links.select(F.col("child").alias("ancestor"), F.col("parent").alias("to")))
+    while True:
+        met = cut(reach.join(jumps, "ancestor").select("id", F.col("to").alias("ancestor")))
+        if met.isEmpty():
+            return reach
+        reach = cut(reach.unionByName(met), instead_of=reach)
+        ahead = jumps.select(F.col("ancestor").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut(jumps.join(ahead, "to").select("ancestor", F.col("beyond").alias("to")), instead_of=jumps)
+
+
 def _jumps(links: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, to, least) after so many doublings that `to` is a root or in a cycle; `least` is the least id on the way."""
     known = edges(links)

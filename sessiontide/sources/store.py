@@ -41,9 +41,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it does not exist."""
+    fs, place = _fs(spark, path)
+    return [str(status.getPath()) for status in fs.listStatus(place)] if fs.exists(place) else []
+
+
 def move(spark: SparkSession, old: str, new: str) -> None:
     fs, place = _fs(spark, old)
-    if not fs.rename(place, _fs(spark, new)[1]):
+    target = _fs(spark, new)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(place, target):
         raise OSError(f"{old} could not be moved to {new}")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -27,6 +27,7 @@ def bucket(column: str = "session_id", buckets: int = BUCKETS):
 
 def session_time(facts: DataFrame) -> DataFrame:
     """(session_id, n, length) of active time."""
+    facts = facts.filter("kind = 'lifecycle'")
     own = intervals.union(activity.lifecycle_intervals(precedence.distinct_facts(facts)), ["session_id"])
     return own.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
 
@@ -99,10 +100,16 @@ MEASURES = (*TOKENS, "cost")
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def arrival(schema: StructType) -> Column:
+    """A batch's order as text, from a `pos` that is a number or a place in a file."""
+    if isinstance(schema["pos"].dataType, StructType):
+        return F.to_json(F.struct(F.struct(F.col("pos.file"), F.format_string("%020d", F.col("pos.at"))).alias("p")))
+    return F.format_string("%020d", F.col("pos"))
+
+
 def usage_changes(stream: DataFrame) -> DataFrame:
     """Signed changes of session sums, and each message's record, from a stream of responses whose `pos` orders the rows of a batch."""
-    place = F.to_json(F.struct(F.struct(F.col("pos.file"), F.format_string("%020d", F.col("pos.at"))).alias("p"))) if isinstance(stream.schema["pos"].dataType, StructType) else F.format_string("%020d", F.col("pos"))
-    rows = stream.select("message_id", place.alias("place"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record")).filter("message_id is not null")
+    rows = stream.select("message_id", arrival(stream.schema).alias("place"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record")).filter("message_id is not null")
     schema = f"message_id string, kind string, session_id string, calls long, record string, {', '.join(f'{c} double' for c in MEASURES)}"
     return rows.groupBy("message_id").transformWithStateInPandas(UsageState(MEASURES), schema, "append", "None")
 
