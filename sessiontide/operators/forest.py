@@ -128,6 +128,8 @@ def gathered(values: DataFrame, links: DataFrame, merge: dict[str, Column], up:
 def excluded(links: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id): sessions with evidence themselves or above them. `evidence` (id)."""
     ids = evidence.select(F.col("id")).filter("id is not null").distinct()
+    if ids.isEmpty():
+        return ids
     outer, of = contracted(links, ids)
     marked = of.join(ids.withColumn("hit", F.lit(True)), "id", "left").groupBy("node").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
     found = gathered(marked.withColumnRenamed("node", "id"), outer, {"hit": F.max("hit")}, up=True).filter("hit")

@@ -13,18 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 _left: dict[int, tuple[DataFrame, str]] = {}
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. Only a session that runs in one process may go without; it gets a
+    temporary folder."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="lineage-")
+        spark.sparkContext.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the process ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(lambda: [_remove(spark, p) for p in _folders if spark.sparkContext._jsc is not None])
+    _folders.append(path)
+    return path
+
+
+#: Folders that hold a stream's store and checkpoint.
+_folders: list[str] = []
+
+
 def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The rows as a table in the folder that the session names for checkpoints: computed once, and kept when an executor is
-    lost. Only a session that runs in one process may go without; it gets a temporary folder. `instead_of` is a table cut before
-    that nothing else reads any more; it is removed once the new one is complete. What is left goes when the process ends."""
+    lost. `instead_of` is a table cut before that nothing else reads any more; it is removed once the new one is complete.
+    What is left goes when the process ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lineage-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/lineage-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if not _left:

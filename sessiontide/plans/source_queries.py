@@ -13,7 +13,9 @@ from ..schema import PENDING, UPDATE_STRUCT, USER
 from ..sources import activity as logs
 from ..sources import events as hosts
 from ..sources import history
+from ..streaming import trees
 from . import projections as P
+from .lineage import folder
 from .queries import CLOSURE, IDS, PLAIN, QUERIES, SQL, measured, query, union_sql
 
 __all__ = ["QUERIES", "SQL"]
@@ -772,3 +774,25 @@ def contribution_transitions(spark: SparkSession, d: str) -> DataFrame:
         F.when(came == 3, value + 7).otherwise(value * 2).alias("output"), F.when(came == 2, update(2.0)).alias("update"), F.when(came == 4, "excluded_item").alias("scope"), key.alias("pos"),
     )
     return ledger.applied(held, told, ["output"])[1]
+
+
+# --- streams
+
+
+TREE_TIME = f"""WITH {PLAIN}, {P.SHALLOW}, {IDS}, {CLOSURE}, s AS (SELECT c.ancestor AS id, a.start, a."end" FROM active a JOIN closure c ON c.id = a.session_id), {union_sql('s', 'id', 'i')}, {union_sql('active', 'session_id')}
+SELECT i.id, coalesce(max(o.direct), 0)::BIGINT AS direct, sum(i."end" - i.start)::BIGINT AS including
+FROM i LEFT JOIN (SELECT session_id, sum("end" - start) AS direct FROM u GROUP BY 1) o ON o.session_id = i.id GROUP BY i.id"""
+
+
+@query(TREE_TIME)
+def tree_time_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Time of every session alone and with all below it, from the streams of `trees`: facts with odd ids come first, then
+    those with even ids, and every seventh comes twice."""
+    at = folder(spark, "tree-time")
+    rows, half = P.facts(spark, d), F.col("event_id").cast("long") % 2
+    parts = [rows.filter(half == 1), rows.filter((half == 0) | (F.col("seq") % 7 == 0))]
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        facts = spark.readStream.schema(part.schema).parquet(f"{at}/in")
+        trees.keep_task_time(facts, f"{at}/store", f"{at}/checkpoint", P.shallow_links(spark, d), slab=7 * 24 * trees.HOUR)
+    return trees.read_task_time(spark, f"{at}/store").select("id", F.col("direct").cast("long"), F.col("including").cast("long"))
