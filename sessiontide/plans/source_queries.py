@@ -276,16 +276,23 @@ def parent_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return layers.with_parents(records, known).select("message_id", F.coalesce("parent_id", F.lit("none")).alias("parent_id"))
 
 
-@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 1 THEN 'l' WHEN 5 THEN 'h' ELSE 'c' END AS parent, c_custkey % 6 IN (2, 4) AS conflict FROM customer""")
+@query("""WITH w AS (SELECT o_custkey AS id, CASE WHEN c % 11 > 0 THEN 'p' || c % 3 END AS parent, CASE o_orderstatus WHEN 'F' THEN 'canonical' WHEN 'O' THEN 'live' ELSE 'cache' END AS origin, 'e' || o_orderkey % 2 AS epoch,
+  CASE WHEN o_orderkey % 10 > 0 THEN c % 6 END AS seq, o_orderkey AS pos FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS c FROM orders)),
+one AS (SELECT id, origin, parent, epoch, seq FROM w QUALIFY row_number() OVER (PARTITION BY id, origin ORDER BY CASE WHEN origin = 'live' THEN coalesce(seq, -1) END DESC, pos DESC) = 1),
+top AS (SELECT id, parent FROM w WHERE origin = 'live' QUALIFY coalesce(seq, -1) = max(coalesce(seq, -1)) OVER (PARTITION BY id, epoch)),
+odds AS (SELECT id, count(DISTINCT coalesce(parent, '')) > 1 AS odd FROM top GROUP BY id),
+x AS (SELECT i.id, c.id IS NOT NULL AS has_c, l.id IS NOT NULL AS has_l, c.parent AS cp, l.parent AS lp, h.parent AS hp, coalesce(odd, false) AS odd, c.id IS NOT NULL AND l.id IS NOT NULL AND c.parent IS DISTINCT FROM l.parent AS differ,
+  coalesce(c.epoch = l.epoch AND c.seq IS NOT NULL AND l.seq IS NOT NULL, false) AS comparable, coalesce(l.seq > c.seq, false) AS newer FROM (SELECT DISTINCT id FROM w) i
+  LEFT JOIN (FROM one WHERE origin = 'canonical') c USING (id) LEFT JOIN (FROM one WHERE origin = 'live') l USING (id) LEFT JOIN (FROM one WHERE origin = 'cache') h USING (id) LEFT JOIN odds USING (id))
+SELECT id, CASE WHEN differ AND comparable AND newer AND NOT odd THEN lp WHEN has_c THEN cp WHEN has_l THEN lp ELSE hp END AS parent, odd OR (differ AND NOT comparable) AS conflict FROM x""")
 def parent_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Witnesses of a session's parent: agreeing, later in one epoch, in different epochs, earlier, live ones at odds, cache only."""
-    k = F.col("id") % 6
-    ids = P.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    row = lambda rows, parent, origin, epoch, sequence, pos: rows.select("id", parent.cast("string").alias("parent"), F.lit(origin).alias("origin"), epoch.cast("string").alias("epoch"), sequence.cast("long").alias("sequence"), F.lit(pos).cast("long").alias("pos"))
-    out = row(ids.filter(k < 5), F.lit("c"), "canonical", F.lit("e"), F.lit(5), 1)
-    out = out.unionByName(row(ids.filter(k < 5), F.when(k == 0, "c").when(k == 4, "c").otherwise("l"), "live", F.when(k == 2, "f").otherwise("e"), F.when(k == 3, F.lit(4)).otherwise(F.lit(6)), 2))
-    out = out.unionByName(row(ids.filter(k == 4), F.lit("x"), "live", F.lit("f"), F.lit(1), 3))
-    return layers.parent_evidence(out.unionByName(row(ids, F.lit("h"), "cache", F.lit(None), F.lit(None), 4)))
+    """Orders as witnesses of their customer's parent: of three origins and two epochs, with sequences or without, at odds or not."""
+    c, key, status = F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderkey"), F.col("o_orderstatus")
+    rows = P.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.when(c % 11 > 0, F.concat(F.lit("p"), (c % 3).cast("string"))).alias("parent"), F.when(status == "F", "canonical").when(status == "O", "live").otherwise("cache").alias("origin"),
+        F.concat(F.lit("e"), (key % 2).cast("string")).alias("epoch"), F.when(key % 10 > 0, c % 6).alias("sequence"), key.alias("pos"),
+    )
+    return layers.parent_evidence(rows)
 
 
 @query(f"""WITH {P.RESPONSES}, r AS (SELECT * FROM responses WHERE pos = 0), gone AS (SELECT message_id FROM r WHERE message_id % 9 = 0 OR message_id % 10 = 0)
@@ -326,25 +333,47 @@ def metadata_batch(spark: SparkSession, d: str) -> DataFrame:
     return scope.metadata_batch(known, updates).select(F.col("session_id").cast("long").alias("session_id"), "scope", F.array_join("agents", ",").alias("agents"))
 
 
-@query("""SELECT event_id AS id, CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN 'complete:' WHEN user_id % 4 = 2 THEN 'gap:retry,disconnect' ELSE 'unknown:unknown-coverage' END AS coverage FROM events WHERE user_id % 4 > 0""")
+REASONS = f"[{', '.join(map(repr, metrics.COVERAGE_REASONS))}]"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, user_id % 4 AS k, round(value * 100)::BIGINT AS c FROM events),
+given AS (SELECT id, i, {REASONS}[(c + i * i * (1 + c % 5)) % 60 + 1] AS reason FROM (SELECT id, c, unnest(range(c % 90)) AS i FROM e) WHERE i < 64),
+once AS (SELECT id, reason, min(i) AS i FROM given WHERE reason IS NOT NULL GROUP BY id, reason),
+eight AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM once),
+named AS (SELECT id, string_agg(reason, ',' ORDER BY i) AS reasons FROM eight WHERE n <= 8 GROUP BY id)
+SELECT id, CASE WHEN k = 1 THEN 'complete:' ELSE CASE WHEN k = 2 THEN 'gap:' ELSE 'unknown:' END || coalesce(reasons, 'unknown-coverage') END AS coverage FROM e LEFT JOIN named USING (id) WHERE k > 0""")
 def coverage_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Why no generation rate was measured: known reasons once each, at least one unless coverage is complete."""
-    k = F.col("user_id") % 4
+    """Why no generation rate was measured: of the first 64 reasons the first eight known ones, once each; one at least unless coverage is complete."""
+    c, k = F.col("c"), F.col("k")
+    names = F.array(*map(F.lit, metrics.COVERAGE_REASONS))
     status = F.when(k == 0, "odd").when(k == 1, "complete").when(k == 2, "gap").otherwise("unknown")
-    reasons = F.when(k == 2, F.array(*(F.lit(x) for x in ("retry", "whatever", "retry", "disconnect")))).otherwise(F.array(F.lit("whatever")))
-    rows = P.table(spark, d, "events").select(F.col("event_id").alias("id"), metrics.coverage(status, reasons).alias("c")).filter("c is not null")
-    return rows.select("id", F.concat_ws(":", "c.status", F.array_join("c.reasons", ",")).alias("coverage"))
+    place = lambda i: ((c + i * i * (1 + c % 5)) % 60).cast("int")
+    reason = lambda i: F.when(place(i) < F.size(names), F.get(names, place(i))).otherwise("no reason")
+    reasons = F.when(c % 90 > 0, F.transform(F.sequence(F.lit(0).cast("long"), c % 90 - 1), reason)).otherwise(F.array().cast("array<string>"))
+    rows = P.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("k"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    rows = rows.select("id", metrics.coverage(status, reasons).alias("c")).filter("c is not null")
+    return rows.select("id", F.concat(F.col("c.status"), F.lit(":"), F.array_join("c.reasons", ",")).alias("coverage"))
 
 
-@query("""SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 4 = 0 THEN 40 WHEN o_orderkey % 4 = 1 THEN 20 WHEN o_orderkey % 4 = 2 THEN 30 ELSE 25 END::DOUBLE AS first_response, CASE WHEN o_orderkey % 4 = 2 THEN 'content' WHEN o_orderkey % 4 = 3 THEN 'thinking' WHEN o_orderkey % 4 = 0 THEN 'prior' ELSE 'prior' END AS source FROM orders""")
+TIMES = """t AS (SELECT o_orderkey AS id, (c % 50)::DOUBLE AS start, CASE WHEN c % 7 > 0 THEN c % 50 + 100 + c % 40 END::DOUBLE AS completed, CASE WHEN c % 3 > 0 THEN c // 7 % 220 END::DOUBLE AS prior,
+  CASE WHEN c % 4 <> 1 THEN c // 11 % 220 END::DOUBLE AS content, CASE WHEN c % 5 <> 1 THEN c // 13 % 220 END::DOUBLE AS token, (c // 17 % 220)::DOUBLE AS sig FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders))"""
+
+
+@query(f"""WITH {TIMES}, fit AS (SELECT *, sig >= start AND (completed IS NULL OR sig <= completed) AS taken FROM t),
+known AS (SELECT id, prior AS ms, 0 AS place, 'prior' AS source FROM fit UNION ALL SELECT id, content, 1, 'content' FROM fit UNION ALL SELECT id, token, 1, 'content' FROM fit UNION ALL SELECT id, sig, 2, 'thinking' FROM fit),
+first AS (SELECT id, min(ms) AS ms, arg_min(source, (ms, place)) AS source FROM known JOIN t USING (id) WHERE ms >= start AND (completed IS NULL OR ms <= completed) GROUP BY id)
+SELECT fit.id AS message_id, CASE WHEN taken THEN first.ms ELSE prior END AS first_response, CASE WHEN taken THEN first.source WHEN prior IS NOT NULL THEN 'prior' END AS source FROM fit LEFT JOIN first USING (id)""")
 def first_response_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A signal after an earlier response, at its time, before any but content, before all."""
-    key = F.col("o_orderkey") % 4
-    rows = P.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("message_id"), F.lit(10.0).alias("start"), F.lit(90.0).alias("completed"), F.when(key == 0, 40.0).when(key == 1, 20.0).when(key == 3, 50.0).alias("first_response"), F.lit("prior").alias("first_response_source"), F.lit("arrival").alias("first_response_time_source"), F.lit(True).alias("first_response_estimated"),
-        F.when(key == 2, 30.0).alias("first_content"), F.lit(None).cast("double").alias("first_token"),
-        F.struct(F.when(key == 0, 95.0).when(key == 1, 20.0).when(key == 2, 35.0).otherwise(25.0).alias("at"), F.lit("thinking").alias("source"), F.lit("part-start").alias("time_source"), F.lit(False).alias("estimated")).alias("signal"),
-    )
+    """The earliest of what was known, the output and a signal, in this order at equal times, each within the response's time; a signal
+    outside it changes nothing."""
+    c = F.round(F.col("o_totalprice") * 100).cast("long")
+    over = lambda n: F.floor(c / n) % 220
+    t = {
+        "start": c % 50, "completed": F.when(c % 7 > 0, c % 50 + 100 + c % 40), "first_response": F.when(c % 3 > 0, over(7)), "first_content": F.when(c % 4 != 1, over(11)), "first_token": F.when(c % 5 != 1, over(13)),
+    }
+    signal = F.struct(over(17).cast("double").alias("at"), F.lit("thinking").alias("source"), F.lit("part-start").alias("time_source"), F.lit(False).alias("estimated"))
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("message_id"), *(x.cast("double").alias(n) for n, x in t.items()), signal.alias("signal"))
+    rows = rows.withColumns({"first_response_source": F.when(F.col("first_response").isNotNull(), "prior"), "first_response_time_source": F.lit("arrival"), "first_response_estimated": F.lit(True)})
     return rows.select("message_id", metrics.first_response().alias("f")).select("message_id", "f.first_response", "f.source")
 
 
@@ -354,11 +383,14 @@ def response_taint(spark: SparkSession, d: str) -> DataFrame:
     return layers.tainted(rows).select("message_id", "tainted", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS tokens, c_acctbal AS response FROM customer")
+@query("""SELECT o_custkey AS session_id, CASE WHEN bool_and(coalesce(CASE WHEN o_orderkey % 7 > 0 THEN 2 + o_shown END = 3, false)) THEN sum(c) ELSE 0 END::BIGINT AS tokens, sum(c)::BIGINT AS response
+FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS c, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS o_shown FROM orders) GROUP BY 1""")
 def generation_epoch(spark: SparkSession, d: str) -> DataFrame:
-    """Generation sums of an older basis start again, the response's stay."""
-    rows = P.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("tokens"), F.col("c_acctbal").alias("response"), F.when(F.col("c_custkey") % 2 == 0, F.lit(3)).when(F.col("c_custkey") % 3 == 0, F.lit(2)).alias("basis"))
-    return metrics.of_basis(rows, ["tokens"]).drop("basis")
+    """Generation sums of an older basis, or of none, start again, the response's stay; a session's basis is the lowest of its orders'."""
+    basis = F.when(F.col("o_orderkey") % 7 > 0, F.when(F.col("o_orderstatus") == "P", 2).otherwise(3))
+    c = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = P.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.sum(c).alias("tokens"), F.sum(c).alias("response"), F.min(F.coalesce(basis, F.lit(0))).alias("basis"))
+    return metrics.of_basis(rows.withColumn("basis", F.when(F.col("basis") > 0, F.col("basis"))), ["tokens"]).drop("basis")
 
 
 @query("SELECT l_orderkey AS session_id, arg_min('a' || l_partkey, (l_linenumber, l_partkey)) AS agent FROM lineitem WHERE l_linenumber % 2 = 0 AND l_returnflag <> 'R' GROUP BY 1")
