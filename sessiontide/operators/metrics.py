@@ -104,17 +104,34 @@ def of_basis(totals: DataFrame, measures: list[str], version: int = 3) -> DataFr
     return totals.withColumns({m: F.when(other, F.lit(0).cast(totals.schema[m].dataType)).otherwise(F.col(m)) for m in measures}).withColumn("basis", F.lit(version))
 
 
-def spread(x: Column, name: str) -> list[Column]:
-    """avg, max and min over finite values that are not negative; 0 without any."""
-    fit = F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x != float("inf")), x)
-    return [F.coalesce(f(fit), F.lit(0.0)).alias(f"{f.__name__}_{name}") for f in (F.avg, F.max, F.min)]
+def finite(x: Column) -> Column:
+    """x where it is finite and not negative."""
+    return F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x != float("inf")), x.cast("double"))
 
 
-def response_stats(responses: DataFrame, key: str = "session_id") -> DataFrame:
-    """Calls, and average, greatest and least speed (output per second), first-token delay and duration."""
+def response_stats(responses: DataFrame, key: str = "session_id", order: tuple[str, ...] = ("pos", "message_id"), part: str | None = None) -> DataFrame:
+    """Calls, and average, greatest and least speed (output per second), first-token delay and duration over finite values that are
+    not negative; 0 without any.
+
+    Sums of fractions depend on their order, so rows are added in `order`: the same bits however rows are dealt to tasks. With
+    `part` (few values) each part of a session is added up alone, and then the parts in order. Running sums hold no session in memory.
+    """
     rows = responses.withColumn("took", duration()).withColumn("delay", first_token_delay())
     rows = rows.withColumn("speed", F.when(F.col("took") > 0, F.col("output") * 1000 / F.col("took")))
-    return rows.groupBy(key).agg(F.count("*").alias("calls"), *spread(F.col("speed"), "speed"), *spread(F.col("delay"), "delay"), *spread(F.col("took"), "duration"))
+    names = {"speed": "speed", "delay": "delay", "duration": "took"}
+    rows = rows.select(F.col(key), (F.col(part) if part else F.lit(0)).alias("__part"), F.struct(*order, *names.values()).alias("__place"), *(finite(F.col(c)).alias(n) for n, c in names.items()))
+    upto = Window.partitionBy(key, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({f"__sum_{n}": F.sum(n).over(upto) for n in names})
+    last = F.max_by(F.struct(*(F.col(f"__sum_{n}").alias(n) for n in names)), "__place").alias("sums")
+    parts = summed.groupBy(key, "__part").agg(F.count("*").alias("calls"), last, *(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.count, F.max, F.min)))
+    held = parts.groupBy(key).agg(
+        F.sum("calls").alias("calls"), F.transform(F.array_sort(F.collect_list(F.struct("__part", "sums"))), lambda x: x["sums"]).alias("sums"),
+        *(f(f"{was}_{n}").alias(f"{was}_{n}") for n in names for f, was in ((F.sum, "count"), (F.max, "max"), (F.min, "min"))),
+    )
+    whole = lambda n: F.aggregate("sums", F.lit(0.0), lambda x, y: x + F.coalesce(y[n], F.lit(0.0)))
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    told = [c for n in names for c in (zero(F.when(F.col(f"count_{n}") > 0, whole(n) / F.col(f"count_{n}")), f"avg_{n}"), zero(F.col(f"max_{n}"), f"max_{n}"), zero(F.col(f"min_{n}"), f"min_{n}"))]
+    return held.select(key, "calls", *told)
 
 
 def response_rate(responses: DataFrame) -> DataFrame:
