@@ -652,9 +652,7 @@ def pending_names(spark: SparkSession, d: str) -> DataFrame:
         (F.col("event_id") % 97 != 0).alias("from_start"), none("string").alias("model"), none("string").alias("agent"), none("double").alias("cost"), none("double").alias("input"),
         F.col("event_id").cast("double").alias("output"), none("double").alias("reasoning"), F.floor("value").cast("double").alias("cache_read"), none("double").alias("cache_write"),
     )
-    owned = pending.named(rows)
-    taken = owned.filter("owner is not null").groupBy(F.col("owner").alias("message_id")).agg(F.sum(F.col("taken").cast("long")).alias("taken"))
-    return pending.merged(owned).join(taken, "message_id").select("message_id", "session_id", "observations", "taken", "start", "output", "cache_read", "from_start")
+    return pending.merged(pending.named(rows)).select("message_id", "session_id", "observations", "taken", "start", "output", "cache_read", "from_start")
 
 
 # --- logs and ledgers written and read again

@@ -30,3 +30,11 @@ def test_sums_of_fractions_have_an_order(spark):
         got = metrics.response_stats(frame, part="pos").collect()
         assert {r["session_id"]: (r["calls"], r["avg_speed"]) for r in got} == want
         assert all(r["avg_delay"] == r["min_delay"] == 0.0 for r in got)
+
+
+def test_names_are_looked_up_in_one_pass(spark):
+    fields = "session_id string, message_id string, pos long, completes boolean"
+    frame = spark.createDataFrame([("s", None, 1, False), ("s", "m", 2, True), ("s", None, 3, False), ("s", "m", 4, False), ("s", "n", 5, False), ("s", None, 6, False)], fields)
+    owned = pending.named(frame)
+    assert [(r["pos"], r["owner"], r["taken"]) for r in owned.orderBy("pos").collect()] == [(1, "m", True), (2, "m", False), (3, "n", True), (4, "m", False), (5, "n", False), (6, None, False)]
+    assert "unboundedfollowing" not in plan(owned).lower()  # such a frame is gone through once for each of its rows
