@@ -35,6 +35,15 @@ def filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: Paths of a kind that are typed one by one.
+FEW = 12
+
+
+def _same_but_case(tree: dict) -> bool:
+    """Whether an object has names that differ only in case."""
+    return len({n.lower() for n in tree}) < len(tree) or any(_same_but_case(x) for x in tree.values() if x)
+
+
 class Leaves:
     """Paths into one column of JSON texts, or of VARIANT. Texts that are no JSON objects have nothing at any path."""
 
@@ -87,19 +96,23 @@ class Leaves:
         if isinstance(rows.schema[self.column].dataType, VariantType):
             return rows.select("*", F.inline(F.array(self._arrays(lambda path: F.try_variant_get(F.col(self.column), f"$.{path}", "variant")))))
         tree, parsed = self._tree(), f"__{self.column}_parsed"
-        # names that differ only in case are told apart by place
+        # names that differ only in case are told apart by place, which copies what was read
+        placed = _same_but_case(tree)
         shape = lambda node, name: VariantType() if node is None else StructType([StructField(name(k, n), shape(x, name)) for k, (n, x) in enumerate(node.items())])
 
         def look(path: str) -> Column:
             names, node, k, held = path.split("."), tree, 0, F.col(parsed)
             while node is not None and k < len(names):
-                held, node, k = held[f"f{list(node).index(names[k])}"], node[names[k]], k + 1
+                held, node, k = held[f"f{list(node).index(names[k])}" if placed else names[k]], node[names[k]], k + 1
             return held if k == len(names) else F.try_variant_get(held, f"$.{'.'.join(names[k:])}", "variant")
 
         text = F.trim(self.column)
-        read = F.when(text.startswith("{"), F.from_json(text, shape(tree, lambda _, n: n)).cast(shape(tree, lambda k, _: f"f{k}")))
+        read = F.from_json(text, shape(tree, lambda _, n: n))
+        read = F.when(text.startswith("{"), read.cast(shape(tree, lambda k, _: f"f{k}")) if placed else read)
         once = rows.select("*", F.inline(F.array(F.struct(read.alias(parsed)))))
         return once.select("*", F.inline(F.array(self._arrays(look)))).drop(parsed)
 
     def _arrays(self, look: Callable[[str], Column]) -> Column:
-        return F.struct(*(F.transform(F.array(*map(look, own)), self.KINDS[kind]).alias(f"__{self.column}_{kind}") for kind, own in self.paths.items() if own))
+        # few values are typed one by one, which is compiled; many by a lambda, which keeps the code small
+        typed = lambda own, f: F.array(*(f(look(p)) for p in own)) if len(own) <= FEW else F.transform(F.array(*map(look, own)), f)
+        return F.struct(*(typed(own, self.KINDS[kind]).alias(f"__{self.column}_{kind}") for kind, own in self.paths.items() if own))

@@ -27,8 +27,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
-def as_lines(rows: DataFrame, body: Column, pos: str = "pos") -> DataFrame:
-    return spread(rows).select(F.to_json(body).alias("value"), F.col(pos).cast("long").alias("pos"))
+def as_lines(rows: DataFrame, body: Column, pos: str = "pos", dealt: bool = False) -> DataFrame:
+    return (rows if dealt else spread(rows)).select(F.to_json(body).alias("value"), F.col(pos).cast("long").alias("pos"))
+
+
+def twice(lines: DataFrame) -> DataFrame:
+    """Lines that are delivered twice, each written once."""
+    return lines.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("__copy")
 
 
 # --- host events
@@ -736,14 +741,14 @@ def event_work(spark: SparkSession, d: str) -> DataFrame:
     """Facts of executions with a step and a tool inside it, from events that are delivered twice and in any order."""
     key = F.col("o_orderkey").cast("string")
     kinds = ["execution.started", "step.started", "tool.called", "tool.success", "step.ended", "execution.succeeded"]
-    rows = P.table(spark, d, "orders").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"n": F.col("k") % 6, "at": P.millis("o_orderdate")})
-    n = F.col("n")
+    rows = spread(P.table(spark, d, "orders")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("at", P.millis("o_orderdate"))
+    n = F.col("k")
     data = F.struct(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("sessionID"), F.when(n.between(1, 4), F.concat(F.lit("m"), key)).alias("assistantMessageID"), F.when(n.isin(2, 3), F.concat(F.lit("t"), key)).alias("id"))
     body = F.struct(
         F.concat(F.lit("session."), F.element_at(F.array(*map(F.lit, kinds)), n + 1)).alias("type"), F.concat(F.element_at(F.array(*map(F.lit, "xabcde")), n + 1), key).alias("id"), (F.col("at") + n).alias("created"),
         F.struct((F.col("o_orderkey") * 6 + n).alias("seq")).alias("durable"), data.alias("data"),
     )
-    return hosts.newer_facts(as_lines(rows, body, "o_orderkey")).select("session_id", "execution_id", "kind", "state", "work_id", "phase", "ts")
+    return hosts.newer_facts(twice(as_lines(rows, body, "o_orderkey", dealt=True))).select("session_id", "execution_id", "kind", "state", "work_id", "phase", "ts")
 
 
 @query(f"""WITH {P.RESPONSES} SELECT l.message_id, r.pos, l.output IS NOT DISTINCT FROM r.output AND l.model IS NOT DISTINCT FROM r.model AND CASE WHEN l.message_id % 2 = 0 THEN 'exact' ELSE l.quality END = r.quality AS same

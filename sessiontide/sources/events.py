@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..functions.leaves import Leaves, filled, whole_text
+from ..operators import precedence
 
 #: Types that carry content only, and types that the adapter reads.
 CONTENT = r"^(message\.part\.(delta|updated)|session\.(next\.)?(text|reasoning)\..*|session\.(next\.)?tool\.(input\..*|progress))$"
@@ -122,8 +123,10 @@ def older_facts(events: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.filter(F.array(lifecycle, parent), lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
-def fields(events: DataFrame) -> DataFrame:
-    """What the adapter reads of the newer kind of events; an event delivered twice counts once."""
+def fields(events: DataFrame, usage: bool = False) -> DataFrame:
+    """What facts need of the newer kind of events or, with `usage`, what responses need of steps. An event delivered twice counts
+    once, the first to come. Rows leave dealt by session (with `usage`: by session and message), so that windows over these
+    shuffle nothing again."""
     leaves = Leaves()
     data = lambda p: leaves.text(f"data.{p}")
     kind = leaves.text("type")
@@ -135,18 +138,17 @@ def fields(events: DataFrame) -> DataFrame:
         "session_id": filled(data("sessionID")),
         "message_id": data("assistantMessageID"),
         "tool_id": data("id"),
-        "agent": data("agent"),
-        "model": data("model.id"),
-        "words": F.when(F.lower(kind).endswith(".status"), status_words(leaves, ["data"])),
         "started": leaves.number("data.started"),
-        "billed": leaves.raw("data.tokens").isNotNull(),
-        "cost": leaves.number("data.cost"),
-        "parent_id": leaves.first_text("data.parentID", "data.parentSessionID"),
-        "title": data("title"),
     }
-    said = tokens.said(leaves.number, "data.tokens.")
-    read = leaves.over(events).filter(is_control(kind)).select(*(c.alias(n) for n, c in columns.items()), *said, "pos").filter("session_id is not null")
-    return read.dropDuplicates(["event_id", "type", "session_id", "message_id", "tool_id", "ts"])
+    if usage:
+        columns |= {"agent": data("agent"), "model": data("model.id"), "billed": leaves.raw("data.tokens").isNotNull(), "cost": leaves.number("data.cost")}
+        columns |= {f"said_{n}": c for n, c in zip(tokens.ALIASES, tokens.said(leaves.number, "data.tokens."), strict=True)}
+        wanted, keys = kind.startswith("session.step.") & columns["message_id"].isNotNull(), ["session_id", "message_id"]
+    else:
+        columns |= {"words": F.when(F.lower(kind).endswith(".status"), status_words(leaves, ["data"])), "parent_id": leaves.first_text("data.parentID", "data.parentSessionID")}
+        wanted, keys = F.lit(True), ["session_id"]
+    read = leaves.over(events).filter(is_control(kind) & wanted).select(*(c.alias(n) for n, c in columns.items()), "pos").filter("session_id is not null")
+    return precedence.best(read.repartition(*keys), ["session_id", "message_id", "event_id", "type", "tool_id", "ts"], F.col("pos"))
 
 
 def with_execution(rows: DataFrame) -> DataFrame:
@@ -200,8 +202,7 @@ def newer_facts(events: DataFrame) -> DataFrame:
 def newer_responses(events: DataFrame) -> DataFrame:
     """Responses of ended steps, with the start that their beginning named. A failed step without usage is no call. A
     response is exact if input and output were reported and reasoning was, or is zero."""
-    read = fields(events).filter("message_id is not null")
-    rows = read.withColumn("tokens", tokens.counters()).withColumn("reported", tokens.partial(F.col("tokens")))
+    rows = fields(events, usage=True).withColumn("tokens", tokens.counters()).withColumn("reported", tokens.partial(F.col("tokens")))
     of, begun = Window.partitionBy("session_id", "message_id"), F.col("type") == "session.step.started"
     first = {"start": F.min(F.when(begun, F.coalesce("started", "ts"))), "agent0": F.max(F.when(begun, F.col("agent"))), "model0": F.max(F.when(begun, F.col("model")))}
     ends = rows.withColumns({n: c.over(of) for n, c in first.items()}).filter("type = 'session.step.ended' or (type = 'session.step.failed' and billed)")

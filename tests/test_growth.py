@@ -5,6 +5,7 @@ import io
 import random
 
 from sessiontide.operators import metrics, pending
+from sessiontide.sources import events
 
 
 def plan(frame):
@@ -38,3 +39,20 @@ def test_names_are_looked_up_in_one_pass(spark):
     owned = pending.named(frame)
     assert [(r["pos"], r["owner"], r["taken"]) for r in owned.orderBy("pos").collect()] == [(1, "m", True), (2, "m", False), (3, "n", True), (4, "m", False), (5, "n", False), (6, None, False)]
     assert "unboundedfollowing" not in plan(owned).lower()  # such a frame is gone through once for each of its rows
+
+
+def test_events_are_dealt_once(spark):
+    line = '{"type": "session.step.%s", "id": "%s", "created": %d, "data": {"sessionID": "s", "assistantMessageID": "m", "agent": "%s", "tokens": {"input": 1, "output": 2, "reasoning": 3}}}'
+    told = [(line % ("started", "a", 5, "first"), 1), (line % ("ended", "b", 9, "late"), 4), (line % ("ended", "b", 9, "early"), 3), (line % ("started", "a", 5, "first"), 2)]
+    frame = spark.createDataFrame(told, "value string, pos long").repartition(3)
+    (one,) = events.newer_responses(frame).collect()
+    assert (one["agent"], one["start"], one["completed"], one["pos"]) == ("early", 5.0, 9.0, 3)  # the copy that came first, however rows are dealt
+    assert len(events.newer_facts(frame).collect()) == 2
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (events.newer_facts(frame), events.newer_responses(frame)):
+            assert plan(made).count("Exchange hashpartitioning") == 1
+        assert "cacheRead" not in plan(events.newer_facts(frame))  # counters are read for responses alone
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
