@@ -71,8 +71,7 @@ def event_responses(spark: SparkSession, d: str) -> DataFrame:
     ended = key % 4 != 0
     begin = as_lines(orders, event(F.lit("session.step.started"), 0, F.col("at"), F.lit(None).cast("struct<input:long>")), "o_orderkey")
     end = as_lines(orders, event(F.when(ended, "session.step.ended").otherwise("session.step.failed"), 1, F.col("at") + 5000, F.when(ended, usage)), "o_orderkey")
-    once = begin.unionByName(end)
-    return hosts.newer_responses(once.unionByName(once)).select("message_id", "quality", "input", "output", "reasoning", "start", "completed")
+    return hosts.newer_responses(twice(begin.unionByName(end))).select("message_id", "quality", "input", "output", "reasoning", "start", "completed")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, floor(l_extendedprice)::BIGINT AS a, floor(l_quantity)::BIGINT AS q, l_suppkey % 11 AS s, (l_orderkey + l_linenumber) % 3 AS form FROM (SELECT DISTINCT * FROM lineitem))
