@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,14 +90,24 @@ def fold_history(records: list[dict]) -> dict | None:
     return held
 
 
-def by_message(records: DataFrame, fold_) -> DataFrame:
+def by_message(records: DataFrame, fold_, only: str | None = None) -> DataFrame:
     """A fold of each message's few records in order of arrival. They come sorted from one shuffle, and a task holds one
-    message at a time; comparing updates is not transitive, so no window can do it."""
+    message at a time; comparing updates is not transitive, so no window can do it. With `only`, a flag of whole messages, rows
+    without it pass as they are."""
+    kept = [c for c in records.columns if c != only]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[dict] = []
         schema = None
         for batch in batches:
+            if only:
+                flags = batch.column(batch.schema.get_field_index(only))
+                batch = batch.select(kept)
+                if rest := pc.sum(pc.invert(flags)).as_py():
+                    yield batch.filter(pc.invert(flags))
+                if rest == batch.num_rows:
+                    continue
+                batch = batch.filter(flags)
             schema, out = batch.schema, []
             for r in batch.to_pylist():
                 if own and own[-1]["message_id"] != r["message_id"]:
@@ -107,8 +118,8 @@ def by_message(records: DataFrame, fold_) -> DataFrame:
         if own and (last := fold_(own)):
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
-    dealt = records.repartition("message_id").sortWithinPartitions("message_id", "pos")
-    return dealt.mapInArrow(run, records.schema)
+    dealt = records.repartition("message_id") if only is None else records  # flags come from windows by message, which dealt the rows
+    return dealt.sortWithinPartitions("message_id", "pos").mapInArrow(run, records.select(kept).schema)
 
 
 def contributions(records: DataFrame) -> DataFrame:
@@ -123,17 +134,17 @@ def contributions(records: DataFrame) -> DataFrame:
 
 
 def history(records: DataFrame) -> DataFrame:
-    """The history after all upserts. Only messages with a live update among several records need a fold: for the others
+    """The history after all upserts, from one reading and one shuffle of the records. Only messages with a live update among several records need a fold: for the others
     quality, completeness, freshness and arrival are a total order, and what the losers lend follows from their order."""
     of = Window.partitionBy("message_id")
-    known = records.filter("message_id is not null").withColumn("__n", F.count("*").over(of)).withColumn("__live", F.max(F.col("update").isNotNull()).over(of))
-    once = known.filter("__n = 1").select(*records.columns)
-    plain = _plain_history(known.filter("__n > 1 and not __live").select(*records.columns))
-    return once.unionByName(plain).unionByName(by_message(known.filter("__n > 1 and __live").select(*records.columns), fold_history))
+    live = F.max(F.col("update").isNotNull()).over(of)
+    known = records.filter("message_id is not null").withColumn("__n", F.count("*").over(of)).withColumn("__live", (F.col("__n") > 1) & live)
+    plain = _plain_history(known, F.col("__live") | (F.col("__n") == 1))
+    return by_message(plain.select(*records.columns, "__live"), fold_history, "__live")
 
 
-def _plain_history(records: DataFrame) -> DataFrame:
-    """`fold_history` of messages without live updates, by windows in order of arrival.
+def _plain_history(records: DataFrame, as_is: Column) -> DataFrame:
+    """`fold_history` of messages without live updates, by windows in order of arrival; all records of messages that are left `as_is`.
 
     A record wins if none before it has a higher rank. The last winner stays, at the place of the first record. Its agent is that of the
     last winner that has one, else the first agent; evidence is put together in order.
@@ -154,8 +165,9 @@ def _plain_history(records: DataFrame) -> DataFrame:
     if "scope_reasons" in records.columns:
         taken["scope_reasons"] = F.array_distinct(F.flatten(F.collect_list(F.coalesce("scope_reasons", F.array().cast("array<string>"))).over(all_)))
         taken["scope_parent"] = F.last("scope_parent", True).over(all_)
-    merged = judged.select(*(c for c in judged.columns if c not in taken), *(c.alias(n) for n, c in taken.items()))
-    return merged.filter("__at = __last").select(*records.columns)
+    own = lambda n, c: F.when(as_is, F.col(n)).otherwise(c) if n in records.columns else c
+    merged = judged.select(*(c for c in judged.columns if c not in taken), *(own(n, c).alias(n) for n, c in taken.items()))
+    return merged.filter(as_is | (F.col("__at") == F.col("__last"))).select(*records.columns)
 
 
 def transition(rows: list[dict], measures: list[str]) -> dict:

@@ -4,8 +4,8 @@ import contextlib
 import io
 import random
 
-from sessiontide.operators import metrics, pending
-from sessiontide.sources import events
+from sessiontide.operators import ledger, metrics, pending
+from sessiontide.sources import events, history
 
 
 def plan(frame):
@@ -56,3 +56,14 @@ def test_events_are_dealt_once(spark):
         assert "cacheRead" not in plan(events.newer_facts(frame))  # counters are read for responses alone
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_histories_read_their_lines_once(spark):
+    line = '{"version": 1, "messageID": "%s", "sessionID": "s", "quality": "exact", "time": {"start": 1, "completed": %d}%s}'
+    live = ', "update": {"source": "live", "instanceID": "i", "sequence": %d, "receivedAt": %d, "fingerprint": "%s", "seenFingerprints": []}'
+    told = [(line % ("once", 2, live % (1, 1, "f")), 1), (line % ("plain", 2, ""), 2), (line % ("plain", 9, ""), 3), (line % ("live", 2, live % (1, 1, "f")), 4), (line % ("live", 3, live % (2, 2, "g")), 5), (line % ("live", 4, live % (1, 1, "h")), 6)]
+    frame = spark.createDataFrame(told, "value string, pos long").repartition(3)
+    kept = ledger.history(history.responses(frame))
+    first = plan(kept)
+    assert first.count("Exchange hashpartitioning") == first.count("Exchange RoundRobin") == 1
+    assert sorted((r["message_id"], r["completed"], r["pos"]) for r in kept.collect()) == [("live", 3.0, 4), ("once", 2.0, 1), ("plain", 9.0, 2)]
